@@ -77,6 +77,15 @@ def ui_kpi(df: DataFrame, column: str, agg: str) -> DataFrame:
     return df.agg(e.alias("value"))
 
 
+def ui_kpis(df: DataFrame, column: str) -> DataFrame:
+    """A28 for all three aggregates in one pass: (sum_value, avg_value, count_value)."""
+    from ..functions.predicates import digits_only_number
+    v = digits_only_number(column)
+    return df.agg(F.coalesce(F.sum(v), F.lit(0.0)).alias("sum_value"),
+                  F.coalesce(F.avg(v), F.lit(0.0)).alias("avg_value"),
+                  F.count(F.lit(1)).cast("double").alias("count_value"))
+
+
 # ----------------------------------------------------------------- A9 / A12
 
 def group_aggregate(df: DataFrame, x: str, y: str | None, agg: str = "sum",
@@ -179,7 +188,7 @@ def top_with_other(df: DataFrame, x: str, y: str | None, agg: str = "sum",
     n_groups = g.select(F.count(F.lit(1))).scalar()
     order = [F.desc_nulls_last("y"), F.asc_nulls_first("x")]
     top = g.orderBy(*order).limit(cap)
-    top = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     keep = top.filter((F.col("rank") < cap) | (n_groups <= cap))
     head = top.filter(F.col("rank") < cap).select(F.col("x").alias("tx"))
     rest = g.join(F.broadcast(head), g["x"].eqNullSafe(head["tx"]), "left_anti")
@@ -198,7 +207,7 @@ def top_with_other(df: DataFrame, x: str, y: str | None, agg: str = "sum",
         oy = F.coalesce(F.col("s"), F.lit(0.0))
     other = folded.filter(n_groups > cap).select(
         F.lit(other_label).alias("x"), oy.cast("double").alias("y"),
-        F.col("n").cast("long").alias("n"), F.lit(cap).alias("rank"))
+        F.col("n").cast("long").alias("n"), F.lit(cap).cast("long").alias("rank"))
     return keep.select("x", "y", "n", "rank").unionByName(other)
 
 
@@ -281,7 +290,7 @@ def filter_options(df: DataFrame, columns: list[str], limit: int = 25,
     long = long.filter(F.col("value").isNotNull() & (F.col("value") != ""))
     d = long.distinct()
     w = Window.partitionBy("column").orderBy("value")
-    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return d.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
 
 
 # ----------------------------------------------------------------- A23
@@ -305,7 +314,7 @@ def percentage_distribution(grouped: DataFrame, y: str = "y") -> DataFrame:
 def share_of_max(grouped: DataFrame, y: str = "y", first: int = 10) -> DataFrame:
     """Y as % of the largest y, first ``first`` rows in y order."""
     mx = grouped.select(F.max(y)).scalar()
-    return grouped.orderBy(F.desc(y)).limit(first).withColumn(
+    return grouped.orderBy(F.desc(y), F.asc(grouped.columns[0])).limit(first).withColumn(
         "share", F.when(mx != 0, F.col(y) / mx * F.lit(100.0)).otherwise(F.lit(0.0)))
 
 
@@ -335,7 +344,7 @@ def downsample(series: DataFrame, x: str = "x", cap: int = SERVER_POINT_CAP,
     w = Window.partitionBy(*part).orderBy(x)
     n = F.count(F.lit(1)).over(Window.partitionBy(*part))
     step = F.greatest(F.ceil(n / F.lit(float(cap))), F.lit(1))
-    out = series.withColumn("_rn", F.row_number().over(w) - 1).withColumn("_step", step)
+    out = series.withColumn("_rn", (F.row_number().over(w) - 1).cast("long")).withColumn("_step", step)
     out = out.filter((F.col("_rn") % F.col("_step")) == 0)
     return out.filter(F.col("_rn") / F.col("_step") < cap).drop("_step").withColumnRenamed("_rn", "idx")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_queries  # noqa: F401  (registers on import)
+from . import analysis_queries, catalog_queries  # noqa: F401  (register on import)
 from .catalog_queries import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -70,6 +70,16 @@ def period_bounds(min_date: Column, max_date: Column, window: str | None = None)
     return PeriodBounds(_ts(cur_start), max_date, _ts(prior_start), _ts(cur_start), has)
 
 
+def period_bounds_scalar(df: DataFrame, date_col: str, window: str | None = None) -> Column:
+    """A5 evaluated once: a scalar subquery returning struct(current_start,
+    prior_start, prior_end, has_bounds), so rows only compare against
+    constants."""
+    b = df.agg(F.min(date_col).alias("lo"), F.max(date_col).alias("hi"))
+    pb = period_bounds(F.col("lo"), F.col("hi"), window)
+    return b.select(F.struct(pb.current_start.alias("current_start"), pb.prior_start.alias("prior_start"),
+                             pb.prior_end.alias("prior_end"), pb.has_bounds.alias("has_bounds"))).scalar()
+
+
 def relative_date_filter(df: DataFrame, date_col: str, window: str | None) -> DataFrame:
     """keep rows with date >= max(date) - window; other values keep all."""
     if window not in RELATIVE_WINDOWS:
@@ -147,12 +157,11 @@ def kpi_cards(df: DataFrame, kpis: list[KpiSpec], date_col: str | None = None,
     ``count(distinct)``; nulls are not counted.
     """
     if date_col:
-        b = date_bounds(df, date_col)
-        pb = period_bounds(b.getField("min_date"), b.getField("max_date"), window)
+        pb = period_bounds_scalar(df, date_col, window)
         d = F.col(date_col)
-        cur_c = in_period(d, pb.current_start)
-        pri_c = in_period(d, pb.prior_start, pb.prior_end)
-        has = pb.has_bounds
+        cur_c = in_period(d, pb.getField("current_start"))
+        pri_c = in_period(d, pb.getField("prior_start"), pb.getField("prior_end"))
+        has = F.coalesce(pb.getField("has_bounds"), F.lit(False))
     else:
         cur_c = pri_c = None
         has = F.lit(False)
@@ -250,10 +259,9 @@ def half_growth(df: DataFrame, date_col: str, metrics: list[str]) -> DataFrame:
     from the first half to the second.  Rows are (metric, first_half,
     second_half, growth_pct) with growth rounded to 1 dp, null when the first
     half sums to 0."""
-    b = date_bounds(df, date_col)
-    pb = period_bounds(b.getField("min_date"), b.getField("max_date"))
-    second = F.col(date_col) >= pb.current_start
-    first = F.col(date_col) < pb.current_start
+    mid = period_bounds_scalar(df, date_col).getField("current_start")
+    second = F.col(date_col) >= mid
+    first = F.col(date_col) < mid
     aggs = []
     for i, m in enumerate(metrics):
         aggs += [F.sum(F.when(first, F.col(m))).alias(f"f{i}"),

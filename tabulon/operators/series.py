@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import clean_number, col_, js_round
-from .periods import _us, date_bounds
+from .periods import _us
 
 DAY_US = 24 * 60 * 60 * 1_000_000
 AGGS = ("sum", "avg", "min", "max", "count")
@@ -151,20 +151,26 @@ def temporal_series(df: DataFrame, date_col: str, y: str | None = None, agg: str
     """
     d = F.col(date_col)
     if granularity is None:
-        b = date_bounds(df, date_col)
-        g = choose_granularity(b.getField("min_date"), b.getField("max_date"))
+        g = granularity_scalar(df, date_col)
         label = bucket_by(d, g)
     else:
         g = F.lit(granularity)
         label = bucket_label(d, granularity)
+    # non-null dates always give a non-null label, so the date filter is
+    # the only null check needed
     return (df.filter(d.isNotNull())
             .groupBy(label.alias("x"))
             .agg(agg_expr(agg, y).alias("y"), F.count(F.lit(1)).alias("n"))
-            .filter(F.col("x").isNotNull())
             .withColumn("granularity", g)
             .orderBy("x"))
 
 
+def granularity_scalar(df: DataFrame, date_col: str) -> Column:
+    """A11 evaluated once, as a scalar subquery yielding the granularity name."""
+    b = df.agg(F.min(date_col).alias("lo"), F.max(date_col).alias("hi"))
+    return b.select(choose_granularity(F.col("lo"), F.col("hi"))).scalar()
+
+
 # ----------------------------------------------------------------- T2
 
 def top_with_other(df: DataFrame, x: str, y: str | None, agg: str = "sum",
@@ -258,10 +264,10 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     Output (bin, x label, bin_start, bin_end, y)."""
     v = clean_number(column)
     vals = df.select(v.alias("v")).filter(F.col("v").isNotNull())
-    b = vals.select(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
-    lo, hi = b.getField("lo"), b.getField("hi")
-    w0 = (hi - lo) / F.lit(float(bins))
-    width = F.when(w0 == 0, F.lit(1.0)).otherwise(w0)
+    w0 = (F.max("v") - F.min("v")) / F.lit(float(bins))
+    b = vals.select(F.struct(F.min("v").alias("lo"),
+                             F.when(w0 == 0, F.lit(1.0)).otherwise(w0).alias("w"))).scalar()
+    lo, width = b.getField("lo"), b.getField("w")
     idx = F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)).cast("int")
     counts = vals.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("y"))
     # the bin list is a fixed-size range, joined to the (<= bins) counts

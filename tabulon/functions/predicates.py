@@ -100,6 +100,13 @@ def boolean_value(s) -> Column:
     return F.lower(F.trim(col_(s).cast("string"))).isin(BOOLEAN_TRUE_WORDS)
 
 
+def parse_date_fast(s) -> Column:
+    """``parse_date`` only for text that contains a digit (every accepted
+    format has a year), so plain words skip the format list."""
+    t = F.trim(col_(s).cast("string"))
+    return F.when(t.rlike(r"\d"), parse_date(t))
+
+
 def parse_date(s) -> Column:
     """Parse a date/time string with the ISO forms first, then the format list."""
     t = F.trim(col_(s).cast("string"))
@@ -111,11 +118,12 @@ def _date_shape(t: Column) -> Column:
     return t.rlike(DATE_SEPARATOR_RE) | t.rlike(ISO_PREFIX_RE) | t.rlike(MONTH_NAME_RE)
 
 
-def is_date_str(s, min_year: int = 2000, max_year: int = 2100) -> Column:
+def is_date_str(s, min_year: int = 2000, max_year: int = 2100, ts: Column | None = None) -> Column:
     """Upload-time date test: not a short number, date-like shape, parses,
-    year within [min_year, max_year]."""
+    year within [min_year, max_year].  ``ts`` may carry the parsed value
+    when the caller has computed it already."""
     t = F.trim(col_(s).cast("string"))
-    ts = parse_date(t)
+    ts = parse_date(t) if ts is None else ts
     ok = (~t.rlike(SHORT_NUMBER_RE)) & _date_shape(t) & ts.isNotNull() \
         & F.year(ts).between(min_year, max_year)
     return F.coalesce(ok, F.lit(False))
@@ -131,10 +139,10 @@ MD_SEPARATOR_FULL_RE = r"^\d{1,4}[/\-.]\d{1,2}([/\-.]\d{1,4})?$"
 MD_ISO_TS_RE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
 
 
-def md_is_date(s) -> Column:
+def md_is_date(s, ts: Column | None = None) -> Column:
     t = F.trim(col_(s).cast("string"))
     shape = t.rlike(MD_SEPARATOR_FULL_RE) | t.rlike(MD_ISO_TS_RE) | t.rlike(MONTH_NAME_RE)
-    ts = parse_date(t)
+    ts = parse_date(t) if ts is None else ts
     ok = (~t.rlike(r"^\d+$")) & (~t.rlike(r"[%" + CURRENCY_SYMBOLS.replace("$", r"\$") + "]")) \
         & shape & ts.isNotNull() & F.year(ts).between(1000, 3000)
     return F.coalesce(ok, F.lit(False))

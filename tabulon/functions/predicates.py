@@ -25,6 +25,8 @@ MONTH_NAME_RE = r"(?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 DATE_SEPARATOR_RE = r"\d{1,4}[/\-.]\d{1,2}"
 ISO_PREFIX_RE = r"^\d{4}-\d{2}-\d{2}"
 SHORT_NUMBER_RE = r"^\d{1,4}$"
+# Longest text tried as a date (free text beyond this is never a date).
+MAX_DATE_TEXT = 64
 # Date formats tried in order after the ISO forms; month-first wins over
 # day-first when both fit.
 DATE_FORMATS = [
@@ -104,7 +106,7 @@ def parse_date_fast(s) -> Column:
     """``parse_date`` only for text that contains a digit (every accepted
     format has a year), so plain words skip the format list."""
     t = F.trim(col_(s).cast("string"))
-    return F.when(t.rlike(r"\d"), parse_date(t))
+    return F.when((F.length(t) <= MAX_DATE_TEXT) & t.rlike(r"\d"), parse_date(t))
 
 
 def parse_date(s) -> Column:

@@ -267,6 +267,13 @@ def profile(df: DataFrame, approx: bool = False, compat_order: bool = False,
     t, dt = upload_types(compat_order)
     _, basic = upload_types(True, "distinct_raw")
     ne, rows = F.col("non_empty"), F.col("rows")
+    # typed (Parquet) columns keep their type; the text rules are for text
+    kind = F.col("kind")
+    typed = (ne > 0) & kind.isin("date", "number", "boolean")
+    t = F.when(typed, F.create_map(F.lit("date"), F.lit("date"), F.lit("number"), F.lit("numeric"),
+                                   F.lit("boolean"), F.lit("boolean"))[kind]).otherwise(t)
+    dt = F.when(typed, F.create_map(F.lit("date"), F.lit("Date"), F.lit("number"), F.lit("Number"),
+                                    F.lit("boolean"), F.lit("Boolean"))[kind]).otherwise(dt)
     out = st.select(
         "*",
         P.js_round(_ratio(rows - ne, rows), 4).alias("null_ratio"),

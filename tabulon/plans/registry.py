@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis_queries, catalog_queries, profile_queries  # noqa: F401  (register on import)
+from . import analysis_queries, catalog_queries, profile_queries, recommend_queries  # noqa: F401
 from .catalog_queries import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

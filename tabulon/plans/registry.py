@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis_queries, catalog_queries, profile_queries, recommend_queries  # noqa: F401
+from . import (analysis_queries, catalog_queries, profile_queries, recommend_queries,  # noqa: F401
+               source_queries)
 from .catalog_queries import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

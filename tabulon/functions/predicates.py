@@ -52,9 +52,15 @@ def is_missing(c) -> Column:
     return c.isNull() | (F.trim(c.cast("string")) == F.lit(""))
 
 
+# Shape of a decimal number literal; only such text is handed to the cast
+# (a failed string-to-double cast is expensive in Spark).
+NUMBER_SHAPE_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def js_number(s) -> Column:
-    """``Number(s)`` restricted to finite values; null when it does not parse."""
-    v = col_(s).try_cast("double")
+    """``Number(s)`` restricted to finite decimal values; null otherwise."""
+    c = col_(s).cast("string")
+    v = F.when(c.rlike(NUMBER_SHAPE_RE), c.try_cast("double"))
     return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
 
 
@@ -102,11 +108,19 @@ def boolean_value(s) -> Column:
     return F.lower(F.trim(col_(s).cast("string"))).isin(BOOLEAN_TRUE_WORDS)
 
 
+# Shapes of the accepted date forms (ISO date/time, day-month-year with / or
+# -, year.month.day, month names); text of any other shape cannot parse.
+DATE_SHAPE_RE = (r"^\d{4}-\d{1,2}(-\d{1,2})?([T ].*)?$|^\d{1,2}[/-]\d{1,2}[/-]\d{4}$|"
+                 r"^\d{4}[./]\d{1,2}[./]\d{1,2}$|^\d{1,2} [A-Za-z]{3,} \d{4}$|"
+                 r"^[A-Za-z]{3,} \d{1,2},? \d{4}$|^[A-Za-z]{3,} \d{4}$")
+
+
 def parse_date_fast(s) -> Column:
-    """``parse_date`` only for text that contains a digit (every accepted
-    format has a year), so plain words skip the format list."""
+    """``parse_date`` only for short text shaped like an accepted form.
+    A failed formatted parse is expensive in Spark, so text that cannot
+    match any format skips the format list entirely."""
     t = F.trim(col_(s).cast("string"))
-    return F.when((F.length(t) <= MAX_DATE_TEXT) & t.rlike(r"\d"), parse_date(t))
+    return F.when((F.length(t) <= MAX_DATE_TEXT) & t.rlike(DATE_SHAPE_RE), parse_date(t))
 
 
 def parse_date(s) -> Column:
@@ -125,7 +139,7 @@ def is_date_str(s, min_year: int = 2000, max_year: int = 2100, ts: Column | None
     year within [min_year, max_year].  ``ts`` may carry the parsed value
     when the caller has computed it already."""
     t = F.trim(col_(s).cast("string"))
-    ts = parse_date(t) if ts is None else ts
+    ts = parse_date_fast(t) if ts is None else ts
     ok = (~t.rlike(SHORT_NUMBER_RE)) & _date_shape(t) & ts.isNotNull() \
         & F.year(ts).between(min_year, max_year)
     return F.coalesce(ok, F.lit(False))
@@ -144,7 +158,7 @@ MD_ISO_TS_RE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
 def md_is_date(s, ts: Column | None = None) -> Column:
     t = F.trim(col_(s).cast("string"))
     shape = t.rlike(MD_SEPARATOR_FULL_RE) | t.rlike(MD_ISO_TS_RE) | t.rlike(MONTH_NAME_RE)
-    ts = parse_date(t) if ts is None else ts
+    ts = parse_date_fast(t) if ts is None else ts
     ok = (~t.rlike(r"^\d+$")) & (~t.rlike(r"[%" + CURRENCY_SYMBOLS.replace("$", r"\$") + "]")) \
         & shape & ts.isNotNull() & F.year(ts).between(1000, 3000)
     return F.coalesce(ok, F.lit(False))

@@ -43,8 +43,21 @@ def profiled_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, _NESTED)]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a per-row heavy job at least one input partition per core.
+
+    Large inputs already have many splits and are left alone; a table that
+    arrives as fewer partitions than the cluster has cores (one small file)
+    is spread round-robin, so the predicate pass does not run in one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Unpivot to (ordinal, column, kind, raw) with raw the string form."""
+    df = spread(df)
     cols = columns or profiled_columns(df)
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
     arr = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"),
@@ -71,72 +84,93 @@ def column_stats(long: DataFrame, with_samples: bool = True) -> DataFrame:
     key = (id(long.sparkSession), with_samples)
     if key not in _STATS_EXPRS:
         _STATS_EXPRS[key] = _stats_exprs(with_samples)
-    pre_cols, aggs = _STATS_EXPRS[key]
-    return long.select(*pre_cols).groupBy("ordinal", "column").agg(*aggs)
+    (step1, step2), aggs = _STATS_EXPRS[key]
+    return long.select(*step1).select(*step2).groupBy("ordinal", "column").agg(*aggs)
+
+
+def _by_kind(text: Column, number: Column, date: Column, boolean: Column) -> Column:
+    """A predicate per column kind: regex rules only run on text columns;
+    typed columns answer from their type."""
+    k = F.col("kind")
+    return (F.when(k == "string", text).when(k == "number", number).when(k == "date", date)
+            .otherwise(boolean))
+
+
+_COUNTED = ["n_email", "n_phone", "n_currency", "n_percentage", "n_numeric", "n_date", "n_boolean",
+            "md_boolean", "md_date", "md_currency_symbol", "md_numeric_any_symbol", "md_pct_suffix",
+            "md_num_0_100", "md_numeric", "ui_boolean", "ui_date", "ui_time", "ui_percentage", "ui_currency",
+            "ui_float", "ui_integer", "ui_num_plain", "st_boolean", "st_number", "st_date"]
 
 
 def _stats_exprs(with_samples: bool):
     raw, kind = F.col("raw"), F.col("kind")
     v = F.trim(raw)
+    f, t_ = F.lit(False), F.lit(True)
+    # step 1: parsed forms, once per value
+    digit = v.rlike(r"\d")
     ts = (F.when(kind == "date", raw.cast("timestamp"))
-          .when(kind.isin("number", "boolean"), F.lit(None).cast("timestamp"))
-          .otherwise(P.parse_date_fast(v)))
+          .when((kind == "string") & digit, P.parse_date_fast(v)))
+    num = F.when(kind == "string", F.when(digit, P.numeric_value(v))).otherwise(P.js_number(raw))
+    step1 = ["ordinal", "column", "kind", "raw", v.alias("v"), (raw.isNotNull() & (v != F.lit(""))).alias("p"),
+             ts.alias("ts"), num.alias("num"), F.coalesce(digit, F.lit(False)).alias("has_digit")]
+    # step 2: one boolean per rule; text without a digit can be no number,
+    # currency, percentage, phone number, time or date
+    v, ts, num = F.col("v"), F.col("ts"), F.col("num")
+    dg = F.col("has_digit")
+    yr = F.year(ts)
     ui_clean = F.trim(F.regexp_replace(v, r"[$,%\s]", ""))
-    strict_clean = F.trim(F.regexp_replace(raw, r"[$,]", ""))
-    pre_cols = [
-        "ordinal", "column", "kind", "raw", v.alias("v"),
-        (raw.isNotNull() & (v != F.lit(""))).alias("p"), ts.alias("ts"),
-        P.numeric_value(v).alias("num"), P.js_number(ui_clean).alias("ui_num"),
-        (strict_clean != F.lit("")).alias("strict_ne"), strict_clean.try_cast("double").alias("strict_num"),
-        raw.try_cast("double").alias("raw_num")]
-    v, p, ts, num, ui_num = F.col("v"), F.col("p"), F.col("ts"), F.col("num"), F.col("ui_num")
-    raw = F.col("raw")
+    ui_num = P.js_number(ui_clean)
     ui_pct = v.endswith("%") & P.is_finite_number(F.trim(F.regexp_replace(v, "%$", "")))
-    ui_cur = P.is_currency(v)
-    strict_num = F.col("strict_ne") & F.col("strict_num").isNotNull()
-    strict_date = (F.length(raw) >= 6) & F.col("raw_num").isNull() & ts.isNotNull()
-    aggs = [
-        F.first("kind").alias("kind"),
-        F.count(F.lit(1)).alias("rows"),
-        _cnt(~p).alias("missing"),
-        _cnt(p).alias("non_empty"),
-        # P1 / P2 / P12 upload predicates
-        _cnt(p & P.is_email(v)).alias("n_email"),
-        _cnt(p & P.is_phone(v)).alias("n_phone"),
-        _cnt(p & P.is_currency(v)).alias("n_currency"),
-        _cnt(p & P.is_percentage(v)).alias("n_percentage"),
-        _cnt(p & num.isNotNull() & (F.trim(F.regexp_replace(v, r"[$,]", "")) != F.lit(""))).alias("n_numeric"),
-        _cnt(p & P.is_date_str(v, ts=ts)).alias("n_date"),
-        _cnt(p & P.is_boolean_str(v)).alias("n_boolean"),
-        # P5 metadata detectors
-        _cnt(p & P.md_is_boolean(v)).alias("md_boolean"),
-        _cnt(p & P.md_is_date(v, ts=ts)).alias("md_date"),
-        _cnt(p & P.md_is_currency_symbol(v)).alias("md_currency_symbol"),
-        _cnt(p & P.md_is_numeric_any_symbol(v)).alias("md_numeric_any_symbol"),
-        _cnt(p & P.md_is_pct_suffix(v)).alias("md_pct_suffix"),
-        _cnt(p & P.md_is_num_0_100(v)).alias("md_num_0_100"),
-        _cnt(p & P.md_is_numeric(v)).alias("md_numeric"),
-        # P11 fine UI detectors
-        _cnt(p & P.is_boolean_str(v)).alias("ui_boolean"),
-        _cnt(p & ~v.rlike(P.SHORT_NUMBER_RE) & ts.isNotNull()).alias("ui_date"),
-        _cnt(p & v.rlike(TIME_RE)).alias("ui_time"),
-        _cnt(p & ui_pct).alias("ui_percentage"),
-        _cnt(p & ui_cur).alias("ui_currency"),
-        _cnt(p & ui_num.isNotNull() & (ui_num != F.floor(ui_num))).alias("ui_float"),
-        _cnt(p & ui_num.isNotNull() & (ui_num == F.floor(ui_num))).alias("ui_integer"),
-        (_cnt(p & ui_pct) + _cnt(p & ui_cur) + _cnt(p & ui_num.isNotNull())).alias("ui_numeric"),
-        # P10 strict typing (every value must match)
-        _cnt(p & F.lower(raw).isin(STRICT_BOOLEAN_WORDS)).alias("st_boolean"),
-        _cnt(p & strict_num).alias("st_number"),
-        _cnt(p & strict_date).alias("st_date"),
-        # P17 numeric summary
-        F.min(F.when(p, num)).alias("num_min"),
-        F.max(F.when(p, num)).alias("num_max"),
-        F.count(F.when(p, num)).alias("num_count"),
-    ]
+    strict_clean = F.trim(F.regexp_replace(raw, r"[$,]", ""))
+    bool01 = raw.isin("1", "0")
+    whole = num == F.floor(num)
+    preds = {
+        "n_email": _by_kind(P.is_email(v), f, f, f),
+        "n_phone": _by_kind(P.is_phone(v), P.is_phone(v), f, f),
+        "n_currency": _by_kind(P.is_currency(v), f, f, f),
+        "n_percentage": _by_kind(P.is_percentage(v), f, f, f),
+        "n_numeric": _by_kind(num.isNotNull() & (F.trim(F.regexp_replace(v, r"[$,]", "")) != F.lit("")),
+                              num.isNotNull(), f, f),
+        "n_date": _by_kind(P.is_date_str(v, ts=ts), f, yr.between(2000, 2100), f),
+        "n_boolean": _by_kind(P.is_boolean_str(v), bool01, f, t_),
+        "md_boolean": _by_kind(P.md_is_boolean(v), bool01, f, t_),
+        "md_date": _by_kind(P.md_is_date(v, ts=ts), f, yr.between(1000, 3000), f),
+        "md_currency_symbol": _by_kind(P.md_is_currency_symbol(v), f, f, f),
+        "md_numeric_any_symbol": _by_kind(P.md_is_numeric_any_symbol(v), num.isNotNull(), f, f),
+        "md_pct_suffix": _by_kind(P.md_is_pct_suffix(v), f, f, f),
+        "md_num_0_100": _by_kind(P.md_is_num_0_100(v), num.between(0, 100), f, f),
+        "md_numeric": _by_kind(P.md_is_numeric(v), num.isNotNull(), f, f),
+        "ui_boolean": _by_kind(P.is_boolean_str(v), bool01, f, t_),
+        "ui_date": _by_kind(~v.rlike(P.SHORT_NUMBER_RE) & ts.isNotNull(), f, ts.isNotNull(), f),
+        "ui_time": _by_kind(v.rlike(TIME_RE), f, f, f),
+        "ui_percentage": _by_kind(ui_pct, f, f, f),
+        "ui_currency": _by_kind(P.is_currency(v), f, f, f),
+        "ui_float": _by_kind(ui_num.isNotNull() & (ui_num != F.floor(ui_num)), num.isNotNull() & ~whole, f, f),
+        "ui_integer": _by_kind(ui_num.isNotNull() & (ui_num == F.floor(ui_num)), num.isNotNull() & whole, f, f),
+        "ui_num_plain": _by_kind(ui_num.isNotNull(), num.isNotNull(), f, f),
+        "st_boolean": _by_kind(F.lower(raw).isin(STRICT_BOOLEAN_WORDS), f, f, t_),
+        "st_number": _by_kind((strict_clean != F.lit("")) & P.js_number(strict_clean).isNotNull(),
+                              num.isNotNull(), f, f),
+        "st_date": _by_kind((F.length(raw) >= 6) & P.js_number(raw).isNull() & ts.isNotNull(), f,
+                            ts.isNotNull(), f),
+    }
+    needs_digit = {"n_phone", "n_currency", "n_percentage", "n_numeric", "n_date", "md_date", "md_currency_symbol",
+                   "md_numeric_any_symbol", "md_pct_suffix", "md_num_0_100", "md_numeric", "ui_date", "ui_time",
+                   "ui_percentage", "ui_currency", "ui_float", "ui_integer", "ui_num_plain", "st_number", "st_date"}
+    text_gate = (F.col("kind") != "string") | dg
+    step2 = ["ordinal", "column", "kind", "v", "p", "num"] + \
+        [(F.col("p") & F.coalesce(F.when(text_gate, preds[k]) if k in needs_digit else preds[k], F.lit(False)))
+         .alias(k) for k in _COUNTED]
+    aggs = [F.first("kind").alias("kind"), F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("p")).alias("missing"),
+            F.count_if("p").alias("non_empty")]
+    aggs += [F.count_if(k).alias(k) for k in _COUNTED if k != "ui_num_plain"]
+    aggs.append((F.count_if("ui_percentage") + F.count_if("ui_currency") + F.count_if("ui_num_plain"))
+                .alias("ui_numeric"))
+    pn = F.when(F.col("p"), F.col("num"))
+    aggs += [F.min(pn).alias("num_min"), F.max(pn).alias("num_max"), F.count(pn).alias("num_count")]
     if with_samples:
-        aggs.append(sample_values_expr(v, p).alias("samples"))
-    return pre_cols, aggs
+        aggs.append(sample_values_expr(F.col("v"), F.col("p")).alias("samples"))
+    return (step1, step2), aggs
 
 
 def distinct_counts(long: DataFrame, approx: bool = False) -> DataFrame:
@@ -152,11 +186,14 @@ def distinct_counts(long: DataFrame, approx: bool = False) -> DataFrame:
         return present.groupBy("ordinal", "column").agg(
             F.approx_count_distinct(F.lower(F.trim(raw))).alias("distinct_ci"),
             F.approx_count_distinct(raw).alias("distinct_raw"))
-    pairs = present.groupBy("ordinal", "column", raw.alias("raw")).agg(F.lit(1).alias("_one")).drop("_one")
-    per_raw = pairs.groupBy("ordinal", "column").agg(F.count(F.lit(1)).alias("distinct_raw"))
-    ci = pairs.select("ordinal", "column", F.lower(F.trim("raw")).alias("k")).distinct() \
-        .groupBy("ordinal", "column").agg(F.count(F.lit(1)).alias("distinct_ci"))
-    return per_raw.join(ci, ["ordinal", "column"], "full")
+    pairs = present.groupBy("ordinal", "column", "kind", raw.alias("raw")).agg(F.lit(1).alias("_one")).drop("_one")
+    per_raw = pairs.groupBy("ordinal", "column").agg(
+        F.count(F.lit(1)).alias("distinct_raw"), F.first("kind").alias("_kind"))
+    # typed values have one spelling, so only text needs the second pass
+    ci = pairs.filter(F.col("kind") == "string").select("ordinal", "column", F.lower(F.trim("raw")).alias("k")) \
+        .distinct().groupBy("ordinal", "column").agg(F.count(F.lit(1)).alias("_ci"))
+    return per_raw.join(ci, ["ordinal", "column"], "left").select(
+        "ordinal", "column", "distinct_raw", F.coalesce(F.col("_ci"), F.col("distinct_raw")).alias("distinct_ci"))
 
 
 def sample_values_expr(v: Column, present: Column, k: int = SAMPLE_VALUES) -> Column:

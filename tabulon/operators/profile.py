@@ -34,6 +34,7 @@ SAMPLE_VALUES = 5
 CURRENCY_NAME_RE = r"(?i)price|cost|amount|revenue|salary|fee"
 PERCENT_NAME_RE = r"(?i)percent|rate|%|ratio"
 TIME_RE = r"^(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?(?:\s?[aApP][mM])?$"
+URL_RE = r"(?i)^(https?://.*|([a-zA-Z0-9]+(-[a-zA-Z0-9]+)*\.)+[a-z]{2,}(:\d+)?(/.*)?)$"
 STRICT_BOOLEAN_WORDS = ["true", "false", "yes", "no"]
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
@@ -96,7 +97,7 @@ def _by_kind(text: Column, number: Column, date: Column, boolean: Column) -> Col
             .otherwise(boolean))
 
 
-_COUNTED = ["n_email", "n_phone", "n_currency", "n_percentage", "n_numeric", "n_date", "n_boolean",
+_COUNTED = ["n_email", "n_url", "n_phone", "n_currency", "n_percentage", "n_numeric", "n_date", "n_boolean",
             "md_boolean", "md_date", "md_currency_symbol", "md_numeric_any_symbol", "md_pct_suffix",
             "md_num_0_100", "md_numeric", "ui_boolean", "ui_date", "ui_time", "ui_percentage", "ui_currency",
             "ui_float", "ui_integer", "ui_num_plain", "st_boolean", "st_number", "st_date"]
@@ -126,6 +127,8 @@ def _stats_exprs(with_samples: bool):
     whole = num == F.floor(num)
     preds = {
         "n_email": _by_kind(P.is_email(v), f, f, f),
+        # URLs have no blanks; the gate also keeps the pattern off long prose
+        "n_url": _by_kind((F.length(v) <= 2048) & ~v.rlike(r"\s") & v.rlike(URL_RE), f, f, f),
         "n_phone": _by_kind(P.is_phone(v), P.is_phone(v), f, f),
         "n_currency": _by_kind(P.is_currency(v), f, f, f),
         "n_percentage": _by_kind(P.is_percentage(v), f, f, f),
@@ -167,6 +170,7 @@ def _stats_exprs(with_samples: bool):
     aggs.append((F.count_if("ui_percentage") + F.count_if("ui_currency") + F.count_if("ui_num_plain"))
                 .alias("ui_numeric"))
     pn = F.when(F.col("p"), F.col("num"))
+    aggs.append(F.sum(F.when(F.col("p"), F.length("v"))).alias("len_sum"))
     aggs += [F.min(pn).alias("num_min"), F.max(pn).alias("num_max"), F.count(pn).alias("num_count")]
     if with_samples:
         aggs.append(sample_values_expr(F.col("v"), F.col("p")).alias("samples"))

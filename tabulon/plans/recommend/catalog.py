@@ -21,8 +21,8 @@ from . import domain as D
 from . import semantics as S
 
 PROFILE_COLUMNS = ["dataset_id", "ordinal", "column", "kind", "type", "detected_type", "fine_type", "strict_type",
-                   "null_ratio", "unique_ratio", "cardinality_count", "cardinality_class", "missing_pct",
-                   "distinct_raw", "rows"]
+                   "metadata_type", "null_ratio", "unique_ratio", "cardinality_count", "cardinality_class",
+                   "missing_pct", "distinct_raw", "rows", "non_empty", "n_email", "n_phone", "n_url", "len_sum"]
 _PROFILE_CACHE: dict = {}
 # KPI synonyms, question words and suggested questions.
 KPI_SYNONYMS = {

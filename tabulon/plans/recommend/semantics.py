@@ -514,3 +514,53 @@ def intents(rel: DataFrame, sem: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ------------------------------------------------------------------ R3
+
+# Rule-engine patterns.
+ID_SUFFIX_RE = r"(_id|Id)$"
+ID_EXACT_RE = r"(?i)^(id|uuid|guid)$"
+ID_SPECIFIC_RE = r"(?i)^(customer_id|order_id|invoice_id|employee_id)$"
+ADDRESS_NAME_RE = r"(?i)address|street|city|zipcode|postal"
+
+
+def business_roles(profile: DataFrame) -> DataFrame:
+    """Identifier / ignore (e-mail, phone, URL > 80 % of values, address
+    names) / metric / dimension, with confidence and a review flag below
+    0.6.  Uses the metadata type (P5) and value counts of the profile."""
+    name, mt = F.col("column"), F.col("metadata_type")
+    ne = F.greatest(F.col("non_empty"), F.lit(1))
+    uniq, rows = F.col("distinct_raw"), F.col("rows")
+    ident = name.rlike(ID_EXACT_RE) | name.rlike(ID_SUFFIX_RE) | name.rlike(ID_SPECIFIC_RE)
+    text = mt == "text"
+    has_vals = F.col("non_empty") > 0
+    email = text & has_vals & (F.col("n_email") / ne > 0.8)
+    phone = text & has_vals & (F.col("n_phone") / ne > 0.8)
+    url = text & has_vals & (F.col("n_url") / ne > 0.8)
+    address = text & has_vals & name.rlike(ADDRESS_NAME_RE) & (F.col("len_sum") / ne >= 2)
+    ambiguous = (mt == "numeric") & (uniq > 0) & (uniq < 20)
+    low_card = (uniq < 20) | ((rows > 0) & (uniq / F.greatest(rows, F.lit(1)) < 0.05))
+    rules = [
+        (ident, "identifier", "identifier", F.lit(0.95), F.lit(False)),
+        (email, "text", "ignore", F.lit(0.9), F.lit(False)),
+        (phone, "text", "ignore", F.lit(0.9), F.lit(False)),
+        (url, "text", "ignore", F.lit(0.9), F.lit(False)),
+        (address, "text", "ignore", F.lit(0.85), F.lit(False)),
+        (mt.isin("numeric", "currency", "percentage"), None, "metric",
+         F.when(ambiguous, F.lit(0.55)).otherwise(F.lit(0.9)), ambiguous),
+        (mt.isin("date", "boolean"), None, "dimension", F.lit(0.95), F.lit(False)),
+        (text & low_card, "category", "dimension", F.lit(0.85), F.lit(False)),
+        (text, "text", "ignore", F.lit(0.45), F.lit(True)),
+    ]
+    det = rol = conf = rev = None
+    for cond, d, r, c, v in rules:
+        dcol = mt if d is None else F.lit(d)
+        det = F.when(cond, dcol) if det is None else det.when(cond, dcol)
+        rol = F.when(cond, F.lit(r)) if rol is None else rol.when(cond, F.lit(r))
+        conf = F.when(cond, c) if conf is None else conf.when(cond, c)
+        rev = F.when(cond, v) if rev is None else rev.when(cond, v)
+    det, rol = det.otherwise(F.lit("text")), rol.otherwise(F.lit("ignore"))
+    conf, rev = conf.otherwise(F.lit(0.3)), rev.otherwise(F.lit(True))
+    return profile.select("dataset_id", "ordinal", "column", det.alias("detected_type"), rol.alias("business_role"),
+                          conf.alias("confidence"), (rev | (conf < 0.6)).alias("needs_review"))

@@ -36,6 +36,11 @@ def r01_roles(spark, base):
                                     "is_temporal", "is_identifier", "is_sensitive")
 
 
+@register("r03_business_roles")
+def r03_business_roles(spark, base):
+    return S.business_roles(_profile(spark, base))
+
+
 @register("r04_aggregation_rules")
 def r04_aggregation_rules(spark, base):
     sem = _sem(spark, base).select("dataset_id", "column", "semantic_role")
@@ -167,3 +172,31 @@ def r22_series_kind(spark, base):
 @register("r23_questions")
 def r23_questions(spark, base):
     return CT.suggested_questions(_profile(spark, base))
+
+
+@register("g07_insights")
+def g07_insights(spark, base):
+    from ..operators import periods as PD
+    from ..operators import rules as RU
+    from . import insights as IN
+    o = table(spark, base, "orders")
+    cards = PD.kpi_cards(o, [PD.KpiSpec("revenue", "o_totalprice", "sum", "Revenue"),
+                             PD.KpiSpec("orders", "o_orderkey", "count", "Orders")], "o_orderdate", "30days")
+    cards = S.materialize(cards)
+    alerts = RU.rule_alerts(table(spark, base, "customer"), [
+        RU.Rule("negative-profit", "Negative balance", "c_acctbal", 0, "<")])
+    fmt = cards.withColumn("format", F.when(F.col("kpi") == "revenue", F.lit("currency")).otherwise(F.lit("number")))
+    ins = IN.kpi_insights(fmt, PD.growth_card(cards), alerts)
+    recs = IN.recommendations(F.lit(1), alerts).select(F.lit("recommendation").alias("id"),
+                                                       F.col("type").alias("category"),
+                                                       F.col("type").alias("severity"), F.col("message").alias("text"))
+    return ins.unionByName(recs)
+
+
+@register("g08_format")
+def g08_format(spark, base):
+    from . import insights as IN
+    li = table(spark, base, "lineitem")
+    g = li.groupBy("l_returnflag").agg(F.sum("l_extendedprice").alias("v"), F.avg("l_discount").alias("d"))
+    return g.select("l_returnflag", IN.format_value("v", "currency").alias("total"),
+                    IN.format_value("d").alias("avg_discount"), IN.format_kpi("d", "percent").alias("pct"))

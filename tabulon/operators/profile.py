@@ -82,7 +82,7 @@ def column_stats(long: DataFrame, with_samples: bool = True) -> DataFrame:
     timestamp is its own date, typed numbers and booleans are never dates.
     The expressions only name the unpivoted columns, so they are built once
     per session and reused."""
-    key = (id(long.sparkSession), with_samples)
+    key = (long.sparkSession.sparkContext.applicationId, with_samples)
     if key not in _STATS_EXPRS:
         _STATS_EXPRS[key] = _stats_exprs(with_samples)
     (step1, step2), aggs = _STATS_EXPRS[key]

@@ -46,7 +46,7 @@ BROADCAST_MAX_ROWS = 2_000_000
 
 def column_profile(spark: SparkSession, base: str, tables, strip_prefix: bool = False) -> DataFrame:
     """Profile every dataset and materialize the column table once."""
-    key = (base, tuple(tables))
+    key = (spark.sparkContext.applicationId, base, tuple(tables), strip_prefix)
     if key in _PROFILE_CACHE:
         return _PROFILE_CACHE[key]
     ensure_checkpoint_dir(spark)
@@ -73,7 +73,7 @@ _SEM_CACHE: dict = {}
 
 def semantics(profile: DataFrame, strip_prefix: bool = True) -> DataFrame:
     """R1 + R2 over a profile, materialized once per profile table."""
-    key = (id(profile), strip_prefix)
+    key = (profile.sparkSession.sparkContext.applicationId, id(profile), strip_prefix)
     if key not in _SEM_CACHE:
         _SEM_CACHE[key] = S.materialize(S.classify(profile, strip_prefix))
     return _SEM_CACHE[key]

@@ -129,35 +129,47 @@ def _norm_kw(c: Column) -> Column:
     return F.regexp_replace(c, r"[^a-z0-9_]", "_")
 
 
-def _keyword_array(file_name: bool = False) -> Column:
-    """The fixed keyword list as a constant array of structs."""
-    items = []
+def _keyword_rows(file_name: bool = False) -> list[tuple]:
+    rows = []
     for d_ord, (dom, label, prim, sec) in enumerate(DOMAIN_KEYWORDS):
         for kind, words in (("primary", prim), ("secondary", sec)):
             if file_name and kind != "primary":
                 continue
             for k_ord, kw in enumerate(words):
                 pts = 2 if file_name else (3 if kind == "primary" else 1)
-                items.append(F.struct(F.lit(d_ord).alias("domain_order"), F.lit(dom).alias("domain"),
-                                      F.lit(label).alias("domain_label"), F.lit(kind).alias("kind"),
-                                      F.lit(k_ord).alias("kw_order"), F.lit(kw).alias("kw"),
-                                      F.lit(pts).alias("pts")))
-    return F.array(*items)
+                rows.append((d_ord, dom, label, kind, k_ord, kw, pts))
+    return rows
+
+
+_KW_SCHEMA = ("domain_order int, domain string, domain_label string, kind string, kw_order int, kw string, "
+              "pts int")
+
+
+def _substrings(name: Column) -> Column:
+    """All substrings of a (short) name."""
+    return F.flatten(F.transform(
+        F.sequence(F.lit(1), F.length(name)),
+        lambda i: F.transform(F.sequence(i, F.length(name)), lambda j: F.substring(name, i, j - i + 1))))
 
 
 def _keyword_hits(df: DataFrame, name: Column, file_name: bool = False) -> DataFrame:
-    """Rows (dataset_id, keyword fields) for the keywords a name hits: the
-    constant keyword array is exploded next to each name and filtered, so no
-    join is needed."""
-    x = df.select("dataset_id", name.alias("n"), F.explode(_keyword_array(file_name)).alias("h")) \
-        .select("dataset_id", "n", "h.*")
-    n, k = F.col("n"), F.col("kw")
+    """(dataset_id, keyword fields) for every keyword a name hits, as two
+    equi-joins against fixed keyword tables (broadcast): 'name contains
+    keyword' joins the name's substrings to the keywords; 'keyword contains
+    name' (primary keywords) joins the name to the keywords' substrings."""
+    spark = df.sparkSession
+    kws = spark.createDataFrame(_keyword_rows(file_name), _KW_SCHEMA)
+    named = df.select("dataset_id", name.alias("n")).filter(F.length("n") > 0)
+    subs = named.select("dataset_id", F.explode(F.array_distinct(_substrings(F.col("n")))).alias("s"))
+    contains = subs.join(F.broadcast(kws), F.col("s") == F.col("kw")).drop("s")
     if file_name:
-        cond = n.contains(k)
-    else:
-        cond = F.when(F.col("kind") == "primary", (n == k) | n.contains(k) | k.contains(n)) \
-            .otherwise((n == k) | n.contains(k))
-    return x.filter(cond).drop("n", "kw")
+        return contains.drop("kw")
+    kw_subs = spark.createDataFrame(
+        [r + (sub,) for r in _keyword_rows() if r[3] == "primary"
+         for sub in {r[5][i:j] for i in range(len(r[5])) for j in range(i + 1, len(r[5]) + 1)}],
+        _KW_SCHEMA + ", sub string")
+    inside = named.join(F.broadcast(kw_subs), F.col("n") == F.col("sub")).drop("sub", "n")
+    return contains.unionByName(inside).drop("kw")
 
 
 def classify_domains(columns: DataFrame, datasets: DataFrame) -> DataFrame:

@@ -20,6 +20,91 @@ from .recommend import semantics as S
 
 CATALOG_TABLES = TABLES
 
+_TABLE_LIST = ", ".join(f"'{t}'" for t in CATALOG_TABLES)
+# the profiled columns of every table, as DuckDB's catalog lists them
+_COLS_SQL = f"""cols AS (
+  SELECT table_name AS dataset_id, ordinal_position AS ordinal, column_name AS "column"
+  FROM information_schema.columns
+  WHERE table_name IN ({_TABLE_LIST}) AND data_type NOT LIKE '%[]' AND data_type NOT LIKE 'STRUCT%'
+    AND data_type NOT LIKE 'MAP%' AND data_type NOT LIKE 'BLOB%')"""
+
+
+def _q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _domain_sql() -> str:
+    kw = ", ".join(f"({d}, {_q(dom)}, {_q(lbl)}, {_q(kind)}, {k}, {_q(w)})"
+                   for d, (dom, lbl, prim, sec) in enumerate(D.DOMAIN_KEYWORDS)
+                   for kind, words in (("primary", prim), ("secondary", sec)) for k, w in enumerate(words))
+    return f"""
+WITH {_COLS_SQL},
+kw(domain_order, domain, domain_label, kind, kw_order, kw) AS (VALUES {kw}),
+names AS (SELECT dataset_id, regexp_replace(lower("column"), '[^a-z0-9_]', '_', 'g') AS n FROM cols),
+col_hits AS (
+  SELECT DISTINCT names.dataset_id, domain_order, domain, domain_label, kind, kw_order,
+         CASE WHEN kind = 'primary' THEN 3 ELSE 1 END AS pts
+  FROM names JOIN kw ON (n = kw OR contains(n, kw) OR (kind = 'primary' AND contains(kw, n)))),
+files AS (SELECT DISTINCT dataset_id, regexp_replace(lower(dataset_id || '.parquet'), '[^a-z0-9]', '_', 'g') AS fn
+          FROM cols),
+file_hits AS (SELECT dataset_id, domain_order, domain, domain_label, kind, kw_order, 2 AS pts
+              FROM files JOIN kw ON kind = 'primary' AND contains(fn, kw)),
+scores AS (SELECT dataset_id, domain_order, domain, domain_label, SUM(pts) AS score
+           FROM (SELECT * FROM col_hits UNION ALL SELECT * FROM file_hits)
+           GROUP BY dataset_id, domain_order, domain, domain_label),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset_id ORDER BY score DESC, domain_order) AS rk,
+                  SUM(score) OVER (PARTITION BY dataset_id) AS total FROM scores),
+top AS (SELECT t.*, COALESCE(s.score, 0) AS second FROM ranked t
+        LEFT JOIN ranked s ON s.dataset_id = t.dataset_id AND s.rk = 2 WHERE t.rk = 1),
+found AS (SELECT dataset_id, domain, domain_label, score,
+  FLOOR(LEAST(0.97, GREATEST(0.45, 0.5 + score / total * 0.4 + LEAST(score / (second + 1) / 10, 0.07))) * 100 + 0.5)
+    / 100 AS confidence FROM top)
+SELECT d.dataset_id, COALESCE(domain, 'general') AS domain, COALESCE(domain_label, 'General / Analytics') AS domain_label,
+       COALESCE(confidence, 0.4) AS confidence, COALESCE(score, 0) AS score
+FROM (SELECT DISTINCT dataset_id FROM cols) d LEFT JOIN found USING (dataset_id)
+"""
+
+
+def _mapping_sql() -> str:
+    syn = ", ".join(f"({_q(k)}, {i}, {_q(w)})" for k, ws in CT.KPI_SYNONYMS.items() for i, w in enumerate(ws))
+    cur = ", ".join(_q(k) for k in CT.CURRENCY_KPIS)
+    return f"""
+WITH {_COLS_SQL},
+syn(kpi, syn_order, synonym) AS (VALUES {syn}),
+hits AS (SELECT c.dataset_id, s.kpi, s.syn_order, c.ordinal, c."column" FROM cols c
+         JOIN syn s ON contains(lower(c."column"), s.synonym)),
+auto AS (SELECT dataset_id, kpi, "column" AS auto_column FROM (
+           SELECT *, ROW_NUMBER() OVER (PARTITION BY dataset_id, kpi ORDER BY syn_order, ordinal) AS rn FROM hits)
+         WHERE rn = 1),
+ov AS (SELECT dataset_id, 'revenue' AS kpi, "column" AS override_column FROM cols
+       WHERE "column" IN ('o_totalprice', 'l_extendedprice')
+       UNION ALL SELECT dataset_id, 'profit', 'no_such_column' FROM cols WHERE "column" = 'c_acctbal'),
+ovk AS (SELECT ov.*, EXISTS (SELECT 1 FROM cols c WHERE c.dataset_id = ov.dataset_id
+                             AND c."column" = ov.override_column) AS known FROM ov),
+keys AS (SELECT dataset_id, kpi FROM auto UNION SELECT dataset_id, kpi FROM ov)
+SELECT k.dataset_id, k.kpi,
+       CASE WHEN COALESCE(o.known, false) THEN o.override_column ELSE a.auto_column END AS "column",
+       CASE WHEN COALESCE(o.known, false) THEN 'override' ELSE 'synonym' END AS source,
+       upper(substr(k.kpi, 1, 1)) || replace(substr(k.kpi, 2), '_', ' ') AS label,
+       CASE WHEN lower(k.kpi) IN ({cur}) THEN 'currency' ELSE 'number' END AS format,
+       CASE WHEN o.override_column IS NOT NULL AND NOT COALESCE(o.known, false)
+            THEN printf('Column "%s" not found in schema. Cannot map KPI "%s".', o.override_column, k.kpi) END AS error
+FROM keys k LEFT JOIN auto a USING (dataset_id, kpi) LEFT JOIN ovk o USING (dataset_id, kpi)
+"""
+
+
+_REWRITE_SQL = f"""
+WITH {_COLS_SQL},
+specs AS (SELECT dataset_id, "column" AS x_field, 'quantity' AS y_field, 'avg' AS aggregation FROM cols
+          UNION ALL SELECT dataset_id, 'order_id', 'quantity', 'avg' FROM cols WHERE ends_with("column", 'orderkey')),
+cust AS (SELECT dataset_id, arg_min("column", ordinal) AS cust FROM cols
+         WHERE regexp_matches(lower("column"), 'customer_id|customer|cust') GROUP BY dataset_id),
+j AS (SELECT s.*, c.cust, lower(x_field) = 'order_id' AND lower(y_field) = 'quantity' AND lower(aggregation) = 'avg'
+             AND c.cust IS NOT NULL AS hit FROM specs s LEFT JOIN cust c USING (dataset_id))
+SELECT dataset_id, CASE WHEN hit THEN cust ELSE x_field END AS x_field, y_field, aggregation,
+       CASE WHEN hit THEN 'Average quantity per customer' END AS custom_title FROM j
+"""
+
 
 def _profile(spark, base):
     return CT.column_profile(spark, base, CATALOG_TABLES)
@@ -49,7 +134,7 @@ def r04_aggregation_rules(spark, base):
     return S.validate_aggregation(specs, S.aggregation_rules(spark))
 
 
-@register("r05_domains")
+@register("r05_domains", _domain_sql())
 def r05_domains(spark, base):
     p = _profile(spark, base)
     return D.classify_domains(p.select("dataset_id", "column"), CT.datasets_of(p))
@@ -131,7 +216,7 @@ def r18_best_chart(spark, base):
     return CT.best_chart(_profile(spark, base))
 
 
-@register("r19_overrides")
+@register("r19_overrides", _mapping_sql())
 def r19_overrides(spark, base):
     p = _profile(spark, base)
     ov = p.filter(F.col("column").isin("o_totalprice", "l_extendedprice")).select(
@@ -150,7 +235,7 @@ def r20_routing(spark, base):
     return CT.route_questions(qs, _profile(spark, base))
 
 
-@register("r21_rewrite")
+@register("r21_rewrite", _REWRITE_SQL)
 def r21_rewrite(spark, base):
     p = _profile(spark, base)
     specs = p.select("dataset_id", F.col("column").alias("x_field"), F.lit("quantity").alias("y_field"),

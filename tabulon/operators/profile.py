@@ -56,14 +56,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def long_values(df: DataFrame, columns: list[str] | None = None, ordinals: dict | None = None) -> DataFrame:
     """Unpivot to (ordinal, column, kind, raw) with raw the string form."""
     df = spread(df)
-    cols = columns or profiled_columns(df)
+    cols = profiled_columns(df) if columns is None else columns
+    ords = ordinals or {c: i for i, c in enumerate(cols)}
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
-    arr = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column"),
+    arr = F.array(*[F.struct(F.lit(ords[c]).alias("ordinal"), F.lit(c).alias("column"),
                              F.lit(kinds[c]).alias("kind"), F.col(c).cast("string").alias("raw"))
-                    for i, c in enumerate(cols)])
+                    for c in cols])
     return df.select(F.explode(arr).alias("e")).select("e.*")
 
 
@@ -85,8 +86,28 @@ def column_stats(long: DataFrame, with_samples: bool = True) -> DataFrame:
     key = (long.sparkSession.sparkContext.applicationId, with_samples)
     if key not in _STATS_EXPRS:
         _STATS_EXPRS[key] = _stats_exprs(with_samples)
-    (step1, step2), aggs = _STATS_EXPRS[key]
-    return long.select(*step1).select(*step2).groupBy("ordinal", "column").agg(*aggs)
+    (step1, step2), aggs, typed_aggs, typed_out = _STATS_EXPRS[key]
+    pre = long.select(*step1)
+    text = pre.filter(F.col("kind") == "string").select(*step2).groupBy("ordinal", "column").agg(*aggs)
+    # typed columns: every rule count follows from a few facts per value
+    typed = pre.filter(F.col("kind") != "string").groupBy("ordinal", "column").agg(*typed_aggs) \
+        .select("ordinal", "column", *typed_out)
+    return text.unionByName(typed)
+
+
+def stats_by_kind(df: DataFrame, cols: list[str], with_samples: bool = True) -> DataFrame:
+    """``column_stats`` with text and typed columns unpivoted separately, so
+    each side's scan reads only its own columns (one read of the table in
+    total) and typed values never meet the text rules."""
+    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
+    ords = {c: i for i, c in enumerate(cols)}
+    text_cols = [c for c in cols if kinds[c] == "string"]
+    typed_cols = [c for c in cols if kinds[c] != "string"]
+    parts = [column_stats(long_values(df, part, ords), with_samples) for part in (text_cols, typed_cols) if part]
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
 
 
 def _by_kind(text: Column, number: Column, date: Column, boolean: Column) -> Column:
@@ -174,7 +195,53 @@ def _stats_exprs(with_samples: bool):
     aggs += [F.min(pn).alias("num_min"), F.max(pn).alias("num_max"), F.count(pn).alias("num_count")]
     if with_samples:
         aggs.append(sample_values_expr(F.col("v"), F.col("p")).alias("samples"))
-    return (step1, step2), aggs
+    typed_aggs, typed_out = _typed_exprs(with_samples)
+    return (step1, step2), aggs, typed_aggs, typed_out
+
+
+def _typed_exprs(with_samples: bool):
+    """Counts for typed (number / date / boolean) columns and the rule
+    counts derived from them, in the same column order as the text path."""
+    p, raw, num, ts = F.col("p"), F.col("raw"), F.col("num"), F.col("ts")
+    yr = F.year(ts)
+    facts = {
+        "c_num": num.isNotNull(), "c_whole": num.isNotNull() & (num == F.floor(num)),
+        "c_0100": num.between(0, 100), "c_01": raw.isin("1", "0"), "c_ts": ts.isNotNull(),
+        "c_y2000": yr.between(2000, 2100), "c_y1000": yr.between(1000, 3000),
+        "c_phone": (F.col("kind") == "number") & P.is_phone(raw),
+    }
+    aggs = [F.first("kind").alias("kind"), F.count(F.lit(1)).alias("rows"), F.count_if(~p).alias("missing"),
+            F.count_if(p).alias("non_empty")]
+    aggs += [F.count_if(p & F.coalesce(c, F.lit(False))).alias(k) for k, c in facts.items()]
+    pn = F.when(p, num)
+    aggs += [F.sum(F.when(p, F.length("v"))).alias("len_sum"), F.min(pn).alias("num_min"),
+             F.max(pn).alias("num_max"), F.count(pn).alias("num_count")]
+    if with_samples:
+        aggs.append(sample_values_expr(F.col("v"), p).alias("samples"))
+    k = F.col("kind")
+    zero = F.lit(0).cast("long")
+    ne = F.col("non_empty")
+
+    def by(number, date, boolean):
+        return F.when(k == "number", number).when(k == "date", date).otherwise(boolean).cast("long")
+    c = {n: F.col(n) for n in facts}
+    derived = {
+        "n_email": zero, "n_url": zero, "n_phone": by(c["c_phone"], zero, zero), "n_currency": zero,
+        "n_percentage": zero, "n_numeric": by(c["c_num"], zero, zero), "n_date": by(zero, c["c_y2000"], zero),
+        "n_boolean": by(c["c_01"], zero, ne), "md_boolean": by(c["c_01"], zero, ne),
+        "md_date": by(zero, c["c_y1000"], zero), "md_currency_symbol": zero,
+        "md_numeric_any_symbol": by(c["c_num"], zero, zero), "md_pct_suffix": zero,
+        "md_num_0_100": by(c["c_0100"], zero, zero), "md_numeric": by(c["c_num"], zero, zero),
+        "ui_boolean": by(c["c_01"], zero, ne), "ui_date": by(zero, c["c_ts"], zero), "ui_time": zero,
+        "ui_percentage": zero, "ui_currency": zero, "ui_float": by(c["c_num"] - c["c_whole"], zero, zero),
+        "ui_integer": by(c["c_whole"], zero, zero), "ui_numeric": by(c["c_num"], zero, zero),
+        "st_boolean": by(zero, zero, ne), "st_number": by(c["c_num"], zero, zero),
+        "st_date": by(zero, c["c_ts"], zero),
+    }
+    out = ["kind", "rows", "missing", "non_empty"] + \
+        [derived[n].alias(n) for n in _COUNTED if n != "ui_num_plain"] + [derived["ui_numeric"].alias("ui_numeric")]
+    out += ["len_sum", "num_min", "num_max", "num_count"] + (["samples"] if with_samples else [])
+    return aggs, out
 
 
 def distinct_counts(long: DataFrame, approx: bool = False) -> DataFrame:
@@ -303,7 +370,7 @@ def profile(df: DataFrame, approx: bool = False, compat_order: bool = False,
     num_count, high_cardinality, samples."""
     cols = columns or profiled_columns(df)
     long = long_values(df, cols)
-    st = column_stats(long, with_samples).join(distinct_counts(long, approx), ["ordinal", "column"], "left")
+    st = stats_by_kind(df, cols, with_samples).join(distinct_counts(long, approx), ["ordinal", "column"], "left")
     st = st.fillna(0, ["distinct_ci", "distinct_raw"])
     t, dt = upload_types(compat_order)
     _, basic = upload_types(True, "distinct_raw")

@@ -26,6 +26,7 @@ UI_POINT_CAP = 150
 OTHER_LABEL = "Other"
 UI_OTHER_LABEL = "Other Categories"
 BLANK_LABEL = "(Blank)"
+FILTER_OPTION_SALTS = 64
 
 
 def agg_expr(agg: str, y: str | Column | None) -> Column:
@@ -295,8 +296,14 @@ def filter_options(df: DataFrame, columns: list[str], limit: int = 25,
     ])).alias("e")).select("e.column", "e.value")
     long = long.filter(F.col("value").isNotNull() & (F.col("value") != ""))
     d = long.distinct()
+    # a column may have very many distinct values: rank within hash salts
+    # first (each salt holds 1/SALTS of them, in its own task), then rank
+    # the at most limit * SALTS survivors of each column
+    salt = F.pmod(F.xxhash64("value"), F.lit(FILTER_OPTION_SALTS))
+    w1 = Window.partitionBy("column", salt).orderBy("value")
+    pre = d.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= limit).drop("_r")
     w = Window.partitionBy("column").orderBy("value")
-    return d.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
+    return pre.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
 
 
 # ----------------------------------------------------------------- A23

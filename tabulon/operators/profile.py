@@ -369,8 +369,14 @@ def profile(df: DataFrame, approx: bool = False, compat_order: bool = False,
     metadata_type, strict_type, fine_type, basic_type, num_min, num_max,
     num_count, high_cardinality, samples."""
     cols = columns or profiled_columns(df)
-    long = long_values(df, cols)
-    st = stats_by_kind(df, cols, with_samples).join(distinct_counts(long, approx), ["ordinal", "column"], "left")
+    small = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    src = spread(df)
+    long = long_values(src, cols)
+    # large inputs: text and typed columns are unpivoted separately, so each
+    # scan reads only its own columns; small inputs (spread once) share one
+    # unpivot to keep the plan short
+    stats = column_stats(long, with_samples) if small else stats_by_kind(src, cols, with_samples)
+    st = stats.join(distinct_counts(long, approx), ["ordinal", "column"], "left")
     st = st.fillna(0, ["distinct_ci", "distinct_raw"])
     t, dt = upload_types(compat_order)
     _, basic = upload_types(True, "distinct_raw")

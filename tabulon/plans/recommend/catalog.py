@@ -57,8 +57,8 @@ def column_profile(spark: SparkSession, base: str, tables, strip_prefix: bool =
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    # reliable checkpoint into the shared folder named by spark.checkpoint.dir
-    out = out.checkpoint(eager=True)
+    # written once into the shared folder named by spark.checkpoint.dir
+    out = S.materialize(out)
     _PROFILE_CACHE[key] = out
     return out
 

@@ -300,11 +300,15 @@ def default_of(role: Column) -> Column:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small intermediate table with a reliable
-    checkpoint into the shared folder named by spark.checkpoint.dir."""
+    """Cut the lineage of an intermediate table: write it once as Parquet
+    into the shared folder named by spark.checkpoint.dir and read it back.
+    (An unpersisted ``checkpoint()`` would compute the plan twice.)"""
+    import uuid
+
     from ...session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def validate_aggregation(specs: DataFrame, rules: DataFrame, role_col: str = "semantic_role",

@@ -82,44 +82,219 @@ DOMAIN_KEYWORDS = [
 # Domain templates.  KPI: (id, title, role OR-groups, column
 # patterns, aggregation, format, priority, relevance).  Chart: (id, title,
 # type, x roles, x patterns, y roles or "count", y patterns, aggregation,
-# priority).  Profiles of other domains are not transcribed yet; such
-# domains use the general profile, as domains without a profile do.
+# priority).  Domains without a profile use the general one.
 # ---------------------------------------------------------------------------
+I, ST, MO, OR, PC, TE, CA, GE, AD, DE = (S.IDENTIFIER, S.STATUS, S.MONETARY, S.ORDINAL, S.PERCENTAGE, S.TEMPORAL,
+                                         S.CATEGORICAL, S.GEOGRAPHIC, S.ADDITIVE, S.DEMOGRAPHIC)
 KPI_TEMPLATES = {
+    "hr": [
+        ("total_employees", "Total Employees", [[I]], [r"employee_?id", r"emp_?id", r"staff_?id"],
+         "count_distinct", "number", "primary", 100),
+        ("active_employees", "Active Employees", [[ST]], [r"status", r"employment_?status", r"job_?status"],
+         "count", "number", "primary", 95),
+        ("avg_salary", "Average Monthly Salary", [[MO]],
+         [r"salary", r"wage", r"pay", r"compensation", r"ctc", r"remuneration"], "avg", "currency", "primary", 94),
+        ("avg_performance", "Average Performance Rating", [[OR]],
+         [r"performance", r"rating", r"appraisal", r"score"], "avg", "number", "secondary", 88),
+        ("avg_attendance", "Average Attendance", [[PC]], [r"attendance", r"presence", r"working_days"],
+         "avg", "percent", "secondary", 85),
+        ("attrition_rate", "Attrition Rate", [[ST], [TE]],
+         [r"exit_?date", r"termination", r"resignation", r"status"], "count", "percent", "primary", 90),
+    ],
     "sales": [
-        ("total_revenue", "Total Revenue", [[S.MONETARY]],
+        ("total_revenue", "Total Revenue", [[MO]],
          [r"revenue", r"sales_?amount", r"total_?sales", r"amount"], "sum", "currency", "primary", 100),
-        ("total_orders", "Total Orders", [[S.IDENTIFIER], [S.ADDITIVE]],
+        ("total_orders", "Total Orders", [[I], [AD]],
          [r"order_?id", r"transaction_?id", r"order_?count"], "count", "number", "primary", 95),
-        ("avg_order_value", "Average Order Value", [[S.MONETARY]],
+        ("avg_order_value", "Average Order Value", [[MO]],
          [r"amount", r"revenue", r"order_?value", r"sale_?value"], "avg", "currency", "primary", 88),
-        ("total_customers", "Unique Customers", [[S.IDENTIFIER]],
+        ("total_customers", "Unique Customers", [[I]],
          [r"customer_?id", r"client_?id", r"cust_?id"], "count_distinct", "number", "secondary", 85),
     ],
+    "ecommerce": [
+        ("total_gmv", "Gross Merchandise Value", [[MO]], [r"gmv", r"revenue", r"sale_?price", r"amount"],
+         "sum", "currency", "primary", 100),
+        ("total_orders", "Total Orders", [[I]], [r"order_?id", r"transaction_?id"], "count", "number", "primary", 95),
+        ("avg_order_value", "Average Order Value", [[MO]], [r"amount", r"revenue", r"price", r"value"],
+         "avg", "currency", "primary", 90),
+        ("return_rate", "Return Rate", [[PC]], [r"return_?rate", r"refund_?rate"], "avg", "percent", "secondary", 80),
+    ],
+    "finance": [
+        ("total_revenue", "Total Revenue", [[MO]], [r"revenue", r"income", r"sales", r"inflow"],
+         "sum", "currency", "primary", 100),
+        ("total_expenses", "Total Expenses", [[MO]], [r"expense", r"cost", r"spend", r"outflow"],
+         "sum", "currency", "primary", 95),
+        ("net_profit", "Net Profit", [[MO]], [r"profit", r"net_?income", r"earnings", r"margin"],
+         "sum", "currency", "primary", 98),
+        ("avg_transaction", "Average Transaction Value", [[MO]], [r"amount", r"transaction", r"value"],
+         "avg", "currency", "secondary", 80),
+    ],
+    "marketing": [
+        ("total_spend", "Total Ad Spend", [[MO]], [r"spend", r"budget", r"cost", r"ad_?spend"],
+         "sum", "currency", "primary", 95),
+        ("avg_ctr", "Average Click-Through Rate", [[PC]], [r"ctr", r"click_?through", r"click_?rate"],
+         "avg", "percent", "primary", 90),
+        ("avg_conversion_rate", "Conversion Rate", [[PC]], [r"conversion_?rate", r"cvr"], "avg", "percent",
+         "primary", 92),
+        ("total_impressions", "Total Impressions", [[AD]], [r"impressions?", r"reach", r"views?"],
+         "sum", "number", "secondary", 80),
+    ],
+    "inventory": [
+        ("total_sku", "Total SKUs", [[I]], [r"sku", r"product_?id", r"item_?id"], "count_distinct", "number",
+         "primary", 95),
+        ("total_stock_value", "Total Stock Value", [[MO]], [r"value", r"cost", r"price", r"amount"],
+         "sum", "currency", "primary", 92),
+        ("total_units", "Total Units On Hand", [[AD]], [r"quantity", r"qty", r"units?", r"stock", r"on_?hand"],
+         "sum", "number", "primary", 90),
+    ],
+    "crm": [
+        ("total_contacts", "Total Contacts", [[I]], [r"contact_?id", r"customer_?id", r"lead_?id"],
+         "count_distinct", "number", "primary", 95),
+        ("total_pipeline_value", "Total Pipeline Value", [[MO]],
+         [r"deal_?value", r"pipeline", r"opportunity_?value", r"amount"], "sum", "currency", "primary", 92),
+        ("avg_nps", "Average NPS Score", [[OR]], [r"nps", r"satisfaction", r"score"], "avg", "number",
+         "secondary", 80),
+    ],
+    "customer_support": [
+        ("total_tickets", "Total Support Tickets", [[I]], [r"ticket_?id", r"case_?id", r"issue_?id"],
+         "count", "number", "primary", 95),
+        ("avg_csat", "Average CSAT Score", [[OR]], [r"csat", r"satisfaction", r"rating", r"score"],
+         "avg", "number", "primary", 90),
+        ("avg_resolution_time", "Average Resolution Time", [[AD, DE]],
+         [r"resolution_?time", r"time_?to_?resolve", r"handling_?time"], "avg", "number", "secondary", 85),
+    ],
+    "healthcare": [
+        ("total_patients", "Total Patients", [[I]], [r"patient_?id", r"patient_?no", r"case_?id"],
+         "count_distinct", "number", "primary", 95),
+        ("avg_length_of_stay", "Average Length of Stay", [[AD, DE]],
+         [r"length_?of_?stay", r"los", r"days?", r"duration"], "avg", "number", "secondary", 85),
+        ("total_claim_value", "Total Claim Value", [[MO]], [r"claim", r"amount", r"cost", r"charge"],
+         "sum", "currency", "primary", 88),
+    ],
+    "education": [
+        ("total_students", "Total Students", [[I]], [r"student_?id", r"enroll_?id"], "count_distinct", "number",
+         "primary", 95),
+        ("avg_score", "Average Score", [[OR]], [r"score", r"grade", r"marks?", r"gpa", r"percentage"],
+         "avg", "number", "primary", 90),
+        ("avg_attendance", "Average Attendance", [[PC]], [r"attendance", r"presence"], "avg", "percent",
+         "secondary", 82),
+    ],
+    "manufacturing": [
+        ("total_production", "Total Units Produced", [[AD]],
+         [r"production", r"units?_?produced", r"output", r"manufactured"], "sum", "number", "primary", 95),
+        ("defect_rate", "Defect Rate", [[PC]], [r"defect_?rate", r"rejection_?rate", r"scrap_?rate"],
+         "avg", "percent", "primary", 90),
+        ("avg_oee", "Average OEE", [[PC]], [r"oee", r"efficiency", r"utilization"], "avg", "percent",
+         "secondary", 85),
+    ],
+    "logistics": [
+        ("total_shipments", "Total Shipments", [[I]], [r"shipment_?id", r"tracking", r"order_?id"],
+         "count", "number", "primary", 95),
+        ("avg_delivery_time", "Average Delivery Time", [[AD]],
+         [r"delivery_?time", r"transit_?time", r"lead_?time", r"days?_?to_?deliver"], "avg", "number",
+         "primary", 90),
+        ("on_time_delivery_rate", "On-Time Delivery Rate", [[PC]], [r"on_?time", r"otd", r"delivery_?rate"],
+         "avg", "percent", "primary", 88),
+    ],
     "general": [
-        ("total_records", "Total Records", [[S.IDENTIFIER, S.CATEGORICAL, S.MONETARY]],
-         [r".*"], "count", "number", "primary", 70),
-        ("primary_metric", "Primary Metric Total", [[S.MONETARY, S.ADDITIVE]],
+        ("total_records", "Total Records", [[I, CA, MO]], [r".*"], "count", "number", "primary", 70),
+        ("primary_metric", "Primary Metric Total", [[MO, AD]],
          [r"value", r"amount", r"total", r"metric"], "sum", "number", "primary", 65),
     ],
 }
 CHART_TEMPLATES = {
+    "hr": [
+        ("employees_by_department", "Employee Count by Department", "bar", [CA],
+         [r"department", r"dept", r"division", r"team"], "count", [], "count", "primary"),
+        ("avg_salary_by_department", "Average Salary by Department", "bar", [CA], [r"department", r"dept"],
+         [MO], [r"salary", r"wage", r"pay"], "avg", "primary"),
+        ("status_distribution", "Employee Status Distribution", "pie", [ST], [r"status", r"employment_?status"],
+         "count", [], "count", "primary"),
+        ("hiring_trend", "Hiring Trend Over Time", "line", [TE],
+         [r"join(?:ing)?_?date", r"hire_?date", r"start_?date"], "count", [], "count", "primary"),
+        ("performance_distribution", "Performance Rating Distribution", "bar", [OR], [r"performance", r"rating"],
+         "count", [], "count", "secondary"),
+        ("attendance_by_department", "Average Attendance by Department", "bar", [CA], [r"department"],
+         [PC], [r"attendance"], "avg", "secondary"),
+        ("avg_salary_by_role", "Average Salary by Role", "bar", [CA],
+         [r"role", r"designation", r"job_?title", r"position"], [MO], [r"salary", r"wage"], "avg", "secondary"),
+        ("employees_by_location", "Employee Count by Location", "bar", [GE],
+         [r"location", r"city", r"branch", r"office"], "count", [], "count", "secondary"),
+    ],
     "sales": [
-        ("revenue_over_time", "Revenue Trend Over Time", "line", [S.TEMPORAL], [r"date", r"time", r"period"],
-         [S.MONETARY], [r"revenue", r"amount", r"sales"], "sum", "primary"),
-        ("revenue_by_category", "Revenue by Category", "bar", [S.CATEGORICAL],
-         [r"category", r"product", r"type", r"segment"], [S.MONETARY], [r"revenue", r"amount", r"sales"],
+        ("revenue_over_time", "Revenue Trend Over Time", "line", [TE], [r"date", r"time", r"period"],
+         [MO], [r"revenue", r"amount", r"sales"], "sum", "primary"),
+        ("revenue_by_category", "Revenue by Category", "bar", [CA],
+         [r"category", r"product", r"type", r"segment"], [MO], [r"revenue", r"amount", r"sales"],
          "sum", "primary"),
-        ("revenue_by_region", "Revenue by Region", "bar", [S.GEOGRAPHIC],
-         [r"region", r"territory", r"country", r"state"], [S.MONETARY], [r"revenue", r"amount"], "sum", "primary"),
-        ("orders_by_status", "Order Status Distribution", "pie", [S.STATUS],
+        ("revenue_by_region", "Revenue by Region", "bar", [GE],
+         [r"region", r"territory", r"country", r"state"], [MO], [r"revenue", r"amount"], "sum", "primary"),
+        ("orders_by_status", "Order Status Distribution", "pie", [ST],
          [r"status", r"order_?status", r"fulfillment"], "count", [], "count", "secondary"),
     ],
+    "ecommerce": [
+        ("orders_over_time", "Orders Over Time", "line", [TE], [r"date", r"time", r"order_?date"], "count", [],
+         "count", "primary"),
+        ("revenue_by_category", "Revenue by Product Category", "bar", [CA],
+         [r"category", r"product_?type", r"department"], [MO], [r"revenue", r"amount", r"price"], "sum", "primary"),
+    ],
+    "finance": [
+        ("revenue_vs_expense", "Revenue vs Expenses Over Time", "line", [TE],
+         [r"date", r"period", r"month", r"quarter"], [MO], [r"revenue", r"expense", r"income"], "sum", "primary"),
+        ("expense_by_category", "Expenses by Category", "bar", [CA], [r"category", r"type", r"account_?type"],
+         [MO], [r"expense", r"cost", r"amount"], "sum", "primary"),
+    ],
+    "marketing": [
+        ("spend_by_channel", "Ad Spend by Channel", "bar", [CA], [r"channel", r"medium", r"platform", r"source"],
+         [MO], [r"spend", r"cost", r"budget"], "sum", "primary"),
+        ("performance_over_time", "Campaign Performance Over Time", "line", [TE],
+         [r"date", r"time", r"period", r"week", r"month"], [PC, AD],
+         [r"ctr", r"conversion", r"impressions", r"clicks"], "avg", "primary"),
+    ],
+    "inventory": [
+        ("stock_by_category", "Stock Levels by Category", "bar", [CA], [r"category", r"type", r"department"],
+         [AD], [r"quantity", r"qty", r"stock", r"units"], "sum", "primary"),
+        ("inventory_value_by_location", "Inventory Value by Location", "bar", [GE],
+         [r"location", r"warehouse", r"region"], [MO], [r"value", r"cost", r"amount"], "sum", "secondary"),
+    ],
+    "crm": [
+        ("pipeline_by_stage", "Pipeline by Stage", "bar", [ST, CA], [r"stage", r"status", r"pipeline_?stage"],
+         "count", [], "count", "primary"),
+        ("leads_over_time", "New Leads Over Time", "line", [TE], [r"date", r"created_?at", r"signup_?date"],
+         "count", [], "count", "primary"),
+    ],
+    "customer_support": [
+        ("tickets_by_status", "Tickets by Status", "pie", [ST], [r"status", r"ticket_?status"], "count", [],
+         "count", "primary"),
+        ("tickets_by_category", "Tickets by Category", "bar", [CA], [r"category", r"type", r"issue_?type"],
+         "count", [], "count", "primary"),
+    ],
+    "healthcare": [
+        ("admissions_over_time", "Admissions Over Time", "line", [TE], [r"admission_?date", r"date", r"time"],
+         "count", [], "count", "primary"),
+        ("patients_by_diagnosis", "Patients by Diagnosis", "bar", [CA], [r"diagnosis", r"condition", r"icd"],
+         "count", [], "count", "primary"),
+    ],
+    "education": [
+        ("scores_by_course", "Average Score by Course", "bar", [CA], [r"course", r"subject", r"class", r"module"],
+         [OR], [r"score", r"grade", r"marks"], "avg", "primary"),
+    ],
+    "manufacturing": [
+        ("production_over_time", "Production Volume Over Time", "line", [TE],
+         [r"date", r"time", r"shift_?date", r"batch_?date"], [AD], [r"production", r"output", r"units", r"quantity"],
+         "sum", "primary"),
+        ("defects_by_line", "Defects by Production Line", "bar", [CA], [r"line", r"machine", r"plant", r"shift"],
+         [AD], [r"defect", r"reject", r"scrap", r"error"], "sum", "secondary"),
+    ],
+    "logistics": [
+        ("shipments_by_carrier", "Shipments by Carrier", "bar", [CA], [r"carrier", r"courier", r"shipper", r"mode"],
+         "count", [], "count", "primary"),
+        ("shipments_over_time", "Shipments Over Time", "line", [TE], [r"date", r"ship_?date", r"delivery_?date"],
+         "count", [], "count", "primary"),
+    ],
     "general": [
-        ("count_by_category", "Count by Category", "bar", [S.CATEGORICAL, S.STATUS], [], "count", [], "count",
-         "primary"),
-        ("metric_over_time", "Metric Over Time", "line", [S.TEMPORAL], [], [S.MONETARY, S.ADDITIVE], [], "sum",
-         "primary"),
+        ("count_by_category", "Count by Category", "bar", [CA, ST], [], "count", [], "count", "primary"),
+        ("metric_over_time", "Metric Over Time", "line", [TE], [], [MO, AD], [], "sum", "primary"),
     ],
 }
 EXCLUDED_FROM_ANALYTICS = [S.CONTACT, S.SENSITIVE]

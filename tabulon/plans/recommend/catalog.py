@@ -79,8 +79,20 @@ def semantics(profile: DataFrame, strip_prefix: bool = True) -> DataFrame:
     return _SEM_CACHE[key]
 
 
+_REC_CACHE: dict = {}
+
+
 def recommend(profile: DataFrame, strip_prefix: bool = True, with_domain: bool = True):
-    """R1-R17 end to end -> (final KPI table, final chart table)."""
+    """R1-R17 end to end -> (final KPI table, final chart table), built once
+    per profile table and materialized."""
+    key = (profile.sparkSession.sparkContext.applicationId, id(profile), strip_prefix, with_domain)
+    if key not in _REC_CACHE:
+        k, c = _recommend(profile, strip_prefix, with_domain)
+        _REC_CACHE[key] = (S.materialize(k), S.materialize(c))
+    return _REC_CACHE[key]
+
+
+def _recommend(profile: DataFrame, strip_prefix: bool = True, with_domain: bool = True):
     sem = semantics(profile, strip_prefix)
     rel = S.materialize(S.relationships(sem))
     ints = S.materialize(S.intents(rel, sem))

@@ -9,6 +9,7 @@ parsing in the library goes through ``try_*`` functions.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,14 +48,22 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder.
 
-    A cluster names a shared folder there; it is used as is.  Only when the
-    setting is unset (local tests) a fresh scratch folder is created.
+    The setting ``spark.checkpoint.dir`` names it; else a folder the user has
+    set in code (``setCheckpointDir``) is used.  Only a local master, where
+    every task runs on this machine, gets a scratch folder when neither is
+    set; on a cluster that is an error, since executors do not share /tmp.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not d:
+        d = sc.getCheckpointDir()
+    if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tabulon-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .common import held_out
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .packing import pack
 from .token_files import token_file_round_trip
+from .toxicity import toxicity
+from .warc import warc_round_trip
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -46,3 +49,27 @@ def op5_exact_dedup(spark, sf_dir):
 @query("op8_packing")
 def op8_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    test = held_out(F.col("doc_id"), 0)
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~test)
+    return found.select("doc_id", test.alias("held_out"), "score", "predicted")
+
+
+@query("op9_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id, sha1(html) AS hex FROM p),
+bits AS (SELECT page_id, strlen(html) AS payload_bytes, first_id, hex FROM q),
+digits AS (SELECT page_id, payload_bytes, first_id,
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(hex, 1 + CAST(i // 8 * 10 AS INT), 10))::BIGINT >> CAST(35 - 5 * (i % 8) AS INT)) & 31), 1)), 'string_agg', '') AS payload_digest
+    FROM bits)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM digits
+""")
+def op9_warc(spark, sf_dir):
+    found = warc_round_trip(table(spark, sf_dir, "pages")).filter("kind = 'record'")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

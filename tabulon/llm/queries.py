@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .common import held_out
+from .embeddings import near_vectors
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .packing import pack
@@ -73,3 +74,20 @@ FROM digits
 def op9_warc(spark, sf_dir):
     found = warc_round_trip(table(spark, sf_dir, "pages")).filter("kind = 'record'")
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_near_vectors", """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+         AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN n USING (vec_id)
+""")
+def op7_near_vectors(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))

@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .packing import pack
+from .substring import substring_dedup
 from .token_files import token_file_round_trip
 from .toxicity import toxicity
 from .warc import warc_round_trip
@@ -112,3 +113,18 @@ FROM least LEFT JOIN n USING (doc_id)
 def op10_near_dup(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op1_substring_dedup", """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w)),
+hit AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) AS least FROM win) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM hit),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM
+         (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""")
+def op1_substring_dedup(spark, sf_dir):
+    found = substring_dedup(table(spark, sf_dir, "documents"), length=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -8,6 +8,7 @@ from ..sources.tables import table
 from .common import held_out
 from .embeddings import near_vectors
 from .exact_dedup import exact_dedup
+from .lm import score_documents
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .packing import pack
@@ -128,3 +129,8 @@ FROM w LEFT JOIN kept USING (doc_id)
 def op1_substring_dedup(spark, sf_dir):
     found = substring_dedup(table(spark, sf_dir, "documents"), length=13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, pieces, written
+from .common import mix64, pieces, values, written
 
 #: distinct digests per bucket; a bucket is built and searched by one task
 BUCKET = 2048
@@ -82,17 +82,17 @@ def _later(a: tuple, b: tuple) -> tuple:
 def _merge(key, current: pa.Table, history: pa.Table) -> pa.Table:
     """One bucket: index the history, look the current digests up, and return
     the classes of both."""
-    held = history.column("digest").to_pylist()
+    held = values(history, "digest")
     index = PerfectHash(held)
     order = index.slots(held)
     slot_digest: list = [None] * len(held)
     slot_win: list = [None] * len(held)
     slot_n = [0] * len(held)
-    for i, (s, doc, row, n) in enumerate(zip(order, history.column("win_doc").to_pylist(), history.column("win_row").to_pylist(), history.column("n").to_pylist())):
+    for i, (s, doc, row, n) in enumerate(zip(order, values(history, "win_doc"), values(history, "win_row"), values(history, "n"))):
         slot_digest[s], slot_win[s], slot_n[s] = held[i], (doc, row), n
-    asked = current.column("digest").to_pylist()
+    asked = values(current, "digest")
     apart: list[tuple] = []
-    for s, d, doc, row, n in zip(index.slots(asked), asked, current.column("win_doc").to_pylist(), current.column("win_row").to_pylist(), current.column("n").to_pylist()):
+    for s, d, doc, row, n in zip(index.slots(asked), asked, values(current, "win_doc"), values(current, "win_row"), values(current, "n")):
         if s >= 0 and slot_digest[s] == d:
             slot_win[s], slot_n[s] = _later(slot_win[s], (doc, row)), slot_n[s] + n
         else:

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drop_written, mix64, partitions, table, written
+from .common import mix64, partitions, table, written
 from .components import components
 from .words import hashes, words
 
@@ -90,18 +90,18 @@ def estimate(different_bits: np.ndarray) -> np.ndarray:
     return 1 + BITS / (4 * SAMPLES) * np.log1p(-part)
 
 
-_SIG = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_SIG = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), key (of the set), bands and sketch of every row."""
+    """doc_id, text_hash, n (set size), key (of the set), bands and sketch of every row."""
     def sign(batches):
         for b in batches:
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc, text, text_hash in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 s = shingles(text.as_py(), width)
                 if not len(s):
-                    out.append((doc, 0, None, None, None))
+                    out.append((doc, text_hash, 0, None, None, None))
                     continue
                 low = samples(s)
                 rows = mix64(low).reshape(BANDS, ROWS)
@@ -109,11 +109,11 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     for r in range(ROWS):
                         band = mix64(band * _K[0] + rows[:, r])
-                out.append((doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band.view(np.int64), odd_sketch(low).tobytes()))
+                out.append((doc, text_hash, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band.view(np.int64), odd_sketch(low).tobytes()))
             yield table(_SIG, **dict(zip(_SIG.names, zip(*out)))) if out else table(_SIG, **{c: [] for c in _SIG.names})
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(sign, "doc_id long, n long, key binary, bands array<long>, sketch binary")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    return d.mapInArrow(sign, "doc_id long, text_hash long, n long, key binary, bands array<long>, sketch binary")
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -259,7 +259,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, row, key, n_shingles, component_id, kept."""
+    """One row per row of ``docs``: doc_id, row, text_hash, n_shingles,
+    component (a number of its own), component_id (its smallest doc_id), kept."""
     spark = docs.sparkSession
     rows = written(signatures(docs, width).withColumn("row", F.monotonically_increasing_id()), "signatures")
     classes = (rows.filter("n > 0").groupBy("key").agg(F.min("row").alias("c"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
@@ -288,7 +289,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         of = written(components(links), "components")
     c = classes.select("key", "c", "least").join(of.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = c.groupBy("root").agg(F.min("least").alias("component_id"))
-    c = c.join(least, "root").select("key", "component_id")
-    out = rows.select("doc_id", "row", "key", F.col("n").alias("n_shingles")).join(c, "key", "left")
+    c = c.join(least, "root").select("key", "root", "component_id")
+    out = rows.select("doc_id", "row", "text_hash", "key", F.col("n").alias("n_shingles")).join(c, "key", "left")
     own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "row", "key", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", "row", "text_hash", "n_shingles", F.coalesce("root", "row").alias("component"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` of which one stays in each component, that with
+    the smallest doc_id; rows equal in id and text are one document.  All
+    columns are kept."""
+    found = near_duplicates(docs, width, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash")).alias("w")
+    win = found.groupBy("component").agg(first).groupBy(F.col("w.doc_id").alias("__tb_doc"), F.col("w.text_hash").alias("__tb_hash")).agg(F.lit(1).alias("__tb_one"))
+    same = found.groupBy(F.col("doc_id").alias("d2"), F.col("text_hash").alias("h2")).agg(F.count("*").alias("__tb_same"))
+    win = written(win.join(same, F.col("__tb_doc").eqNullSafe(F.col("d2")) & (F.col("__tb_hash") == F.col("h2"))).select("__tb_doc", "__tb_hash", "__tb_same"), "winners")
+    hit = docs.withColumn("__tb_mine", F.xxhash64("text")).join(win, F.col("doc_id").cast("long").eqNullSafe(F.col("__tb_doc")) & (F.col("__tb_mine") == F.col("__tb_hash")))
+    once, again = hit.filter("__tb_same = 1"), hit.filter("__tb_same > 1").dropDuplicates(["__tb_doc", "__tb_hash"])
+    return once.unionByName(again).select(*docs.columns)

@@ -73,8 +73,3 @@ def table(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def held_out(doc_id: Column, remainder: int) -> Column:
     """crc32(doc_id as text) mod 5 = remainder; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == remainder
-
-
-def values(side: pa.Table, name: str) -> list:
-    """A column of one side of a cogroup as a list (a side without rows has no columns)."""
-    return side.column(name).to_pylist() if name in side.schema.names else []

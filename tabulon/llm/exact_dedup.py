@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, pieces, values, written
+from .common import mix64, pieces, written
 
 #: distinct digests per bucket; a bucket is built and searched by one task
 BUCKET = 2048
@@ -79,24 +79,24 @@ def _later(a: tuple, b: tuple) -> tuple:
     return max(a, b, key=key)
 
 
-def _merge(key, current: pa.Table, history: pa.Table) -> pa.Table:
+def _merge(key, rows):
     """One bucket: index the history, look the current digests up, and return
     the classes of both."""
-    held = values(history, "digest")
-    index = PerfectHash(held)
-    order = index.slots(held)
-    slot_digest: list = [None] * len(held)
-    slot_win: list = [None] * len(held)
-    slot_n = [0] * len(held)
-    for i, (s, doc, row, n) in enumerate(zip(order, values(history, "win_doc"), values(history, "win_row"), values(history, "n"))):
-        slot_digest[s], slot_win[s], slot_n[s] = held[i], (doc, row), n
-    asked = values(current, "digest")
+    digest, doc, row, n, old = (rows.column(c).to_pylist() for c in ("digest", "win_doc", "win_row", "n", "old"))
+    history = [i for i, o in enumerate(old) if o]
+    asked = [i for i, o in enumerate(old) if not o]
+    index = PerfectHash([digest[i] for i in history])
+    slot_digest: list = [None] * len(history)
+    slot_win: list = [None] * len(history)
+    slot_n = [0] * len(history)
+    for s, i in zip(index.slots([digest[i] for i in history]), history):
+        slot_digest[s], slot_win[s], slot_n[s] = digest[i], (doc[i], row[i]), n[i]
     apart: list[tuple] = []
-    for s, d, doc, row, n in zip(index.slots(asked), asked, values(current, "win_doc"), values(current, "win_row"), values(current, "n")):
-        if s >= 0 and slot_digest[s] == d:
-            slot_win[s], slot_n[s] = _later(slot_win[s], (doc, row)), slot_n[s] + n
+    for s, i in zip(index.slots([digest[i] for i in asked]), asked):
+        if s >= 0 and slot_digest[s] == digest[i]:
+            slot_win[s], slot_n[s] = _later(slot_win[s], (doc[i], row[i])), slot_n[s] + n[i]
         else:
-            apart.append((d, doc, row, n))
+            apart.append((digest[i], doc[i], row[i], n[i]))
     rows = [(d, w[0], w[1], n) for d, w, n in zip(slot_digest, slot_win, slot_n)] + apart
     cols = list(zip(*rows)) if rows else [(), (), (), ()]
     return pa.table([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
@@ -118,10 +118,7 @@ def classes(rows: DataFrame, is_history) -> DataFrame:
            .agg(F.max(F.struct("doc_id", "row")).alias("w"), F.count("*").alias("n"))
            .select("digest", "old", F.col("w.doc_id").alias("win_doc"), F.col("w.row").alias("win_row"), "n",
                    F.pmod(F.xxhash64("digest"), F.lit(pieces(n, BUCKET))).alias("bucket")))
-    per = written(per, "digest-groups")
-    old = per.filter("old").select("bucket", "digest", "win_doc", "win_row", "n")
-    new = per.filter("not old").select("bucket", "digest", "win_doc", "win_row", "n")
-    return new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(_merge, CLASS_SCHEMA)
+    return written(per.groupBy("bucket").applyInArrow(_merge, CLASS_SCHEMA), "classes")
 
 
 def older_half(rows: DataFrame):

@@ -144,7 +144,7 @@ def _answer_seeds(key, rows):
 
 
 def _cells(rows) -> list[dict]:
-    if "data" not in rows.schema.names:
+    if not rows.num_rows:
         return []
     order = np.argsort(rows.column("bucket").to_numpy(), kind="stable")
     data = rows.column("data")
@@ -156,7 +156,7 @@ def _ask_windows(length: int, buckets: int):
         seeds = [c["keys"] for c in _cells(answers)]
         seeds = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
         out = []
-        if "data" in batch.schema.names and len(seeds):
+        if batch.num_rows and len(seeds):
             b = Batch(batch.column("data")[0].as_py(), length)
             hit = _among(b.seeds, seeds)
             w, ids = b.window[hit], b.ids[b.owner[hit]]
@@ -199,7 +199,7 @@ _DONE_SQL = "doc_id long, n_words long, n_removed long, removed array<struct<sta
 
 def _remove(length: int):
     def remove(key, batch, answers):
-        if "data" not in batch.schema.names:
+        if not batch.num_rows:
             return _DONE.empty_table()
         b = Batch(batch.column("data")[0].as_py(), length)
         cells = _cells(answers)

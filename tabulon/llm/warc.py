@@ -123,12 +123,12 @@ def _member(data, at: int) -> tuple[list[tuple[dict, bytes]], int]:
 def salvage(data: bytes) -> Iterator[tuple[str, object]]:
     """("record", (headers, block)) for every sound record of a file's bytes
     in order, and ("gap", (start, end, reason)) for every run of bytes lost."""
-    zipped = _MAGIC in data[:4096] or _VERSION not in data[:4096]
-    mark = _MAGIC if zipped else _VERSION
+    # a damaged beginning does not tell which kind of file it is
+    marks = [m for m in (_MAGIC, _VERSION) if data.startswith(m)] or [_MAGIC, _VERSION]
     at, lost, why = 0, None, ""
     while at < len(data):
         try:
-            if zipped:
+            if data.startswith(_MAGIC, at) and _MAGIC in marks:
                 found, end = _member(data, at)
             else:
                 head, block, end = parse_record(data, at)
@@ -136,9 +136,10 @@ def salvage(data: bytes) -> Iterator[tuple[str, object]]:
         except ValueError as e:
             if lost is None:
                 lost, why = at, str(e)
-            at = data.find(mark, at + 1)
-            if at < 0:
+            nexts = [k for k in (data.find(m, at + 1) for m in marks) if k >= 0]
+            if not nexts:
                 break
+            at = min(nexts)
             continue
         if lost is not None:
             yield "gap", (lost, at, why)

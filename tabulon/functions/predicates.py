@@ -25,8 +25,6 @@ MONTH_NAME_RE = r"(?i)jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 DATE_SEPARATOR_RE = r"\d{1,4}[/\-.]\d{1,2}"
 ISO_PREFIX_RE = r"^\d{4}-\d{2}-\d{2}"
 SHORT_NUMBER_RE = r"^\d{1,4}$"
-# Longest text tried as a date (free text beyond this is never a date).
-MAX_DATE_TEXT = 64
 # Date formats tried in order after the ISO forms; month-first wins over
 # day-first when both fit.
 DATE_FORMATS = [
@@ -116,11 +114,11 @@ DATE_SHAPE_RE = (r"^\d{4}-\d{1,2}(-\d{1,2})?([T ].*)?$|^\d{1,2}[/-]\d{1,2}[/-]\d
 
 
 def parse_date_fast(s) -> Column:
-    """``parse_date`` only for short text shaped like an accepted form.
+    """``parse_date`` only for text shaped like an accepted form.
     A failed formatted parse is expensive in Spark, so text that cannot
     match any format skips the format list entirely."""
     t = F.trim(col_(s).cast("string"))
-    return F.when((F.length(t) <= MAX_DATE_TEXT) & t.rlike(DATE_SHAPE_RE), parse_date(t))
+    return F.when(t.rlike(DATE_SHAPE_RE), parse_date(t))
 
 
 def parse_date(s) -> Column:
@@ -151,6 +149,7 @@ def date_value(s) -> Column:
 
 # ---------------------- metadata-time predicates (P5) -----------------------
 
+# Fixed values that must equal the reference's rules for equal results.
 MD_SEPARATOR_FULL_RE = r"^\d{1,4}[/\-.]\d{1,2}([/\-.]\d{1,4})?$"
 MD_ISO_TS_RE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
 
@@ -199,6 +198,7 @@ def md_is_numeric(s) -> Column:
 
 # ------------------------------ conversions ---------------------------------
 
+# Fixed value: the numeric prefix of a text.
 _FLOAT_PREFIX_RE = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)"
 
 
@@ -224,10 +224,22 @@ def js_round(c, digits: int = 0) -> Column:
     """``Math.round(x * 10^d) / 10^d`` (halves go up, also for negatives).
 
     Written as ``floor(x * 10^d + 0.5) / 10^d`` so SQL engines reproduce the
-    same double arithmetic exactly.
+    same double arithmetic exactly.  From 2^53 on, x * 10^d has no fraction
+    left to round and the value is returned as it is.
     """
-    p = 10 ** digits
-    return (F.floor(col_(c) * F.lit(float(p)) + F.lit(0.5)) / F.lit(float(p))).cast("double")
+    x, p = col_(c).cast("double"), F.lit(float(10 ** digits))
+    scaled = x * p
+    return F.when(F.abs(scaled) < F.lit(EXACT_INTEGERS), floor_double(scaled + F.lit(0.5)) / p).otherwise(x)
+
+
+# Doubles from here on are whole numbers.
+EXACT_INTEGERS = float(2 ** 53)
+
+
+def floor_double(x: Column) -> Column:
+    """Floor of a double as a double (Spark's ``floor`` returns BIGINT, which
+    saturates at 9.2e18); infinities and NaN stay."""
+    return F.when(F.abs(x) < F.lit(EXACT_INTEGERS), F.floor(x).cast("double")).otherwise(x)
 
 
 def all_of(cols) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import js_round, parse_float
+from ..functions.predicates import floor_double, js_round, parse_float
 from .filters import clamp_limit, kind_of, resolve_column
 
 AGGREGATIONS = ("sum", "avg", "min", "max", "count")
@@ -84,8 +84,8 @@ def compare_periods(df: DataFrame, metric: str | None = None, date_column: str |
     # the window runs over the aggregated periods only (bounded by their count)
     prev = F.lag("_sum").over(Window.orderBy("Period"))
     val = js_round(F.col("_sum"), 2)
-    change = F.when(prev > 0, F.floor((val - prev) / prev * F.lit(100.0) + F.lit(0.5))).otherwise(F.lit(0))
-    return per.select("Period", val.alias(out_name), change.cast("long").alias("change_pct"), "n") \
+    change = F.when(prev > 0, floor_double((val - prev) / prev * F.lit(100.0) + F.lit(0.5))).otherwise(F.lit(0.0))
+    return per.select("Period", val.alias(out_name), change.alias("change_pct"), "n") \
         .orderBy("Period")
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import col_
+from ..functions.predicates import col_, floor_double
 
 DAY_US = 24 * 60 * 60 * 1_000_000
 # Relative windows and their length in days.
@@ -103,7 +103,7 @@ def compare(current: Column, prior: Column, current_n: Column, prior_n: Column,
     cn = F.coalesce(current_n, F.lit(0))
     pn = F.coalesce(prior_n, F.lit(0))
     diff = cur - pri
-    pct = (F.floor(diff / F.abs(pri) * F.lit(1000.0) + F.lit(0.5)) / F.lit(10.0)).cast("double")
+    pct = floor_double(diff / F.abs(pri) * F.lit(1000.0) + F.lit(0.5)) / F.lit(10.0)
     delta = (F.when(~has_bounds, F.lit(None))
              .when(cn == 0, F.lit(None))
              .when(pn == 0, F.lit(None))
@@ -270,7 +270,7 @@ def half_growth(df: DataFrame, date_col: str, metrics: list[str]) -> DataFrame:
     structs = []
     for i, m in enumerate(metrics):
         f, s = F.coalesce(F.col(f"f{i}"), F.lit(0.0)), F.coalesce(F.col(f"s{i}"), F.lit(0.0))
-        g = F.when(f != 0, F.floor((s - f) / F.abs(f) * F.lit(1000.0) + F.lit(0.5)) / F.lit(10.0))
+        g = F.when(f != 0, floor_double((s - f) / F.abs(f) * F.lit(1000.0) + F.lit(0.5)) / F.lit(10.0))
         structs.append(F.struct(F.lit(m).alias("metric"), f.alias("first_half"),
                                 s.alias("second_half"), g.cast("double").alias("growth_pct")))
     return row.select(F.inline(F.array(*structs)))

@@ -1,13 +1,13 @@
 """Column profiling and data quality.
 
-Shape of the job: every profiled column is unpivoted to rows of
-(ordinal, column, raw value) inside the scan stage (a pipelined ``explode``),
-and ONE ``groupBy(ordinal, column)`` computes all predicate counts; partial
-aggregation leaves one row per column per input partition before the
-shuffle, so the width of the table, not its length, sets the shuffle size.
-Distinct counts go through one deduplicating shuffle of (column, value)
-pairs (exact) or an HLL sketch (``approx=True``), never one
-``count(distinct)`` per column (which Catalyst would expand per row).
+Shape of the job: two scans at every size.  In the first every profiled
+column is unpivoted to rows of (ordinal, column, raw value) inside the scan
+stage (a pipelined ``explode``), and ONE ``groupBy(ordinal, column)`` computes
+all predicate counts; partial aggregation leaves one row per column per input
+partition before the shuffle, so the width of the table, not its length, sets
+the shuffle size.  In the second, distinct counts go through one deduplicating
+shuffle of (column, digest) rows (exact) or an HLL sketch (``approx=True``),
+never one ``count(distinct)`` per column (which Catalyst would expand per row).
 Nested columns (arrays, maps, structs, binary) are skipped.
 """
 
@@ -34,7 +34,8 @@ SAMPLE_VALUES = 5
 CURRENCY_NAME_RE = r"(?i)price|cost|amount|revenue|salary|fee"
 PERCENT_NAME_RE = r"(?i)percent|rate|%|ratio"
 TIME_RE = r"^(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?(?:\s?[aApP][mM])?$"
-URL_RE = r"(?i)^(https?://.*|([a-zA-Z0-9]+(-[a-zA-Z0-9]+)*\.)+[a-z]{2,}(:\d+)?(/.*)?)$"
+# possessive quantifiers: one pass without backtracking, whatever the length
+URL_RE = r"(?i)^(?:https?://.*|(?:[a-zA-Z0-9]++(?:-[a-zA-Z0-9]++)*+\.)++[a-z]{2,}(?::\d+)?(?:/.*)?)$"
 STRICT_BOOLEAN_WORDS = ["true", "false", "yes", "no"]
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
@@ -44,21 +45,8 @@ def profiled_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if not isinstance(f.dataType, _NESTED)]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a per-row heavy job at least one input partition per core.
-
-    Large inputs already have many splits and are left alone; a table that
-    arrives as fewer partitions than the cluster has cores (one small file)
-    is spread round-robin, so the predicate pass does not run in one task."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def long_values(df: DataFrame, columns: list[str] | None = None, ordinals: dict | None = None) -> DataFrame:
     """Unpivot to (ordinal, column, kind, raw) with raw the string form."""
-    df = spread(df)
     cols = profiled_columns(df) if columns is None else columns
     ords = ordinals or {c: i for i, c in enumerate(cols)}
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
@@ -72,42 +60,14 @@ def _cnt(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
 
 
-_STATS_EXPRS: dict = {}
-
-
 def column_stats(long: DataFrame, with_samples: bool = True) -> DataFrame:
-    """All per-column predicate counts in one grouped aggregate.
-
-    Parsed forms (timestamp, numbers) are computed once per value in a
-    projection before the aggregate.  Typed columns use their type: a typed
-    timestamp is its own date, typed numbers and booleans are never dates.
-    The expressions only name the unpivoted columns, so they are built once
-    per session and reused."""
-    key = (long.sparkSession.sparkContext.applicationId, with_samples)
-    if key not in _STATS_EXPRS:
-        _STATS_EXPRS[key] = _stats_exprs(with_samples)
-    (step1, step2), aggs, typed_aggs, typed_out = _STATS_EXPRS[key]
-    pre = long.select(*step1)
-    text = pre.filter(F.col("kind") == "string").select(*step2).groupBy("ordinal", "column").agg(*aggs)
-    # typed columns: every rule count follows from a few facts per value
-    typed = pre.filter(F.col("kind") != "string").groupBy("ordinal", "column").agg(*typed_aggs) \
-        .select("ordinal", "column", *typed_out)
-    return text.unionByName(typed)
-
-
-def stats_by_kind(df: DataFrame, cols: list[str], with_samples: bool = True) -> DataFrame:
-    """``column_stats`` with text and typed columns unpivoted separately, so
-    each side's scan reads only its own columns (one read of the table in
-    total) and typed values never meet the text rules."""
-    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
-    ords = {c: i for i, c in enumerate(cols)}
-    text_cols = [c for c in cols if kinds[c] == "string"]
-    typed_cols = [c for c in cols if kinds[c] != "string"]
-    parts = [column_stats(long_values(df, part, ords), with_samples) for part in (text_cols, typed_cols) if part]
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = out.unionByName(p_)
-    return out
+    """All per-column predicate counts in one grouped aggregate over one
+    unpivot.  Parsed forms (timestamp, numbers) are computed once per value
+    in a projection before the aggregate.  Typed columns use their type: a
+    typed timestamp is its own date, typed numbers and booleans are never
+    dates."""
+    (step1, step2), aggs = _stats_exprs(with_samples)
+    return long.select(*step1).select(*step2).groupBy("ordinal", "column", "kind").agg(*aggs)
 
 
 def _by_kind(text: Column, number: Column, date: Column, boolean: Column) -> Column:
@@ -149,7 +109,7 @@ def _stats_exprs(with_samples: bool):
     preds = {
         "n_email": _by_kind(P.is_email(v), f, f, f),
         # URLs have no blanks; the gate also keeps the pattern off long prose
-        "n_url": _by_kind((F.length(v) <= 2048) & ~v.rlike(r"\s") & v.rlike(URL_RE), f, f, f),
+        "n_url": _by_kind(~v.rlike(r"\s") & v.rlike(URL_RE), f, f, f),
         "n_phone": _by_kind(P.is_phone(v), P.is_phone(v), f, f),
         "n_currency": _by_kind(P.is_currency(v), f, f, f),
         "n_percentage": _by_kind(P.is_percentage(v), f, f, f),
@@ -182,10 +142,10 @@ def _stats_exprs(with_samples: bool):
                    "md_numeric_any_symbol", "md_pct_suffix", "md_num_0_100", "md_numeric", "ui_date", "ui_time",
                    "ui_percentage", "ui_currency", "ui_float", "ui_integer", "ui_num_plain", "st_number", "st_date"}
     text_gate = (F.col("kind") != "string") | dg
-    step2 = ["ordinal", "column", "kind", "v", "p", "num"] + \
+    step2 = ["ordinal", "column", "kind", "v", "p", "num", F.when(F.col("p"), F.substring(F.md5("v"), 1, 1)).alias("digit")] + \
         [(F.col("p") & F.coalesce(F.when(text_gate, preds[k]) if k in needs_digit else preds[k], F.lit(False)))
          .alias(k) for k in _COUNTED]
-    aggs = [F.first("kind").alias("kind"), F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("p")).alias("missing"),
+    aggs = [F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("p")).alias("missing"),
             F.count_if("p").alias("non_empty")]
     aggs += [F.count_if(k).alias(k) for k in _COUNTED if k != "ui_num_plain"]
     aggs.append((F.count_if("ui_percentage") + F.count_if("ui_currency") + F.count_if("ui_num_plain"))
@@ -194,87 +154,51 @@ def _stats_exprs(with_samples: bool):
     aggs.append(F.sum(F.when(F.col("p"), F.length("v"))).alias("len_sum"))
     aggs += [F.min(pn).alias("num_min"), F.max(pn).alias("num_max"), F.count(pn).alias("num_count")]
     if with_samples:
-        aggs.append(sample_values_expr(F.col("v"), F.col("p")).alias("samples"))
-    typed_aggs, typed_out = _typed_exprs(with_samples)
-    return (step1, step2), aggs, typed_aggs, typed_out
-
-
-def _typed_exprs(with_samples: bool):
-    """Counts for typed (number / date / boolean) columns and the rule
-    counts derived from them, in the same column order as the text path."""
-    p, raw, num, ts = F.col("p"), F.col("raw"), F.col("num"), F.col("ts")
-    yr = F.year(ts)
-    facts = {
-        "c_num": num.isNotNull(), "c_whole": num.isNotNull() & (num == F.floor(num)),
-        "c_0100": num.between(0, 100), "c_01": raw.isin("1", "0"), "c_ts": ts.isNotNull(),
-        "c_y2000": yr.between(2000, 2100), "c_y1000": yr.between(1000, 3000),
-        "c_phone": (F.col("kind") == "number") & P.is_phone(raw),
-    }
-    aggs = [F.first("kind").alias("kind"), F.count(F.lit(1)).alias("rows"), F.count_if(~p).alias("missing"),
-            F.count_if(p).alias("non_empty")]
-    aggs += [F.count_if(p & F.coalesce(c, F.lit(False))).alias(k) for k, c in facts.items()]
-    pn = F.when(p, num)
-    aggs += [F.sum(F.when(p, F.length("v"))).alias("len_sum"), F.min(pn).alias("num_min"),
-             F.max(pn).alias("num_max"), F.count(pn).alias("num_count")]
-    if with_samples:
-        aggs.append(sample_values_expr(F.col("v"), p).alias("samples"))
-    k = F.col("kind")
-    zero = F.lit(0).cast("long")
-    ne = F.col("non_empty")
-
-    def by(number, date, boolean):
-        return F.when(k == "number", number).when(k == "date", date).otherwise(boolean).cast("long")
-    c = {n: F.col(n) for n in facts}
-    derived = {
-        "n_email": zero, "n_url": zero, "n_phone": by(c["c_phone"], zero, zero), "n_currency": zero,
-        "n_percentage": zero, "n_numeric": by(c["c_num"], zero, zero), "n_date": by(zero, c["c_y2000"], zero),
-        "n_boolean": by(c["c_01"], zero, ne), "md_boolean": by(c["c_01"], zero, ne),
-        "md_date": by(zero, c["c_y1000"], zero), "md_currency_symbol": zero,
-        "md_numeric_any_symbol": by(c["c_num"], zero, zero), "md_pct_suffix": zero,
-        "md_num_0_100": by(c["c_0100"], zero, zero), "md_numeric": by(c["c_num"], zero, zero),
-        "ui_boolean": by(c["c_01"], zero, ne), "ui_date": by(zero, c["c_ts"], zero), "ui_time": zero,
-        "ui_percentage": zero, "ui_currency": zero, "ui_float": by(c["c_num"] - c["c_whole"], zero, zero),
-        "ui_integer": by(c["c_whole"], zero, zero), "ui_numeric": by(c["c_num"], zero, zero),
-        "st_boolean": by(zero, zero, ne), "st_number": by(c["c_num"], zero, zero),
-        "st_date": by(zero, c["c_ts"], zero),
-    }
-    out = ["kind", "rows", "missing", "non_empty"] + \
-        [derived[n].alias(n) for n in _COUNTED if n != "ui_num_plain"] + [derived["ui_numeric"].alias("ui_numeric")]
-    out += ["len_sum", "num_min", "num_max", "num_count"] + (["samples"] if with_samples else [])
-    return aggs, out
+        # the sketch of lengths also makes this an object-hash aggregate;
+        # smallest strings alone would sort all rows first
+        aggs.append(F.percentile_approx(F.when(F.col("p"), F.length("v")), 0.5, 100).alias("len_median"))
+        aggs.append(sample_values_expr(F.col("v"), F.col("digit")).alias("samples"))
+    return (step1, step2), aggs
 
 
 def distinct_counts(long: DataFrame, approx: bool = False) -> DataFrame:
     """(ordinal, column, distinct_ci, distinct_raw): distinct non-empty
     values, case-insensitive and trimmed (P3) and as stored (P5, P11, P12).
 
-    Exact mode deduplicates (column, value) pairs in one shuffle (map-side
-    combined, so a hot value costs one row per partition); approx mode uses
-    HLL sketches and shuffles nothing but the sketches."""
+    Exact mode shuffles 128-bit digests of the values, not the values: one
+    exchange deduplicates (column, folded digest, digest) triples (map-side
+    combined, so a hot value costs one row per partition), and both counts
+    come from that set.  Approx mode shuffles only HLL sketches."""
     raw = F.col("raw")
     present = long.filter(raw.isNotNull() & (F.trim(raw) != F.lit("")))
     if approx:
         return present.groupBy("ordinal", "column").agg(
             F.approx_count_distinct(F.lower(F.trim(raw))).alias("distinct_ci"),
             F.approx_count_distinct(raw).alias("distinct_raw"))
-    pairs = present.groupBy("ordinal", "column", "kind", raw.alias("raw")).agg(F.lit(1).alias("_one")).drop("_one")
-    per_raw = pairs.groupBy("ordinal", "column").agg(
-        F.count(F.lit(1)).alias("distinct_raw"), F.first("kind").alias("_kind"))
-    # typed values have one spelling, so only text needs the second pass
-    ci = pairs.filter(F.col("kind") == "string").select("ordinal", "column", F.lower(F.trim("raw")).alias("k")) \
-        .distinct().groupBy("ordinal", "column").agg(F.count(F.lit(1)).alias("_ci"))
-    return per_raw.join(ci, ["ordinal", "column"], "left").select(
-        "ordinal", "column", "distinct_raw", F.coalesce(F.col("_ci"), F.col("distinct_raw")).alias("distinct_ci"))
-
-
-def sample_values_expr(v: Column, present: Column, k: int = SAMPLE_VALUES) -> Column:
-    """P4 as an aggregate: the k most frequent non-empty values, from a
-    bounded-memory frequent-items sketch (``approx_top_k``), sorted.  It runs
-    inside the same grouped aggregate as the other counts, so the profile
-    stays a single pass; the reference's "first 100 rows" has no meaning
-    for unordered distributed data."""
-    top = F.call_function("approx_top_k", F.when(present, v), F.lit(k), F.lit(10000))
-    return F.array_sort(F.transform(top, lambda e: e.getField("item")))
+    # typed values have one spelling
+    folded = F.when(F.col("kind") == "string", F.lower(F.trim(raw))).otherwise(raw)
+    d = present.select("ordinal", "column", digest(folded).alias("folded"), digest(raw).alias("exact")).distinct()
+    per = d.groupBy("ordinal", "column", "folded").agg(F.count(F.lit(1)).alias("spellings"))
+    return per.groupBy("ordinal", "column").agg(F.sum("spellings").alias("distinct_raw"), F.count(F.lit(1)).alias("distinct_ci"))
+
+
+def digest(v: Column) -> Column:
+    """128 bits that stand for a value in a shuffle."""
+    return F.struct(F.xxhash64(v).alias("a"), F.xxhash64(F.lit("tabulon"), v).alias("b"))
+
+
+# Hash classes of the sample rule, the first hexadecimal digit of the MD5
+SAMPLE_CLASSES = "0123456789abcdef"
+
+
+def sample_values_expr(v: Column, digit: Column, k: int = SAMPLE_VALUES) -> Column:
+    """P4 as an aggregate: the smallest value of each of 16 hash classes, and
+    of those the k smallest, sorted.  The rule is order-based and mergeable,
+    so the samples are the same for any partitioning and any size, and it
+    runs inside the same grouped aggregate as the other counts; the
+    reference's "first 100 rows" has no meaning for unordered data."""
+    least = F.array(*[F.min(F.when(digit == c, v)) for c in SAMPLE_CLASSES])
+    return F.slice(F.array_sort(F.array_compact(least)), 1, k)
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -369,13 +293,8 @@ def profile(df: DataFrame, approx: bool = False, compat_order: bool = False,
     metadata_type, strict_type, fine_type, basic_type, num_min, num_max,
     num_count, high_cardinality, samples."""
     cols = columns or profiled_columns(df)
-    small = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
-    src = spread(df)
-    long = long_values(src, cols)
-    # large inputs: text and typed columns are unpivoted separately, so each
-    # scan reads only its own columns; small inputs (spread once) share one
-    # unpivot to keep the plan short
-    stats = column_stats(long, with_samples) if small else stats_by_kind(src, cols, with_samples)
+    long = long_values(df, cols)
+    stats = column_stats(long, with_samples)
     st = stats.join(distinct_counts(long, approx), ["ordinal", "column"], "left")
     st = st.fillna(0, ["distinct_ci", "distinct_raw"])
     t, dt = upload_types(compat_order)
@@ -407,10 +326,14 @@ def profile(df: DataFrame, approx: bool = False, compat_order: bool = False,
 # ------------------------------------------------------------------ P7 P8 P9
 
 def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Rows - distinct rows, exact.  One groupBy over all columns with
-    map-side combine; output one row (rows, distinct_rows, duplicate_rows)."""
+    """Rows - distinct rows.  One groupBy over a 128-bit digest of all
+    columns with map-side combine (long texts are not shuffled); output one
+    row (rows, distinct_rows, duplicate_rows)."""
     cols = columns or df.columns
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    # a null mask tells null from any value (a hash skips nulls)
+    mask = F.array(*[F.col(c).isNull() for c in cols])
+    row = F.struct(mask.alias("m"), F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit("tabulon"), *cols).alias("b"))
+    g = df.groupBy(row.alias("_row")).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("rows"),
                  F.count(F.lit(1)).alias("distinct_rows"),
                  F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))

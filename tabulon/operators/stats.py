@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import js_round
+from ..functions.predicates import floor_double, js_round
 
 # Thresholds of the result checks and outlier rules.
 MIN_CHART_POINTS = 2
@@ -63,7 +63,7 @@ def forecast(series: DataFrame, x: str = "x", y: str = "y", steps: int = FORECAS
     nxt = F.col("n") - 1 + F.col("step")
     pred = F.greatest(F.col("slope") * nxt + F.col("intercept"), F.lit(0.0))
     return out.select(*part, F.col("step").cast("long").alias("step"), F.concat(F.lit("Forecast +"), F.col("step").cast("string")).alias("x"),
-                      F.floor(pred + F.lit(0.5)).cast("long").alias("y"))
+                      floor_double(pred + F.lit(0.5)).alias("y"))
 
 
 def zscore_outliers(series: DataFrame, x: str = "x", y: str = "y", limit: float = Z_OUTLIER) -> DataFrame:
@@ -142,9 +142,9 @@ def weekend_vs_weekday(df: DataFrame, date_col: str, value_col: str | None) -> D
         F.avg(F.when(we, v)).alias("awe"), F.avg(F.when(~we, v)).alias("awd"),
         F.count_if(we).alias("weekend_rows"), F.count_if(~we).alias("weekday_rows"))
     pct = F.when((F.col("weekend_rows") > 0) & (F.col("weekday_rows") > 0) & (F.col("awd") > 0),
-                 F.floor((F.col("awe") - F.col("awd")) / F.col("awd") * F.lit(100.0) + F.lit(0.5)))
+                 floor_double((F.col("awe") - F.col("awd")) / F.col("awd") * F.lit(100.0) + F.lit(0.5)))
     return row.select(js_round("awe", 2).alias("avg_weekend"), js_round("awd", 2).alias("avg_weekday"),
-                      pct.cast("long").alias("pct_diff"), (pct > 0).alias("is_higher"),
+                      pct.alias("pct_diff"), (pct > 0).alias("is_higher"),
                       "weekend_rows", "weekday_rows")
 
 

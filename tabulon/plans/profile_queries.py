@@ -104,7 +104,25 @@ def p03_profile(spark, base):
     return out
 
 
-@register("p04_samples")
+_DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _samples_sql() -> str:
+    long = " UNION ALL ".join(f"SELECT {i} AS ordinal, trim(CAST({c} AS VARCHAR)) AS v FROM documents"
+                              for i, c in enumerate(_DOCUMENT_COLUMNS))
+    num = "TRY_CAST(trim(regexp_replace(v, '[$,]', '', 'g')) AS DOUBLE)"
+    return f"""
+WITH prof AS ({_duck_profile_sql("documents", _DOCUMENT_COLUMNS)}),
+long AS (SELECT * FROM ({long}) WHERE v <> ''),
+least AS (SELECT ordinal, min(v) AS m FROM long GROUP BY ordinal, substr(md5(v), 1, 1)),
+five AS (SELECT ordinal, list_sort(list(m))[1:5] AS samples FROM least GROUP BY ordinal),
+nums AS (SELECT ordinal, count(CASE WHEN isfinite({num}) THEN 1 END) AS num_count FROM long GROUP BY ordinal)
+SELECT ordinal, "column", type, detected_type, num_min, num_max, coalesce(num_count, 0) AS num_count, samples
+FROM prof LEFT JOIN five USING (ordinal) LEFT JOIN nums USING (ordinal)
+"""
+
+
+@register("p04_samples", _samples_sql())
 def p04_samples(spark, base):
     """P4 + P17: sample values and numeric summary of the documents table."""
     prof = PF.profile(table(spark, base, "documents"))

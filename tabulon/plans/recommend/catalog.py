@@ -251,17 +251,16 @@ def kpi_mapping(profile: DataFrame, overrides: DataFrame | None = None) -> DataF
     w = Window.partitionBy("dataset_id", "kpi").orderBy("syn_order", "ordinal")
     auto = hits.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1) \
         .select("dataset_id", "kpi", F.col("column").alias("auto_column"))
-    keys = F.broadcast(profile.select("dataset_id").distinct())
     if overrides is None:
         overrides = spark.createDataFrame([], "dataset_id string, kpi string, column string")
     ov = overrides.withColumnRenamed("column", "override_column")
     known = cols.select("dataset_id", F.col("column").alias("override_column"), F.lit(True).alias("_known"))
     ov = ov.join(known, ["dataset_id", "override_column"], "left")
     allk = auto.select("dataset_id", "kpi").unionByName(ov.select("dataset_id", "kpi")).distinct()
-    m = allk.join(auto, ["dataset_id", "kpi"], "left").join(ov, ["dataset_id", "kpi"], "left").join(keys, "dataset_id")
+    m = allk.join(auto, ["dataset_id", "kpi"], "left").join(ov, ["dataset_id", "kpi"], "left")
     good_ov = F.col("override_column").isNotNull() & F.coalesce(F.col("_known"), F.lit(False))
     col = F.when(good_ov, F.col("override_column")).otherwise(F.col("auto_column"))
-    label = F.concat(F.upper(F.substring("kpi", 1, 1)), F.regexp_replace(F.substring("kpi", 2, 1000), "_", " "))
+    label = F.concat(F.upper(F.substring("kpi", 1, 1)), F.regexp_replace(F.expr("substring(kpi, 2)"), "_", " "))
     err = F.when(F.col("override_column").isNotNull() & ~F.coalesce(F.col("_known"), F.lit(False)),
                  F.format_string('Column "%s" not found in schema. Cannot map KPI "%s".',
                                  F.col("override_column"), F.col("kpi")))

@@ -1,17 +1,19 @@
 """Ingestion, the dataset store and sinks.
 
-Datasets live in one Parquet table partitioned by ``org_id`` and
-``dataset_id``; every read names both, so Spark prunes to one partition
-folder (S11), replace/persist use dynamic partition overwrite (only the named
-partitions are rewritten), and append adds files.  A small Parquet catalog
-table holds dataset metadata (S4).
+Every dataset has Parquet folders of its own, named by the catalog row of its
+organisation and id, so a read touches no other dataset's files (S11) and
+datasets of different schemas never meet.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from datetime import datetime, timezone
+from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,7 @@ CORRUPT = "_corrupt_record"
 PREVIEW_ROWS = 50
 SAMPLE_ROWS = 10
 MAX_PROBLEM_SAMPLES = 10
+DELETED = "deleted"
 
 
 # ------------------------------------------------------------------ S5 S6
@@ -58,18 +61,23 @@ def header_errors(df: DataFrame, max_columns: int = MAX_COLUMNS) -> list[str]:
 
 # ------------------------------------------------------------------ S1 S2
 
-def read_csv(spark: SparkSession, path: str, keep_corrupt: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, keep_corrupt: bool = False, multi_line: bool = True) -> DataFrame:
     """Header row, every cell a string, trimmed, '' -> null, blank lines
     skipped, headers sanitized.  Rows with more fields than the header land
     in ``_corrupt_record`` (kept only with ``keep_corrupt``; see
-    ``csv_errors`` for the fail-on-too-many-fields check)."""
-    header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    ``csv_errors`` for the fail-on-too-many-fields check).
+
+    Quoted fields may hold line ends and doubled quotes.  That costs the
+    splitting of single files (each file is read by one task); for large
+    files without such fields ``multi_line=False`` reads them in splits."""
+    options = {"quote": '"', "escape": '"', "multiLine": str(multi_line).lower()}
+    header = spark.read.option("header", True).option("inferSchema", False).options(**options).csv(path).columns
     keep = [i for i, h in enumerate(header) if (h or "").strip()]
     names = sanitize_headers(header)
     raw_names = [f"_c{i}" for i in range(len(header))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in raw_names] +
                           [T.StructField(CORRUPT, T.StringType())])
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
+    df = (spark.read.option("header", True).option("mode", "PERMISSIVE").options(**options)
           .option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path))
     cols = [F.nullif(F.trim(F.col(raw_names[i])), F.lit("")).alias(n) for i, n in zip(keep, names)]
     if keep_corrupt:
@@ -122,90 +130,110 @@ def types_from_profile(profile: DataFrame) -> dict[str, str]:
 # ------------------------------------------------------------------ store
 
 class DatasetStore:
-    """Datasets in ``<root>/rows`` (Parquet partitioned by org_id,
-    dataset_id) and metadata in ``<root>/catalog`` (Parquet)."""
+    """Datasets as versioned Parquet folders, metadata in a catalog.
+
+    A dataset's rows live in part folders ``<root>/rows/<org>/<dataset>/<id>``
+    that are written once and never changed; its catalog row names the parts
+    that make it up and their merged schema.  A change writes new parts first
+    and switches the catalog row last, so a crash in between leaves the old
+    state readable.  The catalog is partitioned by (org_id, dataset_id) and
+    only the partition of the dataset concerned is rewritten."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.rows_path = f"{self.root}/rows"
         self.catalog_path = f"{self.root}/catalog"
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
 
     # S3 / S11
     def read(self, org_id: str, dataset_id: str, limit: int | None = None, order_key: str | None = None) -> DataFrame:
-        """Rows of one dataset; the org/dataset filter prunes partitions.
+        """Rows of one dataset of one organisation, from its own parts only.
         ``limit`` gives the first n rows by ``order_key`` (preview / sample)."""
-        df = self.spark.read.parquet(self.rows_path).filter(
-            (F.col("org_id") == org_id) & (F.col("dataset_id") == dataset_id)).drop("org_id", "dataset_id")
+        meta = self.meta(org_id, dataset_id)
+        if meta is None:
+            raise KeyError(f"dataset {dataset_id!r} of {org_id!r} not found")
+        schema = T.StructType.fromJson(json.loads(meta["schema"]))
+        df = (self.spark.read.schema(schema).parquet(*meta["parts"]) if meta["parts"]
+              else self.spark.createDataFrame([], schema))
         if limit is not None:
             df = (df.orderBy(order_key) if order_key else df).limit(limit)
         return df
 
-    def _write_rows(self, df: DataFrame, org_id: str, dataset_id: str, mode: str) -> None:
-        (df.withColumn("org_id", F.lit(org_id)).withColumn("dataset_id", F.lit(dataset_id))
-         .write.mode(mode).partitionBy("org_id", "dataset_id").parquet(self.rows_path))
-
     def catalog(self) -> DataFrame:
+        """Metadata of all datasets; empty only if no catalog has been written."""
         try:
-            return self.spark.read.parquet(self.catalog_path)
-        except Exception:  # noqa: BLE001 - no catalog yet
+            return self.spark.read.schema(_CATALOG_SCHEMA).parquet(self.catalog_path).filter(F.col("status") != DELETED)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], _CATALOG_SCHEMA)
 
+    def meta(self, org_id: str, dataset_id: str) -> dict | None:
+        row = self.catalog().filter((F.col("org_id") == org_id) & (F.col("dataset_id") == dataset_id)).first()
+        return row.asDict() if row else None
+
     def _put_meta(self, meta: dict) -> None:
-        old = self.catalog().filter(~((F.col("org_id") == meta["org_id"]) &
-                                      (F.col("dataset_id") == meta["dataset_id"])))
-        new = self.spark.createDataFrame([meta], _CATALOG_SCHEMA)
-        # the catalog is one row per dataset; rewrite it via a fresh folder
-        # so the read and the overwrite never touch the same files
-        out = old.unionByName(new)
-        tmp = f"{self.catalog_path}.__next"
-        out.write.mode("overwrite").parquet(tmp)
-        self.spark.read.parquet(tmp).write.mode("overwrite").parquet(self.catalog_path)
+        (self.spark.createDataFrame([meta], _CATALOG_SCHEMA).coalesce(1).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("org_id", "dataset_id").parquet(self.catalog_path))
+
+    def _write_part(self, df: DataFrame, org_id: str, dataset_id: str) -> str:
+        part = f"{self.root}/rows/{quote(org_id, safe='')}/{quote(dataset_id, safe='')}/{uuid.uuid4().hex}"
+        df.write.parquet(part)
+        return part
 
     # S8 / S9
     def import_rows(self, df: DataFrame, org_id: str, dataset_id: str, file_name: str, mode: str = "confirm",
                     problem_count: int = 0, problem_samples: list | None = None) -> None:
-        """S8: 'confirm' / 'preview' create the dataset, 'replace' rewrites
-        its partition, 'append' adds rows (bag union), sums problem counts
-        and keeps at most 10 problem samples."""
-        meta_old = self.catalog().filter((F.col("org_id") == org_id) & (F.col("dataset_id") == dataset_id)).first()
+        """S8: 'confirm' / 'preview' create the dataset, 'replace' puts new
+        rows (also none) in the place of the old, 'append' adds rows (bag
+        union; new columns are null in old rows, known ones keep their type),
+        sums problem counts and keeps at most 10 problem samples."""
+        old = self.meta(org_id, dataset_id)
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        n = df.count()
-        if mode == "append" and meta_old is not None:
-            self._write_rows(df, org_id, dataset_id, "append")
-            samples = (list(meta_old["problem_samples"] or []) + list(problem_samples or []))[:MAX_PROBLEM_SAMPLES]
-            meta = dict(meta_old.asDict(), row_count=meta_old["row_count"] + n,
-                        problem_count=meta_old["problem_count"] + problem_count, problem_samples=samples,
-                        updated_at=now)
+        if mode == "append" and old is not None:
+            known = T.StructType.fromJson(json.loads(old["schema"]))
+            types = {f.name: f.dataType for f in known.fields}
+            df = df.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+            part = self._write_part(df, org_id, dataset_id)
+            schema = T.StructType(known.fields + [f for f in df.schema.fields if f.name not in types])
+            samples = (list(old["problem_samples"] or []) + list(problem_samples or []))[:MAX_PROBLEM_SAMPLES]
+            meta = dict(old, parts=[*old["parts"], part], schema=schema.json(), columns=schema.names,
+                        row_count=old["row_count"] + self.spark.read.parquet(part).count(),
+                        problem_count=old["problem_count"] + problem_count, problem_samples=samples, updated_at=now)
         else:
-            self._write_rows(df, org_id, dataset_id, "overwrite")
-            meta = {"org_id": org_id, "dataset_id": dataset_id, "file_name": file_name, "row_count": n,
+            part = self._write_part(df, org_id, dataset_id)
+            meta = {"org_id": org_id, "dataset_id": dataset_id, "file_name": file_name, "parts": [part],
+                    "row_count": self.spark.read.schema(df.schema).parquet(part).count(), "schema": df.schema.json(),
                     "columns": list(df.columns), "status": "preview" if mode == "preview" else "confirmed",
                     "problem_count": problem_count, "problem_samples": list(problem_samples or [])[:MAX_PROBLEM_SAMPLES],
-                    "created_at": now, "updated_at": now}
+                    "created_at": old["created_at"] if old and mode == "replace" else now, "updated_at": now}
         self._put_meta(meta)
+        for gone in set(old["parts"] if old else []) - set(meta["parts"]):
+            delete_folder(self.spark, gone)
 
     # S10
     def delete(self, org_id: str, dataset_id: str) -> None:
-        """Drop the dataset's partition folder and its catalog row."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.rows_path}/org_id={org_id}/dataset_id={dataset_id}")
-        path.getFileSystem(conf).delete(path, True)
-        keep = self.catalog().filter(~((F.col("org_id") == org_id) & (F.col("dataset_id") == dataset_id)))
-        tmp = f"{self.catalog_path}.__next"
-        keep.write.mode("overwrite").parquet(tmp)
-        self.spark.read.parquet(tmp).write.mode("overwrite").parquet(self.catalog_path)
+        """Mark the dataset's catalog row as deleted, then drop its parts."""
+        old = self.meta(org_id, dataset_id)
+        if old is None:
+            return
+        self._put_meta(dict(old, parts=[], columns=[], row_count=0, status=DELETED))
+        for part in old["parts"]:
+            delete_folder(self.spark, part)
 
     # S4
     def list(self, org_id: str) -> DataFrame:
         return self.catalog().filter(F.col("org_id") == org_id).orderBy(F.desc("created_at"), "dataset_id")
 
 
-_CATALOG_SCHEMA = ("org_id string, dataset_id string, file_name string, row_count long, columns array<string>, "
-                   "status string, problem_count long, problem_samples array<string>, created_at timestamp_ntz, "
-                   "updated_at timestamp_ntz")
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_CATALOG_SCHEMA = ("file_name string, parts array<string>, schema string, row_count long, columns array<string>, status string, "
+                   "problem_count long, problem_samples array<string>, created_at timestamp_ntz, "
+                   "updated_at timestamp_ntz, org_id string, dataset_id string")
 
 
 def append_rows(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -215,15 +243,24 @@ def append_rows(old: DataFrame, new: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ S12 S13
 
-def persist_results(df: DataFrame, path: str, partition: str = "dataset_id") -> None:
-    """Write precomputed results, replacing only the partitions
-    (datasets) present in ``df``."""
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    df.write.mode("overwrite").partitionBy(partition).parquet(path)
+def persist_results(df: DataFrame, path: str, datasets: list[str], partition: str = "dataset_id") -> None:
+    """Write precomputed results in the place of the old ones of the
+    named datasets; a dataset without new rows loses its old ones."""
+    spark = df.sparkSession
+    df = df.filter(F.col(partition).isin(datasets))
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition).parquet(path))
+    # the dynamic overwrite leaves partitions without new rows as they were
+    full = {r[0] for r in df.select(partition).distinct().collect()}  # at most len(datasets)
+    stored = spark.read.parquet(path).filter(F.col(partition).cast("string").isin(sorted(set(datasets) - full)))
+    files = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    for (folder,) in stored.select(files).distinct().collect():  # one per dataset emptied
+        delete_folder(spark, folder)
 
 
 def export_series_csv(series: DataFrame, path: str, columns=("x", "y", "n")) -> None:
-    """Aggregated series as CSV with a header, every field quoted and
-    quotes doubled.  Series are bounded by their buckets, so one file."""
-    (series.select(*columns).coalesce(1).write.mode("overwrite")
+    """Series as CSV files with a header, every field quoted and quotes
+    doubled; one file per partition of the series (a small one, after AQE
+    has coalesced it, is one file)."""
+    (series.select(*columns).write.mode("overwrite")
      .option("header", True).option("quoteAll", True).option("escape", '"').csv(path))

@@ -1,17 +1,22 @@
 """Catalog-wide recommendation jobs (R1-R23) over the column profiles of
 every dataset.
 
-``column_profile`` profiles each dataset with the P1 job and writes the
+``column_profile`` profiles each dataset in a P1 job of its own and writes the
 (small) result once to the shared checkpoint folder, so all later steps read
-a materialized table instead of re-running the profile, and a lost executor
+a written table instead of re-running the profile, and a lost executor
 never forces a recompute of the scans.  Everything after that is joins on
 ``dataset_id`` and windows partitioned by it.
 """
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ...operators import profile as PF
 from ...session import ensure_checkpoint_dir
@@ -23,7 +28,6 @@ from . import semantics as S
 PROFILE_COLUMNS = ["dataset_id", "ordinal", "column", "kind", "type", "detected_type", "fine_type", "strict_type",
                    "metadata_type", "null_ratio", "unique_ratio", "cardinality_count", "cardinality_class",
                    "missing_pct", "distinct_raw", "rows", "non_empty", "n_email", "n_phone", "n_url", "len_sum"]
-_PROFILE_CACHE: dict = {}
 # KPI synonyms, question words and suggested questions.
 KPI_SYNONYMS = {
     "revenue": ["revenue", "sales_amount", "sales", "total", "amount"],
@@ -40,27 +44,26 @@ ASC_WORDS_RE = r"(?i)worst|bottom|lowest"
 LIMIT_RE = r"\b([1-9]|10)\b"
 AGG_WORDS = [("avg", r"(?i)avg|average|mean"), ("min", r"(?i)min|minimum|least"),
              ("max", r"(?i)max|maximum|most"), ("count", r"(?i)count|number of|how many")]
+DATE_NAME_RE = r"(?i)date|time|day|month|year|timestamp|created_at|updated_at|period"
 SUGGESTED_QUESTIONS = ["Which %s performs best?", "Show %s by %s.", "Why did %s drop?", "What are the top 5 %s?"]
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def column_profile(spark: SparkSession, base: str, tables, strip_prefix: bool = False) -> DataFrame:
-    """Profile every dataset and materialize the column table once."""
-    key = (spark.sparkContext.applicationId, base, tuple(tables), strip_prefix)
-    if key in _PROFILE_CACHE:
-        return _PROFILE_CACHE[key]
-    ensure_checkpoint_dir(spark)
-    parts = []
-    for t in tables:
-        p = PF.profile(table(spark, base, t), with_samples=False)
-        parts.append(p.withColumn("dataset_id", F.lit(t)).select(*PROFILE_COLUMNS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # written once into the shared folder named by spark.checkpoint.dir
-    out = S.materialize(out)
-    _PROFILE_CACHE[key] = out
-    return out
+#: profile jobs that run at a time
+PROFILE_JOBS = 4
+
+
+def column_profile(spark: SparkSession, base: str, tables) -> DataFrame:
+    """Profile every dataset in a job of its own, so that no plan grows with
+    the number of datasets, into one table partitioned by dataset_id."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+    def one(t: str) -> T.StructType:
+        p = PF.profile(table(spark, base, t), with_samples=False).select(*[c for c in PROFILE_COLUMNS if c != "dataset_id"])
+        p.coalesce(1).write.parquet(f"{folder}/dataset_id={t}")  # one row per column
+        return p.schema
+
+    with ThreadPoolExecutor(PROFILE_JOBS) as pool:
+        schemas = list(pool.map(one, tables))
+    schema = T.StructType([*schemas[0].fields, T.StructField("dataset_id", T.StringType())])
+    return spark.read.schema(schema).option("basePath", folder).parquet(folder).select(*PROFILE_COLUMNS)
 
 
 def datasets_of(profile: DataFrame) -> DataFrame:
@@ -68,43 +71,60 @@ def datasets_of(profile: DataFrame) -> DataFrame:
         .distinct()
 
 
-_SEM_CACHE: dict = {}
+class Recommendation:
+    """The tables of one run of R1-R17 over a profile table, each written
+    when first asked for.  It knows nothing but the profile it was given:
+    after the data has changed, make a new profile and a new run."""
 
+    def __init__(self, profile: DataFrame, with_domain: bool = True):
+        self.profile, self.with_domain = profile, with_domain
 
-def semantics(profile: DataFrame, strip_prefix: bool = True) -> DataFrame:
-    """R1 + R2 over a profile, materialized once per profile table."""
-    key = (profile.sparkSession.sparkContext.applicationId, id(profile), strip_prefix)
-    if key not in _SEM_CACHE:
-        _SEM_CACHE[key] = S.materialize(S.classify(profile, strip_prefix))
-    return _SEM_CACHE[key]
+    @cached_property
+    def sem(self) -> DataFrame:
+        """R1 + R2."""
+        return S.materialize(S.classify(self.profile))
 
+    @cached_property
+    def relationships(self) -> DataFrame:
+        return S.materialize(S.relationships(self.sem))
 
-_REC_CACHE: dict = {}
+    @cached_property
+    def intents(self) -> DataFrame:
+        return S.materialize(S.intents(self.relationships, self.sem))
 
+    @cached_property
+    def domains(self) -> DataFrame:
+        return S.materialize(D.classify_domains(self.profile.select("dataset_id", "column"), datasets_of(self.profile)))
 
-def recommend(profile: DataFrame, strip_prefix: bool = True, with_domain: bool = True):
-    """R1-R17 end to end -> (final KPI table, final chart table), built once
-    per profile table and materialized."""
-    key = (profile.sparkSession.sparkContext.applicationId, id(profile), strip_prefix, with_domain)
-    if key not in _REC_CACHE:
-        k, c = _recommend(profile, strip_prefix, with_domain)
-        _REC_CACHE[key] = (S.materialize(k), S.materialize(c))
-    return _REC_CACHE[key]
+    @cached_property
+    def kpi_candidates(self) -> DataFrame:
+        return S.materialize(C.kpi_candidates(self.intents, self.sem))
 
+    @cached_property
+    def chart_candidates(self) -> DataFrame:
+        return S.materialize(C.chart_candidates(self.intents, self.sem))
 
-def _recommend(profile: DataFrame, strip_prefix: bool = True, with_domain: bool = True):
-    sem = semantics(profile, strip_prefix)
-    rel = S.materialize(S.relationships(sem))
-    ints = S.materialize(S.intents(rel, sem))
-    kc = S.materialize(C.kpi_candidates(ints, sem))
-    cc = S.materialize(C.chart_candidates(ints, sem))
-    if with_domain:
-        doms = S.materialize(D.classify_domains(profile.select("dataset_id", "column"), datasets_of(profile)))
-        dk = D.domain_kpi_candidates(sem, doms)
-        dc = D.domain_chart_candidates(sem, doms)
-        kc = kc.unionByName(_checked_domain_kpis(dedupe_domain_kpis(kc, dk), sem), allowMissingColumns=True)
-        cc = cc.unionByName(_checked_domain_charts(dc, cc, sem), allowMissingColumns=True)
-    return C.final_kpis(S.materialize(kc)), C.final_charts(S.materialize(cc))
+    @cached_property
+    def kpis(self) -> DataFrame:
+        kc = self.kpi_candidates
+        if self.with_domain:
+            dk = D.domain_kpi_candidates(self.sem, self.domains)
+            kc = S.materialize(kc.unionByName(_checked_domain_kpis(dedupe_domain_kpis(kc, dk), self.sem), allowMissingColumns=True))
+        return S.materialize(C.final_kpis(kc))
+
+    @cached_property
+    def charts(self) -> DataFrame:
+        cc = self.chart_candidates
+        if self.with_domain:
+            dc = D.domain_chart_candidates(self.sem, self.domains)
+            cc = S.materialize(cc.unionByName(_checked_domain_charts(dc, cc, self.sem), allowMissingColumns=True))
+        return S.materialize(C.final_charts(cc))
+
+
+def recommend(profile: DataFrame, with_domain: bool = True):
+    """R1-R17 end to end -> (final KPI table, final chart table)."""
+    run = Recommendation(profile, with_domain)
+    return run.kpis, run.charts
 
 
 def _checked_domain_kpis(dk: DataFrame, sem: DataFrame) -> DataFrame:
@@ -280,28 +300,24 @@ def _reference_type(profile: DataFrame) -> Column:
         .when(F.col("kind") == "boolean", F.lit("boolean")).otherwise(st)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast a side only when its row count is proven small."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def route_questions(questions: DataFrame, profile: DataFrame) -> DataFrame:
     """Route each question (dataset_id, question_id, question) to an
     analysis operation by word rules; the column a question names (else the
-    first of its type) becomes metric / group / date."""
-    cols = profile.select("dataset_id", "ordinal", "column", _reference_type(profile).alias("rtype"))
-    cols = bounded_broadcast(cols)
+    first of its type) becomes metric / group / date.
+
+    A dataset's columns travel as one array, so a question stays one row, and
+    the join splits a dataset that has very many questions (AQE)."""
+    cols = profile.groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct(
+        "ordinal", F.col("column").alias("c"), _reference_type(profile).alias("rtype")))).alias("_cols"))  # <= MAX_COLUMNS
     q = questions.join(cols, "dataset_id", "left")
-    named = F.lower(F.col("question")).contains(F.lower(F.col("column")))
+    low = F.lower(F.col("question"))
 
     def pick(kinds):
-        in_kind = F.col("rtype").isin(kinds)
-        return F.min(F.when(in_kind, F.struct(F.when(named, 0).otherwise(1), F.col("ordinal"), F.col("column")
-                                              .alias("c")))).getField("c")
-    g = q.groupBy("dataset_id", "question_id", "question").agg(
-        pick(["number"]).alias("metric"), pick(["string", "boolean"]).alias("group_by"),
-        pick(["date"]).alias("date_column"))
+        of = F.filter("_cols", lambda x: x["rtype"].isin(kinds))
+        named = F.filter(of, lambda x: F.contains(low, F.lower(x["c"])))
+        return F.coalesce(F.get(named, F.lit(0)), F.get(of, F.lit(0)))["c"]
+    g = q.select("dataset_id", "question_id", "question", pick(["number"]).alias("metric"),
+                 pick(["string", "boolean"]).alias("group_by"), pick(["date"]).alias("date_column"))
     ql = F.col("question")
     cmp = F.col("date_column").isNotNull() & ql.rlike(COMPARE_WORDS_RE)
     top = ql.rlike(TOP_WORDS_RE)
@@ -334,13 +350,15 @@ def rewrite_specs(specs: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def series_kind(specs: DataFrame, sem: DataFrame) -> DataFrame:
-    """Temporal when x is a typed/parsed date or has the temporal role;
-    scatter when the aggregation is none; else category.  (A date-like
-    *name* alone is not enough: the column must parse as a date.)"""
+    """Scatter when the aggregation is none; temporal when x is a
+    typed/parsed date, has the temporal role, or its name holds a date word;
+    else category.  (Charts over a column that does not parse as a date have
+    no buckets; ``temporal_series`` drops such values.)"""
     x = sem.select("dataset_id", F.col("column").alias("x_field"), F.col("type").alias("x_type"),
                    F.col("semantic_role").alias("x_role"))
     j = specs.join(x, ["dataset_id", "x_field"], "left")
-    temporal = F.col("x_type") == "date"
+    temporal = (F.col("x_type") == "date") | (F.col("x_role") == S.TEMPORAL) | \
+        (F.col("x_type").isNotNull() & F.col("x_field").rlike(DATE_NAME_RE))
     kind = F.when(F.lower(F.col("aggregation")) == "none", F.lit("scatter")) \
         .when(temporal, F.lit("temporal")).otherwise(F.lit("category"))
     return j.select(*specs.columns, kind.alias("series_kind"))

@@ -165,11 +165,8 @@ def any_pattern(name: Column, patterns: list[str]) -> Column:
     return name.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
 
-def normalized_name(column: Column, strip_prefix: bool = False) -> Column:
-    n = F.regexp_replace(F.lower(F.trim(column)), r"\s+", "_")
-    if strip_prefix:
-        n = F.regexp_replace(n, r"^[a-z]{1,2}_", "")
-    return n
+def normalized_name(column: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(column)), r"\s+", "_")
 
 
 def physical_type(t: Column) -> Column:
@@ -180,7 +177,7 @@ def physical_type(t: Column) -> Column:
             .otherwise(F.lit("string")))
 
 
-def classify(profile: DataFrame, strip_prefix: bool = False) -> DataFrame:
+def classify(profile: DataFrame) -> DataFrame:
     """R1 + R2: semantic role, confidence and analytical flags per column.
 
     The normalized name and one boolean per pattern family are projected
@@ -189,7 +186,7 @@ def classify(profile: DataFrame, strip_prefix: bool = False) -> DataFrame:
             "f_temp": TEMPORAL_PATTERNS, "f_pct": PERCENTAGE_PATTERNS, "f_ord": ORDINAL_PATTERNS,
             "f_demo": DEMOGRAPHIC_PATTERNS, "f_money": MONETARY_PATTERNS, "f_add": ADDITIVE_PATTERNS,
             "f_ratio": RATIO_PATTERNS, "f_status": STATUS_PATTERNS, "f_geo": GEOGRAPHIC_PATTERNS}
-    base = profile.withColumn("_name", normalized_name(F.col("column"), strip_prefix))
+    base = profile.withColumn("_name", normalized_name(F.col("column")))
     base = base.select("*", *[any_pattern(F.col("_name"), pats).alias(k) for k, pats in fams.items()])
     f = {k: F.col(k) for k in fams}
     t = F.col("type")

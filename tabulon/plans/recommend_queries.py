@@ -106,12 +106,35 @@ SELECT dataset_id, CASE WHEN hit THEN cust ELSE x_field END AS x_field, y_field,
 """
 
 
+_RUNS: dict[str, CT.Recommendation] = {}
+
+
+def _state(spark, base: str) -> tuple:
+    """What the input files are at this moment: count, bytes, and a checksum of
+    paths, lengths and times.  Only the listing is read."""
+    f = None
+    for t in CATALOG_TABLES:
+        one = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{base.rstrip('/')}/{t}.parquet").select("path", "length", "modificationTime")
+        f = one if f is None else f.unionByName(one)
+    return tuple(f.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+
+
+def _run(spark, base) -> CT.Recommendation:
+    """The run that these queries share; a new one whenever the session, the
+    folder or a file in it is another."""
+    key = (spark.sparkContext.applicationId, base, _state(spark, base))
+    if _RUNS.get("key") != key:
+        _RUNS.clear()
+        _RUNS.update(key=key, run=CT.Recommendation(CT.column_profile(spark, base, CATALOG_TABLES)))
+    return _RUNS["run"]
+
+
 def _profile(spark, base):
-    return CT.column_profile(spark, base, CATALOG_TABLES)
+    return _run(spark, base).profile
 
 
 def _sem(spark, base):
-    return CT.semantics(_profile(spark, base), strip_prefix=True)
+    return _run(spark, base).sem
 
 
 @register("r01_roles")
@@ -142,49 +165,40 @@ def r05_domains(spark, base):
 
 @register("r06_relationships")
 def r06_relationships(spark, base):
-    return S.relationships(_sem(spark, base))
+    return _run(spark, base).relationships
 
 
 @register("r07_capabilities")
 def r07_capabilities(spark, base):
-    sem = _sem(spark, base)
-    return S.capabilities(S.materialize(S.relationships(sem)), sem)
+    run = _run(spark, base)
+    return S.capabilities(run.relationships, run.sem)
 
 
 @register("r08_intents")
 def r08_intents(spark, base):
-    sem = _sem(spark, base)
-    return S.intents(S.materialize(S.relationships(sem)), sem)
+    return _run(spark, base).intents
 
 
 @register("r09_kpi_candidates")
 def r09_kpi_candidates(spark, base):
-    sem = _sem(spark, base)
-    ints = S.materialize(S.intents(S.materialize(S.relationships(sem)), sem))
-    return C.score_kpis(C.kpi_candidates(ints, sem))
+    return C.score_kpis(_run(spark, base).kpi_candidates)
 
 
 @register("r10_chart_candidates")
 def r10_chart_candidates(spark, base):
-    sem = _sem(spark, base)
-    ints = S.materialize(S.intents(S.materialize(S.relationships(sem)), sem))
-    return C.score_charts(C.chart_candidates(ints, sem))
+    return C.score_charts(_run(spark, base).chart_candidates)
 
 
 @register("r11_domain_kpis")
 def r11_domain_kpis(spark, base):
-    p = _profile(spark, base)
-    sem = _sem(spark, base)
-    doms = S.materialize(D.classify_domains(p.select("dataset_id", "column"), CT.datasets_of(p)))
-    return D.domain_kpi_candidates(sem, doms)
+    run = _run(spark, base)
+    return D.domain_kpi_candidates(run.sem, run.domains)
 
 
 @register("r12_domain_charts")
 def r12_domain_charts(spark, base):
-    p = _profile(spark, base)
-    sem = _sem(spark, base)
-    doms = S.materialize(D.classify_domains(p.select("dataset_id", "column"), CT.datasets_of(p)))
-    return D.domain_chart_candidates(sem, doms)
+    run = _run(spark, base)
+    return D.domain_chart_candidates(run.sem, run.domains)
 
 
 @register("r13_external_specs")
@@ -199,14 +213,14 @@ def r13_external_specs(spark, base):
 
 @register("r17_final_kpis")
 def r17_final_kpis(spark, base):
-    kpis, _ = CT.recommend(_profile(spark, base))
+    kpis = _run(spark, base).kpis
     return kpis.select("dataset_id", "rank", "kpi", "column", "aggregation", "title", "format", "semantic_role",
                        "priority", "score", "source")
 
 
 @register("r17_final_charts")
 def r17_final_charts(spark, base):
-    _, charts = CT.recommend(_profile(spark, base))
+    charts = _run(spark, base).charts
     return charts.select("dataset_id", "rank", "chart_type", "x_field", "y_field", "aggregation", "title",
                          "priority", "score", "intent_type", "source")
 

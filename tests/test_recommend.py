@@ -54,7 +54,7 @@ def test_aggregation_validation(spark):
 
 
 def test_pipeline_limits(spark):
-    kpis, charts = CT.recommend(_profile(spark, HR), strip_prefix=False)
+    kpis, charts = CT.recommend(_profile(spark, HR))
     k = kpis.collect()
     assert 0 < len(k) <= 6 and all(r["semantic_role"] != S.SENSITIVE for r in k)
     c = charts.collect()

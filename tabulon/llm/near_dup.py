@@ -12,14 +12,16 @@ dropped; a link needs the exact test 100 * |A and B| >= percent * |A or B| on
 the full sets.  A pair at the threshold shares no band with probability
 (1 - 0.85^5)^24, 8 in ten million.
 
-Only components are wanted, so links are confirmed in two rounds.  In the first,
-every set of candidates proposes a spanning forest of its accepted pairs, best
-estimates first.  In the second, all accepted pairs whose ends are still in
-different components are confirmed.  Thousands of near copies of a text thus
-cost thousands of confirmations, not millions, and no link is lost.
-
-A band value with more than ``CHUNK`` classes is split into chunks by a hash,
-and every pair of chunks is a task's group of its own.
+Only components are wanted, so no list of pairs is made.  Classes that share
+bands, directly or in chains, form a cluster; nothing outside a cluster can link
+with it.  A task gets some classes of one cluster with their sketches and full
+sets, confirms accepted pairs, best estimates first, as long as their ends are
+not yet connected, and returns the links that connect something.  Clusters of
+up to ``CHUNK`` classes are done in one such step.  Larger ones are cut into
+chunks by a hash: first each chunk alone, then one class of every component
+found, and last every class outside the cluster's largest component against all
+chunks, which leaves no pair of different components untested.  Thousands of
+near copies of a text thus cost rows in proportion to their number.
 
 Results for odd input: a null or empty text, or one of white space alone, has
 no shingles, links with nothing and is its own component; equal sets link;
@@ -44,9 +46,10 @@ SAMPLES = BANDS * ROWS
 #: bits of an odd sketch
 BITS = 512
 SLACK = 0.17
-CHUNK = 1024
-#: shingles sampled at a time, and pairs compared at a time
-SLAB, PAIRS = 4096, 262_144
+CHUNK = 256
+#: shingles sampled at a time, pairs tested one by one before a whole group is
+#: counted at once, and columns of that count
+SLAB, SINGLE, COLUMNS = 4096, 4096, 8192
 
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,105 +119,110 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return d.mapInArrow(sign, "doc_id long, text_hash long, n long, key binary, bands array<long>, sketch binary")
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Indexes of the edges of a maximum spanning forest: every tree takes
-    its heaviest edge to another, until there is none."""
-    label, kept = np.arange(n), []
-    rank = np.empty(len(a), np.int64)
-    rank[np.lexsort((b, a, -weight))] = np.arange(len(a))  # all different, so no cycles
-    live = np.arange(len(a))
-    while True:
-        live = live[label[a[live]] != label[b[live]]]
-        if not len(live):
-            return np.array(sorted(set(kept)), np.int64)
-        best = np.full(n, len(a), np.int64)
-        np.minimum.at(best, label[a[live]], rank[live])
-        np.minimum.at(best, label[b[live]], rank[live])
-        by_rank = np.empty(len(a), np.int64)
-        by_rank[rank] = np.arange(len(a))
-        pick = by_rank[np.unique(best[best < len(a)])]
-        kept += pick.tolist()
-        while True:  # merge the labels of the picked edges
-            x, y = label[a[pick]], label[b[pick]]
-            if (x == y).all():
-                break
-            low, high = np.minimum(x, y), np.maximum(x, y)
-            to = np.arange(n)
-            np.minimum.at(to, high, low)
-            while (to != to[to]).any():
-                to = to[to]
-            label = to[label]
-
-
-def _accepted(group: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray, least: float):
-    """Index pairs of rows of one group (rows sorted by group) that the sketch
-    accepts, with their estimates: those of a chunk with itself or with the
-    other chunk, in different components."""
-    ends = np.searchsorted(group, group, "right")
-    at, step = np.arange(len(group)), 1
-    xs, ys, es = [], [], []
-    while True:
-        at = at[at + step < ends[at]]
-        if not len(at):
-            break
-        other = at + step
-        ok = (comp[at] != comp[other]) & ((i[at] == j[at]) | (own[at] != own[other]))
-        small, large = np.minimum(n[at], n[other]), np.maximum(n[at], n[other])
-        ok &= small >= (least + SLACK) * large - 1e-9  # no smaller share can reach the threshold
-        p, q = at[ok], other[ok]
-        for k in range(0, len(p), PAIRS):
-            e = estimate(np.bitwise_count(sketch[p[k:k + PAIRS]] ^ sketch[q[k:k + PAIRS]]).sum(1))
-            good = e >= least
-            xs.append(p[k:k + PAIRS][good]), ys.append(q[k:k + PAIRS][good]), es.append(e[good])
-        step += 1
-    if not xs:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
+def _exact(items: list[np.ndarray], p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of full sets pass the exact test, pair by pair."""
+    ok = np.empty(len(p), bool)
+    for k, (i, j) in enumerate(zip(p.tolist(), q.tolist())):
+        x, y = items[i], items[j]
+        both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+        ok[k] = 100 * both >= percent * (len(x) + len(y) - both)
+    return ok
+
+
+def _shared(items: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets, as products of 0/1 columns."""
+    n = np.array([len(x) for x in items])
+    value, of = np.concatenate(items), np.repeat(np.arange(len(items)), n)
+    order = np.argsort(value, kind="stable")
+    value, of = value[order], of[order]
+    first = np.concatenate([[True], value[1:] != value[:-1]])
+    column = np.cumsum(first) - 1
+    often = np.bincount(column)[column] > 1
+    _, column = np.unique(column[often], return_inverse=True)
+    of = of[often]
+    both = np.zeros((len(items), len(items)), np.float32)
+    for k in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [k, k + COLUMNS])
+        part = np.zeros((len(items), COLUMNS), np.float32)
+        part[of[lo:hi], column[lo:hi] - k] = 1
+        both += part @ part.T
+    return both.astype(np.int64)
+
+
+def connect(comp: np.ndarray, loose: np.ndarray, n: np.ndarray, sketch: np.ndarray, items: list[np.ndarray], percent: int, cross: bool) -> list[tuple[int, int]]:
+    """Confirmed links that join different components of one group of rows;
+    with ``cross`` only pairs of a loose row and another are looked at."""
+    size = len(n)
+    least = percent / 100 - SLACK
+    i, j = (np.repeat(np.flatnonzero(loose), (~loose).sum()), np.tile(np.flatnonzero(~loose), loose.sum())) if cross else np.triu_indices(size, 1)
+    ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))  # sizes alone can rule a pair out
+    i, j = i[ok], j[ok]
+    est = estimate(np.bitwise_count(sketch[i] ^ sketch[j]).sum(1)) if len(i) else np.empty(0)
+    order = np.argsort(-est[est >= least], kind="stable")
+    i, j = i[est >= least][order], j[est >= least][order]
+    _, label = np.unique(comp, return_inverse=True)
+    both, found = None, []
+    while len(i):
+        if both is None and len(i) > SINGLE:
+            both = _shared(items)
+        step = len(i) if both is not None else 64
+        p, q = i[:step], j[:step]
+        if both is not None:
+            hit = 100 * both[p, q] >= percent * (n[p] + n[q] - both[p, q])
+        else:
+            hit = _exact(items, p, q, percent)
+        for x, y in zip(p[hit].tolist(), q[hit].tolist()):
+            if label[x] != label[y]:
+                found.append((x, y))
+                label[label == label[y]] = label[x]
+        i, j = i[step:], j[step:]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+    return found
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _proposals(rows: DataFrame, threshold: float, only_forest: bool) -> DataFrame:
-    """Candidate pairs (a < b) from rows (band, i, j, own, c, comp, n, sketch)."""
-    least = threshold - SLACK
-    parts = rows.repartition(partitions(rows.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j", "c")
+def _links(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
+    """Links (a, b) from groups (g, i, j) of rows (c, comp, loose, n, sketch, items)."""
+    parts = rows.repartition(partitions(rows.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j")
 
     def emit(t: pa.Table):
-        t = t.combine_chunks()
-        col = {x: t.column(x).to_numpy() for x in ("band", "i", "j", "own", "c", "comp", "n")}
-        new = np.ones(len(t), bool)
-        new[1:] = (np.diff(col["band"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0)
+        key = np.stack([t.column(x).to_numpy() for x in ("g", "i", "j")], 1)
+        c, comp, n = (t.column(x).to_numpy() for x in ("c", "comp", "n"))
+        loose = np.array(t.column("loose").to_pylist(), bool)
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(t), -1)
-        p, q, e = _accepted(np.cumsum(new), col["own"], col["i"], col["j"], col["comp"], col["n"], sketch, least)
-        if only_forest and len(p):
-            # trees are grown over rows; a class in several bands is a row in each
-            f = forest(len(t), p, q, e)
-            p, q = p[f], q[f]
-        if len(p):
-            x, y = col["c"][p], col["c"][q]
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            yield table(_PAIR, a=both[:, 0], b=both[:, 1])
-
-    def propose(batches):
+        items = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(key, axis=0) != 0).any(1), [True]]))
+        out = []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if hi - lo > 1:
+                s = slice(lo, hi)
+                out += [(int(c[lo + x]), int(c[lo + y])) for x, y in connect(comp[s], loose[s], n[s], sketch[s], items[s], percent, cross)]
+        if out:
+            a, b = zip(*out)
+            yield table(_PAIR, a=a, b=b)
+
+    def work(batches):
         held: list[pa.RecordBatch] = []
         for b in batches:
-            # rows up to the last change of group are whole groups
-            keys = np.stack([b.column(x).to_numpy() for x in (0, 1, 2)], 1)
-            change = np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1
-            starts_new = bool(held) and tuple(keys[0]) != tuple(held[-1].column(x)[held[-1].num_rows - 1].as_py() for x in (0, 1, 2))
-            if starts_new:
-                yield from emit(pa.Table.from_batches(held))
-                held = []
-            cut = int(change[-1]) if len(change) else 0
-            if cut:
-                yield from emit(pa.Table.from_batches([*held, b.slice(0, cut)]))
-                held = []
-            held.append(b.slice(cut))
+            for k in range(0, b.num_rows, CHUNK):  # whole groups of a few hundred rows at a time
+                piece = b.slice(k, CHUNK)
+                keys = np.stack([piece.column(x).to_numpy() for x in (0, 1, 2)], 1)
+                change = np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1
+                if held and tuple(keys[0]) != tuple(held[-1].column(x)[held[-1].num_rows - 1].as_py() for x in (0, 1, 2)):
+                    yield from emit(pa.Table.from_batches(held))
+                    held = []
+                cut = int(change[-1]) if len(change) else 0
+                if cut:
+                    yield from emit(pa.Table.from_batches([*held, piece.slice(0, cut)]))
+                    held = []
+                held.append(piece.slice(cut))
         if held:
             yield from emit(pa.Table.from_batches(held))
 
-    return parts.select("band", "i", "j", "own", "c", "comp", "n", "sketch").mapInArrow(propose, "a long, b long").distinct()
+    return parts.select("g", "i", "j", "c", "comp", "loose", "n", "sketch", "items").mapInArrow(work, "a long, b long")
 
 
 _SET = pa.schema([("c", pa.int64()), ("items", pa.binary())])
@@ -238,24 +246,40 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return j.mapInArrow(build, "c long, items binary").dropDuplicates(["c"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that pass the exact test on the full sets."""
-    one = sets.select(F.col("c").alias("a"), F.col("items").alias("x"))
-    two = sets.select(F.col("c").alias("b"), F.col("items").alias("y"))
-    j = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with their component under the links found so far."""
+    of = written(components(links), "components").select(F.col("node").alias("c"), "root")
+    return members.join(of, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
 
-    def test(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], schema=_PAIR)
 
-    return j.mapInArrow(test, "a long, b long")
+def _confirmed(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the members (g, c, n, sketch, items) of every
+    cluster g as all links would."""
+    none = F.lit(0).cast("long")
+    size = members.groupBy("g").agg(F.count("*").alias("size"))
+    chunks = F.ceil(F.col("size") / CHUNK)
+    rows = members.join(size, "g").withColumn("chunk", F.pmod(F.xxhash64("c"), chunks))
+    links = written(_links(rows.select("*", F.col("c").alias("comp"), F.lit(False).alias("loose"), F.col("chunk").alias("i"), F.col("chunk").alias("j")), percent, False), "links")
+    large = rows.filter(F.col("size") > CHUNK)
+    if large.isEmpty():
+        return links
+    # one class of every component of a large cluster
+    heads = _labelled(large, links).filter("c = comp")
+    n = heads.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    heads = heads.join(n, "g").withColumn("i", F.pmod(F.xxhash64(F.lit(1), "c"), F.col("parts"))).withColumn("j", F.col("i"))
+    links = links.unionByName(written(_links(heads.withColumn("loose", F.lit(False)), percent, False), "links"))
+    # what is outside the largest component, against everything
+    now = written(_labelled(large.select("g", "c", "chunk", "size"), links), "labels")
+    per = now.groupBy("g", "comp").agg(F.count("*").alias("n"))
+    top = per.groupBy("g").agg(F.max(F.struct("n", "comp")).alias("t"), F.sum("n").alias("all")).select("g", F.col("t.comp").alias("top"), (F.col("all") - F.col("t.n")).alias("outside"))
+    now = now.join(top.filter("outside > 0"), "g")
+    if now.isEmpty():
+        return links
+    parts = F.ceil(F.col("outside") / CHUNK)
+    loose = now.filter("comp <> top").withColumn("i", F.pmod(F.xxhash64(F.lit(2), "c"), parts)).withColumn("j", F.explode(F.sequence(none, F.ceil(F.col("size") / CHUNK) - 1)))
+    others = now.withColumn("i", F.explode(F.sequence(none, parts - 1))).withColumn("j", F.col("chunk"))
+    both = loose.withColumn("loose", F.lit(True)).unionByName(others.withColumn("loose", F.lit(False))).select("g", "i", "j", "c", "comp", "loose")
+    return links.unionByName(written(_links(both.join(members.drop("g"), "c"), percent, True), "links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -266,27 +290,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = (rows.filter("n > 0").groupBy("key").agg(F.min("row").alias("c"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     classes = written(classes, "classes")
     bands = classes.select("c", F.posexplode("bands").alias("k", "v")).select("c", F.xxhash64("k", "v").alias("band"))
-    many = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    m = bands.join(many, "band")
-    chunks = F.ceil(F.col("size") / CHUNK)
-    m = m.withColumn("own", F.pmod(F.xxhash64("c"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    m = m.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c")
-    m = written(m.join(classes.select("c", "n", "sketch"), "c"), "candidates")
-
-    pairs = written(_proposals(m.withColumn("comp", F.col("c")), percent / 100, True), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    ends = classes.select("c", "least", "key").join(wanted, "c")
-    sets = written(_sets(docs, ends, width), "sets")
-    links = written(_confirmed(pairs, sets, percent), "links")
-    of = written(components(links), "components")
-    label = m.join(of.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("root", "c"))
-    rest = written(_proposals(label, percent / 100, False).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = rest.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(sets.select("c"), "c", "left_anti")
-        if not more.isEmpty():
-            sets = sets.unionByName(written(_sets(docs, classes.select("c", "least", "key").join(more, "c"), width), "sets"))
-        links = links.unionByName(_confirmed(rest, sets, percent))
-        of = written(components(links), "components")
+    many = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("c").alias("first")).filter("size > 1")
+    stars = bands.join(many, "band").select(F.col("c").alias("a"), F.col("first").alias("b"))
+    cluster = components(stars)
+    g = cluster.unionByName(cluster.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("c"), F.col("root").alias("g"))
+    members = written(classes.select("c", "least", "key", "n", "sketch").join(g, "c"), "clusters")
+    sets = _sets(docs, members.select("c", "least", "key"), width)
+    members = written(members.select("g", "c", "n", "sketch").join(sets, "c"), "members")
+    of = written(components(_confirmed(members, percent)), "components")
     c = classes.select("key", "c", "least").join(of.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = c.groupBy("root").agg(F.min("least").alias("component_id"))
     c = c.join(least, "root").select("key", "root", "component_id")

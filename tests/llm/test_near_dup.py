@@ -60,14 +60,16 @@ def test_one_of_each_group_stays(odd):
     out = N.drop_near_duplicates(odd, 5, 80)
     assert out.columns == odd.columns
     rows = [(r[0], r[1]) for r in odd_rows()]
-    want = {(d, t) for d, t in rows if not words(t)}
-    best = {}
-    for (d, t) in rows:
-        if words(t):
-            key = min((x for x, u in rows if u and 100 * len(sets(t, 5) & sets(u, 5)) >= 80 * len(sets(t, 5) | sets(u, 5)) and x is not None), default=None)
-            best.setdefault(key, []).append((d, t))
-    for key, members in best.items():
-        want.add(min(members, key=lambda m: (m[0] is None, m[0] or 0)))
+    want, left = set(), list(range(len(rows)))
+    while left:
+        group, todo = {left[0]}, [left[0]]
+        while todo:
+            x = sets(rows[todo.pop()][1], 5) if words(rows[left[0]][1]) else set()
+            new = {k for k in left if k not in group and x and words(rows[k][1]) and 100 * len(x & sets(rows[k][1], 5)) >= 80 * len(x | sets(rows[k][1], 5))}
+            group |= new
+            todo += new
+        want.add(min((rows[k] for k in group), key=lambda m: (m[0] is None, m[0] or 0)))
+        left = [k for k in left if k not in group]
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
 
 
@@ -86,19 +88,34 @@ def test_odd_sketch_estimates_high_similarities():
         assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < N.SLACK
 
 
-def test_forest():
+def test_groups_connect_as_all_links_do():
     rng = np.random.default_rng(11)
-    for _ in range(30):
-        a, b = rng.integers(0, 30, 60), rng.integers(0, 30, 60)
-        w = rng.integers(0, 5, 60).astype(float)
-        f = N.forest(30, a, b, w)
-        label, total = list(range(30)), 0.0
-        for k in np.argsort(-w, kind="stable"):
-            x, y = label[a[k]], label[b[k]]
-            if x != y:
-                total += w[k]
-                label = [x if v == y else v for v in label]
-        assert len(f) == 30 - len(set(label)) and w[f].sum() == total
+    for trial in range(20):
+        base = rng.integers(0, 2**62, 60, dtype=np.uint64)
+        items = []
+        for _ in range(25):
+            x = base.copy()
+            k = rng.integers(0, 9)
+            x[rng.choice(60, k, replace=False)] = rng.integers(0, 2**62, k, dtype=np.uint64)
+            items.append(np.unique(x))
+        n = np.array([len(x) for x in items])
+        sketch = np.stack([N.odd_sketch(N.samples(x)) for x in items])
+        comp = np.arange(25)
+        want = list(range(25))
+        for a in range(25):
+            for b in range(a):
+                both = len(np.intersect1d(items[a], items[b]))
+                if 100 * both >= 85 * (n[a] + n[b] - both):
+                    want = [want[a] if w == want[b] else w for w in want]
+        for single in (0, 10_000):
+            N.SINGLE, keep = single, N.SINGLE
+            links = N.connect(comp, np.zeros(25, bool), n, sketch, items, 85, False)
+            N.SINGLE = keep
+            got = list(range(25))
+            for a, b in links:
+                assert got[a] != got[b]
+                got = [got[a] if w == got[b] else w for w in got]
+            assert len(set(got)) == len(set(want)) == 25 - len(links)
 
 
 def test_components(spark):

@@ -20,8 +20,8 @@ from pyspark import TaskContext
 DOCS, BYTES, BUCKET_DOCS = 4096, 8_000_000, 4096
 
 
-def batched(record_batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
-    """(number, ids, texts) for batches of rows (doc_id, text)."""
+def batched(record_batches: Iterable[pa.RecordBatch], most: int = BYTES) -> Iterator[tuple[int, list, list]]:
+    """(number, ids, texts) for batches of rows (doc_id, text) of about ``most`` bytes."""
     part = TaskContext.get().partitionId()
     k, ids, texts, size = 0, [], [], 0
     for b in record_batches:
@@ -29,7 +29,7 @@ def batched(record_batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, lis
             t = text.as_py()
             ids.append(doc), texts.append(t)
             size += len(t) if t else 0
-            if len(ids) >= DOCS or size >= BYTES:
+            if len(ids) >= DOCS or size >= most:
                 yield (part << 24) + k, ids, texts
                 k, ids, texts, size = k + 1, [], [], 0
     if ids:

@@ -35,6 +35,8 @@ from .common import drop_written, mix64, pieces, table, written
 from .words import hashes, words
 
 LENGTH = 13
+#: bytes of text per batch; a task holds about thirty times that while it looks at windows
+BYTES = 2_500_000
 _LAST = np.iinfo(np.int64).max
 
 _BATCH = pa.schema([("batch", pa.int64()), ("data", pa.binary())])
@@ -91,7 +93,7 @@ def text_batches(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def gather(record_batches):
-        for number, ids, texts in batched(record_batches):
+        for number, ids, texts in batched(record_batches, BYTES):
             raw = [t.encode() if t else b"" for t in texts]
             yield table(_BATCH, batch=[number], data=[packed(
                 ids=np.array([0 if i is None else i for i in ids], np.int64), known=np.array([i is not None for i in ids], np.uint8),

@@ -60,12 +60,13 @@ def test_one_of_each_group_stays(odd):
     out = N.drop_near_duplicates(odd, 5, 80)
     assert out.columns == odd.columns
     rows = [(r[0], r[1]) for r in odd_rows()]
+    s = [sets(t, 5) if words(t) else set() for _, t in rows]
     want, left = set(), list(range(len(rows)))
     while left:
         group, todo = {left[0]}, [left[0]]
         while todo:
-            x = sets(rows[todo.pop()][1], 5) if words(rows[left[0]][1]) else set()
-            new = {k for k in left if k not in group and x and words(rows[k][1]) and 100 * len(x & sets(rows[k][1], 5)) >= 80 * len(x | sets(rows[k][1], 5))}
+            x = s[todo.pop()]
+            new = {k for k in left if k not in group and x and s[k] and 100 * len(x & s[k]) >= 80 * len(x | s[k])}
             group |= new
             todo += new
         want.add(min((rows[k] for k in group), key=lambda m: (m[0] is None, m[0] or 0)))

@@ -114,7 +114,7 @@ class Bucket:
         """Seat all customers anew, each given the others."""
         t_w = self.root_customers(self.t)
         rest = t_w[self.word] - self.t
-        tables = np.where(rest > 0, self.t0[self.word], 0)
+        tables = np.minimum(self.t0[self.word], rest)  # no more tables than customers that stay
         own = rest - D0 * tables + (S0 + D0 * np.maximum(g.root_tables - (self.t0[self.word] - tables), 0)) / (g.v + 1)
         p = own / (S0 + np.maximum(g.root_customers - self.t, 0))
         a = (S1 + D1 * np.maximum(g.tables[self.context] - self.t, 0)) * p

@@ -79,3 +79,15 @@ def test_nothing_to_learn_from(spark):
     ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
     out = lm.score_documents(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")).collect()
     assert [(r.n_known, r.train_tokens) for r in out] == [(0, 0)] * 3 and all(np.isfinite(r.score) for r in out)
+
+
+def test_a_word_served_mostly_in_one_context():
+    """Taking its customers out leaves fewer than the root has tables."""
+    rng = np.random.default_rng(3)
+    b = lm.Bucket(np.arange(1, dtype=np.uint64), np.array([0, 0]), np.array([1, 2]), np.array([90_000, 2]))
+    b.t, b.t0 = np.array([5_000, 1]), np.array([4_000])
+    g = lm.Totals(b.context_sums(b.c), b.context_sums(b.t), b.t0.sum(), 1)
+    for _ in range(5):
+        b.sweep(g, rng)
+        assert (b.t >= 1).all() and (b.t <= b.c).all() and 1 <= b.t0[0] <= b.t.sum()
+        g = lm.Totals(b.context_sums(b.c), b.context_sums(b.t), b.t0.sum(), 1)

@@ -7,6 +7,9 @@ Column names are resolved from the schema only; no data is read for that.
 
 from __future__ import annotations
 
+from datetime import date, datetime
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,10 +73,43 @@ def equality_filters(df: DataFrame, filters: dict | None) -> DataFrame:
             continue
         c = lower.get(str(k).lower())
         if c is not None:
-            conds.append(F.col(c) == F.lit(v))
+            lit = literal_for(df.schema[c].dataType, v)
+            conds.append(F.lit(False) if lit is None else F.col(c) == F.lit(lit))
     return df.filter(all_of(conds)) if conds else df
 
 
+def literal_for(dt: T.DataType, v):
+    """A filter value as a value of the column's type, so that the comparison
+    is pushed into the scan; None if it is no value of that type."""
+    try:
+        if isinstance(dt, T.BooleanType):
+            return v if isinstance(v, bool) else {"true": True, "false": False}.get(str(v).strip().lower())
+        if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            d = Decimal(str(v).strip())
+            return int(d) if d == d.to_integral_value() and abs(d) < 2**63 else None
+        if isinstance(dt, (T.FloatType, T.DoubleType)):
+            return float(str(v).strip())
+        if isinstance(dt, T.DecimalType):
+            return Decimal(str(v).strip())
+        if isinstance(dt, T.DateType):
+            return v if isinstance(v, date) else date.fromisoformat(str(v).strip())
+        if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+            return v if isinstance(v, datetime) else datetime.fromisoformat(str(v).strip())
+    except (ArithmeticError, ValueError):
+        return None
+    return str(v)
+
+
+def combined_filters(df: DataFrame, filters: dict | None, date_col: str | None) -> DataFrame:
+    """F1 + F2: a whole filter map.  The key 'date' (today / 7days / 30days)
+    is a window on ``date_col`` that ends at the largest date of the dataset
+    as given, not of the rows that the other filters leave."""
+    from .periods import relative_date_filter
+    window = (filters or {}).get("date")
+    dated = relative_date_filter(df, date_col, window) if date_col and window else df
+    return equality_filters(dated, filters)
+
+
 def contains_all(df: DataFrame, terms: dict) -> DataFrame:
     """every listed column must contain its term (case-insensitive);
     null never matches; empty terms are ignored."""
@@ -153,6 +189,15 @@ def sort_mixed(df: DataFrame, column: str, ascending: bool = True, tie: str | No
     return df.orderBy(*mixed_sort_keys(column, ascending, tie))
 
 
+def sort_uploads(df: DataFrame, by: str, ascending: bool = True, tie: str | None = None) -> DataFrame:
+    """T5: an upload list by a count, a date or a text: numbers and dates in
+    their own order, texts as T1 sorts them; nulls last either way."""
+    if kind_of(df.schema[by].dataType) == "string":
+        return sort_mixed(df, by, ascending, tie)
+    c = F.col(by)
+    return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last(), *([F.col(tie).asc()] if tie else []))
+
+
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """Ordered limit (runs as TakeOrderedAndProject)."""
     return df.orderBy(*order).limit(n)

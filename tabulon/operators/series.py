@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import clean_number, col_, js_round
+from ..functions.predicates import any_of, clean_number, col_, js_round
 from .periods import _us
 
+#: rank accuracy of the median sketches
+MEDIAN_ACCURACY = 10_000
 DAY_US = 24 * 60 * 60 * 1_000_000
 AGGS = ("sum", "avg", "min", "max", "count")
 # Bucket-size thresholds in days (upper bounds, inclusive).
@@ -42,12 +44,11 @@ def agg_expr(agg: str, y: str | Column | None) -> Column:
         return F.min(v).cast("double")
     if agg == "max":
         return F.max(v).cast("double")
+    if agg == "median_approx":
+        # a sketch: rank error at most 1 / MEDIAN_ACCURACY of the rows
+        return F.percentile_approx(v, 0.5, MEDIAN_ACCURACY).cast("double")
     if agg == "median":
-        # lower median from a bounded-memory quantile sketch; exact while
-        # the row count stays below the accuracy (1e6), rank error 1e-6 beyond
-        return F.percentile_approx(v, 0.5, 1_000_000).cast("double")
-    if agg == "median_exact":
-        return F.median(v).cast("double")
+        raise ValueError("the exact median is a plan, not an aggregate: see group_medians")
     if agg == "count_values":
         return F.count(v).cast("double")
     if agg in ("distinct", "count_distinct"):
@@ -55,13 +56,55 @@ def agg_expr(agg: str, y: str | Column | None) -> Column:
     raise ValueError(f"unknown aggregate {agg!r}")
 
 
+def group_medians(df: DataFrame, keys: list[str], y: str) -> DataFrame:
+    """Exact lower and upper middle value of ``y`` per group, at any size:
+    (keys, lower, upper).
+
+    A sketch brackets the middle; equal values are counted once (map-side
+    combined), those below the bracket are summed, and only the distinct
+    values inside it are ranked."""
+    vals = df.select(*keys, F.col(y).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    near = [0.5 - 2 / MEDIAN_ACCURACY, 0.5 + 2 / MEDIAN_ACCURACY]
+    bracket = vals.groupBy(*keys).agg(F.percentile_approx("_v", near, MEDIAN_ACCURACY).alias("_b"), F.count(F.lit(1)).alias("_total"))
+    bracket = bracket.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_b", "_total")
+    counts = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    if keys:
+        c = counts.join(bracket, on)
+    else:  # one group: its bracket is one row
+        b = bracket.select(F.struct("_b", "_total")).scalar()
+        c = counts.withColumn("_b", b.getField("_b")).withColumn("_total", b.getField("_total"))
+    # everything below the bracket becomes one row at its lower end's left
+    left = F.when(F.col("_v") < F.col("_b")[0], F.lit(float("-inf"))).otherwise(F.col("_v"))
+    c = c.filter(F.col("_v") <= F.col("_b")[1]).groupBy(*keys, left.alias("_v")).agg(F.sum("_n").alias("_n"), F.first("_total").alias("_total"))
+    run = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v"))
+    r = c.withColumn("_run", run).filter(F.col("_run") >= F.ceil(F.col("_total") / 2))
+    first = F.min("_v").alias("lower")
+    upper = F.min(F.when(F.col("_run") >= F.floor(F.col("_total") / 2) + 1, F.col("_v"))).alias("upper")
+    return r.groupBy(*keys).agg(first, upper)
+
+
+def _joined_median(grouped: DataFrame, df: DataFrame, x: str, y: str) -> DataFrame:
+    """``grouped`` (x, ...) with the exact lower median of y as column y."""
+    m = group_medians(df, [x], y).select(F.col(x).alias("_mx"), F.col("lower").alias("y"))
+    return grouped.join(m, F.col("x").eqNullSafe(F.col("_mx")), "left").drop("_mx")
+
+
 # ----------------------------------------------------------------- A1 / A27
 
 def kpi_aggregates(df: DataFrame, specs: list[tuple[str, str, str]]) -> DataFrame:
     """Many aggregates in one pass -> one row.
 
-    ``specs`` are (output name, column, aggregate)."""
-    return df.agg(*[agg_expr(a, c).alias(n) for n, c, a in specs])
+    ``specs`` are (output name, column, aggregate); a median is a scalar of
+    its own plan."""
+    rest = [agg_expr(a, c).alias(n) for n, c, a in specs if a != "median"]
+    out = df.agg(*(rest or [F.count(F.lit(1)).alias("_rows")]))
+    for n, c, a in specs:
+        if a == "median":
+            out = out.withColumn(n, group_medians(df, [], c).select("lower").scalar())
+    return out.select(*[n for n, _, _ in specs])
 
 
 def ui_kpi(df: DataFrame, column: str, agg: str) -> DataFrame:
@@ -94,6 +137,9 @@ def group_aggregate(df: DataFrame, x: str, y: str | None, agg: str = "sum",
     """Group by a category -> (x, y, n), sorted by y desc then x.
 
     The null key is its own group, as in the reference."""
+    if agg == "median":
+        g = df.groupBy(F.col(x).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        return _joined_median(g, df, x, y).select(F.col("x").alias(x_alias), "y", "n").orderBy(F.desc("y"), F.asc(x_alias))
     return (df.groupBy(F.col(x).alias(x_alias))
             .agg(agg_expr(agg, y).alias("y"), F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("y"), F.asc(x_alias)))
@@ -142,6 +188,14 @@ def bucket_by(ts: Column, granularity: Column) -> Column:
     return out
 
 
+def bucket_start(ts: Column, granularity: Column) -> Column:
+    """First instant of the bucket, for a granularity given as a Column."""
+    out = None
+    for g in ("day", "week", "month", "quarter", "year"):
+        out = F.when(granularity == g, F.date_trunc(g, ts)) if out is None else out.when(granularity == g, F.date_trunc(g, ts))
+    return out
+
+
 def temporal_series(df: DataFrame, date_col: str, y: str | None = None, agg: str = "sum",
                     granularity: str | None = None) -> DataFrame:
     """A10 + A11: time-bucketed aggregation -> (x, y, n, granularity).
@@ -151,18 +205,15 @@ def temporal_series(df: DataFrame, date_col: str, y: str | None = None, agg: str
     are dropped; rows sorted by label (chronological for every label form).
     """
     d = F.col(date_col)
-    if granularity is None:
-        g = granularity_scalar(df, date_col)
-        label = bucket_by(d, g)
-    else:
-        g = F.lit(granularity)
-        label = bucket_label(d, granularity)
-    # non-null dates always give a non-null label, so the date filter is
-    # the only null check needed
-    return (df.filter(d.isNotNull())
-            .groupBy(label.alias("x"))
+    g = granularity_scalar(df, date_col) if granularity is None else F.lit(granularity)
+    # rows are grouped by the start of their bucket; only the few groups get labels
+    start = bucket_start(d, g) if granularity is None else F.date_trunc(granularity, d)
+    d = F.col("_start")
+    label = bucket_by(d, g) if granularity is None else bucket_label(d, granularity)
+    return (df.filter(F.col(date_col).isNotNull())
+            .groupBy(start.alias("_start"))
             .agg(agg_expr(agg, y).alias("y"), F.count(F.lit(1)).alias("n"))
-            .withColumn("granularity", g)
+            .select(label.alias("x"), "y", "n", g.alias("granularity"))
             .orderBy("x"))
 
 
@@ -186,12 +237,16 @@ def top_with_other(df: DataFrame, x: str, y: str | None, agg: str = "sum",
     folded by a partial+final aggregate.  Output: (x, y, n, rank).
     """
     v = None if (agg == "count" or y is None or y == "_count") else F.col(y)
-    g = df.groupBy(F.col(x).cast("string").alias("x")).agg(
-        agg_expr(agg, y).alias("y"), F.count(F.lit(1)).alias("n"),
+    df = df.withColumn("_x", F.col(x).cast("string"))
+    value = F.lit(None).cast("double") if agg == "median" else agg_expr(agg, y)
+    g = df.groupBy(F.col("_x").alias("x")).agg(
+        value.alias("y"), F.count(F.lit(1)).alias("n"),
         (F.sum(v) if v is not None else F.count(F.lit(1))).cast("double").alias("s"),
         (F.count(v) if v is not None else F.count(F.lit(1))).alias("c"),
         (F.min(v) if v is not None else F.lit(None)).cast("double").alias("mn"),
         (F.max(v) if v is not None else F.lit(None)).cast("double").alias("mx"))
+    if agg == "median":
+        g = _joined_median(g.drop("y"), df, "_x", y)
     n_groups = g.select(F.count(F.lit(1))).scalar()
     order = [F.desc_nulls_last("y"), F.asc_nulls_first("x")]
     top = g.orderBy(*order).limit(cap)
@@ -210,6 +265,10 @@ def top_with_other(df: DataFrame, x: str, y: str | None, agg: str = "sum",
         oy = F.col("mx")
     elif agg == "count" or v is None:
         oy = F.col("n").cast("double")
+    elif agg != "sum":
+        # neither follows from the groups: computed from the rest's own rows
+        rows = df.join(F.broadcast(head), df["_x"].eqNullSafe(head["tx"]), "left_anti")
+        oy = (group_medians(rows, [], y).select("lower") if agg == "median" else rows.agg(agg_expr(agg, y).alias("v"))).scalar()
     else:
         oy = F.coalesce(F.col("s"), F.lit(0.0))
     other = folded.filter(n_groups > cap).select(
@@ -257,6 +316,29 @@ def first_value(df: DataFrame, x: str, y: str, order_key: str) -> DataFrame:
     return df.groupBy(F.col(x).alias("x")).agg(F.min_by(F.col(y), F.col(order_key)).alias("y"))
 
 
+# ----------------------------------------------------------------- A31
+
+# Words of KPI or column names that call for an average, and of
+# KPI names that call for a distinct count.
+AVERAGE_WORDS = ["salary", "rating", "attendance", "margin", "ratio", "pct", "percent", "avg", "average", "score", "age"]
+DISTINCT_KPI_WORDS = ["customer", "employee", "headcount"]
+NUMBER_TYPES = ["numeric", "currency", "percentage"]
+EXPLICIT_AGGREGATES = ["avg", "sum", "count", "min", "max"]
+
+
+def choose_aggregate(kpi, column, column_type, explicit) -> Column:
+    """An explicit aggregate wins (count_distinct and distinct are one);
+    else numbers are averaged if a name says so and summed if not; ids and
+    people are counted distinct; anything else is counted."""
+    k, c = F.lower(F.coalesce(col_(kpi), F.lit(""))), F.lower(F.coalesce(col_(column), F.lit("")))
+    e = F.lower(F.trim(col_(explicit)))
+    rate = any_of([x.contains(w) for w in AVERAGE_WORDS for x in (k, c)])
+    ident = c.endswith("id") | c.contains("id_") | c.contains("_id") | any_of([k.contains(w) for w in DISTINCT_KPI_WORDS])
+    return (F.when(e.isin("count_distinct", "distinct"), F.lit("distinct")).when(e.isin(EXPLICIT_AGGREGATES), e)
+            .when(col_(column_type).isin(NUMBER_TYPES), F.when(rate, F.lit("avg")).otherwise(F.lit("sum")))
+            .when(ident, F.lit("distinct")).otherwise(F.lit("count")))
+
+
 # ----------------------------------------------------------------- A20
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:

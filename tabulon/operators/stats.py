@@ -1,17 +1,21 @@
 """Statistics and result checks.
 
-G1 computes every column pair in one aggregate pass (the pairs are pairs of
-*columns*, bounded by the schema, never pairs of rows).  G2-G5 and A26 work
+G1 sums the outer products of the columns in one pass (its size is the square
+of the number of columns, never of rows).  G2-G5 and A26 work
 on aggregated series, whose size is bounded by the number of buckets, so a
 global aggregate or window over them is cheap.  A24 is one pass over rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import floor_double, js_round
+from .series import group_medians
 
 # Thresholds of the result checks and outlier rules.
 MIN_CHART_POINTS = 2
@@ -27,21 +31,21 @@ def correlation_matrix(df: DataFrame, columns: list[str], digits: int = 3) -> Da
     """G1: Pearson correlation of every pair of numeric columns over all
     rows; nulls count as 0; zero variance gives 0.  Long form
     (variable, other, correlation), both orders and the diagonal."""
-    vals = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
-    aggs = []
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    for k, (a, b) in enumerate(pairs):
-        r = F.try_divide(F.covar_pop(vals[a], vals[b]),
-                         F.stddev_pop(vals[a]) * F.stddev_pop(vals[b]))
-        aggs.append(F.coalesce(r, F.lit(0.0)).alias(f"r{k}"))
-    row = df.agg(*aggs)
-    structs = []
-    for k, (a, b) in enumerate(pairs):
-        v = js_round(F.col(f"r{k}"), digits)
-        structs.append(F.struct(F.lit(a).alias("variable"), F.lit(b).alias("other"), v.alias("correlation")))
-        if a != b:
-            structs.append(F.struct(F.lit(b).alias("variable"), F.lit(a).alias("other"), v.alias("correlation")))
-    return row.select(F.inline(F.array(*structs)))
+    vals = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)])
+    # one mergeable sum of outer products, whatever the number of columns
+    vector = VectorAssembler(inputCols=vals.columns, outputCol="v", handleInvalid="keep").transform(vals).select("v")
+    row = Correlation.corr(vector, "v").first() if not df.isEmpty() else None
+    r = row[0].toArray() if row else np.zeros((len(columns), len(columns)))  # columns^2 numbers
+    r = np.where(np.isnan(r), 0.0, r)
+    flat = ~np.any(np.abs(r - np.eye(len(columns))) > 0, axis=1)
+    out = [(a, b, float(r[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    constant = [c for c, lone in zip(columns, flat) if lone]
+    out = df.sparkSession.createDataFrame(out, "variable string, other string, correlation double")
+    if constant:  # a column without variance correlates with nothing, itself included
+        spread = vals.agg(*[F.coalesce(F.stddev_pop(f"c{columns.index(c)}"), F.lit(0.0)).alias(c) for c in constant]).first()
+        dead = [c for c in constant if not spread[c]]
+        out = out.withColumn("correlation", F.when(F.col("variable").isin(dead) | F.col("other").isin(dead), F.lit(0.0)).otherwise(F.col("correlation")))
+    return out.withColumn("correlation", js_round("correlation", digits))
 
 
 def forecast(series: DataFrame, x: str = "x", y: str = "y", steps: int = FORECAST_STEPS,
@@ -66,15 +70,19 @@ def forecast(series: DataFrame, x: str = "x", y: str = "y", steps: int = FORECAS
                       floor_double(pred + F.lit(0.5)).alias("y"))
 
 
+def _moments(s: DataFrame, v: str) -> Column:
+    """struct(mean, sd, cnt) of a column, as a scalar of one aggregate."""
+    return s.agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.count(F.lit(1)).alias("cnt")).select(F.struct("mean", "sd", "cnt")).scalar()
+
+
 def zscore_outliers(series: DataFrame, x: str = "x", y: str = "y", limit: float = Z_OUTLIER) -> DataFrame:
     """Points with |z| > limit, population sd (0 -> 1), needs >= 3
     points.  Output (idx, x, y, z, side)."""
-    w_all = Window.partitionBy()
     v = F.coalesce(F.col(y).cast("double"), F.lit(0.0))
     s = series.select(F.col(x).alias("x"), F.col(y).alias("y"), v.alias("v"))
+    m = _moments(s, "v")
     s = s.withColumn("idx", (F.row_number().over(Window.orderBy("x")) - 1).cast("long"))
-    s = s.withColumn("mean", F.avg("v").over(w_all)).withColumn("sd", F.stddev_pop("v").over(w_all)) \
-        .withColumn("cnt", F.count(F.lit(1)).over(w_all))
+    s = s.select("*", m.getField("mean").alias("mean"), m.getField("sd").alias("sd"), m.getField("cnt").alias("cnt"))
     sd = F.when(F.col("sd") == 0, F.lit(1.0)).otherwise(F.col("sd"))
     z = (F.col("y") - F.col("mean")) / sd
     out = s.withColumn("z", z).filter((F.col("cnt") >= 3) & (F.abs(F.col("z")) > limit))
@@ -85,26 +93,28 @@ def zscore_outliers(series: DataFrame, x: str = "x", y: str = "y", limit: float
 def sigma_outliers(series: DataFrame, x: str = "x", y: str = "y", k: float = SIGMA_OUTLIER) -> DataFrame:
     """Points more than k population sd from the mean; needs > 2
     points and sd > 0.  Output (x, y)."""
-    w_all = Window.partitionBy()
     s = series.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y")).filter(F.col("y").isNotNull())
-    s = s.withColumn("mean", F.avg("y").over(w_all)).withColumn("sd", F.stddev_pop("y").over(w_all)) \
-        .withColumn("cnt", F.count(F.lit(1)).over(w_all))
+    m = _moments(s, "y")
+    s = s.select("*", m.getField("mean").alias("mean"), m.getField("sd").alias("sd"), m.getField("cnt").alias("cnt"))
     return s.filter((F.col("cnt") > 2) & (F.col("sd") > 0) &
                     (F.abs(F.col("y") - F.col("mean")) > F.lit(k) * F.col("sd"))).select("x", "y")
 
 
 def chart_checks(points: DataFrame, chart_col: str = "chart_id", y: str = "y",
-                 type_col: str | None = "chart_type") -> DataFrame:
+                 type_col: str | None = "chart_type", charts: DataFrame | None = None) -> DataFrame:
     """Per chart: empty, < 2 points, all y invalid, coefficient of
     variation < 0.001 (invalid); pie with one slice > 95 % (warning).
-    Output (chart_id, valid, reason, warning)."""
+    ``charts`` lists all charts (chart_id, chart_type), so that one without
+    points is reported as empty.  Output (chart_id, valid, reason, warning)."""
     yv = F.col(y).cast("double")
     ok = F.when(yv.isNotNull() & ~F.isnan(yv) & (F.abs(yv) < F.lit(float("inf"))), yv)
-    ctype = F.first(F.col(type_col)) if type_col else F.lit("")
+    ctype = F.min(F.col(type_col)) if type_col else F.lit("")
     g = points.groupBy(chart_col).agg(
         F.count(F.lit(1)).alias("n"), F.count(ok).alias("nv"), F.avg(ok).alias("mean"),
         F.stddev_pop(ok).alias("sd"), F.sum(F.abs(ok)).alias("tot"), F.max(F.abs(ok)).alias("mx"),
         ctype.alias("ctype"))
+    if charts is not None:
+        g = charts.select(chart_col, F.col(type_col).alias("ctype")).join(g.drop("ctype"), chart_col, "left").fillna(0, ["n", "nv"])
     mean, sd = F.col("mean"), F.col("sd")
     flat = (F.col("nv") >= 2) & (F.abs(mean) > F.lit(1e-10)) & (sd / F.abs(mean) < F.lit(ZERO_VARIANCE_CV))
     reason = (F.when(F.col("n") == 0, F.lit("Aggregation returned no data"))
@@ -155,19 +165,20 @@ def series_summary(series: DataFrame, x: str = "x", y: str = "y", timeline: bool
     yv = F.col(y).cast("double")
     base = series.select(F.col(x).alias("x"), yv.alias("y")).filter(F.col("y").isNotNull())
     row = base.agg(
-        F.sum("y").alias("total"), F.avg("y").alias("mean"), F.median("y").alias("median"),
+        F.sum("y").alias("total"), F.avg("y").alias("mean"),
         F.count(F.lit(1)).alias("points"), F.stddev_pop("y").alias("sd"),
         F.min(F.struct((-F.col("y")).alias("k"), F.col("x").alias("x"), F.col("y").alias("y"))).alias("hi"),
         F.min(F.struct(F.col("y").alias("k"), F.col("x").alias("x"), F.col("y").alias("y"))).alias("lo"),
         F.min_by("y", "x").alias("first_y"), F.max_by("y", "x").alias("last_y"))
     n_out = base.select(F.count_if(F.abs(F.col("y") - row.select("mean").scalar())
                                    > F.lit(SIGMA_OUTLIER) * row.select("sd").scalar())).scalar()
+    median = group_medians(base, [], "y").select((F.col("lower") + F.col("upper")) / 2).scalar()
     share = F.when((F.col("hi.y") > 0) & (F.col("total") > 0), F.col("hi.y") / F.col("total") * F.lit(100.0))
     growth = F.when(F.lit(timeline) & (F.col("points") >= 2) & (F.col("first_y") != 0),
                     (F.col("last_y") - F.col("first_y")) / F.col("first_y") * F.lit(100.0)) \
         .otherwise(F.lit(0.0))
     return row.select(
-        js_round("total", 2).alias("total"), js_round("mean", 6).alias("mean"), js_round("median", 6).alias("median"),
+        js_round("total", 2).alias("total"), js_round("mean", 6).alias("mean"), js_round(median, 6).alias("median"),
         "points", F.col("hi.x").alias("highest_x"), js_round("hi.y", 2).alias("highest_y"),
         F.col("lo.x").alias("lowest_x"), js_round("lo.y", 2).alias("lowest_y"),
         js_round(share, 2).alias("highest_share_pct"), (F.coalesce(share, F.lit(0.0)) >= SHARE_NOTABLE_PCT)

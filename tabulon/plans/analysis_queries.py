@@ -208,7 +208,8 @@ def _chart_points(spark, base):
 
 @register("g05_chart_checks", _CHART_POINTS_SQL + """
 , g AS (SELECT chart_id, COUNT(*) AS n, COUNT(y) AS nv, AVG(y) AS mean, STDDEV_POP(y) AS sd,
-               SUM(ABS(y)) AS tot, MAX(ABS(y)) AS mx, ANY_VALUE(chart_type) AS ctype FROM pts GROUP BY chart_id),
+               SUM(ABS(y)) AS tot, MAX(ABS(y)) AS mx, ANY_VALUE(chart_type) AS ctype FROM pts GROUP BY chart_id
+        UNION ALL SELECT 'no_points', 0, 0, NULL, NULL, NULL, NULL, 'pie' WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'none')),
 r AS (SELECT *, CASE WHEN n = 0 THEN 'Aggregation returned no data'
                      WHEN n < 2 THEN printf('Only %d data point(s) — chart requires at least %d', n, 2)
                      WHEN nv = 0 THEN 'All Y values are null, undefined, or NaN'
@@ -221,7 +222,12 @@ SELECT chart_id, reason IS NULL AS valid, reason,
 FROM r
 """)
 def g05_chart_checks(spark, base):
-    return ST.chart_checks(_chart_points(spark, base))
+    points = _chart_points(spark, base)
+    none = table(spark, base, "orders").filter("o_orderstatus = 'none'").select(
+        F.lit("no_points").alias("chart_id"), F.lit("pie").alias("chart_type"), F.col("o_totalprice").alias("y"))
+    charts = spark.createDataFrame([("status_pie", "pie"), ("segment_bar", "bar"), ("open_lines", "bar"), ("nations_per_region", "line"),
+                                    ("flag_pie", "pie"), ("no_points", "pie")], "chart_id string, chart_type string")
+    return ST.chart_checks(points.unionByName(none), charts=charts)
 
 
 # ---------------------------------------------------------------- G6

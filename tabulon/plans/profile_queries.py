@@ -160,7 +160,11 @@ def p07_dup_rows(spark, base):
 
 
 @register("p08_dup_cols", """
-SELECT 'l_qty_copy' AS "column", 'l_quantity' AS duplicate_of
+SELECT "column", duplicate_of FROM (
+  SELECT 'l_qty_copy' AS "column", 'l_quantity' AS duplicate_of, bool_and(l_quantity IS NOT DISTINCT FROM l_quantity * 1) AS same FROM lineitem
+  UNION ALL SELECT 'l_tax_scaled', 'l_tax', bool_and(l_tax * 2 IS NOT DISTINCT FROM l_tax) FROM lineitem
+  UNION ALL SELECT 'l_tax_scaled', 'l_discount', bool_and(l_tax * 2 IS NOT DISTINCT FROM l_discount) FROM lineitem
+  UNION ALL SELECT 'l_shipdate', 'l_orderkey', bool_and(epoch_us(l_shipdate) IS NOT DISTINCT FROM l_orderkey) FROM lineitem) WHERE same
 """)
 def p08_dup_cols(spark, base):
     li = table(spark, base, "lineitem").withColumn("l_qty_copy", F.col("l_quantity")) \
@@ -183,30 +187,48 @@ def p13_validate(spark, base):
     return count
 
 
-@register("p13_samples", """
-SELECT event_id AS row_key FROM events
-WHERE event_type IS NOT NULL AND trim(event_type) <> ''
-  AND NOT lower(trim(event_type)) IN ('true','false','yes','no','1','0','y','n')
+_BOOL_SQL = "lower(trim(event_type)) IN ('true','false','yes','no','1','0','y','n')"
+
+
+def _dirty_events(spark, base):
+    """Events with an amount made dirty by the row's id: no number, or blank."""
+    k = F.col("event_id") % 7
+    return table(spark, base, "events").withColumn("amount", F.when(k == 3, F.lit("n/a")).when(k == 5, F.lit("  ")).otherwise(
+        F.concat(F.lit("$"), F.col("value").cast("string"))))
+
+
+@register("p13_samples", f"""
+SELECT event_id AS row_key, list_sort(list_filter([
+         CASE WHEN event_id % 7 = 3 THEN 'amount:n/a:numeric' END,
+         CASE WHEN NOT {_BOOL_SQL} THEN 'event_type:' || event_type || ':boolean' END
+       ], lambda x: x IS NOT NULL)) AS problems
+FROM events WHERE event_id % 7 = 3 OR NOT {_BOOL_SQL}
 ORDER BY event_id LIMIT 5
 """)
 def p13_samples(spark, base):
-    _, sample = PF.validate_rows(table(spark, base, "events"), _EVENT_SCHEMA, "event_id")
-    return sample.select("row_key")
+    """The first problem rows with their problems."""
+    _, sample = PF.validate_rows(_dirty_events(spark, base), {"amount": "numeric", "ts": "date", "event_type": "boolean"}, "event_id")
+    return sample.select("row_key", F.array_sort(F.transform("problems", lambda p: F.concat_ws(":", p["column"], p["value"], p["expected_type"])))
+                         .alias("problems"))
+
+
+@register("p13_dirty", f"""
+SELECT COUNT(*) AS problem_count FROM events WHERE event_id % 7 = 3 OR NOT {_BOOL_SQL}
+""")
+def p13_dirty(spark, base):
+    count, _ = PF.validate_rows(_dirty_events(spark, base), {"amount": "numeric", "ts": "date", "event_type": "boolean"}, "event_id")
+    return count
 
 
 @register("p14_cells", """
-SELECT event_id AS row_key, 'k' AS "column",
-       CASE WHEN k IS NULL OR trim(k) = '' THEN '' ELSE k END AS value,
-       CASE WHEN k IS NULL OR trim(k) = '' THEN 'Missing Value' ELSE 'Type Mismatch' END AS type,
-       CASE WHEN k IS NULL OR trim(k) = '' THEN 'Value in column ''k'' is missing'
-            ELSE 'Value ''' || k || ''' does not match inferred column type ''Number'' (expected a number)' END AS message
-FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)
-WHERE k IS NULL OR trim(k) = '' OR NOT (trim(regexp_replace(trim(k), '[$,]', '', 'g')) <> ''
-      AND TRY_CAST(trim(regexp_replace(trim(k), '[$,]', '', 'g')) AS DOUBLE) IS NOT NULL)
+SELECT event_id AS row_key, 'amount' AS "column", CASE WHEN event_id % 7 = 3 THEN 'n/a' ELSE '' END AS value,
+       CASE WHEN event_id % 7 = 3 THEN 'Type Mismatch' ELSE 'Missing Value' END AS type,
+       CASE WHEN event_id % 7 = 3 THEN 'Value ''n/a'' does not match inferred column type ''Number'' (expected a number)'
+            ELSE 'Value in column ''amount'' is missing' END AS message
+FROM events WHERE event_id % 7 IN (3, 5)
 """)
 def p14_cells(spark, base):
-    e = table(spark, base, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-    return PF.validate_cells(e, {"k": "Number"}, "event_id")
+    return PF.validate_cells(_dirty_events(spark, base), {"amount": "Number"}, "event_id")
 
 
 # ---------------------------------------------------------------- P15, P16, P19

@@ -223,11 +223,13 @@ def _counted(key, rows):
         cell = unpacked(x.as_py())
         word = np.repeat(cell["words"], cell["pairs"])
         seen = cell["c"] > 0
-        hs.append(word[seen]), us.append(cell["context"][seen].astype(np.int64)), cs.append(cell["c"][seen].astype(np.int64))
+        hs.append(word[seen]), us.append(cell["context"][seen]), cs.append(cell["c"][seen])
         asked.append((bucket, ASKED, x.as_py()))
     h, u, c = np.concatenate(hs), np.concatenate(us), np.concatenate(cs)
     vocabulary, word = np.unique(h, return_inverse=True)
-    pair, where = np.unique(word * CONTEXTS + u, return_inverse=True)
+    pair = word * CONTEXTS + u
+    del h, word, u
+    pair, where = np.unique(pair, return_inverse=True)
     b = Bucket(vocabulary, pair // CONTEXTS, pair % CONTEXTS, np.bincount(where, weights=c, minlength=len(pair)).astype(np.int64))
     out = asked + _state(bucket, b, [])
     return pa.Table.from_batches([table(_STATE, **dict(zip(_STATE.names, zip(*out))))])

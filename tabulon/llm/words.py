@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: words a worker remembers; then it starts anew
-CACHE = 500_000
+CACHE = 200_000
 
 
 class WordHashes(dict):

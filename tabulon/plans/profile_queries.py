@@ -246,7 +246,13 @@ def p15_summary(spark, base):
     return PF.dataset_summary(table(spark, base, "orders"))
 
 
-@register("p15_bytes")
+@register("p15_bytes", """
+WITH j AS (SELECT length('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_totalprice":'
+                || o_totalprice || ',"o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || '","o_orderpriority":"' || o_orderpriority || '"}') AS n
+           FROM orders)
+SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS missing_cells, CAST(6 AS BIGINT) AS columns, CAST(0 AS BIGINT) AS duplicate_headers,
+       COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM orders)) AS duplicate_rows, CAST(2 * SUM(n) AS BIGINT) AS estimated_bytes FROM j
+""")
 def p15_bytes(spark, base):
     return PF.dataset_summary(table(spark, base, "orders"), with_bytes=True)
 

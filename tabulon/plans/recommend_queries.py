@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import TABLES, table
+from . import recommend_oracles as RO
 from .catalog_queries import register
 from .recommend import candidates as C
 from .recommend import catalog as CT
@@ -137,7 +138,7 @@ def _sem(spark, base):
     return _run(spark, base).sem
 
 
-@register("r01_roles")
+@register("r01_roles", RO.ROLES_SQL)
 def r01_roles(spark, base):
     return _sem(spark, base).select("dataset_id", "ordinal", "column", "type", "physical_type", "semantic_role",
                                     "confidence", "is_additive", "is_aggregatable", "is_dimensionalizable",
@@ -149,7 +150,7 @@ def r03_business_roles(spark, base):
     return S.business_roles(_profile(spark, base))
 
 
-@register("r04_aggregation_rules")
+@register("r04_aggregation_rules", RO.RULES_SQL)
 def r04_aggregation_rules(spark, base):
     sem = _sem(spark, base).select("dataset_id", "column", "semantic_role")
     aggs = F.array(*[F.lit(a) for a in ("sum", "Average", "count distinct", "median", "none", "trend")])
@@ -201,7 +202,7 @@ def r12_domain_charts(spark, base):
     return D.domain_chart_candidates(run.sem, run.domains)
 
 
-@register("r13_external_specs")
+@register("r13_external_specs", RO.EXTERNAL_SQL)
 def r13_external_specs(spark, base):
     sem = _sem(spark, base)
     aggs = F.array(*[F.lit(a) for a in ("sum", "avg", "count_distinct")])
@@ -260,7 +261,7 @@ def r21_rewrite(spark, base):
     return CT.rewrite_specs(specs.unionByName(renamed), p)
 
 
-@register("r22_series_kind")
+@register("r22_series_kind", RO.SERIES_KIND_SQL)
 def r22_series_kind(spark, base):
     sem = _sem(spark, base)
     specs = sem.select("dataset_id", F.col("column").alias("x_field"),

@@ -17,7 +17,7 @@ import zstandard
 from pyspark import TaskContext
 
 #: documents and bytes of text per batch, documents per bucket
-DOCS, BYTES, BUCKET_DOCS = 4096, 3_000_000, 4096
+DOCS, BYTES, BUCKET_DOCS = 4096, 4_000_000, 4096
 
 
 def batched(record_batches: Iterable[pa.RecordBatch], most: int = BYTES) -> Iterator[tuple[int, list, list]]:

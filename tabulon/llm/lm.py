@@ -23,9 +23,10 @@ On Spark: words go to buckets by hash, with all of their contexts, so every coun
 that concerns one word lives in one bucket.  A sweep is one pass over the buckets;
 what couples them is one number per context (T_u) and two totals, which are
 summed between sweeps and sent out, 8 bytes a context, whatever the corpus size.
-Batches of documents send each bucket their distinct (word, context) pairs with
-training counts and the documents they occur in, so a frequent word is one entry
-per batch; a bucket keeps that and in the end returns sums per document.
+Batches of documents send each bucket their distinct (word, context) pairs, so a
+frequent word is one entry per batch: first with training counts, to build the
+model, and in the end with the documents they occur in, to be scored; a bucket
+then returns sums per document.
 
 Words are told apart by 64-bit hashes.  Results for odd input: a null or empty
 text is the end token alone; a null id counts as an empty one for the choice of
@@ -141,8 +142,10 @@ class Totals:
 
 # ---- batches to buckets ----------------------------------------------------
 
-_CELL = pa.schema([("bucket", pa.int64()), ("data", pa.binary())])
-_CELL_SQL = "bucket long, data binary"
+_STATE = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
+_STATE_SQL = "bucket long, part int, data binary"
+#: parts of a bucket's rows: cells, the counts with seating, the sums
+ASKED, MODEL, SUMS = 0, 1, 2
 
 
 def is_training(doc_id) -> bool:
@@ -156,7 +159,9 @@ def contexts_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (mix64(before) % np.uint64(CONTEXTS)).astype(np.int64)
 
 
-def _cells(buckets: int):
+def _cells(buckets: int, score: bool):
+    """Cells of every batch: all pairs with their documents (``score``), or
+    only those of training documents with their counts."""
     def cells(record_batches):
         for number, ids, texts in batched(record_batches):
             found, starts = joined([[*words(t, lower=True), b""] for t in texts])  # the empty word is the end
@@ -166,12 +171,15 @@ def _cells(buckets: int):
             doc = np.repeat(np.arange(len(ids), dtype=np.uint16), counts)
             train = np.array([is_training(i) for i in ids])
             context = contexts_of(h, starts)
+            if not score:
+                h, context, doc = h[train[doc]], context[train[doc]], doc[train[doc]]
+                if not len(h):
+                    continue
             vocabulary, word = np.unique(h, return_inverse=True)
             pair = word * CONTEXTS + context
             order = np.argsort(pair, kind="stable")
             pair, doc = pair[order], doc[order]
             at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-            c = np.add.reduceat(train[doc].astype(np.int64), at)
             first = np.searchsorted(pair[at] // CONTEXTS, np.arange(len(vocabulary) + 1))  # pairs of each word
             token = np.append(at, len(pair))
             edges = np.searchsorted(vocabulary, np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64))
@@ -179,20 +187,16 @@ def _cells(buckets: int):
             for b, (lo, hi) in enumerate(zip([0, *edges.tolist()], [*edges.tolist(), len(vocabulary)])):
                 p, q = int(first[lo]), int(first[hi])
                 cell = {"batch": np.array([number]), "words": vocabulary[lo:hi], "pairs": np.diff(first[lo:hi + 1]).astype(np.uint32), "context": (pair[at[p:q]] % CONTEXTS).astype(np.uint16),
-                        "c": c[p:q].astype(np.uint32), "tokens": np.diff(token[p:q + 1]).astype(np.uint32), "doc": doc[token[p]:token[q]], "docs": np.array([len(ids)])}
-                if b == home:
+                        "tokens": np.diff(token[p:q + 1]).astype(np.uint32), "docs": np.array([len(ids)])}
+                if score:
+                    cell["doc"] = doc[token[p]:token[q]]
+                if score and b == home:
                     cell |= {"ids": np.array([0 if i is None else i for i in ids], np.int64), "known": np.array([i is not None for i in ids], np.uint8), "n": counts}
-                if hi > lo or b == home:
-                    yield table(_CELL, bucket=[b], data=[packed(**cell)])
+                if hi > lo or score and b == home:
+                    yield table(_STATE, bucket=[b], part=[ASKED], data=[packed(**cell)])
     return cells
 
 
-_STATE = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
-_STATE_SQL = "bucket long, part int, data binary"
-#: parts of a state row: the cells as sent, the counts with seating, the sums
-ASKED, MODEL, SUMS = 0, 1, 2
-
-
 def _state(bucket: int, b: Bucket, kept: list[tuple[np.ndarray, np.ndarray]]):
     """Rows of the model and of the sums that the next sweep needs."""
     small = lambda t: t.astype(np.uint16 if len(t) == 0 or t.max() < 65536 else np.int64)
@@ -216,22 +220,18 @@ def _loaded(data) -> tuple[Bucket, list[tuple[np.ndarray, np.ndarray]]]:
 
 
 def _counted(key, rows):
-    """All cells of a bucket: kept as they are, and merged into its counts."""
-    bucket = key[0].as_py()
-    hs, us, cs, asked = [], [], [], []
+    """The cells of a bucket merged into its counts."""
+    hs, us, cs = [], [], []
     for x in rows.column("data"):
         cell = unpacked(x.as_py())
-        word = np.repeat(cell["words"], cell["pairs"])
-        seen = cell["c"] > 0
-        hs.append(word[seen]), us.append(cell["context"][seen]), cs.append(cell["c"][seen])
-        asked.append((bucket, ASKED, x.as_py()))
+        hs.append(np.repeat(cell["words"], cell["pairs"])), us.append(cell["context"]), cs.append(cell["tokens"])
     h, u, c = np.concatenate(hs), np.concatenate(us), np.concatenate(cs)
     vocabulary, word = np.unique(h, return_inverse=True)
     pair = word * CONTEXTS + u
     del h, word, u
     pair, where = np.unique(pair, return_inverse=True)
     b = Bucket(vocabulary, pair // CONTEXTS, pair % CONTEXTS, np.bincount(where, weights=c, minlength=len(pair)).astype(np.int64))
-    out = asked + _state(bucket, b, [])
+    out = _state(key[0].as_py(), b, [])
     return pa.Table.from_batches([table(_STATE, **dict(zip(_STATE.names, zip(*out))))])
 
 
@@ -275,12 +275,13 @@ def _scored(samples, n: int, v: int):
     def score(key, rows):
         order = np.argsort(rows.column("part").to_numpy(), kind="stable")
         data = rows.column("data")
-        model = next(data[int(k)].as_py() for k in order if rows.column("part")[int(k)].as_py() == MODEL)
-        b, kept = _loaded(model)
+        part = rows.column("part").to_numpy()
+        model = [data[int(k)].as_py() for k in order if part[k] == MODEL]
+        b, kept = _loaded(model[0]) if model else (Bucket(*[np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64)]), [(np.empty(0, np.int64),) * 2] * KEEP)
         known_pairs = b.word * CONTEXTS + b.context
         out = []
         for k in order:
-            if rows.column("part")[int(k)].as_py() != ASKED:
+            if part[k] != ASKED:
                 continue
             cell = unpacked(data[int(k)].as_py())
             u = cell["context"].astype(np.int64)
@@ -336,20 +337,18 @@ def score_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = pieces(docs.count(), BUCKET_DOCS)
-    state = written(d.mapInArrow(_cells(buckets), _CELL_SQL).groupBy("bucket").applyInArrow(_counted, _STATE_SQL), "counts")
-    asked, model = state.filter(F.col("part") == ASKED), state.filter(F.col("part") != ASKED)
-    samples, old = [], None
+    model = old = written(d.mapInArrow(_cells(buckets, False), _STATE_SQL).groupBy("bucket").applyInArrow(_counted, _STATE_SQL), "counts")
+    samples = []
     g = _totals(model)
     for number in range(BURN + KEEP):
         keep = number >= BURN
         step = _sweep(spark.sparkContext.broadcast(g), number, keep, seed)
         new = written(model.filter(F.col("part") == MODEL).select("bucket", "data").mapInArrow(step, _STATE_SQL), "seating")
-        if old is not None:
-            drop_written(old)
+        drop_written(old)
         model = old = new
         g = _totals(model)
         if keep:
             samples.append(g)
-    both = asked.unionByName(model.filter(F.col("part") == MODEL))
+    both = d.mapInArrow(_cells(buckets, True), _STATE_SQL).unionByName(model.filter(F.col("part") == MODEL))
     score = _scored(spark.sparkContext.broadcast(samples), g.n, g.v)
     return both.groupBy("bucket").applyInArrow(score, "batch long, data binary").groupBy("batch").applyInArrow(_summed(g.n), _DONE_SQL)

@@ -36,8 +36,12 @@ def test_misspellings():
     labels = [0] * 150 + [1] * 150
     texts[150:] = [t + " you stupid moron" for t in texts[150:]]
     scores, intercept = X.train(texts, labels, 0.5)
-    clean, bad = " ".join(plain[:40]), " ".join(plain[:40]) + " you stuppid morron"
-    assert X.score_text(clean, scores, intercept) < 0.5 < X.score_text(bad, scores, intercept)
+    logit = lambda t: np.log(X.score_text(t, scores, intercept)) - np.log1p(-X.score_text(t, scores, intercept))
+    clean = [" ".join(rng.choice(plain, 40)) for _ in range(20)]
+    spelt = np.array([logit(t + " you stupid moron") - logit(t) for t in clean])
+    unseen = np.array([logit(t + " you stuppid morronn") - logit(t) for t in clean])
+    neutral = np.array([logit(t + " the table is green") - logit(t) for t in clean])
+    assert (spelt > 0).all() and (unseen > 0).all() and unseen.mean() > 0.4 * spelt.mean() and unseen.mean() > 2 * abs(neutral.mean())
 
 
 def test_held_out(spark):

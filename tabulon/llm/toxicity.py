@@ -33,7 +33,7 @@ from .common import mix64, table
 
 SIZES = (3, 4, 5)
 BUCKETS, DIM = 1 << 18, 8
-PER_CLASS, EPOCHS, BATCH, RATE, SEED = 2500, 5, 32, 0.02, 5
+PER_CLASS, STEPS, BATCH, RATE, SEED = 2500, 800, 32, 0.02, 5
 #: code points handled at a time while a text is hashed
 WINDOW = 1 << 20
 
@@ -105,8 +105,8 @@ def train(texts: list, labels: list[int], share: float, seed: int = SEED) -> tup
     bias = np.zeros(2, np.float32)
     m1, m2 = np.zeros_like(table_), np.zeros_like(table_)
     s1, s2, b1, b2 = np.zeros_like(soft), np.zeros_like(soft), np.zeros_like(bias), np.zeros_like(bias)
-    steps = EPOCHS * -(-len(bags) // BATCH)
-    step = 0
+    epochs = -(-STEPS // -(-len(bags) // BATCH))  # as many steps for a small sample as for a large one
+    steps, step = epochs * -(-len(bags) // BATCH), 0
 
     def adam(p, g, a, b, rate):
         a *= 0.9
@@ -115,7 +115,7 @@ def train(texts: list, labels: list[int], share: float, seed: int = SEED) -> tup
         b += 0.01 * g * g
         p -= rate * a / (np.sqrt(b) + 1e-8)
 
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(len(bags))
         for k in range(0, len(order), BATCH):
             part = [i for i in order[k:k + BATCH] if len(bags[i][0])]

@@ -137,7 +137,8 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     path, bits = path or bpe.default_path(), bits_for(vocabulary)
     end = np.array([end_id], "<u4").tobytes()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    d = d.repartitionByRange(partitions(docs.sparkSession, 8), F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # ranges of doc_id alone: the sample that finds them holds its sort keys, and must not hold texts
+    d = d.repartitionByRange(partitions(docs.sparkSession, 8), F.col("doc_id").asc_nulls_first())
     d = d.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).withColumn("part", F.spark_partition_id())
 
     def write(batches):

@@ -1,8 +1,8 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Every token is a customer.  It enters the restaurant of its context, the class
-(hash of the word before, one of ``CONTEXTS``; a text begins after a start
-mark), and is served its word.  A customer that opens a table sends one customer
+Every token is a customer.  It enters the restaurant of its context, the word
+before (by its 64-bit hash; a text begins after a start mark), and is served its
+word.  A customer that opens a table sends one customer
 to the parent, the root restaurant, which all contexts share; a new table there
 is drawn from the uniform base over the V known words and one unknown.
 
@@ -21,8 +21,11 @@ are kept, and a token's probability is the average of theirs.
 
 On Spark: words go to buckets by hash, with all of their contexts, so every count
 that concerns one word lives in one bucket.  A sweep is one pass over the buckets;
-what couples them is one number per context (T_u) and two totals, which are
-summed between sweeps and sent out, 8 bytes a context, whatever the corpus size.
+what couples them is c_u and T_u of every context and a few totals.  A bucket
+lists the contexts that documents, held out or not, ask it for.  After every sweep
+it writes its own part of their sums; these are grouped by ranges of the context's
+hash, added up and joined back to every bucket that lists the context, so there
+are as many restaurants as words and none is held in one place.
 Batches of documents send each bucket their distinct (word, context) pairs, so a
 frequent word is one entry per batch: first with training counts, to build the
 model, and in the end with the documents they occur in, to be scored; a bucket
@@ -44,10 +47,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import BUCKET_DOCS, batched, joined, packed, unpacked
-from .common import drop_written, mix64, pieces, table, written
+from .common import drop_written, pieces, table, written
 from .words import hashes, words
 
-CONTEXTS = 1 << 14
 #: discount and strength of the root and of the contexts
 D0, S0, D1, S1 = 0.7, 50.0, 0.8, 10.0
 BURN, KEEP, EXACT = 2, 2, 32
@@ -99,8 +101,9 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, rng) -> np.ndarray:
 class Bucket:
     """The words of one bucket: pairs (word, context) with counts and seating."""
 
-    def __init__(self, words_: np.ndarray, word: np.ndarray, context: np.ndarray, c: np.ndarray):
-        self.words, self.word, self.context, self.c = words_, word, context, c  # word: index; pairs sorted by (word, context)
+    def __init__(self, words_: np.ndarray, word: np.ndarray, context: np.ndarray, c: np.ndarray, contexts: np.ndarray | None = None):
+        self.words, self.word, self.context, self.c = words_, word, context, c  # word, context: indexes; pairs sorted by (word, context)
+        self.contexts = np.arange(context.max() + 1 if len(context) else 0, dtype=np.uint64) if contexts is None else contexts
         self.count = np.bincount(word, weights=c, minlength=len(words_)).astype(np.int64)
         self.t = np.ones(len(c), np.int64)
         self.t0 = np.ones(len(words_), np.int64)
@@ -109,7 +112,8 @@ class Bucket:
         return np.bincount(self.word, weights=t, minlength=len(self.words)).astype(np.int64)
 
     def context_sums(self, of: np.ndarray) -> np.ndarray:
-        return np.bincount(self.context, weights=of, minlength=CONTEXTS).astype(np.int64)
+        """Sums per context; one more, 0, for a context that is not listed."""
+        return np.bincount(self.context, weights=of, minlength=len(self.contexts) + 1).astype(np.int64)
 
     def sweep(self, g: "Totals", rng) -> None:
         """Seat all customers anew, each given the others."""
@@ -125,13 +129,13 @@ class Bucket:
 
 
 class Totals:
-    """What all buckets share: customers and tables per context, root sums,
-    the number of known words and of training tokens."""
+    """Sums over all buckets: customers and tables of a bucket's contexts,
+    root sums, the number of known words and of training tokens."""
 
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, root_tables: int, v: int):
+    def __init__(self, customers: np.ndarray, tables: np.ndarray, root_tables: int, v: int, root_customers: int | None = None, n: int | None = None):
         self.customers, self.tables, self.root_tables, self.v = customers, tables, int(root_tables), int(v)
-        self.root_customers = int(tables.sum())
-        self.n = int(customers.sum())
+        self.root_customers = int(tables.sum() if root_customers is None else root_customers)
+        self.n = int(customers.sum() if n is None else n)
 
     def root(self, t_w, t0):
         return (t_w - D0 * t0 + (S0 + D0 * self.root_tables) / (self.v + 1)) / (S0 + self.root_customers)
@@ -142,10 +146,11 @@ class Totals:
 
 # ---- batches to buckets ----------------------------------------------------
 
-_STATE = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("data", pa.binary())])
-_STATE_SQL = "bucket long, part int, data binary"
-#: parts of a bucket's rows: cells, the counts with seating, the sums
-ASKED, MODEL, SUMS = 0, 1, 2
+_STATE = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("home", pa.int64()), ("data", pa.binary())])
+_STATE_SQL = "bucket long, part int, home long, data binary"
+#: parts of a bucket's rows: cells, the counts with seating, totals, sums of its contexts (a
+#: row per range ``home`` of the context's hash)
+ASKED, MODEL, SUMS, CONTEXT = 0, 1, 2, 3
 
 
 def is_training(doc_id) -> bool:
@@ -153,15 +158,26 @@ def is_training(doc_id) -> bool:
 
 
 def contexts_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Context class of every token."""
+    """Context of every token: the hash of the word before it."""
     before = np.concatenate([[START], h[:-1]])
     before[starts[:-1]] = START
-    return (mix64(before) % np.uint64(CONTEXTS)).astype(np.int64)
+    return before
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64)
+
+
+def _edges(keys: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Where each of n ranges of the hash begins and ends among sorted ``keys``."""
+    e = np.searchsorted(keys, np.array([(b << 64) // n for b in range(1, n)], np.uint64)).tolist()
+    return list(zip([0, *e], [*e, len(keys)]))
 
 
 def _cells(buckets: int, score: bool):
     """Cells of every batch: all pairs with their documents (``score``), or
-    only those of training documents with their counts."""
+    with their counts in training documents, which may be 0."""
     def cells(record_batches):
         for number, ids, texts in batched(record_batches):
             found, starts = joined([[*words(t, lower=True), b""] for t in texts])  # the empty word is the end
@@ -169,133 +185,163 @@ def _cells(buckets: int, score: bool):
             h[starts[1:] - 1] = END
             counts = np.diff(starts)
             doc = np.repeat(np.arange(len(ids), dtype=np.uint16), counts)
-            train = np.array([is_training(i) for i in ids])
-            context = contexts_of(h, starts)
-            if not score:
-                h, context, doc = h[train[doc]], context[train[doc]], doc[train[doc]]
-                if not len(h):
-                    continue
             vocabulary, word = np.unique(h, return_inverse=True)
-            pair = word * CONTEXTS + context
+            contexts, context = np.unique(contexts_of(h, starts), return_inverse=True)
+            pair = word * len(contexts) + context
             order = np.argsort(pair, kind="stable")
             pair, doc = pair[order], doc[order]
             at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-            first = np.searchsorted(pair[at] // CONTEXTS, np.arange(len(vocabulary) + 1))  # pairs of each word
             token = np.append(at, len(pair))
-            edges = np.searchsorted(vocabulary, np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64))
+            pair = pair[at]
+            first = np.searchsorted(pair // len(contexts), np.arange(len(vocabulary) + 1))  # pairs of each word
+            train = np.concatenate([[0], np.cumsum(np.array([is_training(i) for i in ids])[doc])])
             home = number % buckets
-            for b, (lo, hi) in enumerate(zip([0, *edges.tolist()], [*edges.tolist(), len(vocabulary)])):
+            for b, (lo, hi) in enumerate(_edges(vocabulary, buckets)):
                 p, q = int(first[lo]), int(first[hi])
-                cell = {"batch": np.array([number]), "words": vocabulary[lo:hi], "pairs": np.diff(first[lo:hi + 1]).astype(np.uint32), "context": (pair[at[p:q]] % CONTEXTS).astype(np.uint16),
-                        "tokens": np.diff(token[p:q + 1]).astype(np.uint32), "docs": np.array([len(ids)])}
+                own, at_context = np.unique(pair[p:q] % len(contexts), return_inverse=True)
+                cell = {"batch": np.array([number]), "words": vocabulary[lo:hi], "pairs": np.diff(first[lo:hi + 1]).astype(np.uint32), "contexts": contexts[own], "context": _small(at_context)}
                 if score:
-                    cell["doc"] = doc[token[p]:token[q]]
+                    cell |= {"tokens": np.diff(token[p:q + 1]).astype(np.uint32), "docs": np.array([len(ids)]), "doc": doc[token[p]:token[q]]}
+                else:
+                    cell["tokens"] = np.diff(train[token[p:q + 1]]).astype(np.uint32)
                 if score and b == home:
                     cell |= {"ids": np.array([0 if i is None else i for i in ids], np.int64), "known": np.array([i is not None for i in ids], np.uint8), "n": counts}
                 if hi > lo or score and b == home:
-                    yield table(_STATE, bucket=[b], part=[ASKED], data=[packed(**cell)])
+                    yield table(_STATE, bucket=[b], part=[ASKED], home=[0], data=[packed(**cell)])
     return cells
 
 
-def _state(bucket: int, b: Bucket, kept: list[tuple[np.ndarray, np.ndarray]]):
-    """Rows of the model and of the sums that the next sweep needs."""
-    small = lambda t: t.astype(np.uint16 if len(t) == 0 or t.max() < 65536 else np.int64)
-    arrays = {"words": b.words, "pairs": np.bincount(b.word, minlength=len(b.words)).astype(np.uint32), "context": b.context.astype(np.uint16),
-              "c": b.c.astype(np.uint32), "t": small(b.t), "t0": small(b.t0)}
-    for k, (t, t0) in enumerate(kept):
-        arrays |= {f"t.{k}": small(t), f"t0.{k}": small(t0)}
-    sums = {"customers": b.context_sums(b.c), "tables": b.context_sums(b.t), "root_tables": np.array([b.t0.sum()]), "v": np.array([len(b.words)])}
-    return [(bucket, MODEL, packed(**arrays)), (bucket, SUMS, packed(**sums))]
+def _state(bucket: int, buckets: int, b: Bucket, kept: list[tuple[np.ndarray, ...]]) -> pa.Table:
+    """Rows of the model and of the sums that the next sweep needs.  ``kept``:
+    tables of pairs and words of every kept sweep, and of the contexts where
+    the next sweep has brought them."""
+    arrays = {"words": b.words, "pairs": np.bincount(b.word, minlength=len(b.words)).astype(np.uint32), "context": _small(b.context), "c": _small(b.c), "t": _small(b.t), "t0": _small(b.t0)}
+    for k, sample in enumerate(kept):
+        arrays |= {f"{name}.{k}": _small(x) for name, x in zip(("t", "t0", "tables"), sample)}
+    c, t = b.context_sums(b.c), b.context_sums(b.t)
+    sums = {"sums": np.array([c.sum(), t.sum(), b.t0.sum(), len(b.words)], np.int64)}
+    out = [(bucket, MODEL, 0, packed(**arrays)), (bucket, SUMS, 0, packed(**sums))]
+    out += [(bucket, CONTEXT, home, packed(contexts=b.contexts[lo:hi], customers=_small(c[lo:hi]), tables=_small(t[lo:hi])))
+            for home, (lo, hi) in enumerate(_edges(b.contexts, buckets)) if hi > lo]
+    return pa.Table.from_batches([table(_STATE, **dict(zip(_STATE.names, zip(*out))))])
 
 
-def _loaded(data) -> tuple[Bucket, list[tuple[np.ndarray, np.ndarray]]]:
-    a = unpacked(data)
-    b = Bucket(a["words"], np.repeat(np.arange(len(a["words"])), a["pairs"]), a["context"].astype(np.int64), a["c"].astype(np.int64))
+def _loaded(rows) -> tuple[Bucket, list[tuple[np.ndarray, ...]], np.ndarray, np.ndarray]:
+    """The bucket, what was kept, and the totals c_u and T_u of its contexts,
+    from a group with its model and the answers to its contexts."""
+    part, home, data = rows.column("part").to_numpy(), rows.column("home").to_numpy(), rows.column("data")
+    a = unpacked(data[int(np.flatnonzero(part == MODEL)[0])].as_py())
+    at = np.flatnonzero(part == CONTEXT)
+    answers = [unpacked(data[int(k)].as_py()) for k in at[np.argsort(home[at], kind="stable")]]
+    contexts = np.concatenate([x["contexts"] for x in answers])
+    customers, tables = (np.append(np.concatenate([x[name] for x in answers]), 0).astype(np.int64) for name in ("customers", "tables"))
+    b = Bucket(a["words"], np.repeat(np.arange(len(a["words"])), a["pairs"]), a["context"].astype(np.int64), a["c"].astype(np.int64), contexts)
     b.t, b.t0 = a["t"].astype(np.int64), a["t0"].astype(np.int64)
     kept = []
     while f"t.{len(kept)}" in a:
         k = len(kept)
-        kept.append((a[f"t.{k}"].astype(np.int64), a[f"t0.{k}"].astype(np.int64)))
-    return b, kept
+        kept.append((a[f"t.{k}"].astype(np.int64), a[f"t0.{k}"].astype(np.int64), a[f"tables.{k}"].astype(np.int64) if f"tables.{k}" in a else tables))
+    return b, kept, customers, tables
 
 
-def _counted(key, rows):
+def _counted(buckets: int):
     """The cells of a bucket merged into its counts."""
-    hs, us, cs = [], [], []
-    for x in rows.column("data"):
-        cell = unpacked(x.as_py())
-        hs.append(np.repeat(cell["words"], cell["pairs"])), us.append(cell["context"]), cs.append(cell["tokens"])
-    h, u, c = np.concatenate(hs), np.concatenate(us), np.concatenate(cs)
-    vocabulary, word = np.unique(h, return_inverse=True)
-    pair = word * CONTEXTS + u
-    del h, word, u
-    pair, where = np.unique(pair, return_inverse=True)
-    b = Bucket(vocabulary, pair // CONTEXTS, pair % CONTEXTS, np.bincount(where, weights=c, minlength=len(pair)).astype(np.int64))
-    out = _state(key[0].as_py(), b, [])
-    return pa.Table.from_batches([table(_STATE, **dict(zip(_STATE.names, zip(*out))))])
-
-
-def _totals(state: DataFrame) -> Totals:
-    """Sum the buckets' sums: partial sums per partition, then on the driver
-    one row a partition of fixed size."""
+    def count(key, rows):
+        hs, us, cs = [], [], []
+        for x in rows.column("data"):
+            cell = unpacked(x.as_py())
+            hs.append(np.repeat(cell["words"], cell["pairs"])), us.append(cell["contexts"][cell["context"]]), cs.append(cell["tokens"])
+        h, c = np.concatenate(hs), np.concatenate(cs)
+        contexts, u = np.unique(np.concatenate(us), return_inverse=True)
+        del hs, us, cs
+        h, u, c = h[c > 0], u[c > 0], c[c > 0]
+        vocabulary, word = np.unique(h, return_inverse=True)
+        pair = word * len(contexts) + u
+        del h, word, u
+        pair, where = np.unique(pair, return_inverse=True)
+        b = Bucket(vocabulary, pair // len(contexts), pair % len(contexts), np.bincount(where, weights=c, minlength=len(pair)).astype(np.int64), contexts)
+        return _state(key[0].as_py(), buckets, b, [])
+    return count
+
+
+def _added(key, rows):
+    """The sums of the contexts in one range of the hash, for every bucket that lists them."""
+    blocks = [unpacked(x.as_py()) for x in rows.column("data")]
+    contexts, where = np.unique(np.concatenate([b["contexts"] for b in blocks]), return_inverse=True)
+    customers, tables = (np.bincount(where, weights=np.concatenate([b[name] for b in blocks]), minlength=len(contexts)).astype(np.int64)[where] for name in ("customers", "tables"))
+    out, e = [], 0
+    for b in blocks:
+        lo, e = e, e + len(b["contexts"])
+        out.append(packed(contexts=b["contexts"], customers=_small(customers[lo:e]), tables=_small(tables[lo:e])))
+    return rows.set_column(rows.column_names.index("data"), "data", pa.array(out, pa.binary())).select(_STATE.names)
+
+
+def _with_totals(state: DataFrame) -> DataFrame:
+    """The models, and for every bucket the totals of its contexts."""
+    answers = state.filter(F.col("part") == CONTEXT).groupBy("home").applyInArrow(_added, _STATE_SQL)
+    return state.filter(F.col("part") == MODEL).unionByName(answers)
+
+
+def _totals(state: DataFrame) -> list[int]:
+    """Training tokens, tables of all contexts, root tables and known words:
+    partial sums per partition, then on the driver a row of four numbers each."""
     def add(record_batches):
-        total: dict[str, np.ndarray] = {}
+        total = np.zeros(4, np.int64)
         for r in record_batches:
             for data in r.column(0):
-                for k, v in unpacked(data.as_py()).items():
-                    total[k] = total[k] + v if k in total else v
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([packed(**total)], pa.binary())], names=["data"])
+                total = total + unpacked(data.as_py())["sums"]
+        yield pa.RecordBatch.from_arrays([pa.array([packed(sums=total)], pa.binary())], names=["data"])
 
     sums = state.filter(F.col("part") == SUMS).select("data")
     parts = sums.mapInArrow(add, "data binary").repartition(16).mapInArrow(add, "data binary").collect()
-    total = {"customers": np.zeros(CONTEXTS, np.int64), "tables": np.zeros(CONTEXTS, np.int64), "root_tables": np.zeros(1, np.int64), "v": np.zeros(1, np.int64)}
-    for r in parts:
-        for k, v in unpacked(r.data).items():
-            total[k] = total[k] + v
-    return Totals(total["customers"], total["tables"], total["root_tables"][0], total["v"][0])
+    return sum((unpacked(r.data)["sums"] for r in parts), np.zeros(4, np.int64)).tolist()
 
 
-def _sweep(g, number: int, keep: bool, seed: int):
-    def sweep(record_batches):
-        for r in record_batches:
-            for bucket, data in zip(r.column(0).to_pylist(), r.column(1)):
-                b, kept = _loaded(data.as_py())
-                b.sweep(g.value, np.random.default_rng([seed, number, bucket]))
-                out = _state(bucket, b, kept + ([(b.t, b.t0)] if keep else []))
-                yield table(_STATE, **dict(zip(_STATE.names, zip(*out))))
+def _of(totals: list[int], customers: np.ndarray, tables: np.ndarray) -> Totals:
+    n, root_customers, root_tables, v = totals
+    return Totals(customers, tables, root_tables, v, root_customers, n)
+
+
+def _sweep(totals: list[int], number: int, keep: bool, buckets: int, seed: int):
+    def sweep(key, rows):
+        bucket = key[0].as_py()
+        b, kept, customers, tables = _loaded(rows)
+        b.sweep(_of(totals, customers, tables), np.random.default_rng([seed, number, bucket]))
+        return _state(bucket, buckets, b, kept + ([(b.t, b.t0)] if keep else []))
     return sweep
 
 
 _SUM = pa.schema([("batch", pa.int64()), ("data", pa.binary())])
 
 
-def _scored(samples, n: int, v: int):
+def _scored(samples: list[list[int]], n: int, v: int):
     """Sums per document of every cell of a bucket."""
     def score(key, rows):
-        order = np.argsort(rows.column("part").to_numpy(), kind="stable")
-        data = rows.column("data")
-        part = rows.column("part").to_numpy()
-        model = [data[int(k)].as_py() for k in order if part[k] == MODEL]
-        b, kept = _loaded(model[0]) if model else (Bucket(*[np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64)]), [(np.empty(0, np.int64),) * 2] * KEEP)
-        known_pairs = b.word * CONTEXTS + b.context
+        data, part = rows.column("data"), rows.column("part").to_numpy()
+        if (part == ASKED).any() and (part == MODEL).any():
+            b, kept, customers, _ = _loaded(rows)
+        elif (part == ASKED).any():  # the home cell of a batch in a bucket without any word
+            b, customers = Bucket(*[np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64)]), np.zeros(1, np.int64)
+            kept = [(np.empty(0, np.int64), np.empty(0, np.int64), customers)] * KEEP
+        else:
+            return _SUM.empty_table()
+        known_pairs = b.word * (len(b.contexts) + 1) + b.context
         out = []
-        for k in order:
-            if part[k] != ASKED:
-                continue
+        for k in np.flatnonzero(part == ASKED):
             cell = unpacked(data[int(k)].as_py())
-            u = cell["context"].astype(np.int64)
+            u = np.searchsorted(b.contexts, cell["contexts"])[cell["context"]]  # all are listed
             if len(b.words):
                 at = np.minimum(np.searchsorted(b.words, cell["words"]), len(b.words) - 1)
                 known = b.words[at] == cell["words"]
                 count = np.where(known, b.count[at], 0)
-                wanted = np.repeat(at, cell["pairs"]) * CONTEXTS + u
+                wanted = np.repeat(at, cell["pairs"]) * (len(b.contexts) + 1) + u
                 where = np.minimum(np.searchsorted(known_pairs, wanted), len(known_pairs) - 1)
                 seen = (known_pairs[where] == wanted) & np.repeat(known, cell["pairs"])
             else:
                 count, seen = np.zeros(len(cell["words"]), np.int64), np.zeros(len(u), bool)
             p = np.zeros(len(u))
-            for (t, t0), g in zip(kept, samples.value):
+            for (t, t0, of_contexts), totals in zip(kept, samples):
+                g = _of(totals, customers, of_contexts)
                 if len(b.words):
                     t_w = b.root_customers(t)
                     root = g.root(np.where(known, t_w[at], 0), np.where(known, t0[at], 0))
@@ -334,21 +380,19 @@ def _summed(n_train: int):
 def score_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score (log10 probability), perplexity."""
-    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = pieces(docs.count(), BUCKET_DOCS)
-    model = old = written(d.mapInArrow(_cells(buckets, False), _STATE_SQL).groupBy("bucket").applyInArrow(_counted, _STATE_SQL), "counts")
+    model = old = written(d.mapInArrow(_cells(buckets, False), _STATE_SQL).groupBy("bucket").applyInArrow(_counted(buckets), _STATE_SQL), "counts")
     samples = []
     g = _totals(model)
     for number in range(BURN + KEEP):
         keep = number >= BURN
-        step = _sweep(spark.sparkContext.broadcast(g), number, keep, seed)
-        new = written(model.filter(F.col("part") == MODEL).select("bucket", "data").mapInArrow(step, _STATE_SQL), "seating")
+        new = written(_with_totals(model).groupBy("bucket").applyInArrow(_sweep(g, number, keep, buckets, seed), _STATE_SQL), "seating")
         drop_written(old)
         model = old = new
         g = _totals(model)
         if keep:
             samples.append(g)
-    both = d.mapInArrow(_cells(buckets, True), _STATE_SQL).unionByName(model.filter(F.col("part") == MODEL))
-    score = _scored(spark.sparkContext.broadcast(samples), g.n, g.v)
-    return both.groupBy("bucket").applyInArrow(score, "batch long, data binary").groupBy("batch").applyInArrow(_summed(g.n), _DONE_SQL)
+    both = d.mapInArrow(_cells(buckets, True), _STATE_SQL).unionByName(_with_totals(model))
+    score = _scored(samples, g[0], g[3])
+    return both.groupBy("bucket").applyInArrow(score, "batch long, data binary").groupBy("batch").applyInArrow(_summed(g[0]), _DONE_SQL)

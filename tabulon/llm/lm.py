@@ -28,8 +28,10 @@ hash, added up and joined back to every bucket that lists the context, so there
 are as many restaurants as words and none is held in one place.
 Batches of documents send each bucket their distinct (word, context) pairs, so a
 frequent word is one entry per batch: first with training counts, to build the
-model, and in the end with the documents they occur in, to be scored; a bucket
-then returns sums per document.
+model, and in the end with the documents they occur in, to be scored.  A bucket
+that is asked for more than ``ASK`` tokens, as that of a very frequent word, is
+scored in several groups of batches, each with a copy of its model; a group
+returns sums of the documents that asked it.
 
 Words are told apart by 64-bit hashes.  Results for odd input: a null or empty
 text is the end token alone; a null id counts as an empty one for the choice of
@@ -54,6 +56,8 @@ from .words import hashes, words
 D0, S0, D1, S1 = 0.7, 50.0, 0.8, 10.0
 BURN, KEEP, EXACT = 2, 2, 32
 SEED = 2006
+#: tokens that a group of cells asks for, on average at most
+ASK = 4_000_000
 END, START = np.uint64(0xE0D0FD0C), np.uint64(0x57A27)
 
 
@@ -148,9 +152,9 @@ class Totals:
 
 _STATE = pa.schema([("bucket", pa.int64()), ("part", pa.int32()), ("home", pa.int64()), ("data", pa.binary())])
 _STATE_SQL = "bucket long, part int, home long, data binary"
-#: parts of a bucket's rows: cells, the counts with seating, totals, sums of its contexts (a
-#: row per range ``home`` of the context's hash)
-ASKED, MODEL, SUMS, CONTEXT = 0, 1, 2, 3
+#: parts of a bucket's rows: cells (``home``: their batch), the counts with seating, totals, sums
+#: of its contexts (a row per range ``home`` of the context's hash), number ``home`` of groups to ask
+ASKED, MODEL, SUMS, CONTEXT, GROUPS = 0, 1, 2, 3, 4
 
 
 def is_training(doc_id) -> bool:
@@ -201,13 +205,13 @@ def _cells(buckets: int, score: bool):
                 own, at_context = np.unique(pair[p:q] % len(contexts), return_inverse=True)
                 cell = {"batch": np.array([number]), "words": vocabulary[lo:hi], "pairs": np.diff(first[lo:hi + 1]).astype(np.uint32), "contexts": contexts[own], "context": _small(at_context)}
                 if score:
-                    cell |= {"tokens": np.diff(token[p:q + 1]).astype(np.uint32), "docs": np.array([len(ids)]), "doc": doc[token[p]:token[q]]}
+                    cell |= {"tokens": np.diff(token[p:q + 1]).astype(np.uint32), "doc": doc[token[p]:token[q]]}
                 else:
-                    cell["tokens"] = np.diff(train[token[p:q + 1]]).astype(np.uint32)
+                    cell |= {"tokens": np.diff(train[token[p:q + 1]]).astype(np.uint32), "asked": np.array([token[q] - token[p]])}
                 if score and b == home:
                     cell |= {"ids": np.array([0 if i is None else i for i in ids], np.int64), "known": np.array([i is not None for i in ids], np.uint8), "n": counts}
                 if hi > lo or score and b == home:
-                    yield table(_STATE, bucket=[b], part=[ASKED], home=[0], data=[packed(**cell)])
+                    yield table(_STATE, bucket=[b], part=[ASKED], home=[number], data=[packed(**cell)])
     return cells
 
 
@@ -244,13 +248,14 @@ def _loaded(rows) -> tuple[Bucket, list[tuple[np.ndarray, ...]], np.ndarray, np.
     return b, kept, customers, tables
 
 
-def _counted(buckets: int):
+def _counted(buckets: int, most: int):
     """The cells of a bucket merged into its counts."""
     def count(key, rows):
-        hs, us, cs = [], [], []
+        hs, us, cs, asked = [], [], [], 0
         for x in rows.column("data"):
             cell = unpacked(x.as_py())
             hs.append(np.repeat(cell["words"], cell["pairs"])), us.append(cell["contexts"][cell["context"]]), cs.append(cell["tokens"])
+            asked += int(cell["asked"][0])
         h, c = np.concatenate(hs), np.concatenate(cs)
         contexts, u = np.unique(np.concatenate(us), return_inverse=True)
         del hs, us, cs
@@ -260,10 +265,20 @@ def _counted(buckets: int):
         del h, word, u
         pair, where = np.unique(pair, return_inverse=True)
         b = Bucket(vocabulary, pair // len(contexts), pair % len(contexts), np.bincount(where, weights=c, minlength=len(pair)).astype(np.int64), contexts)
-        return _state(key[0].as_py(), buckets, b, [])
+        groups = table(_STATE, bucket=[key[0].as_py()], part=[GROUPS], home=[pieces(asked, most)], data=[b""])
+        return pa.concat_tables([_state(key[0].as_py(), buckets, b, []), pa.Table.from_batches([groups])])
     return count
 
 
+def _dealt(cells: DataFrame, model: DataFrame, groups: DataFrame) -> DataFrame:
+    """Cells and models with the group they go to: cells by their batch, a
+    model to all groups of its bucket."""
+    n = F.coalesce("groups", F.lit(1))
+    cells = cells.join(groups, "bucket", "left").withColumn("group", F.pmod(F.xxhash64("home"), n))
+    model = model.join(groups, "bucket", "left").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    return cells.unionByName(model).select("group", *_STATE.names)
+
+
 def _added(key, rows):
     """The sums of the contexts in one range of the hash, for every bucket that lists them."""
     blocks = [unpacked(x.as_py()) for x in rows.column("data")]
@@ -315,7 +330,7 @@ _SUM = pa.schema([("batch", pa.int64()), ("data", pa.binary())])
 
 
 def _scored(samples: list[list[int]], n: int, v: int):
-    """Sums per document of every cell of a bucket."""
+    """Sums of the documents of every cell of a group."""
     def score(key, rows):
         data, part = rows.column("data"), rows.column("part").to_numpy()
         if (part == ASKED).any() and (part == MODEL).any():
@@ -351,10 +366,10 @@ def _scored(samples: list[list[int]], n: int, v: int):
                 p += g.context(u, c, tables, np.repeat(root, cell["pairs"]))
             log_p = np.log10(p / len(kept))
             base = np.repeat(np.log10((count + 0.5) / (n + 0.5 * (v + 1))), cell["pairs"])
-            doc, docs = cell["doc"].astype(np.int64), int(cell["docs"][0])
-            add = lambda x: np.bincount(doc, weights=np.repeat(x, cell["tokens"]), minlength=docs)
+            docs, doc = np.unique(cell["doc"], return_inverse=True)
+            add = lambda x: np.bincount(doc, weights=np.repeat(x, cell["tokens"]), minlength=len(docs))
             more = {k: cell[k] for k in ("ids", "known", "n") if k in cell}
-            out.append((int(cell["batch"][0]), packed(score=add(log_p), base=add(base), hits=add(np.repeat(count > 0, cell["pairs"]).astype(float)).astype(np.int32), **more)))
+            out.append((int(cell["batch"][0]), packed(docs=docs, score=add(log_p), base=add(base), hits=add(np.repeat(count > 0, cell["pairs"]).astype(float)).astype(np.int32), **more)))
         return pa.Table.from_batches([table(_SUM, **dict(zip(_SUM.names, zip(*out))))] if out else [], schema=_SUM)
     return score
 
@@ -365,12 +380,15 @@ _DONE_SQL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_t
 
 def _summed(n_train: int):
     def add(key, rows):
-        total, home = {}, {}
+        home, cells = {}, []
         for x in rows.column("data"):
             cell = unpacked(x.as_py())
             home |= {k: cell.pop(k) for k in ("ids", "known", "n") if k in cell}
-            for k, v in cell.items():
-                total[k] = total[k] + v if k in total else v
+            cells.append(cell)
+        total = {k: np.zeros(len(home["n"])) for k in ("score", "base", "hits")}
+        for cell in cells:
+            for k, v in total.items():
+                v[cell["docs"]] += cell[k]
         ids = [i if k else None for i, k in zip(home["ids"].tolist(), home["known"].tolist())]
         return pa.Table.from_batches([table(_DONE, doc_id=ids, held_out=[not is_training(i) for i in ids], n_tokens=home["n"], n_known=total["hits"].astype(np.int64),
                                             train_tokens=np.full(len(ids), n_train), base_score=total["base"], score=total["score"], perplexity=10 ** np.minimum(-total["score"] / home["n"], 300))])
@@ -382,7 +400,8 @@ def score_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     train_tokens, base_score, score (log10 probability), perplexity."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = pieces(docs.count(), BUCKET_DOCS)
-    model = old = written(d.mapInArrow(_cells(buckets, False), _STATE_SQL).groupBy("bucket").applyInArrow(_counted(buckets), _STATE_SQL), "counts")
+    model = old = written(d.mapInArrow(_cells(buckets, False), _STATE_SQL).groupBy("bucket").applyInArrow(_counted(buckets, ASK), _STATE_SQL), "counts")
+    groups = written(model.filter((F.col("part") == GROUPS) & (F.col("home") > 1)).select("bucket", F.col("home").alias("groups")), "groups")
     samples = []
     g = _totals(model)
     for number in range(BURN + KEEP):
@@ -393,6 +412,6 @@ def score_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
         g = _totals(model)
         if keep:
             samples.append(g)
-    both = d.mapInArrow(_cells(buckets, True), _STATE_SQL).unionByName(_with_totals(model))
+    both = _dealt(d.mapInArrow(_cells(buckets, True), _STATE_SQL), _with_totals(model), groups)
     score = _scored(samples, g[0], g[3])
-    return both.groupBy("bucket").applyInArrow(score, "batch long, data binary").groupBy("batch").applyInArrow(_summed(g[0]), _DONE_SQL)
+    return both.groupBy("bucket", "group").applyInArrow(score, "batch long, data binary").groupBy("batch").applyInArrow(_summed(g[0]), _DONE_SQL)

@@ -99,7 +99,7 @@ def test_every_word_is_a_context_of_its_own(spark):
     assert len(np.unique(lm.contexts_of(h, np.array([0, len(h)])))) == len(h)
     rows = [(i, " ".join(f"w{i * 60 + k}" if k % 3 else "often" for k in range(100))) for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    state = lm.written(docs.mapInArrow(lm._cells(5, False), lm._STATE_SQL).groupBy("bucket").applyInArrow(lm._counted(5), lm._STATE_SQL), "counts")
+    state = lm.written(docs.mapInArrow(lm._cells(5, False), lm._STATE_SQL).groupBy("bucket").applyInArrow(lm._counted(5, lm.ASK), lm._STATE_SQL), "counts")
     customers, tables, want, pairs = {}, {}, collections.Counter(), set()
     for r in lm._with_totals(state).filter(f"part = {lm.CONTEXT}").collect():
         a = lm.unpacked(r.data)
@@ -114,3 +114,22 @@ def test_every_word_is_a_context_of_its_own(spark):
     assert len(want) > 1 << 14 and customers == dict(want)
     assert tables == {u: 0 for u in want} | collections.Counter(u for u, _ in pairs)
     assert len(lm.score_documents(docs).collect()) == len(rows)
+
+
+def test_a_hot_word_is_scored_in_several_groups(spark, monkeypatch):
+    """No group grows with a word's frequency, and the scores stay the same."""
+    rows = [(i, "hot " * 200 + f"rare{i}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(12).cache()
+    once = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    monkeypatch.setattr(lm, "ASK", 4_000)
+    dealt, seen = lm._dealt, []
+    monkeypatch.setattr(lm, "_dealt", lambda *a: seen.append(dealt(*a)) or seen[-1])
+    out = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    assert out == pytest.approx(once, abs=1e-9) and len(out) == len(rows)
+    tokens, models = collections.Counter(), collections.Counter()
+    for r in seen[0].select("bucket", "group", "part", "data").collect():
+        if r.part == lm.ASKED:
+            tokens[r.bucket, r.group] += len(lm.unpacked(r.data)["doc"])
+        models[r.bucket, r.group] += r.part == lm.MODEL
+    assert sum(tokens.values()) == 120 * 202 and len(tokens) > 2 and max(tokens.values()) < sum(tokens.values()) / 2
+    assert all(models[k] == 1 for k in tokens)

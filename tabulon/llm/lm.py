@@ -42,6 +42,7 @@ an empty result; other columns of any name are ignored.
 
 from __future__ import annotations
 
+import gc
 import zlib
 
 import numpy as np
@@ -161,11 +162,13 @@ def is_training(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 != 1
 
 
-def contexts_of(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Context of every token: the hash of the word before it."""
-    before = np.concatenate([[START], h[:-1]])
-    before[starts[:-1]] = START
-    return before
+def _planes(h: np.ndarray) -> np.ndarray:
+    """Sorted hashes as eight planes of bytes, of which the first ones compress."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def _hashes(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -190,7 +193,10 @@ def _cells(buckets: int, score: bool):
             counts = np.diff(starts)
             doc = np.repeat(np.arange(len(ids), dtype=np.uint16), counts)
             vocabulary, word = np.unique(h, return_inverse=True)
-            contexts, context = np.unique(contexts_of(h, starts), return_inverse=True)
+            contexts = np.union1d(vocabulary, [START])
+            place = np.searchsorted(contexts, vocabulary)  # the word before, by its place among the contexts
+            context = np.concatenate([[0], place[word[:-1]]])
+            context[starts[:-1]] = np.searchsorted(contexts, START)
             pair = word * len(contexts) + context
             order = np.argsort(pair, kind="stable")
             pair, doc = pair[order], doc[order]
@@ -203,7 +209,7 @@ def _cells(buckets: int, score: bool):
             for b, (lo, hi) in enumerate(_edges(vocabulary, buckets)):
                 p, q = int(first[lo]), int(first[hi])
                 own, at_context = np.unique(pair[p:q] % len(contexts), return_inverse=True)
-                cell = {"batch": np.array([number]), "words": vocabulary[lo:hi], "pairs": np.diff(first[lo:hi + 1]).astype(np.uint32), "contexts": contexts[own], "context": _small(at_context)}
+                cell = {"batch": np.array([number]), "words": _planes(vocabulary[lo:hi]), "pairs": np.diff(first[lo:hi + 1]).astype(np.uint32), "contexts": _planes(contexts[own]), "context": _small(at_context)}
                 if score:
                     cell |= {"tokens": np.diff(token[p:q + 1]).astype(np.uint32), "doc": doc[token[p]:token[q]]}
                 else:
@@ -219,13 +225,13 @@ def _state(bucket: int, buckets: int, b: Bucket, kept: list[tuple[np.ndarray, ..
     """Rows of the model and of the sums that the next sweep needs.  ``kept``:
     tables of pairs and words of every kept sweep, and of the contexts where
     the next sweep has brought them."""
-    arrays = {"words": b.words, "pairs": np.bincount(b.word, minlength=len(b.words)).astype(np.uint32), "context": _small(b.context), "c": _small(b.c), "t": _small(b.t), "t0": _small(b.t0)}
+    arrays = {"words": _planes(b.words), "pairs": np.bincount(b.word, minlength=len(b.words)).astype(np.uint32), "context": _small(b.context), "c": _small(b.c), "t": _small(b.t), "t0": _small(b.t0)}
     for k, sample in enumerate(kept):
         arrays |= {f"{name}.{k}": _small(x) for name, x in zip(("t", "t0", "tables"), sample)}
     c, t = b.context_sums(b.c), b.context_sums(b.t)
     sums = {"sums": np.array([c.sum(), t.sum(), b.t0.sum(), len(b.words)], np.int64)}
     out = [(bucket, MODEL, 0, packed(**arrays)), (bucket, SUMS, 0, packed(**sums))]
-    out += [(bucket, CONTEXT, home, packed(contexts=b.contexts[lo:hi], customers=_small(c[lo:hi]), tables=_small(t[lo:hi])))
+    out += [(bucket, CONTEXT, home, packed(contexts=_planes(b.contexts[lo:hi]), customers=_small(c[lo:hi]), tables=_small(t[lo:hi])))
             for home, (lo, hi) in enumerate(_edges(b.contexts, buckets)) if hi > lo]
     return pa.Table.from_batches([table(_STATE, **dict(zip(_STATE.names, zip(*out))))])
 
@@ -237,9 +243,9 @@ def _loaded(rows) -> tuple[Bucket, list[tuple[np.ndarray, ...]], np.ndarray, np.
     a = unpacked(data[int(np.flatnonzero(part == MODEL)[0])].as_py())
     at = np.flatnonzero(part == CONTEXT)
     answers = [unpacked(data[int(k)].as_py()) for k in at[np.argsort(home[at], kind="stable")]]
-    contexts = np.concatenate([x["contexts"] for x in answers])
+    contexts = np.concatenate([_hashes(x["contexts"]) for x in answers])
     customers, tables = (np.append(np.concatenate([x[name] for x in answers]), 0).astype(np.int64) for name in ("customers", "tables"))
-    b = Bucket(a["words"], np.repeat(np.arange(len(a["words"])), a["pairs"]), a["context"].astype(np.int64), a["c"].astype(np.int64), contexts)
+    b = Bucket(_hashes(a["words"]), np.repeat(np.arange(len(a["pairs"])), a["pairs"]), a["context"].astype(np.int64), a["c"].astype(np.int64), contexts)
     b.t, b.t0 = a["t"].astype(np.int64), a["t0"].astype(np.int64)
     kept = []
     while f"t.{len(kept)}" in a:
@@ -254,7 +260,7 @@ def _counted(buckets: int, most: int):
         hs, us, cs, asked = [], [], [], 0
         for x in rows.column("data"):
             cell = unpacked(x.as_py())
-            hs.append(np.repeat(cell["words"], cell["pairs"])), us.append(cell["contexts"][cell["context"]]), cs.append(cell["tokens"])
+            hs.append(np.repeat(_hashes(cell["words"]), cell["pairs"])), us.append(_hashes(cell["contexts"])[cell["context"]]), cs.append(cell["tokens"])
             asked += int(cell["asked"][0])
         h, c = np.concatenate(hs), np.concatenate(cs)
         contexts, u = np.unique(np.concatenate(us), return_inverse=True)
@@ -282,11 +288,11 @@ def _dealt(cells: DataFrame, model: DataFrame, groups: DataFrame) -> DataFrame:
 def _added(key, rows):
     """The sums of the contexts in one range of the hash, for every bucket that lists them."""
     blocks = [unpacked(x.as_py()) for x in rows.column("data")]
-    contexts, where = np.unique(np.concatenate([b["contexts"] for b in blocks]), return_inverse=True)
+    contexts, where = np.unique(np.concatenate([_hashes(b["contexts"]) for b in blocks]), return_inverse=True)
     customers, tables = (np.bincount(where, weights=np.concatenate([b[name] for b in blocks]), minlength=len(contexts)).astype(np.int64)[where] for name in ("customers", "tables"))
     out, e = [], 0
     for b in blocks:
-        lo, e = e, e + len(b["contexts"])
+        lo, e = e, e + len(b["tables"])
         out.append(packed(contexts=b["contexts"], customers=_small(customers[lo:e]), tables=_small(tables[lo:e])))
     return rows.set_column(rows.column_names.index("data"), "data", pa.array(out, pa.binary())).select(_STATE.names)
 
@@ -344,7 +350,8 @@ def _scored(samples: list[list[int]], n: int, v: int):
         out = []
         for k in np.flatnonzero(part == ASKED):
             cell = unpacked(data[int(k)].as_py())
-            u = np.searchsorted(b.contexts, cell["contexts"])[cell["context"]]  # all are listed
+            cell["words"] = _hashes(cell["words"])
+            u = np.searchsorted(b.contexts, _hashes(cell["contexts"]))[cell["context"]]  # all are listed
             if len(b.words):
                 at = np.minimum(np.searchsorted(b.words, cell["words"]), len(b.words) - 1)
                 known = b.words[at] == cell["words"]
@@ -366,8 +373,8 @@ def _scored(samples: list[list[int]], n: int, v: int):
                 p += g.context(u, c, tables, np.repeat(root, cell["pairs"]))
             log_p = np.log10(p / len(kept))
             base = np.repeat(np.log10((count + 0.5) / (n + 0.5 * (v + 1))), cell["pairs"])
-            docs, doc = np.unique(cell["doc"], return_inverse=True)
-            add = lambda x: np.bincount(doc, weights=np.repeat(x, cell["tokens"]), minlength=len(docs))
+            docs = np.flatnonzero(np.bincount(cell["doc"])).astype(np.uint16)
+            add = lambda x: np.bincount(cell["doc"], weights=np.repeat(x, cell["tokens"]))[docs]
             more = {k: cell[k] for k in ("ids", "known", "n") if k in cell}
             out.append((int(cell["batch"][0]), packed(docs=docs, score=add(log_p), base=add(base), hits=add(np.repeat(count > 0, cell["pairs"]).astype(float)).astype(np.int32), **more)))
         return pa.Table.from_batches([table(_SUM, **dict(zip(_SUM.names, zip(*out))))] if out else [], schema=_SUM)
@@ -398,6 +405,7 @@ def _summed(n_train: int):
 def score_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score (log10 probability), perplexity."""
+    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = pieces(docs.count(), BUCKET_DOCS)
     model = old = written(d.mapInArrow(_cells(buckets, False), _STATE_SQL).groupBy("bucket").applyInArrow(_counted(buckets, ASK), _STATE_SQL), "counts")
@@ -409,6 +417,8 @@ def score_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
         new = written(_with_totals(model).groupBy("bucket").applyInArrow(_sweep(g, number, keep, buckets, seed), _STATE_SQL), "seating")
         drop_written(old)
         model = old = new
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files that no plan refers to any more
         g = _totals(model)
         if keep:
             samples.append(g)

@@ -95,15 +95,13 @@ def test_a_word_served_mostly_in_one_context():
 
 def test_every_word_is_a_context_of_its_own(spark):
     """However many there are; and all buckets are told the same exact totals."""
-    h = np.arange(1, 50_001, dtype=np.uint64)
-    assert len(np.unique(lm.contexts_of(h, np.array([0, len(h)])))) == len(h)
     rows = [(i, " ".join(f"w{i * 60 + k}" if k % 3 else "often" for k in range(100))) for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     state = lm.written(docs.mapInArrow(lm._cells(5, False), lm._STATE_SQL).groupBy("bucket").applyInArrow(lm._counted(5, lm.ASK), lm._STATE_SQL), "counts")
     customers, tables, want, pairs = {}, {}, collections.Counter(), set()
     for r in lm._with_totals(state).filter(f"part = {lm.CONTEXT}").collect():
         a = lm.unpacked(r.data)
-        for u, c, t in zip(a["contexts"].tolist(), a["customers"].tolist(), a["tables"].tolist()):
+        for u, c, t in zip(lm._hashes(a["contexts"]).tolist(), a["customers"].tolist(), a["tables"].tolist()):
             assert customers.setdefault(u, c) == c and tables.setdefault(u, t) == t
     for d, text in rows:
         h = [int(lm.START), *lm.hashes(words(text, lower=True)).tolist()]

@@ -13,7 +13,7 @@ Nested columns (arrays, maps, structs, binary) are skipped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,6 +201,19 @@ def sample_values_expr(v: Column, digit: Column, k: int = SAMPLE_VALUES) -> Colu
     return F.slice(F.array_sort(F.array_compact(least)), 1, k)
 
 
+def with_whole_samples(long: DataFrame, stats: DataFrame, k: int = SAMPLE_VALUES) -> DataFrame:
+    """Where values share hash classes and fewer than k were sampled, the
+    smallest of the column's other distinct values are added, up to k."""
+    # the median of lengths (null without values) keeps this an object-hash aggregate, see _stats_exprs
+    few = stats.filter((F.size("samples") < k) & (F.col("len_median") > 0)).select("ordinal", "samples")
+    rest = (long.select("ordinal", F.trim("raw").alias("v")).filter(F.col("v") != "")
+            .join(few, "ordinal").filter(~F.array_contains("samples", F.col("v"))).select("ordinal", "v").distinct())
+    rank = F.row_number().over(Window.partitionBy("ordinal").orderBy("v"))
+    more = rest.withColumn("k", rank).filter(F.col("k") <= k).groupBy("ordinal").agg(F.array_sort(F.collect_list("v")).alias("more"))
+    whole = F.array_sort(F.concat("samples", F.slice("more", 1, F.greatest(F.lit(0), F.lit(k) - F.size("samples")))))
+    return stats.join(more, "ordinal", "left").withColumn("samples", F.coalesce(whole, "samples")).drop("more")
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return a / F.greatest(b, F.lit(1))
 
@@ -295,6 +308,8 @@ def profile(df: DataFrame, approx: bool = False, compat_order: bool = False,
     cols = columns or profiled_columns(df)
     long = long_values(df, cols)
     stats = column_stats(long, with_samples)
+    if with_samples:
+        stats = with_whole_samples(long, stats)
     st = stats.join(distinct_counts(long, approx), ["ordinal", "column"], "left")
     st = st.fillna(0, ["distinct_ci", "distinct_raw"])
     t, dt = upload_types(compat_order)

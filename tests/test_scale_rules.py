@@ -96,3 +96,12 @@ def test_exact_medians(spark):
     few = sorted(i * 7919 % 100_001 for i in range(4))
     assert got["g"] == (vs[len(vs) // 2 - (len(vs) % 2 == 0)], vs[len(vs) // 2]) and got[None] == (few[1], few[2])
     assert [r.lower for r in SR.group_medians(df.limit(0), [], "v").collect()] == [None]
+
+
+def test_samples_of_values_that_share_a_hash_class(spark):
+    """Up to five distinct values, also where their classes collide."""
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderpriority")
+    assert PF.profile(orders).first()["samples"] == ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    df = spark.range(2000).select(*[F.concat(F.lit("v"), F.col("id") % n).alias(f"c{n}") for n in (1, 2, 3, 4, 5, 40)], F.lit(None).cast("string").alias("none"))
+    got = {r["column"]: r["samples"] for r in PF.profile(df).collect()}
+    assert all(got[f"c{n}"] == [f"v{i}" for i in range(n)] for n in (1, 2, 3, 4, 5)) and len(set(got["c40"])) == 5 and got["none"] == []

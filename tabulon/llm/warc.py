@@ -11,7 +11,9 @@ Reading: a gzip member must inflate and pass its own CRC, and a record in it
 must have a version line, a length that fits, the closing blank lines and the
 digest that its header states for the block.  After a failed check the reader
 looks for the next member (or, in a plain file, version line) that passes all
-of them, goes on from there, and logs the bytes in between as a gap.
+of them, goes on from there, and logs the bytes in between as a gap.  In a member
+of several records that inflates, the search goes by version lines of its inflated
+bytes; such a gap names the member, and the bytes within it.
 
 Results for odd input: a null html is the empty payload; a null page_id comes
 after all others and is written as such; of rows equal in page_id and payload
@@ -99,9 +101,9 @@ def parse_record(data, at: int = 0) -> tuple[dict, bytes, int]:
     return head, block, start + n + 4
 
 
-def _member(data, at: int) -> tuple[list[tuple[dict, bytes]], int]:
-    """Records and end of the gzip member at ``at``; ValueError if a check
-    fails.  Fed in parts, so that a small member does not copy what follows."""
+def _member(data, at: int) -> tuple[list[tuple[str, object]], int]:
+    """Records, gaps and end of the gzip member at ``at``; ValueError if it has
+    no sound record.  Fed in parts, so that a small member does not copy what follows."""
     inflate, body, k, step = zlib.decompressobj(31), [], at, 1 << 16
     view = memoryview(data)
     try:
@@ -113,18 +115,21 @@ def _member(data, at: int) -> tuple[list[tuple[dict, bytes]], int]:
     if not inflate.eof:
         raise ValueError("gzip member cut short")
     end = min(k, len(data)) - len(inflate.unused_data)
-    whole, records, pos = b"".join(body), [], 0
-    while pos < len(whole) or not records:
-        head, block, pos = parse_record(whole, pos)
-        records.append((head, block))
-    return records, end
+    found = list(_salvaged(b"".join(body), [_VERSION]))
+    if not any(kind == "record" for kind, _ in found):
+        raise ValueError(found[0][1][2] if found else "no version line")
+    return [(kind, (at, end, f"{x[2]}, bytes {x[0]} to {x[1]} of the inflated member") if kind == "gap" else x) for kind, x in found], end
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, object]]:
     """("record", (headers, block)) for every sound record of a file's bytes
     in order, and ("gap", (start, end, reason)) for every run of bytes lost."""
     # a damaged beginning does not tell which kind of file it is
-    marks = [m for m in (_MAGIC, _VERSION) if data.startswith(m)] or [_MAGIC, _VERSION]
+    yield from _salvaged(data, [m for m in (_MAGIC, _VERSION) if data.startswith(m)] or [_MAGIC, _VERSION])
+
+
+def _salvaged(data: bytes, marks: list[bytes]) -> Iterator[tuple[str, object]]:
+    """What :func:`salvage` gives, with the marks at which members or records may begin."""
     at, lost, why = 0, None, ""
     while at < len(data):
         try:
@@ -132,7 +137,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, object]]:
                 found, end = _member(data, at)
             else:
                 head, block, end = parse_record(data, at)
-                found = [(head, block)]
+                found = [("record", (head, block))]
         except ValueError as e:
             if lost is None:
                 lost, why = at, str(e)
@@ -144,8 +149,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, object]]:
         if lost is not None:
             yield "gap", (lost, at, why)
             lost = None
-        for r in found:
-            yield "record", r
+        yield from found
         at = end
     if lost is not None:
         yield "gap", (lost, len(data), why)

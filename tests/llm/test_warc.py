@@ -79,3 +79,17 @@ def test_false_marks():
     raw = record_bytes(1, None, payload)
     assert [k for k, _ in salvage(raw)] == ["record"]
     assert [k for k, _ in salvage(zlib.compress(b"x") + gzip.compress(raw))] == ["gap", "record"]
+
+
+@pytest.mark.parametrize("bad", [0, 3, 7])
+def test_salvage_within_a_member(bad):
+    """One broken record of a member with several does not take the others along."""
+    parts = archive(8, False)
+    for wrong in (parts[bad].replace(b"page", b"cage"), parts[bad].replace(b"Content-Length: ", b"Content-Length: 9"), parts[bad][40:]):
+        lone = gzip.compress(parts[0], mtime=0)
+        member = gzip.compress(b"".join([*parts[:bad], wrong, *parts[bad + 1:]]), mtime=0)
+        found = list(salvage(lone + member + lone))
+        assert [int(x[0]["x-page-id"]) for k, x in found if k == "record"] == [0, *(i for i in range(8) if i != bad), 0]
+        gaps = [x for k, x in found if k == "gap"]
+        at = sum(map(len, parts[:bad]))
+        assert [x[:2] for x in gaps] == [(len(lone), len(lone) + len(member))] and f"bytes {at} to {at + len(wrong)} of" in gaps[0][2]

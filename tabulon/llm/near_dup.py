@@ -2,15 +2,16 @@
 
 A document is the set of its distinct shingles (``width`` words, lower-cased;
 a shorter text is one shingle).  Documents with equal sets are one class.  A
-class has ``BANDS * ROWS`` MinHash samples.  Bands of ``ROWS`` samples give the
-candidates.  All samples are folded into an odd sketch: a bitmap in which every
+class has MinHash samples.  Bands of ``ROWS`` samples give the candidates.  The
+first ``SAMPLES`` are folded into an odd sketch: a bitmap in which every
 (sample number, value) flips one bit, so that the population count of the XOR
 of two sketches estimates how many samples differ, and with it the similarity.
 A candidate pair whose estimate is below the threshold by more than
-``SLACK`` (over five standard deviations of the estimate at the threshold) is
+five standard deviations of the estimate at the threshold (:func:`slack`) is
 dropped; a link needs the exact test 100 * |A and B| >= percent * |A or B| on
-the full sets.  A pair at the threshold shares no band with probability
-(1 - 0.85^5)^24, 8 in ten million.
+the full sets.  There are as many bands as it takes that a pair at the threshold
+shares none with a probability of at most ``MISSED`` (:func:`bands`): 24 at 0.85,
+36 at 0.8.
 
 Only components are wanted, so no list of pairs is made.  Classes that share
 bands, directly or in chains, form a cluster; nothing outside a cluster can link
@@ -32,6 +33,7 @@ id; an empty table gives an empty result; other columns of any name are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +43,13 @@ from .common import mix64, partitions, table, written
 from .components import components
 from .words import hashes, words
 
-BANDS, ROWS = 24, 5
+#: least number of bands, samples per band, most probability to share no band
+BANDS, ROWS, MISSED = 24, 5, 8e-7
+#: samples of an odd sketch
 SAMPLES = BANDS * ROWS
 #: bits of an odd sketch
 BITS = 512
+#: slack at 0.85
 SLACK = 0.17
 CHUNK = 256
 #: shingles sampled at a time, pairs tested one by one before a whole group is
@@ -54,9 +59,34 @@ SLAB, SINGLE, COLUMNS = 4096, 4096, 8192
 _rng = np.random.default_rng(20)
 _MUL = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
+_more = np.random.default_rng(21)
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+def bands(percent: int) -> int:
+    """Bands such that pairs at the threshold are not missed."""
+    hit = (percent / 100) ** ROWS
+    return BANDS if hit >= 1 else max(BANDS, math.ceil(math.log(MISSED) / math.log1p(-hit)))
+
+
+def slack(percent: int) -> float:
+    """Five standard deviations of the estimate at the threshold: of the number
+    of samples that differ, and of the odd bits that their flips leave."""
+    s = percent / 100
+    flips = 2 * SAMPLES * (1 - s)
+    odd = BITS / 4 * (1 - math.exp(-4 * flips / BITS)) - flips * math.exp(-4 * flips / BITS)
+    return 5 * math.sqrt(s * (1 - s) / SAMPLES + odd / (2 * SAMPLES * math.exp(-2 * flips / BITS)) ** 2)
+
+
+def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and addends of n samples, the same first ones for every n."""
+    global _MUL, _ADD
+    while len(_MUL) < n:
+        a, b = _more.integers(0, 2**63, (2, SAMPLES), dtype=np.uint64)
+        _MUL, _ADD = np.append(_MUL, a * np.uint64(2) + np.uint64(1)), np.append(_ADD, b)
+    return _MUL[:n], _ADD[:n]
+
+
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a whole text."""
     w = hashes(words(text, lower=True))
@@ -70,12 +100,13 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(h)
 
 
-def samples(sets: np.ndarray) -> np.ndarray:
-    """The MinHash samples of a non-empty set."""
-    low = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
+def samples(sets: np.ndarray, n: int = SAMPLES) -> np.ndarray:
+    """The first n MinHash samples of a non-empty set."""
+    mul, add = _coefficients(n)
+    low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(0, len(sets), SLAB):
-            low = np.minimum(low, (sets[k:k + SLAB, None] * _MUL + _ADD).min(0))
+            low = np.minimum(low, (sets[k:k + SLAB, None] * mul + add).min(0))
     return low
 
 
@@ -96,8 +127,10 @@ def estimate(different_bits: np.ndarray) -> np.ndarray:
 _SIG = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
+def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n (set size), key (of the set), bands and sketch of every row."""
+    n = bands(percent)
+
     def sign(batches):
         for b in batches:
             out = []
@@ -106,13 +139,13 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 if not len(s):
                     out.append((doc, text_hash, 0, None, None, None))
                     continue
-                low = samples(s)
-                rows = mix64(low).reshape(BANDS, ROWS)
-                band = np.arange(BANDS, dtype=np.uint64)
+                low = samples(s, n * ROWS)
+                rows = mix64(low).reshape(n, ROWS)
+                band = np.arange(n, dtype=np.uint64)
                 with np.errstate(over="ignore"):
                     for r in range(ROWS):
                         band = mix64(band * _K[0] + rows[:, r])
-                out.append((doc, text_hash, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band.view(np.int64), odd_sketch(low).tobytes()))
+                out.append((doc, text_hash, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band.view(np.int64), odd_sketch(low[:SAMPLES]).tobytes()))
             yield table(_SIG, **dict(zip(_SIG.names, zip(*out)))) if out else table(_SIG, **{c: [] for c in _SIG.names})
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
@@ -153,7 +186,7 @@ def connect(comp: np.ndarray, loose: np.ndarray, n: np.ndarray, sketch: np.ndarr
     """Confirmed links that join different components of one group of rows;
     with ``cross`` only pairs of a loose row and another are looked at."""
     size = len(n)
-    least = percent / 100 - SLACK
+    least = percent / 100 - slack(percent)
     i, j = (np.repeat(np.flatnonzero(loose), (~loose).sum()), np.tile(np.flatnonzero(~loose), loose.sum())) if cross else np.triu_indices(size, 1)
     ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))  # sizes alone can rule a pair out
     i, j = i[ok], j[ok]
@@ -286,7 +319,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """One row per row of ``docs``: doc_id, row, text_hash, n_shingles,
     component (a number of its own), component_id (its smallest doc_id), kept."""
     spark = docs.sparkSession
-    rows = written(signatures(docs, width).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    rows = written(signatures(docs, width, percent).withColumn("row", F.monotonically_increasing_id()), "signatures")
     classes = (rows.filter("n > 0").groupBy("key").agg(F.min("row").alias("c"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
     classes = written(classes, "classes")
     bands = classes.select("c", F.posexplode("bands").alias("k", "v")).select("c", F.xxhash64("k", "v").alias("band"))

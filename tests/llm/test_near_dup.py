@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from helpers import odd_rows, words
 from tabulon.llm import near_dup as N
 from tabulon.llm.components import components
@@ -128,3 +129,18 @@ def test_components(spark):
             label[x] = label[y] = min(label[x], label[y])
     out = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {x: r for x, r in label.items() if x != r}
+
+
+def test_bands_and_slack_follow_the_threshold():
+    """At 0.8 as at 0.85 a pair shares no band once in a million times, and
+    its estimate stays within five standard deviations."""
+    for percent in (80, 85, 90):
+        assert (1 - (percent / 100) ** N.ROWS) ** N.bands(percent) < 1e-6
+    assert N.bands(85) == 24 and N.slack(85) == pytest.approx(N.SLACK, abs=0.002) and N.slack(80) > 0.19
+    a = np.arange(1, 500, dtype=np.uint64)
+    assert (N.samples(a, 36 * N.ROWS)[:N.SAMPLES] == N.samples(a)).all() and len(set(N.samples(a, 36 * N.ROWS))) > 150
+
+
+def test_signatures_have_the_bands_of_the_threshold(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
+    assert [len(N.signatures(docs, 5, percent).first().bands) for percent in (80, 85)] == [36, 24]

@@ -16,6 +16,7 @@ from .substring import substring_dedup
 from .token_files import token_file_round_trip
 from .toxicity import toxicity
 from .warc import warc_round_trip
+from .whitening import whiten
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -134,3 +135,9 @@ def op1_substring_dedup(spark, sf_dir):
 @query("op2_lm_scoring")
 def op2_lm_scoring(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    found = whiten(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")

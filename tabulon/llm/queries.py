@@ -12,6 +12,7 @@ from .lm import score_documents
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .packing import pack
+from .phrases import collocations
 from .substring import substring_dedup
 from .token_files import token_file_round_trip
 from .toxicity import toxicity
@@ -141,3 +142,26 @@ def op2_lm_scoring(spark, sf_dir):
 def op11_whitening(spark, sf_dir):
     found = whiten(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+@query("op12_collocations", """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, ws[i:i + k - 1] AS gram FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w CROSS JOIN range(1, 6) t(k))),
+f AS (SELECT lang, gram, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, gram, f AS a, unnest(range(1, len(gram))) AS k FROM f WHERE len(gram) > 1),
+scored AS (SELECT c.lang, c.gram, a, x.f AS l, y.f AS r, n, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score,
+           row_number() OVER (PARTITION BY c.lang, c.gram ORDER BY 1000::HUGEINT * a * n // (x.f::HUGEINT * y.f), k) AS place
+           FROM cuts c JOIN f x ON x.lang = c.lang AND x.gram = c.gram[1:k] JOIN f y ON y.lang = c.lang AND y.gram = c.gram[k + 1:] JOIN n ON n.lang = c.lang),
+parts AS (SELECT DISTINCT lang, f, gram[i:j] AS gram FROM (SELECT lang, gram, f, i, unnest(range(i + 1, len(gram) + 1)) AS j
+          FROM (SELECT lang, gram, f, unnest(range(1, len(gram))) AS i FROM f WHERE len(gram) > 2)) WHERE j - i + 1 < len(gram)),
+longer AS (SELECT lang, gram, max(f) AS f FROM parts GROUP BY ALL),
+kept AS (SELECT s.lang, array_to_string(s.gram, ' ') AS phrase, a, l, r, n, score FROM scored s LEFT JOIN longer USING (lang, gram)
+         WHERE place = 1 AND NOT coalesce(100 * longer.f >= 100 * a, false))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+""")
+def op12_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))

@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .packing import pack
 from .phrases import collocations
+from .pii import digest, personal_data
 from .substring import substring_dedup
 from .token_files import token_file_round_trip
 from .toxicity import toxicity
@@ -144,6 +145,11 @@ def op11_whitening(spark, sf_dir):
     return found.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
 
 
+@query("op13_pii")
+def op13_pii(spark, sf_dir):
+    return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
 @query("op12_collocations", """
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
            '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),

@@ -8,7 +8,9 @@ bits are the quotient, which says where an entry stands, and all other bits, the
 full remainder, are stored beside the count.  Quotients cost one small run length
 a slot instead of their bits in every entry.
 
-Documents are read in batches of some MB.  Every batch counts its own phrases in
+Documents are read in batches of some MB.  A batch lists its words, cut into
+ranges of a hash; one task joins a range over all batches, numbers the words that
+are frequent, and answers each batch.  Then every batch counts its own phrases in
 a filter, sorted by the permuted bits, and cuts it into ranges of the quotient;
 one task merges the sorted filters of one range over all batches.  The
 permutation spreads phrases evenly, so no phrase, however frequent, makes a range
@@ -34,6 +36,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -42,11 +46,12 @@ from .common import drop_written, mix64, table, written
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: bytes of text a batch, entries a range (each at most as often as it occurs)
-BYTES, RANGE = 8_000_000, 4_000_000
+BYTES, RANGE = 24_000_000, 3_000_000
 #: rounds of the permutation
 ROUNDS = 3
 
-_END = b"\xff"  # no byte of UTF-8
+#: an end of a piece (or of a language's name), and what stands between packed words: no bytes of UTF-8
+_END, _GAP = b"\xff", b"\xfe"
 _PLAIN = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + _END * 10)
 
 
@@ -202,34 +207,57 @@ def ranges_for(entries: int) -> int:
     return max(0, math.ceil(math.log2(max(1, entries) / RANGE)))
 
 
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Word numbers by planes of bytes: frequent words have small numbers, so the
+    upper planes are mostly 0."""
+    width = max(1, -(-int(ids.max(initial=0)).bit_length() // 8))
+    return packed(**{f"b{i}": (ids >> ids.dtype.type(8 * i)).astype(np.uint8) for i in range(width)})
+
+
+def unpacked_ids(data: bytes) -> np.ndarray:
+    planes = unpacked(data)
+    kind = np.uint32 if len(planes) <= 4 else np.uint64
+    out = np.zeros(len(planes["b0"]), kind)
+    for i in range(len(planes)):
+        out |= planes[f"b{i}"].astype(kind) << kind(8 * i)
+    return out
+
+
 class _Slots(dict):
     """Word -> number within its batch."""
 
     def __init__(self, lang: str, names: list):
         super().__init__({_END: 0})
-        self.lang, self.names = lang, names
+        self.lang, self.names = lang.encode() + _END, names
 
     def __missing__(self, word: bytes) -> int:
-        self.names.append((self.lang, word))
+        self.names.append(self.lang + word)
         self[word] = len(self.names)
         return len(self.names)
 
 
-_WORDS = pa.schema([("batch", pa.int64()), ("slot", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("stream", pa.binary())])
+_BATCH = "batch long, words long, stream binary, places binary, names binary, counts binary"
+_BATCH_ROWS = pa.schema([("batch", pa.int64()), ("words", pa.int64()), ("stream", pa.binary()), ("places", pa.binary()), ("names", pa.binary()), ("counts", pa.binary())])
+
+
+def _hashes(names: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
 
 
-def _batch_rows(batch: int, names: list, parts: list):
+def _batch_row(batch: int, names: list, parts: list) -> pa.RecordBatch:
+    """A batch's texts as numbers of its words, the most frequent first (0 ends a
+    piece); its words and their counts in the order of their hashes, and the
+    number of the word at each place of that order."""
     ids = np.concatenate(parts)
-    n = np.bincount(ids, minlength=len(names) + 1)
-    yield table(_WORDS, batch=[batch], slot=[0], lang=[None], word=[None], n=[0], stream=[packed(ids=ids)])
-    for lo in range(0, len(names), 20_000):
-        some = names[lo:lo + 20_000]
-        yield table(_WORDS, batch=np.full(len(some), batch), slot=np.arange(lo + 1, lo + len(some) + 1, dtype=np.int32), lang=[x for x, _ in some],
-                    word=pa.array([w for _, w in some], pa.binary()).cast(pa.string()), n=n[lo + 1:lo + len(some) + 1], stream=pa.nulls(len(some), pa.binary()))
+    counts = np.bincount(ids, minlength=len(names) + 1)[1:]
+    number = np.zeros(len(names) + 1, np.uint32)
+    number[np.argsort(-counts, kind="stable") + 1] = np.arange(1, len(names) + 1)
+    order = np.argsort(_hashes(names), kind="stable")
+    text = zstandard.ZstdCompressor(level=1).compress(_GAP.join([names[i] for i in order]))
+    return table(_BATCH_ROWS, batch=[batch], words=[len(names)], stream=[packed_ids(number[ids])], places=[packed(at=number[order + 1])], names=[text], counts=[packed(n=_small(counts[order]))])
 
 
 def _read(record_batches):
-    """Every batch's words with their counts, and its texts as numbers of them."""
     batch, names, slots, parts, size = TaskContext.get().partitionId() << 24, [], {}, [], 0
     for b in record_batches:
         for lang, cell in zip(b.column(0).to_pylist(), b.column(1)):
@@ -243,10 +271,70 @@ def _read(record_batches):
             parts.append(np.fromiter(map(slots[lang].__getitem__, found), np.int32, len(found)))
             size += len(text)
             if size >= BYTES:
-                yield from _batch_rows(batch, names, parts)
+                yield _batch_row(batch, names, parts)
                 batch, names, slots, parts, size = batch + 1, [], {}, [], 0
     if parts:
-        yield from _batch_rows(batch, names, parts)
+        yield _batch_row(batch, names, parts)
+
+
+def _word_cells(cut: int):
+    """Every batch's words and counts, cut into ranges of their hashes."""
+    def split(record_batches):
+        for b in record_batches:
+            for batch, names, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                raw = zstandard.ZstdDecompressor().decompress(names.as_py())
+                names, counts = raw.split(_GAP) if raw else [], unpacked(counts.as_py())["n"]
+                at = _hashes(names) >> np.uint64(64 - cut) if cut else np.zeros(len(names), np.uint64)
+                begin = np.flatnonzero(np.r_[len(at) > 0, at[1:] != at[:-1]])
+                cells = [(int(at[lo]), packed(text=np.frombuffer(_GAP.join(names[lo:hi]), np.uint8), n=counts[lo:hi]))
+                         for lo, hi in zip(begin, np.r_[begin[1:], len(at)])]
+                yield table(_STEP_ROWS, batch=[batch] * len(cells), range=[r for r, _ in cells], data=[d for _, d in cells])
+    return split
+
+
+_WORDS = "batch long, range long, data binary, number long, lang string, word string, n long"
+_WORD_ROWS = pa.schema([("batch", pa.int64()), ("range", pa.int64()), ("data", pa.binary()), ("number", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        return len(self) - 1
+
+
+def _merge_words(least: int):
+    """One range of words over all batches: answers (the number of every word
+    asked for within the range, 0 if it is too rare), the words that are frequent
+    (number, lang, word, n), and how many words each language has (number 0)."""
+    def merge(key, rows):
+        numbers, asked, total = _Numbers(), [], np.zeros(0, np.int64)
+        for d in rows.column("data"):
+            cell = unpacked(d.as_py())
+            words = cell["text"].tobytes().split(_GAP)
+            at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+            if len(numbers) > len(total):
+                total = np.concatenate([total, np.zeros(max(len(numbers) - len(total), len(total)), np.int64)])
+            total[at] += cell["n"]  # words of a cell are distinct
+            asked.append(at.astype(np.uint32))
+        total = total[:len(numbers)]
+        good = np.flatnonzero(total >= least)
+        good = good[np.argsort(-total[good], kind="stable")]  # the most frequent first
+        answer = np.zeros(len(numbers), np.uint32)
+        answer[good] = np.arange(1, len(good) + 1)
+        keys, langs = list(numbers), {}
+        for k, n in zip(keys, total.tolist()):
+            lang = k[:k.index(_END)]
+            langs[lang] = langs.get(lang, 0) + n
+        found = [keys[i].split(_END, 1) for i in good.tolist()]
+        cells, m, at = len(asked), len(found), key[0].as_py()
+        more = m + len(langs)
+        return pa.Table.from_batches([table(
+            _WORD_ROWS, batch=pa.array(rows.column("batch").to_pylist() + [None] * more, pa.int64()), range=[at] * (cells + more),
+            data=[packed(id=_small(answer[a])) for a in asked] + [None] * more, number=pa.array([None] * cells + list(range(1, m + 1)) + [0] * len(langs), pa.int64()),
+            lang=[None] * cells + [x.decode() for x, _ in found] + [x.decode() for x in langs], word=[None] * cells + [w.decode() for _, w in found] + [None] * len(langs),
+            n=pa.array([None] * cells + total[good].tolist() + list(langs.values()), pa.int64()))])
+
+    return merge
 
 
 _STEP = "batch long, range long, data binary"
@@ -261,25 +349,44 @@ def _step(batch: int, ids: np.ndarray, k: int, bits: int, cut: int) -> pa.Table:
     found, at, _ = counted(ids, k, bits)
     if not len(at):
         return pa.Table.from_batches([], _STEP_ROWS)
-    cells = [(-1, packed(ids=ids)), *found.cells(cut)]
+    cells = [(-1, packed_ids(ids)), *found.cells(cut)]
     return pa.Table.from_batches([table(_STEP_ROWS, batch=[batch] * len(cells), range=[r for r, _ in cells], data=[d for _, d in cells])])
 
 
-def _encode(bits: int, cut: int):
+def word_number(number, at, ranges: int):
+    """Number over all ranges of the word with a number in range ``at``: small for
+    frequent words whatever their range."""
+    return (number - 1) * ranges + at + 1
+
+
+def _encode(ranges: int, bits: int, cut: int):
+    """A batch's texts (range -1), its words' places (-2), and the answers on its
+    words -> its texts as numbers of frequent words, and its filter of phrases of
+    two words."""
     kind = np.uint32 if bits <= 32 else np.uint64
 
     def encode(key, rows):
-        slot, number = rows.column("slot").to_numpy(), rows.column("id").to_numpy()
-        stream = np.flatnonzero(slot == 0)[0]
-        ids = unpacked(rows.column("stream")[int(stream)].as_py())["ids"]
-        of = np.zeros(int(ids.max()) + 1, kind)
-        of[slot] = number  # words that are too rare stay 0 and end a piece
-        of[0] = 0
-        return _step(key[0].as_py(), of[ids], 2, bits, cut)
+        order = np.argsort(rows.column("range").to_numpy(), kind="stable")
+        at, data = rows.column("range").to_numpy()[order], rows.column("data").take(pa.array(order))
+        places, ids = unpacked(data[0].as_py())["at"], unpacked_ids(data[1].as_py())
+        found = []
+        for r, d in zip(at[2:].tolist(), data[2:]):
+            a = unpacked(d.as_py())["id"].astype(np.int64)
+            found.append(np.where(a > 0, word_number(a, r, ranges), 0).astype(kind))
+        of = np.zeros(len(places) + 1, kind)  # number 0 ends a piece, as words that are too rare do
+        of[places] = np.concatenate(found) if found else 0
+        return _step(key[0].as_py(), _joined_ends(of[ids]), 2, bits, cut)
 
     return encode
 
 
+def _joined_ends(ids: np.ndarray) -> np.ndarray:
+    """Without words that stand alone between ends, and with one end mark for several."""
+    word = np.r_[False, ids != 0, False]
+    keep = word[1:-1] & (word[:-2] | word[2:])
+    return ids[keep | (word[:-2] & ~word[1:-1])]
+
+
 _FOUND = "batch long, range long, data binary, gram array<long>, n long"
 _FOUND_ROWS = pa.schema([*_STEP_ROWS, ("gram", pa.list_(pa.int64())), ("n", pa.int64())])
 
@@ -306,7 +413,7 @@ def _advance(k: int, bits: int, cut: int, next_cut: int):
     def advance(key, rows):
         order = np.argsort(rows.column("range").to_numpy(), kind="stable")
         data = rows.column("data").take(pa.array(order))
-        ids = unpacked(data[0].as_py())["ids"]
+        ids = unpacked_ids(data[0].as_py())
         found, at, group = counted(ids, k, bits)
         top = field(found.limbs, found.width - cut, cut) if cut else np.zeros(len(found.counts), np.uint64)
         size = np.unique(top, return_counts=True)[1]
@@ -316,40 +423,29 @@ def _advance(k: int, bits: int, cut: int, next_cut: int):
     return advance
 
 
-def _numbered(words: DataFrame) -> DataFrame:
-    """The rows of ``words`` with numbers 1, 2, ... as id."""
-    at = written(words.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), "words")
-    span = at.groupBy("part").agg(F.min("pos").alias("first"), F.count("*").alias("size")).orderBy("part").collect()  # one row per partition
-    before, offsets = 0, []
-    for r in span:
-        offsets.append((r.part, before - r.first + 1))
-        before += r["size"]
-    shift = words.sparkSession.createDataFrame(offsets, "part int, shift long")
-    out = written(at.join(shift, "part").select("lang", "word", "n", (F.col("pos") + F.col("shift")).alias("id")), "dictionary")
-    drop_written(at)
-    return out
-
-
 def frequent_phrases(documents: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(grams, dictionary, totals): gram (word numbers) and n of all words and
     phrases of up to ``longest`` words that occur ``least`` times in their
     language; lang, word, n, id; lang and n of all words."""
     spark = documents.sparkSession
     docs = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    read = written(docs.mapInArrow(_read, "batch long, slot int, lang string, word string, n long, stream binary"), "phrase-words")
-    counts = read.filter("slot > 0").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    totals = written(read.filter("slot > 0").groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
-    dictionary = _numbered(counts.filter(F.col("n") >= least))
+    read = written(docs.mapInArrow(_read, _BATCH), "phrase-batches")
+    cut = ranges_for(read.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0])
+    cells = read.select("batch", "names", "counts").mapInArrow(_word_cells(cut), _STEP)
+    words = written(cells.groupBy("range").applyInArrow(_merge_words(least), _WORDS), "phrase-words")
+    numbered = words.filter("number > 0").withColumn("id", word_number(F.col("number"), F.col("range"), 1 << cut))
+    dictionary = written(numbered.select("lang", "word", "n", "id"), "dictionary")
     size, entries = dictionary.agg(F.max("id"), F.sum("n")).first()
+    totals = written(words.filter("number = 0").groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
     grams = [dictionary.select(F.array("id").alias("gram"), "n")]
     if size and longest > 1:
-        bits, cut = int(size).bit_length(), ranges_for(entries)
-        known = read.filter("slot > 0").select("batch", "slot", "lang", "word").join(dictionary.select("lang", "word", "id"), ["lang", "word"])
-        both = known.select("batch", "slot", "id", F.lit(None).cast("binary").alias("stream")).unionByName(
-            read.filter("slot = 0").select("batch", "slot", F.lit(0).cast("long").alias("id"), "stream"))
-        step = written(both.groupBy("batch").applyInArrow(_encode(bits, min(cut, bits)), _STEP), "phrases-2")
+        bits, ranges = int(size).bit_length(), 1 << cut
+        cut = min(ranges_for(entries), bits)
+        texts = [read.select("batch", F.lit(r).cast("long").alias("range"), F.col(c).alias("data")) for r, c in ((-1, "stream"), (-2, "places"))]
+        both = texts[0].unionByName(texts[1]).unionByName(words.filter("batch is not null").select("batch", "range", "data"))
+        step = written(both.groupBy("batch").applyInArrow(_encode(ranges, bits, cut), _STEP), "phrases-2")
         drop_written(read)
-        cut = min(cut, bits)
+        drop_written(words)
         for k in range(2, longest + 1):
             found = written(step.filter("range >= 0").groupBy("range").applyInArrow(_merge(k, bits, cut, least), _FOUND), f"phrases-{k}-found")
             grams.append(found.filter("gram is not null").select("gram", "n"))

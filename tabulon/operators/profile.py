@@ -142,7 +142,7 @@ def _stats_exprs(with_samples: bool):
                    "md_numeric_any_symbol", "md_pct_suffix", "md_num_0_100", "md_numeric", "ui_date", "ui_time",
                    "ui_percentage", "ui_currency", "ui_float", "ui_integer", "ui_num_plain", "st_number", "st_date"}
     text_gate = (F.col("kind") != "string") | dg
-    step2 = ["ordinal", "column", "kind", "v", "p", "num", F.when(F.col("p"), F.substring(F.md5("v"), 1, 1)).alias("digit")] + \
+    step2 = ["ordinal", "column", "kind", "raw", "v", "p", "num", "ts", F.when(F.col("p"), F.substring(F.md5("v"), 1, 1)).alias("digit")] + \
         [(F.col("p") & F.coalesce(F.when(text_gate, preds[k]) if k in needs_digit else preds[k], F.lit(False)))
          .alias(k) for k in _COUNTED]
     aggs = [F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("p")).alias("missing"),
@@ -153,6 +153,8 @@ def _stats_exprs(with_samples: bool):
     pn = F.when(F.col("p"), F.col("num"))
     aggs.append(F.sum(F.when(F.col("p"), F.length("v"))).alias("len_sum"))
     aggs += [F.min(pn).alias("num_min"), F.max(pn).alias("num_max"), F.count(pn).alias("num_count")]
+    day = F.when(F.col("p"), F.col("ts"))
+    aggs += [F.min(day).alias("date_min"), F.max(day).alias("date_max")]
     if with_samples:
         # the sketch of lengths also makes this an object-hash aggregate;
         # smallest strings alone would sort all rows first
@@ -311,7 +313,11 @@ def profile(df: DataFrame, approx: bool = False, compat_order: bool = False,
     if with_samples:
         stats = with_whole_samples(long, stats)
     st = stats.join(distinct_counts(long, approx), ["ordinal", "column"], "left")
-    st = st.fillna(0, ["distinct_ci", "distinct_raw"])
+    return with_types(st.fillna(0, ["distinct_ci", "distinct_raw"]), compat_order)
+
+
+def with_types(st: DataFrame, compat_order: bool = False) -> DataFrame:
+    """The types and ratios that follow from a column's counts."""
     t, dt = upload_types(compat_order)
     _, basic = upload_types(True, "distinct_raw")
     ne, rows = F.col("non_empty"), F.col("rows")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import any_of, clean_number, col_, js_round
+from ..session import written
 from .periods import _us
 
 #: rank accuracy of the median sketches
@@ -311,6 +312,63 @@ def series_pivot(df: DataFrame, x: str, series: str, y: str | None, values: list
     return long.groupBy("x").pivot("series", values).agg(F.first("y"))
 
 
+def fold_series(groups: DataFrame, by: list[str], cap: int | Column, keep: list[str], total: str = "s") -> DataFrame:
+    """A17, the heavy hitters: of partial aggregates (by, keep, series, n, c, s,
+    lo, hi) the ``cap`` series with the largest total per ``by`` keep their
+    names, ties by name; all others become one series 'Other', whose sums, counts
+    and extremes are joined.  Adds series_rank: 1, 2, ... and cap + 1 for the
+    rest.  Series that are called 'Other' (blank ones among them) belong to it.
+
+    Two phases: totals per series (small against the rows) and their first
+    ``cap`` per dataset, a list of at most cap rows that is broadcast; then the
+    groups are folded by it."""
+    cap = F.lit(cap) if isinstance(cap, int) else cap
+    totals = groups.filter(F.col("series") != OTHER_LABEL).groupBy(*by, "series", cap.alias("_cap")).agg(F.sum(total).alias("_t"))
+    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last("_t"), "series")
+    head = totals.withColumn("series_rank", F.row_number().over(w)).filter(F.col("series_rank") <= F.col("_cap"))
+    on = F.col("series") == F.col("_series")
+    for b in by:
+        on = on & (F.col(b) == F.col(f"_{b}"))
+    head = head.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("series").alias("_series"), "series_rank")
+    g = groups.withColumn("_cap", cap).join(F.broadcast(head), on, "left")
+    named = F.col("series_rank").isNotNull()
+    g = g.withColumn("series", F.when(named, F.col("series")).otherwise(F.lit(OTHER_LABEL)))
+    g = g.withColumn("series_rank", F.when(named, F.col("series_rank")).otherwise(F.col("_cap") + 1).cast("int"))
+    return g.groupBy(*keep, "series_rank", "series").agg(F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum("s").alias("s"),
+                                                         F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def top_series(df: DataFrame, x: str, series: str, y: str | None, agg: str = "sum", cap: int = 5) -> DataFrame:
+    """A17 with series found from the data: one row per x; y and n over all its
+    rows; for each rank k = 1 .. cap the columns label_k (the series, the same in
+    every row; null if there are fewer), y_k and n_k, and y_other, n_other of all
+    other series (null where x has no such rows).
+
+    Series are ranked by the sum of their values (for counts by rows), ties by
+    name.  Columns are ranks, so the plan does not depend on the data; labels are
+    values.  Values are cleaned as in ``series_long``.  The rows are scanned
+    once: the groups (x, series) are written and both phases read them."""
+    if agg not in ("sum", "avg", "count"):
+        raise ValueError(f"unknown aggregate {agg!r}")
+    if y in (None, "_count"):
+        v = F.lit(1.0)
+    else:
+        v = F.when(F.col(y).isNull(), F.lit(0.0)).otherwise(clean_number(y, bad_as_zero=True))
+    g = df.groupBy(blank_key(x).alias("x"), blank_key(series, OTHER_LABEL).alias("series")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(v).alias("c"), F.sum(v).cast("double").alias("s"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    g = written(g, "series-groups")
+    folded = fold_series(g, [], cap, ["x"], "n" if agg == "count" else "s")
+    value = {"sum": F.col("s"), "avg": F.col("s") / F.col("c"), "count": F.col("n").cast("double")}[agg]
+    folded = folded.select("x", "series_rank", "series", "n", "c", "s", value.alias("y"))
+    labels = folded.select(F.struct(*[F.max(F.when(F.col("series_rank") == k, F.col("series"))).alias(f"l{k}") for k in range(1, cap + 1)])).scalar()
+    whole = {"sum": F.sum("s"), "avg": F.sum("s") / F.sum("c"), "count": F.sum("n").cast("double")}[agg]
+    at = lambda c, k: F.max(F.when(F.col("series_rank") == k, F.col(c)))
+    ranks = [a for k in range(1, cap + 1) for a in (at("y", k).alias(f"y_{k}"), at("n", k).alias(f"n_{k}"))]
+    out = folded.groupBy("x").agg(whole.alias("y"), F.sum("n").alias("n"), *ranks, at("y", cap + 1).alias("y_other"), at("n", cap + 1).alias("n_other"))
+    cols = [c for k in range(1, cap + 1) for c in (labels.getField(f"l{k}").alias(f"label_{k}"), F.col(f"y_{k}"), F.col(f"n_{k}"))]
+    return out.select("x", "y", "n", *cols, "y_other", "n_other")
+
+
 def first_value(df: DataFrame, x: str, y: str, order_key: str) -> DataFrame:
     """The 'first' y per x, made deterministic by an order key."""
     return df.groupBy(F.col(x).alias("x")).agg(F.min_by(F.col(y), F.col(order_key)).alias("y"))

@@ -183,10 +183,11 @@ def _rank_order():
 
 
 def final_kpis(k: DataFrame) -> DataFrame:
-    """R17 for KPIs: drop rejected, dedupe by (column, aggregation) keeping
-    the best, keep the first 6 per dataset."""
+    """R17 for KPIs: drop rejected, dedupe by (column, aggregation) and, where a
+    KPI has one, its condition, keeping the best; keep the first 6 per dataset."""
     k = score_kpis(k).filter(F.col("rejected_reason").isNull())
-    sig = F.concat_ws("::", F.lower(F.col("column")), F.lower(F.col("aggregation")))
+    sig = F.concat_ws("::", F.lower(F.col("column")), F.lower(F.col("aggregation")),
+                      *(["condition_test"] if "condition_test" in k.columns else []))
     w_sig = Window.partitionBy("dataset_id", sig).orderBy(*_rank_order())
     k = k.withColumn("_r", F.row_number().over(w_sig)).filter(F.col("_r") == 1).drop("_r")
     w = Window.partitionBy("dataset_id").orderBy(*_rank_order())

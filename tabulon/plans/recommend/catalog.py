@@ -27,7 +27,7 @@ from . import semantics as S
 
 PROFILE_COLUMNS = ["dataset_id", "ordinal", "column", "kind", "type", "detected_type", "fine_type", "strict_type",
                    "metadata_type", "null_ratio", "unique_ratio", "cardinality_count", "cardinality_class",
-                   "missing_pct", "distinct_raw", "rows", "non_empty", "n_email", "n_phone", "n_url", "len_sum"]
+                   "missing_pct", "distinct_raw", "rows", "non_empty", "n_email", "n_phone", "n_url", "len_sum", "date_min", "date_max"]
 # KPI synonyms, question words and suggested questions.
 KPI_SYNONYMS = {
     "revenue": ["revenue", "sales_amount", "sales", "total", "amount"],
@@ -133,12 +133,16 @@ def _checked_domain_kpis(dk: DataFrame, sem: DataFrame) -> DataFrame:
     s = sem.select("dataset_id", "column", "is_sensitive", "null_ratio_f",
                    F.coalesce(F.col("missing_pct"), F.lit(0.0)).alias("missing_pct"))
     k = dk.join(s, ["dataset_id", "column"], "left")
+    # where a KPI counts the rows that have a value, a missing one is an answer
+    counts_present = F.coalesce(F.col("condition_test") == "present", F.lit(False))
     reason = (F.when(F.col("is_sensitive"), F.lit("sensitive column"))
-              .when(F.col("null_ratio_f") > C.MAX_NULL_RATIO_FOR_KPI,
+              .when((F.col("null_ratio_f") > C.MAX_NULL_RATIO_FOR_KPI) & ~counts_present,
                     F.format_string("%.1f%% missing values", F.col("null_ratio_f") * 100)))
-    quality = F.greatest(F.lit(0.0), F.lit(100.0) - F.col("missing_pct") * F.lit(1.5))
+    missing = F.when(counts_present, F.lit(0.0)).otherwise(F.col("missing_pct"))
+    quality = F.greatest(F.lit(0.0), F.lit(100.0) - missing * F.lit(1.5))
     return k.select("dataset_id", "kpi", "column", "aggregation", "title", "format", "semantic_role", "priority",
-                    "relevance", quality.alias("quality"), reason.alias("rejected_reason"), "seq", "source")
+                    "relevance", quality.alias("quality"), reason.alias("rejected_reason"), "seq", "source",
+                    "condition_test", "condition_values", "is_share")
 
 
 def _checked_domain_charts(dc: DataFrame, universal: DataFrame, sem: DataFrame) -> DataFrame:
@@ -162,9 +166,11 @@ def _checked_domain_charts(dc: DataFrame, universal: DataFrame, sem: DataFrame)
 
 def dedupe_domain_kpis(kc: DataFrame, dk: DataFrame) -> DataFrame:
     """R17 merge rule: domain KPIs whose (column, aggregation) is already a
-    universal candidate are skipped (anti join)."""
+    universal candidate are skipped (anti join); one with a condition is another
+    KPI than the plain one."""
     keys = ["dataset_id", "column", "aggregation"]
-    return dk.join(kc.select(*keys).distinct(), keys, "left_anti")
+    plain = dk.filter(F.col("condition_test").isNull()).join(kc.select(*keys).distinct(), keys, "left_anti")
+    return plain.unionByName(dk.filter(F.col("condition_test").isNotNull()))
 
 
 # ------------------------------------------------------------------ R13

@@ -202,6 +202,12 @@ KPI_TEMPLATES = {
          [r"value", r"amount", r"total", r"metric"], "sum", "number", "primary", 65),
     ],
 }
+# The template that counts only rows with certain values.
+TEMPLATE_VALUES = {"active_employees": ["Active", "active", "ACTIVE", "Current", "current", "Employed"]}
+# Templates that are a share of all rows.  The rate of those who have left counts
+# rows with a date of exit; with a status column alone, those whose status is
+# none of the active ones.
+SHARE_TEMPLATES = {"attrition_rate": TEMPLATE_VALUES["active_employees"]}
 CHART_TEMPLATES = {
     "hr": [
         ("employees_by_department", "Employee Count by Department", "bar", [CA],
@@ -386,14 +392,16 @@ def _template_tables(spark: SparkSession):
     k_rows, c_rows = [], []
     for dom, tpls in KPI_TEMPLATES.items():
         for t_ord, (tid, title, groups, pats, agg, fmt, prio, rel) in enumerate(tpls):
-            k_rows.append((dom, t_ord, tid, title, groups, [f"(?i){p}" for p in pats], agg, fmt, prio, rel))
+            test = "in" if tid in TEMPLATE_VALUES else "share" if tid in SHARE_TEMPLATES else None
+            k_rows.append((dom, t_ord, tid, title, groups, [f"(?i){p}" for p in pats], agg, fmt, prio, rel, test,
+                           TEMPLATE_VALUES.get(tid) or SHARE_TEMPLATES.get(tid)))
     for dom, tpls in CHART_TEMPLATES.items():
         for t_ord, (tid, title, ctype, xr, xp, yr, yp, agg, prio) in enumerate(tpls):
             c_rows.append((dom, t_ord, tid, title, ctype, xr, [f"(?i){p}" for p in xp],
                            None if yr == "count" else yr, [f"(?i){p}" for p in yp], agg, prio))
     k = spark.createDataFrame(k_rows, "profile string, t_order int, template_id string, title string, "
                                       "role_groups array<array<string>>, patterns array<string>, aggregation string, "
-                                      "format string, priority string, relevance int")
+                                      "format string, priority string, relevance int, test string, test_values array<string>")
     c = spark.createDataFrame(c_rows, "profile string, t_order int, template_id string, title string, "
                                       "chart_type string, x_roles array<string>, x_patterns array<string>, "
                                       "y_roles array<string>, y_patterns array<string>, aggregation string, "
@@ -430,7 +438,9 @@ def _best_column(cands: DataFrame, roles: Column, patterns: Column, any_role_ok:
 def domain_kpi_candidates(sem: DataFrame, domains: DataFrame) -> DataFrame:
     """Domain template KPIs: best column per template, aggregation
     checked against the role, a non-count template never reuses a column
-    taken by an earlier one."""
+    taken by an earlier one.  A template with a condition on its column carries it
+    (condition_test in / not in / present, condition_values); is_share: the KPI is
+    the share of these rows in all rows."""
     spark = sem.sparkSession
     k_tpl, _ = _template_tables(spark)
     ds = domains.select("dataset_id", _profile_key(F.col("domain")).alias("profile"))
@@ -438,7 +448,7 @@ def domain_kpi_candidates(sem: DataFrame, domains: DataFrame) -> DataFrame:
     cands = tpl.join(sem.select("dataset_id", "ordinal", "column", "semantic_role"), "dataset_id")
     roles = F.flatten(F.col("role_groups"))
     ok = ~F.col("semantic_role").isin(S.KPI_EXCLUDED_ROLES)
-    keys = ["dataset_id", "t_order", "template_id", "title", "aggregation", "format", "priority", "relevance"]
+    keys = ["dataset_id", "t_order", "template_id", "title", "aggregation", "format", "priority", "relevance", "test", "test_values"]
     best = _best_column(cands, roles, F.col("patterns"), ok, keys, F.col("role_groups"))
     rules = S.aggregation_rules(spark)
     v = S.validate_aggregation(best, rules, "semantic_role", "aggregation").filter("valid")
@@ -446,9 +456,12 @@ def domain_kpi_candidates(sem: DataFrame, domains: DataFrame) -> DataFrame:
     w = Window.partitionBy("dataset_id", "column").orderBy("t_order").rowsBetween(Window.unboundedPreceding, -1)
     v = v.withColumn("_used", F.coalesce(F.max(marks.cast("int")).over(w), F.lit(0)) > 0)
     v = v.filter(~(F.col("_used") & (F.col("aggregation") != "count")))
+    share, dated = F.coalesce(F.col("test") == "share", F.lit(False)), F.col("semantic_role") == S.TEMPORAL
+    test = F.when(share, F.when(dated, F.lit("present")).otherwise(F.lit("not in"))).otherwise(F.col("test"))
     return v.select("dataset_id", F.col("template_id").alias("kpi"), "column", "aggregation", "title", "format",
                     "semantic_role", "priority", "relevance", (F.col("t_order") + 500_000).alias("seq"),
-                    F.lit("domain_profile").alias("source"))
+                    F.lit("domain_profile").alias("source"), test.alias("condition_test"),
+                    F.when(test.isin("in", "not in"), F.col("test_values")).alias("condition_values"), share.alias("is_share"))
 
 
 def domain_chart_candidates(sem: DataFrame, domains: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (analysis_queries, catalog_queries, more_queries, profile_queries, recommend_queries,  # noqa: F401
+from . import (analysis_queries, catalog_queries, dashboard_queries, more_queries, profile_queries, recommend_queries,  # noqa: F401
                source_queries)
 from .catalog_queries import ORACLE, QUERIES
 

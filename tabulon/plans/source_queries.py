@@ -132,7 +132,7 @@ def s12_persist(spark, base):
     first = table(spark, base, "orders").groupBy(F.col("o_orderstatus").alias("dataset_id")).agg(F.count("*").alias("n"))
     IO.persist_results(first, path, ["F", "O", "P"])
     IO.persist_results(first.filter("dataset_id = 'F'").withColumn("n", F.lit(-1).cast("long")), path, ["F", "O"])
-    return spark.read.parquet(path).select("dataset_id", "n")
+    return IO.read_results(spark, path).select("dataset_id", "n")
 
 
 @register("s13_export", """

@@ -11,8 +11,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that every plan relies on.  AQE coalesces the small shuffles of
 # profile / KPI jobs and splits skewed partitions of the few real joins.
@@ -67,3 +68,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet into the shared folder and read it back: it
+    is computed once, and a lost executor never makes Spark compute it again."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

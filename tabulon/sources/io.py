@@ -13,12 +13,13 @@ import uuid
 from datetime import datetime, timezone
 from urllib.parse import quote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import predicates as P
+from ..operators import profile_state as PS
+from .versions import Versions
 
 MAX_COLUMNS = 200
 CORRUPT = "_corrupt_record"
@@ -130,27 +131,28 @@ def types_from_profile(profile: DataFrame) -> dict[str, str]:
 # ------------------------------------------------------------------ store
 
 class DatasetStore:
-    """Datasets as versioned Parquet folders, metadata in a catalog.
+    """Datasets as Parquet parts, metadata as versioned states.
 
     A dataset's rows live in part folders ``<root>/rows/<org>/<dataset>/<id>``
-    that are written once and never changed; its catalog row names the parts
-    that make it up and their merged schema.  A change writes new parts first
-    and switches the catalog row last, so a crash in between leaves the old
-    state readable.  The catalog is partitioned by (org_id, dataset_id) and
-    only the partition of the dataset concerned is rewritten."""
+    that are written once and never changed; its state (see ``versions``) names
+    the parts that make it up and their merged schema.  A change writes new parts first and then switches the state, so a
+    crash in between leaves the old state readable, and two writers at once both
+    succeed: the second one builds on the first one's state."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.catalog_path = f"{self.root}/catalog"
+        self.states = Versions(spark, f"{self.root}/catalog")
+
+    @staticmethod
+    def _name(org_id: str, dataset_id: str) -> str:
+        return f"{quote(org_id, safe='')}/{quote(dataset_id, safe='')}"
 
     # S3 / S11
     def read(self, org_id: str, dataset_id: str, limit: int | None = None, order_key: str | None = None) -> DataFrame:
         """Rows of one dataset of one organisation, from its own parts only.
         ``limit`` gives the first n rows by ``order_key`` (preview / sample)."""
-        meta = self.meta(org_id, dataset_id)
-        if meta is None:
-            raise KeyError(f"dataset {dataset_id!r} of {org_id!r} not found")
+        meta = self._known(org_id, dataset_id)
         schema = T.StructType.fromJson(json.loads(meta["schema"]))
         df = (self.spark.read.schema(schema).parquet(*meta["parts"]) if meta["parts"]
               else self.spark.createDataFrame([], schema))
@@ -158,27 +160,52 @@ class DatasetStore:
             df = (df.orderBy(order_key) if order_key else df).limit(limit)
         return df
 
+    def profile(self, org_id: str, dataset_id: str) -> DataFrame:
+        """The column profile of one dataset (see ``profile_state``), joined from
+        the states of its parts.  A part is read once in its life, the first time
+        that a profile is asked for; after an append only the new part is."""
+        meta = self._known(org_id, dataset_id)
+        schema = T.StructType.fromJson(json.loads(meta["schema"]))
+        if not meta["parts"]:
+            return PS.profile_of(PS.part_state(self.spark.createDataFrame([], schema)), schema)
+        return PS.profile_of(self.spark.read.schema(PS.STATE).parquet(*[self._part_profile(p, schema) for p in meta["parts"]]), schema)
+
+    def _state_folder(self, part: str) -> str:
+        return f"{self.root}/profiles/{part.removeprefix(f'{self.root}/rows/')}"
+
+    def _part_profile(self, part: str, schema: T.StructType) -> str:
+        """Folder of a part's profile state, which is made if it is not there.  It
+        appears in one step; of two readers that make it at once, one wins."""
+        folder = self._state_folder(part)
+        path, fs = self.states._fs(folder)
+        if not fs.exists(path):
+            own = self.spark.read.parquet(part).columns
+            rows = self.spark.read.schema(T.StructType([f for f in schema.fields if f.name in own])).parquet(part)
+            draft, _ = self.states._fs(f"{self.root}/drafts/{uuid.uuid4().hex}")
+            PS.part_state(rows).write.parquet(draft.toString())
+            fs.mkdirs(path.getParent())
+            if fs.exists(path) or not fs.rename(draft, path):
+                fs.delete(draft, True)
+        return folder
+
     def catalog(self) -> DataFrame:
-        """Metadata of all datasets; empty only if no catalog has been written."""
-        try:
-            return self.spark.read.schema(_CATALOG_SCHEMA).parquet(self.catalog_path).filter(F.col("status") != DELETED)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], _CATALOG_SCHEMA)
+        """Metadata of all datasets; empty if there is none."""
+        return self.states.all(_CATALOG_SCHEMA).filter(F.col("status") != DELETED)
 
     def meta(self, org_id: str, dataset_id: str) -> dict | None:
-        row = self.catalog().filter((F.col("org_id") == org_id) & (F.col("dataset_id") == dataset_id)).first()
-        return row.asDict() if row else None
+        state = self.states.latest(self._name(org_id, dataset_id))[1]
+        return None if state is None or state["status"] == DELETED else state
 
-    def _put_meta(self, meta: dict) -> None:
-        (self.spark.createDataFrame([meta], _CATALOG_SCHEMA).coalesce(1).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("org_id", "dataset_id").parquet(self.catalog_path))
+    def _known(self, org_id: str, dataset_id: str) -> dict:
+        meta = self.meta(org_id, dataset_id)
+        if meta is None:
+            raise KeyError(f"dataset {dataset_id!r} of {org_id!r} not found")
+        return meta
 
-    def _write_part(self, df: DataFrame, org_id: str, dataset_id: str) -> str:
-        part = f"{self.root}/rows/{quote(org_id, safe='')}/{quote(dataset_id, safe='')}/{uuid.uuid4().hex}"
+    def _write_part(self, df: DataFrame, org_id: str, dataset_id: str) -> tuple[str, int]:
+        part = f"{self.root}/rows/{self._name(org_id, dataset_id)}/{uuid.uuid4().hex}"
         df.write.parquet(part)
-        return part
+        return part, self.spark.read.schema(df.schema).parquet(part).count()
 
     # S8 / S9
     def import_rows(self, df: DataFrame, org_id: str, dataset_id: str, file_name: str, mode: str = "confirm",
@@ -186,39 +213,66 @@ class DatasetStore:
         """S8: 'confirm' / 'preview' create the dataset, 'replace' puts new
         rows (also none) in the place of the old, 'append' adds rows (bag
         union; new columns are null in old rows, known ones keep their type),
-        sums problem counts and keeps at most 10 problem samples."""
-        old = self.meta(org_id, dataset_id)
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
-        if mode == "append" and old is not None:
-            known = T.StructType.fromJson(json.loads(old["schema"]))
-            types = {f.name: f.dataType for f in known.fields}
-            df = df.select(*[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
-            part = self._write_part(df, org_id, dataset_id)
-            schema = T.StructType(known.fields + [f for f in df.schema.fields if f.name not in types])
-            samples = (list(old["problem_samples"] or []) + list(problem_samples or []))[:MAX_PROBLEM_SAMPLES]
-            meta = dict(old, parts=[*old["parts"], part], schema=schema.json(), columns=schema.names,
-                        row_count=old["row_count"] + self.spark.read.parquet(part).count(),
-                        problem_count=old["problem_count"] + problem_count, problem_samples=samples, updated_at=now)
-        else:
-            part = self._write_part(df, org_id, dataset_id)
-            meta = {"org_id": org_id, "dataset_id": dataset_id, "file_name": file_name, "parts": [part],
-                    "row_count": self.spark.read.schema(df.schema).parquet(part).count(), "schema": df.schema.json(),
-                    "columns": list(df.columns), "status": "preview" if mode == "preview" else "confirmed",
-                    "problem_count": problem_count, "problem_samples": list(problem_samples or [])[:MAX_PROBLEM_SAMPLES],
-                    "created_at": old["created_at"] if old and mode == "replace" else now, "updated_at": now}
-        self._put_meta(meta)
-        for gone in set(old["parts"] if old else []) - set(meta["parts"]):
-            delete_folder(self.spark, gone)
+        sums problem counts and keeps at most 10 problem samples.  Only the new
+        rows are read."""
+        samples = list(problem_samples or [])
+        now = datetime.now(timezone.utc).replace(tzinfo=None).isoformat(" ")
+        written: dict = {}  # the part, and the types that it was written with
+
+        def part_for(types: dict) -> tuple:
+            own = {f.name: types.get(f.name, f.dataType) for f in df.schema.fields}
+            if written.get("types") != own:  # a column got its type from another writer meanwhile
+                self._drop(written)
+                rows = df.select(*[F.col(c).alias(c) if own[c] == df.schema[c].dataType else F.col(c).try_cast(own[c]).alias(c) for c in df.columns])
+                written.update(types=own, schema=rows.schema, part=self._write_part(rows, org_id, dataset_id))
+            return written["part"], written["schema"]
+
+        def next_state(old: dict | None) -> dict:
+            live = old if old and old["status"] != DELETED else None
+            if mode == "append" and live:
+                known = T.StructType.fromJson(json.loads(live["schema"]))
+                (part, rows), schema = part_for({f.name: f.dataType for f in known.fields})
+                schema = T.StructType(known.fields + [f for f in schema.fields if f.name not in known.names])
+                return dict(live, parts=[*live["parts"], part], schema=schema.json(), columns=schema.names,
+                            row_count=live["row_count"] + rows, problem_count=live["problem_count"] + problem_count,
+                            problem_samples=(live["problem_samples"] + samples)[:MAX_PROBLEM_SAMPLES], updated_at=now)
+            (part, rows), schema = part_for({})
+            return {"org_id": org_id, "dataset_id": dataset_id, "file_name": file_name, "parts": [part], "row_count": rows,
+                    "schema": schema.json(), "columns": schema.names, "status": "preview" if mode == "preview" else "confirmed",
+                    "problem_count": problem_count, "problem_samples": samples[:MAX_PROBLEM_SAMPLES],
+                    "created_at": live["created_at"] if live and mode == "replace" else now, "updated_at": now}
+
+        old: dict = {}
+
+        def noting(state: dict | None) -> dict:
+            old["state"] = state
+            return next_state(state)
+
+        new = self.states.change(self._name(org_id, dataset_id), noting)
+        self._drop_unused(old["state"], new)
 
     # S10
     def delete(self, org_id: str, dataset_id: str) -> None:
-        """Mark the dataset's catalog row as deleted, then drop its parts."""
-        old = self.meta(org_id, dataset_id)
-        if old is None:
+        """Mark the dataset's state as deleted, then drop its parts."""
+        if self.meta(org_id, dataset_id) is None:
             return
-        self._put_meta(dict(old, parts=[], columns=[], row_count=0, status=DELETED))
-        for part in old["parts"]:
+        old: dict = {}
+
+        def gone(state: dict) -> dict:
+            old["state"] = state
+            return dict(state, parts=[], columns=[], row_count=0, status=DELETED)
+
+        new = self.states.change(self._name(org_id, dataset_id), gone)
+        self._drop_unused(old["state"], new)
+
+    def _drop(self, written: dict) -> None:
+        for folder in written.pop("part", ())[:1]:
+            delete_folder(self.spark, folder)
+
+    def _drop_unused(self, old: dict | None, new: dict) -> None:
+        for part in set(old["parts"] if old else []) - set(new["parts"]):
             delete_folder(self.spark, part)
+            delete_folder(self.spark, self._state_folder(part))
 
     # S4
     def list(self, org_id: str) -> DataFrame:
@@ -231,8 +285,8 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_CATALOG_SCHEMA = ("file_name string, parts array<string>, schema string, row_count long, columns array<string>, status string, "
-                   "problem_count long, problem_samples array<string>, created_at timestamp_ntz, "
+_CATALOG_SCHEMA = ("file_name string, parts array<string>, schema string, row_count long, columns array<string>, "
+                   "status string, problem_count long, problem_samples array<string>, created_at timestamp_ntz, "
                    "updated_at timestamp_ntz, org_id string, dataset_id string")
 
 
@@ -243,19 +297,57 @@ def append_rows(old: DataFrame, new: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ S12 S13
 
+class ResultStore:
+    """Precomputed results of datasets, several tables each.
+
+    The rows of a call are written first, into folders of their own; then the
+    state of each dataset (see ``versions``) is switched to them, all its tables
+    at once.  Readers see the old results of a dataset or the new ones."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.states = Versions(spark, f"{self.root}/versions")
+
+    def put(self, tables: dict[str, DataFrame], datasets: list[str], key: str = "dataset_id") -> None:
+        """Replace the results of the named datasets in the given tables; a dataset
+        without new rows loses its old ones.  Other tables stay."""
+        batch, news = uuid.uuid4().hex, {}
+        for name, df in tables.items():
+            df = df.filter(F.col(key).isin(datasets))
+            df.write.parquet(f"{self.root}/data/{name}/{batch}")
+            news[name] = {"batch": batch, "schema": df.schema.json(), "key": key}
+        for d in datasets:
+            self.states.change(quote(d, safe=""), lambda old, d=d: {"dataset": d, "tables": json.dumps({**json.loads((old or {}).get("tables", "{}")), **news})})
+
+    def read(self, name: str, dataset: str | None = None) -> DataFrame:
+        """Rows of one table, of one dataset or of all."""
+        states = self.states.all("dataset string, tables string")
+        if dataset is not None:
+            states = states.filter(F.col("dataset") == dataset)
+        entry = F.from_json(F.get_json_object("tables", f"$.{name}"), "batch string, schema string, key string")
+        now = states.select("dataset", entry.alias("e")).filter("e is not null").select("dataset", "e.*")
+        kinds = now.select("batch", "schema", "key").distinct().collect()  # one row per call of put still in use
+        if not kinds:
+            raise KeyError(f"no results {name!r}")
+        out = None
+        for schema, key in {(r.schema, r.key) for r in kinds}:
+            folders = [f"{self.root}/data/{name}/{r.batch}" for r in kinds if (r.schema, r.key) == (schema, key)]
+            rows = self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(*folders)
+            rows = rows.withColumn("_batch", F.regexp_extract(F.col("_metadata.file_path"), "/([^/]*)/[^/]*$", 1))
+            own = now.select(F.col("dataset").alias("_dataset"), F.col("batch").alias("_b"))
+            rows = rows.join(own, (F.col(key).cast("string") == F.col("_dataset")) & (F.col("_batch") == F.col("_b")), "left_semi").drop("_batch")
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        return out
+
+
 def persist_results(df: DataFrame, path: str, datasets: list[str], partition: str = "dataset_id") -> None:
-    """Write precomputed results in the place of the old ones of the
-    named datasets; a dataset without new rows loses its old ones."""
-    spark = df.sparkSession
-    df = df.filter(F.col(partition).isin(datasets))
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition).parquet(path))
-    # the dynamic overwrite leaves partitions without new rows as they were
-    full = {r[0] for r in df.select(partition).distinct().collect()}  # at most len(datasets)
-    stored = spark.read.parquet(path).filter(F.col(partition).cast("string").isin(sorted(set(datasets) - full)))
-    files = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
-    for (folder,) in stored.select(files).distinct().collect():  # one per dataset emptied
-        delete_folder(spark, folder)
+    """S12 for one table: new results in the place of the old ones of the named datasets."""
+    ResultStore(df.sparkSession, path).put({"results": df}, datasets, partition)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The results that ``persist_results`` wrote to a path."""
+    return ResultStore(spark, path).read("results")
 
 
 def export_series_csv(series: DataFrame, path: str, columns=("x", "y", "n")) -> None:

@@ -77,7 +77,8 @@ class Kpi:
 @dataclass(frozen=True)
 class Chart:
     """A series of ``y`` by ``x``, split by ``series`` if given; aggregation
-    'none' gives raw points."""
+    'none' gives raw points.  Dates are put into buckets of ``every`` (day, week,
+    month, quarter, year), else of a size that follows from their span."""
     chart: str
     title: str
     chart_type: str
@@ -86,6 +87,7 @@ class Chart:
     aggregation: str = "count"
     series: str | None = None
     series_cap: int = 5
+    every: str | None = None
 
 
 @dataclass
@@ -184,7 +186,8 @@ def grouped_cells(df: DataFrame, kpis: list[Kpi], charts: list[Chart], date_colu
             continue
         item, value, series = 2 * len(kpis) + j, _measured(df, c.y, c.aggregation), c.series and SR.blank_key(c.series, SR.OTHER_LABEL)
         if is_temporal(df, c):
-            label = SR.bucket_by(F.col(c.x), SR.choose_granularity(*_bounds(df, c.x, bounds)))
+            label = (SR.bucket_label(F.col(c.x), c.every) if c.every
+                     else SR.bucket_by(F.col(c.x), SR.choose_granularity(*_bounds(df, c.x, bounds))))
             cells.append(F.when(F.col(c.x).isNotNull(), _cell(item, key=label, series=series, value=value)))
         else:
             cells.append(_cell(item, key=F.col(c.x).cast("string"), series=series, value=value))

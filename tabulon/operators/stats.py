@@ -1,7 +1,7 @@
 """Statistics and result checks.
 
-G1 sums the outer products of the columns in one pass (its size is the square
-of the number of columns, never of rows).  G2-G5 and A26 work
+G1 is one aggregate over all pairs of columns (its size is the square of the
+number of columns, never of rows).  G2-G5 and A26 work
 on aggregated series, whose size is bounded by the number of buckets, so a
 global aggregate or window over them is cheap.  A24 is one pass over rows.
 """
@@ -27,11 +27,39 @@ FORECAST_STEPS = 7
 SHARE_NOTABLE_PCT = 30.0
 
 
+#: columns up to which all pairs are aggregates of their own
+PAIRWISE_COLUMNS = 24
+
+
 def correlation_matrix(df: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
     """G1: Pearson correlation of every pair of numeric columns over all
     rows; nulls count as 0; zero variance gives 0.  Long form
-    (variable, other, correlation), both orders and the diagonal."""
+    (variable, other, correlation), both orders and the diagonal.
+
+    One lazy aggregate of covariances and deviations, each updated around its
+    running mean, for up to PAIRWISE_COLUMNS columns; wider tables sum outer
+    products in one pass."""
     vals = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)])
+    if len(columns) > PAIRWISE_COLUMNS:
+        return _wide_correlation(df, vals, columns, digits)
+    n = len(columns)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    # rounding gives a constant column a deviation of some 1e-16; its extremes tell
+    spread = lambda i: F.when(F.min(f"c{i}") < F.max(f"c{i}"), F.stddev_pop(f"c{i}"))
+    row = vals.agg(*[F.coalesce(spread(i), F.lit(0.0)).alias(f"s{i}") for i in range(n)], *[F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i, j in pairs])
+
+    def r(i: int, j: int):
+        spread = F.col(f"s{i}") * F.col(f"s{j}")
+        if i == j:
+            return F.when(F.col(f"s{i}") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+        return F.coalesce(F.col(f"v{min(i, j)}_{max(i, j)}") / F.nullif(spread, F.lit(0.0)), F.lit(0.0))
+
+    out = F.array(*[F.struct(F.lit(a).alias("variable"), F.lit(b).alias("other"), js_round(r(i, j), digits).alias("correlation"))
+                    for i, a in enumerate(columns) for j, b in enumerate(columns)])
+    return row.select(F.inline(out))
+
+
+def _wide_correlation(df: DataFrame, vals: DataFrame, columns: list[str], digits: int) -> DataFrame:
     # one mergeable sum of outer products, whatever the number of columns
     vector = VectorAssembler(inputCols=vals.columns, outputCol="v", handleInvalid="keep").transform(vals).select("v")
     row = Correlation.corr(vector, "v").first() if not df.isEmpty() else None

@@ -1,4 +1,5 @@
-"""Registered dashboard queries (R17 to S12, R11, A17, R20) and their oracles.
+"""Registered queries over whole results and their oracles: dashboards (R17 to S12,
+R11), largest series (A17), answers (R20), pages (T4), live tables (A10, A22).
 
 The oracles are written from the rules, spec by spec: every KPI and every chart
 has a query of its own there, while Spark runs one pass per dataset."""
@@ -10,11 +11,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import dashboard as DB
+from ..operators import paging as PG
 from ..operators import profile as PF
+from ..operators import rules as RU
 from ..operators import series as SR
 from ..session import ensure_checkpoint_dir, written
 from ..sources.io import ResultStore
 from ..sources.tables import table
+from ..streaming import live as LV
+from . import answers as AW
 from . import dashboards as DS
 from . import recommend_queries as RQ
 from .catalog_queries import r2, register, sql_r
@@ -255,3 +260,136 @@ def a17_top_series_avg(spark, base):
 @register("a17_top_series_count", _top_series_sql("COUNT", 4))
 def a17_top_series_count(spark, base):
     return _rounded(SR.top_series(table(spark, base, "lineitem"), "l_returnflag", "l_suppkey", None, "count", 4))
+
+
+# ---------------------------------------------------------------- R20
+
+#: what is asked after a turn of a conversation, and about which dataset
+_ASKED = [("orders", "top 3 o_totalprice by o_orderpriority"), ("orders", "average o_totalprice by o_orderstatus"), ("orders", "o_totalprice by month"),
+          ("lineitem", "worst 2 l_quantity by l_returnflag"), ("lineitem", "maximum l_extendedprice by l_linestatus"), ("events", "how many rows by event_type"),
+          ("events", "value trend"), ("orders", "by o_orderpriority")]
+# the columns of these datasets by kind, in their order
+_KINDS = {"orders": (["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"], ["o_orderdate"]),
+          "lineitem": (["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"], ["l_shipdate"]),
+          "events": (["event_id", "user_id", "value"], ["event_type", "props"], ["ts"])}
+
+
+def _routing_sql() -> str:
+    asked = ", ".join(f"({i}, '{d}', '{t}')" for i, (d, t) in enumerate(_ASKED))
+    cols = ", ".join(f"('{d}', '{kind}', {i}, '{c}')" for d, lists in _KINDS.items() for kind, cs in zip(("number", "text", "date"), lists) for i, c in enumerate(cs))
+    pick = lambda kind: f"""COALESCE((SELECT arg_min(c, i) FROM cols WHERE cols.d = q.dataset_id AND kind = '{kind}' AND contains(low, lower(c))),
+                     (SELECT arg_min(c, i) FROM cols WHERE cols.d = q.dataset_id AND kind = '{kind}'))"""
+    words = [(n, rx.removeprefix("(?i)")) for n, rx in CT.AGG_WORDS]
+    agg = "CASE " + " ".join(f"WHEN regexp_matches(question, '{rx}', 'i') THEN '{n}'" for n, rx in reversed(words)) + " ELSE 'sum' END"
+    cmp_, top, asc = (rx.removeprefix("(?i)") for rx in (CT.COMPARE_WORDS_RE, CT.TOP_WORDS_RE, CT.ASC_WORDS_RE))
+    return f"""
+asked(i, d, t) AS (VALUES {asked}), cols(d, kind, i, c) AS (VALUES {cols}),
+q AS (SELECT d AS dataset_id, conv_id || '-' || turn AS question_id, text || ' ' || t AS question, lower(text || ' ' || t) AS low
+      FROM conversations JOIN asked ON asked.i = conv_id % {len(_ASKED)} WHERE role = 'user'),
+p AS (SELECT *, {pick('number')} AS metric, {pick('text')} AS g, {pick('date')} AS dt FROM q),
+routed AS (SELECT dataset_id, question_id, metric, CASE WHEN regexp_matches(question, '{cmp_}', 'i') THEN 'compare_periods'
+             WHEN regexp_matches(question, '{top}', 'i') THEN 'top_n' ELSE 'group_by' END AS action,
+           CASE WHEN regexp_matches(question, '{cmp_}', 'i') THEN dt ELSE g END AS x, {agg} AS agg,
+           COALESCE(TRY_CAST(regexp_extract(low, '\\b([1-9]|10)\\b', 1) AS INT), 5) AS lim, regexp_matches(question, '{asc}', 'i') AS up FROM p)"""
+
+
+def _pairs_sql() -> str:
+    one = lambda d, x, k, m: (f"SELECT '{d}' AS dataset_id, '{x}' AS x, '{m}' AS metric, {k} AS key, COUNT(*) AS n, COUNT({m}) AS c, CAST(SUM({m}) AS DOUBLE) AS s, "
+                              f"CAST(MIN({m}) AS DOUBLE) AS lo, CAST(MAX({m}) AS DOUBLE) AS hi FROM {d}{f' WHERE {x} IS NOT NULL' if 'strftime' in k else ''} GROUP BY ALL")
+    return "\nUNION ALL ".join([one(d, x, f"COALESCE(CAST({x} AS VARCHAR), 'Unknown')", m) for d, (ms, xs, _) in _KINDS.items() for x in xs for m in ms]
+                               + [one(d, x, f"strftime({x}, '%Y-%m')", m) for d, (ms, _, xs) in _KINDS.items() for x in xs for m in ms])
+
+
+@register("r20_answers", f"""
+WITH {_routing_sql()},
+pairs AS ({_pairs_sql()}),
+j AS (SELECT r.*, pairs.* EXCLUDE (dataset_id, x, metric) FROM routed r JOIN pairs USING (dataset_id, x, metric)),
+g AS (SELECT dataset_id, question_id, action, CAST(NULL AS INT) AS position, key,
+        {sql_r("CASE WHEN agg = 'count' OR c = 0 THEN n WHEN agg = 'avg' THEN s / c WHEN agg = 'min' THEN lo WHEN agg = 'max' THEN hi ELSE s END")} AS value,
+        CAST(NULL AS DOUBLE) AS change_pct, n FROM j WHERE action = 'group_by'),
+t AS (SELECT dataset_id, question_id, action, CAST(ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY CASE WHEN up THEN v ELSE -v END, key) AS INT) AS position, key, v AS value,
+        CAST(NULL AS DOUBLE) AS change_pct, n FROM (SELECT *, {sql_r('COALESCE(s, 0)')} AS v FROM j WHERE action = 'top_n') QUALIFY position <= lim),
+c AS (SELECT dataset_id, question_id, action, CAST(ROW_NUMBER() OVER w AS INT) AS position, key, v AS value,
+        CASE WHEN LAG(raw) OVER w > 0 THEN FLOOR((v - LAG(raw) OVER w) / LAG(raw) OVER w * 100 + 0.5) ELSE 0 END AS change_pct, n
+      FROM (SELECT *, COALESCE(s, 0) AS raw, {sql_r('COALESCE(s, 0)')} AS v FROM j WHERE action = 'compare_periods') WINDOW w AS (PARTITION BY question_id ORDER BY key))
+SELECT * FROM g UNION ALL SELECT * FROM t UNION ALL SELECT * FROM c
+""")
+def r20_answers(spark, base):
+    """Every user turn of the conversations, with a question about a dataset, answered."""
+    conv = table(spark, base, "conversations").filter("role = 'user'")
+    asked = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(t).alias("t")) for d, t in _ASKED])
+    pick = F.get(asked, F.pmod(F.col("conv_id"), F.lit(len(_ASKED))).cast("int"))
+    qs = conv.select(pick.getField("d").alias("dataset_id"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"),
+                     F.concat_ws(" ", "text", pick.getField("t")).alias("question"))
+    routed = CT.route_questions(qs, RQ._profile(spark, base))
+    return AW.answer(routed, lambda dataset: table(spark, base, dataset)).joined()
+
+
+# ---------------------------------------------------------------- T4
+
+_LINE_ORDER = ["-l_shipdate", "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+_LINE_ORDER_SQL = ", ".join(f"{k[1:]} DESC NULLS LAST" if k[0] == "-" else f"{k} NULLS FIRST" for k in _LINE_ORDER)
+
+
+@register("t04_page_1000", f"SELECT * FROM lineitem ORDER BY {_LINE_ORDER_SQL} LIMIT 3 OFFSET 2997")
+def t04_page_1000(spark, base):
+    """Page 1,000 of 3 rows from a sorted index."""
+    li = table(spark, base, "lineitem")
+    return PG.PageIndex.build(li, _LINE_ORDER, range_rows=1000).page(1000, 3).select(*li.columns)
+
+
+@register("t04_next_page", f"SELECT * FROM lineitem ORDER BY {_LINE_ORDER_SQL} LIMIT 10 OFFSET 10")
+def t04_next_page(spark, base):
+    """The page after the first one, from its last row on."""
+    li = table(spark, base, "lineitem")
+    last = PG.next_page(li, _LINE_ORDER, None, 10).collect()[-1]
+    return PG.next_page(li, _LINE_ORDER, last.asDict(), 10)
+
+
+# ---------------------------------------------------------------- A10, A22 live
+
+def _arrivals(spark, base, folder):
+    """Event files as they arrive: four quarters of the time, the second one sent
+    again, and some of its last hours held back until after the third."""
+    ev = table(spark, base, "events")
+    lo, hi = ev.select(F.min("ts")).scalar(), ev.select(F.max("ts")).scalar()
+    quarter = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(lo.cast("timestamp"))) * 4
+                              / (F.unix_micros(hi.cast("timestamp")) - F.unix_micros(lo.cast("timestamp")))), F.lit(3))
+    parts = written(ev.withColumn("quarter", quarter), "event-quarters")
+    last = parts.filter("quarter = 1").select(F.max("ts")).scalar()
+    late = (F.col("quarter") == 1) & (F.col("ts") >= last - F.expr("INTERVAL 6 HOURS")) & (F.col("event_id") % 3 == 0)
+    for rows in (parts.filter("quarter = 0"), parts.filter(F.col("quarter") == 1).filter(~late), parts.filter(F.col("quarter") == 1), parts.filter("quarter = 2"),
+                 parts.filter("quarter = 0"), parts.filter("quarter = 3")):
+        yield rows.drop("quarter").write.mode("append").parquet(folder)
+
+
+_CLOSED = "date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 1 DAY"
+
+
+def _live(spark, base, make):
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arrivals-{uuid.uuid4().hex}"
+    live = LV.LiveTable(spark, folder, table(spark, base, "events").schema, make)
+    for _ in _arrivals(spark, base, folder):
+        live.catch_up()
+    return live.read()
+
+
+@register("a10_live", f"""
+SELECT strftime(ts, '%Y-%m-%d') AS x, {sql_r('SUM(value)')} AS y, COUNT(*) AS n FROM events WHERE {_CLOSED} GROUP BY 1
+""")
+def a10_live(spark, base):
+    """Daily sums of a stream with files sent twice and late rows: the days that the
+    watermark has closed equal those of all events."""
+    out = _live(spark, base, lambda s: LV.windowed_series(LV.once_each(s, "event_id", "ts"), "ts", "value", "sum", watermark=None))
+    return out.select("x", r2("y").alias("y"), "n")
+
+
+@register("a22_live", f"""
+SELECT strftime(ts, '%Y-%m-%d') AS day, rule_id, COUNT(*) AS triggered_count
+FROM (SELECT ts, 'large' AS rule_id FROM events WHERE value > 20 AND {_CLOSED} UNION ALL SELECT ts, 'errors' FROM events WHERE value < 3 AND event_type IN ('error') AND {_CLOSED})
+GROUP BY ALL
+""")
+def a22_live(spark, base):
+    rules = [RU.Rule("large", "Large value", "value", 20, ">"), RU.Rule("errors", "Small error", "value", 3, "<", in_column="event_type", in_values=["error"])]
+    out = _live(spark, base, lambda s: LV.windowed_alerts(LV.once_each(s, "event_id", "ts"), "ts", rules, watermark=None))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "rule_id", "triggered_count")

@@ -55,6 +55,11 @@ def is_missing(c) -> Column:
 NUMBER_SHAPE_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+# The characters that a number can have, with all symbols that a rule strips;
+# text with any other one is no number under any rule.
+NUMBER_CHARS_RE = r"^[0-9+\-.eE%,\s" + CURRENCY_SYMBOLS.replace("$", r"\$") + "]*+$"
+
+
 def js_number(s) -> Column:
     """``Number(s)`` restricted to finite decimal values; null otherwise."""
     c = col_(s).cast("string")
@@ -138,8 +143,8 @@ def is_date_str(s, min_year: int = 2000, max_year: int = 2100, ts: Column | None
     when the caller has computed it already."""
     t = F.trim(col_(s).cast("string"))
     ts = parse_date_fast(t) if ts is None else ts
-    ok = (~t.rlike(SHORT_NUMBER_RE)) & _date_shape(t) & ts.isNotNull() \
-        & F.year(ts).between(min_year, max_year)
+    # the parsed value first: the shapes are looked for in the whole text
+    ok = ts.isNotNull() & F.year(ts).between(min_year, max_year) & (~t.rlike(SHORT_NUMBER_RE)) & _date_shape(t)
     return F.coalesce(ok, F.lit(False))
 
 
@@ -158,8 +163,8 @@ def md_is_date(s, ts: Column | None = None) -> Column:
     t = F.trim(col_(s).cast("string"))
     shape = t.rlike(MD_SEPARATOR_FULL_RE) | t.rlike(MD_ISO_TS_RE) | t.rlike(MONTH_NAME_RE)
     ts = parse_date_fast(t) if ts is None else ts
-    ok = (~t.rlike(r"^\d+$")) & (~t.rlike(r"[%" + CURRENCY_SYMBOLS.replace("$", r"\$") + "]")) \
-        & shape & ts.isNotNull() & F.year(ts).between(1000, 3000)
+    ok = ts.isNotNull() & F.year(ts).between(1000, 3000) & (~t.rlike(r"^\d+$")) \
+        & (~t.rlike(r"[%" + CURRENCY_SYMBOLS.replace("$", r"\$") + "]")) & shape
     return F.coalesce(ok, F.lit(False))
 
 

@@ -92,9 +92,11 @@ def _stats_exprs(with_samples: bool):
     digit = v.rlike(r"\d")
     ts = (F.when(kind == "date", raw.cast("timestamp"))
           .when((kind == "string") & digit, P.parse_date_fast(v)))
-    num = F.when(kind == "string", F.when(digit, P.numeric_value(v))).otherwise(P.js_number(raw))
+    numeral = digit & v.rlike(P.NUMBER_CHARS_RE)
+    num = F.when(kind == "string", F.when(numeral, P.numeric_value(v))).otherwise(P.js_number(raw))
     step1 = ["ordinal", "column", "kind", "raw", v.alias("v"), (raw.isNotNull() & (v != F.lit(""))).alias("p"),
-             ts.alias("ts"), num.alias("num"), F.coalesce(digit, F.lit(False)).alias("has_digit")]
+             ts.alias("ts"), num.alias("num"), F.coalesce(digit, F.lit(False)).alias("has_digit"),
+             F.coalesce(numeral, F.lit(False)).alias("numeral")]
     # step 2: one boolean per rule; text without a digit can be no number,
     # currency, percentage, phone number, time or date
     v, ts, num = F.col("v"), F.col("ts"), F.col("num")
@@ -138,12 +140,12 @@ def _stats_exprs(with_samples: bool):
         "st_date": _by_kind((F.length(raw) >= 6) & P.js_number(raw).isNull() & ts.isNotNull(), f,
                             ts.isNotNull(), f),
     }
-    needs_digit = {"n_phone", "n_currency", "n_percentage", "n_numeric", "n_date", "md_date", "md_currency_symbol",
-                   "md_numeric_any_symbol", "md_pct_suffix", "md_num_0_100", "md_numeric", "ui_date", "ui_time",
-                   "ui_percentage", "ui_currency", "ui_float", "ui_integer", "ui_num_plain", "st_number", "st_date"}
-    text_gate = (F.col("kind") != "string") | dg
+    numbers = {"n_currency", "n_percentage", "n_numeric", "md_currency_symbol", "md_numeric_any_symbol", "md_pct_suffix", "md_num_0_100", "md_numeric",
+               "ui_percentage", "ui_currency", "ui_float", "ui_integer", "ui_num_plain", "st_number"}
+    gates = dict.fromkeys(["n_phone", "n_date", "md_date", "ui_date", "ui_time", "st_date"], (F.col("kind") != "string") | dg)
+    gates |= dict.fromkeys(numbers, (F.col("kind") != "string") | F.col("numeral"))
     step2 = ["ordinal", "column", "kind", "raw", "v", "p", "num", "ts", F.when(F.col("p"), F.substring(F.md5("v"), 1, 1)).alias("digit")] + \
-        [(F.col("p") & F.coalesce(F.when(text_gate, preds[k]) if k in needs_digit else preds[k], F.lit(False)))
+        [(F.col("p") & F.coalesce(F.when(gates[k], preds[k]) if k in gates else preds[k], F.lit(False)))
          .alias(k) for k in _COUNTED]
     aggs = [F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("p")).alias("missing"),
             F.count_if("p").alias("non_empty")]
@@ -163,6 +165,67 @@ def _stats_exprs(with_samples: bool):
     return (step1, step2), aggs
 
 
+#: typed columns counted in one aggregate
+TYPED_COLUMNS = 16
+
+
+def typed_stats(df: DataFrame, columns: list[str], ordinals: dict[str, int]) -> DataFrame:
+    """The counts of ``column_stats`` (without samples) for columns that are numbers,
+    dates or booleans by type: no text rule can hold for them, so they are
+    counted as they are, in aggregates that read the columns once."""
+    zero = F.lit(0).cast("long")
+
+    def stats(c: str) -> Column:
+        kind, dtype, col = kind_of(df.schema[c].dataType), df.schema[c].dataType, F.col(c)
+        num, ts, n = F.lit(None).cast("double"), F.lit(None).cast("timestamp"), F.count(c)
+        counts = dict.fromkeys(_COUNTED, zero)
+        if kind == "number":
+            whole_type = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+            num = (col.cast("string") if isinstance(dtype, T.FloatType) else col).cast("double")
+            num = F.when(F.abs(num) < F.lit(float("inf")), num)
+            flag = phone = F.lit(False)
+            if whole_type:  # seven characters or more, a sign counts
+                flag, phone = col.isin(0, 1), (col >= 1_000_000) | (col <= -100_000)
+            elif isinstance(dtype, T.DecimalType) and dtype.scale == 0:
+                flag, phone = col.isin(0, 1), F.length(col.cast("string")).between(7, 20)
+            counts |= dict.fromkeys(["n_boolean", "md_boolean", "ui_boolean"], F.count_if(flag))
+            counts |= dict.fromkeys(["n_numeric", "md_numeric", "md_numeric_any_symbol", "ui_num_plain", "st_number"], F.count(num))
+            counts |= {"n_phone": F.count_if(phone), "md_num_0_100": F.count_if(num.between(0, 100)),
+                       "ui_integer": F.count_if(num == F.floor(num)), "ui_float": F.count_if(num != F.floor(num))}
+        elif kind == "date":
+            ts = col.cast("timestamp")
+            counts |= {"n_date": F.count_if(F.year(ts).between(2000, 2100)), "md_date": F.count_if(F.year(ts).between(1000, 3000)), "ui_date": n, "st_date": n}
+        else:
+            counts |= dict.fromkeys(["n_boolean", "md_boolean", "ui_boolean", "st_boolean"], n)
+        rows = F.count(F.lit(1))
+        fields = {"ordinal": F.lit(ordinals[c]), "column": F.lit(c), "kind": F.lit(kind), "rows": rows, "missing": rows - n, "non_empty": n,
+                  **{k: v for k, v in counts.items() if k != "ui_num_plain"}, "ui_numeric": counts["ui_num_plain"], "len_sum": F.lit(None).cast("long"),
+                  "num_min": F.min(num), "num_max": F.max(num), "num_count": F.count(num), "date_min": F.min(ts), "date_max": F.max(ts)}
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    out = None
+    for at in range(0, len(columns), TYPED_COLUMNS):
+        some = columns[at:at + TYPED_COLUMNS]
+        row = df.agg(*[stats(c).alias(f"c{i}") for i, c in enumerate(some)])
+        part = row.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(some))])))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def all_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Counts of every column: text by the rules, the others by their type."""
+    ordinals = {c: i for i, c in enumerate(columns)}
+    text = [c for c in columns if kind_of(df.schema[c].dataType) == "string"]
+    typed = [c for c in columns if c not in text]
+    parts = [typed_stats(df, typed, ordinals)] if typed else []
+    if text:
+        parts.append(column_stats(long_values(df, text, ordinals), False))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*out.columns))
+    return out
+
+
 def distinct_counts(long: DataFrame, approx: bool = False) -> DataFrame:
     """(ordinal, column, distinct_ci, distinct_raw): distinct non-empty
     values, case-insensitive and trimmed (P3) and as stored (P5, P11, P12).
@@ -309,9 +372,7 @@ def profile(df: DataFrame, approx: bool = False, compat_order: bool = False,
     num_count, high_cardinality, samples."""
     cols = columns or profiled_columns(df)
     long = long_values(df, cols)
-    stats = column_stats(long, with_samples)
-    if with_samples:
-        stats = with_whole_samples(long, stats)
+    stats = with_whole_samples(long, column_stats(long, True)) if with_samples else all_stats(df, cols)
     st = stats.join(distinct_counts(long, approx), ["ordinal", "column"], "left")
     return with_types(st.fillna(0, ["distinct_ci", "distinct_raw"]), compat_order)
 

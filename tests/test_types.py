@@ -70,3 +70,19 @@ def test_cardinality_and_ratios(spark):
     r = _profile(spark, vals, "cat")
     assert r["distinct_ci"] == 3 and r["null_ratio"] == 0.2 and r["unique_ratio"] == 0.75
     assert r["type"] == "categorical"
+
+
+def test_typed_columns_count_as_their_text_does(spark):
+    """The counts by type equal those of the text rules over the same values."""
+    import datetime as dt
+    from decimal import Decimal
+    rows = [(1, 0, 10 ** 12, 1.0, 0.5, Decimal("7"), Decimal("12.50"), dt.datetime(2024, 2, 29, 1, 2, 3, 4), dt.date(1999, 1, 1), True),
+            (-100000, 1, -5, 1e300, 100.0, Decimal(10 ** 21), Decimal("0.00"), dt.datetime(1500, 1, 1), dt.date(2100, 12, 31), False),
+            (1000000, None, 99, float("nan"), -2.0, Decimal(-123456), None, dt.datetime(9999, 1, 1), None, None),
+            (999999, 5, 2 ** 62, float("inf"), 0.1, None, Decimal("101.01"), None, dt.date(2000, 1, 1), True)]
+    df = spark.createDataFrame(rows, "i int, b byte, l long, d double, f float, n decimal(30,0), m decimal(10,2), t timestamp_ntz, dd date, x boolean")
+    cols = df.columns
+    key = lambda r: {k: v for k, v in r.asDict().items() if k not in ("len_sum",)}
+    typed = {r["column"]: key(r) for r in PF.typed_stats(df, cols, {c: i for i, c in enumerate(cols)}).collect()}
+    text = {r["column"]: key(r) for r in PF.column_stats(PF.long_values(df, cols), False).collect()}
+    assert typed == text

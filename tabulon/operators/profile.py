@@ -534,9 +534,9 @@ def validate_cells(df: DataFrame, column_types: dict[str, str], row_key: str) ->
         raw = F.col(c).cast("string")
         miss = raw.isNull() | (F.trim(raw) == "")
         bad = ~miss & _cell_invalid(raw, t)
-        msg_missing = F.lit(f"Value in column '{c}' is missing")
+        msg_missing = F.lit(f"{c} has no value")
         msg_bad = F.format_string(
-            f"Value '%s' does not match inferred column type '{t}' (expected {_EXPECTED.get(t, '')})", raw)
+            f"%s is not {_EXPECTED.get(t, '')}", raw)
         recs.append(F.when(miss, F.struct(F.lit(c).alias("column"), F.lit("").alias("value"),
                                           F.lit("Missing Value").alias("type"), msg_missing.alias("message")))
                     .when(bad, F.struct(F.lit(c).alias("column"), raw.alias("value"),

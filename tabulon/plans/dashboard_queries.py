@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dashboard as DB
 from ..operators import paging as PG
+from ..operators import periods as PD
 from ..operators import profile as PF
 from ..operators import rules as RU
 from ..operators import series as SR
@@ -21,6 +22,7 @@ from ..sources.tables import table
 from ..streaming import live as LV
 from . import answers as AW
 from . import dashboards as DS
+from . import recommend_oracles as RO
 from . import recommend_queries as RQ
 from .catalog_queries import r2, register, sql_r
 from .recommend import catalog as CT
@@ -268,29 +270,10 @@ def a17_top_series_count(spark, base):
 _ASKED = [("orders", "top 3 o_totalprice by o_orderpriority"), ("orders", "average o_totalprice by o_orderstatus"), ("orders", "o_totalprice by month"),
           ("lineitem", "worst 2 l_quantity by l_returnflag"), ("lineitem", "maximum l_extendedprice by l_linestatus"), ("events", "how many rows by event_type"),
           ("events", "value trend"), ("orders", "by o_orderpriority")]
-# the columns of these datasets by kind, in their order
-_KINDS = {"orders": (["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"], ["o_orderdate"]),
-          "lineitem": (["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"], ["l_shipdate"]),
-          "events": (["event_id", "user_id", "value"], ["event_type", "props"], ["ts"])}
-
-
-def _routing_sql() -> str:
-    asked = ", ".join(f"({i}, '{d}', '{t}')" for i, (d, t) in enumerate(_ASKED))
-    cols = ", ".join(f"('{d}', '{kind}', {i}, '{c}')" for d, lists in _KINDS.items() for kind, cs in zip(("number", "text", "date"), lists) for i, c in enumerate(cs))
-    pick = lambda kind: f"""COALESCE((SELECT arg_min(c, i) FROM cols WHERE cols.d = q.dataset_id AND kind = '{kind}' AND contains(low, lower(c))),
-                     (SELECT arg_min(c, i) FROM cols WHERE cols.d = q.dataset_id AND kind = '{kind}'))"""
-    words = [(n, rx.removeprefix("(?i)")) for n, rx in CT.AGG_WORDS]
-    agg = "CASE " + " ".join(f"WHEN regexp_matches(question, '{rx}', 'i') THEN '{n}'" for n, rx in reversed(words)) + " ELSE 'sum' END"
-    cmp_, top, asc = (rx.removeprefix("(?i)") for rx in (CT.COMPARE_WORDS_RE, CT.TOP_WORDS_RE, CT.ASC_WORDS_RE))
-    return f"""
-asked(i, d, t) AS (VALUES {asked}), cols(d, kind, i, c) AS (VALUES {cols}),
-q AS (SELECT d AS dataset_id, conv_id || '-' || turn AS question_id, text || ' ' || t AS question, lower(text || ' ' || t) AS low
-      FROM conversations JOIN asked ON asked.i = conv_id % {len(_ASKED)} WHERE role = 'user'),
-p AS (SELECT *, {pick('number')} AS metric, {pick('text')} AS g, {pick('date')} AS dt FROM q),
-routed AS (SELECT dataset_id, question_id, metric, CASE WHEN regexp_matches(question, '{cmp_}', 'i') THEN 'compare_periods'
-             WHEN regexp_matches(question, '{top}', 'i') THEN 'top_n' ELSE 'group_by' END AS action,
-           CASE WHEN regexp_matches(question, '{cmp_}', 'i') THEN dt ELSE g END AS x, {agg} AS agg,
-           COALESCE(TRY_CAST(regexp_extract(low, '\\b([1-9]|10)\\b', 1) AS INT), 5) AS lim, regexp_matches(question, '{asc}', 'i') AS up FROM p)"""
+_KINDS = RO.KINDS
+_VALUES = ", ".join(f"({i}, '{d}', '{t}')" for i, (d, t) in enumerate(_ASKED))
+_TURNS = f"""SELECT asked.d AS dataset_id, conv_id || '-' || turn AS question_id, text || ' ' || t AS question
+      FROM conversations JOIN (VALUES {_VALUES}) asked(i, d, t) ON asked.i = conv_id % {len(_ASKED)} WHERE role = 'user'"""
 
 
 def _pairs_sql() -> str:
@@ -301,9 +284,10 @@ def _pairs_sql() -> str:
 
 
 @register("r20_answers", f"""
-WITH {_routing_sql()},
+WITH {RO.routing_sql(_TURNS, RO.KINDS, (CT.COMPARE_WORDS_RE, CT.TOP_WORDS_RE, CT.ASC_WORDS_RE), CT.AGG_WORDS)},
 pairs AS ({_pairs_sql()}),
-j AS (SELECT r.*, pairs.* EXCLUDE (dataset_id, x, metric) FROM routed r JOIN pairs USING (dataset_id, x, metric)),
+j AS (SELECT r.dataset_id, question_id, action, aggregation AS agg, "limit" AS lim, direction = 'asc' AS up, pairs.* EXCLUDE (dataset_id, x, metric)
+      FROM routed r JOIN pairs ON pairs.dataset_id = r.dataset_id AND pairs.x = COALESCE(r.date_column, r.group_by) AND pairs.metric = r.metric),
 g AS (SELECT dataset_id, question_id, action, CAST(NULL AS INT) AS position, key,
         {sql_r("CASE WHEN agg = 'count' OR c = 0 THEN n WHEN agg = 'avg' THEN s / c WHEN agg = 'min' THEN lo WHEN agg = 'max' THEN hi ELSE s END")} AS value,
         CAST(NULL AS DOUBLE) AS change_pct, n FROM j WHERE action = 'group_by'),
@@ -393,3 +377,18 @@ def a22_live(spark, base):
     rules = [RU.Rule("large", "Large value", "value", 20, ">"), RU.Rule("errors", "Small error", "value", 3, "<", in_column="event_type", in_values=["error"])]
     out = _live(spark, base, lambda s: LV.windowed_alerts(LV.once_each(s, "event_id", "ts"), "ts", rules, watermark=None))
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "rule_id", "triggered_count")
+
+
+# ---------------------------------------------------------------- A8
+
+_GROWTH = kpi_sql("orders", "o_orderdate", "30days", K("revenue", "", M("o_totalprice", "sum")))
+
+
+@register("a08_growth", f"""
+SELECT 'growth' AS kpi, 'Revenue Growth %' AS label, COALESCE(delta_pct, 0.0) AS value, direction AS delta_direction,
+       CASE WHEN n = 0 THEN 'No data for this period' WHEN prior = 0 THEN 'No prior period data for comparison' ELSE 'vs prior period' END AS period FROM ({_GROWTH})
+""")
+def a08_growth(spark, base):
+    """The growth card prefers the revenue KPI over the first one."""
+    cards = PD.kpi_cards(table(spark, base, "orders"), [PD.KpiSpec("orders", "o_orderkey", "count", "Orders"), PD.KpiSpec("revenue", "o_totalprice", "sum", "Revenue")], "o_orderdate", "30days")
+    return PD.growth_card(cards)

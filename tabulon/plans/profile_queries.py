@@ -223,8 +223,8 @@ def p13_dirty(spark, base):
 @register("p14_cells", """
 SELECT event_id AS row_key, 'amount' AS "column", CASE WHEN event_id % 7 = 3 THEN 'n/a' ELSE '' END AS value,
        CASE WHEN event_id % 7 = 3 THEN 'Type Mismatch' ELSE 'Missing Value' END AS type,
-       CASE WHEN event_id % 7 = 3 THEN 'Value ''n/a'' does not match inferred column type ''Number'' (expected a number)'
-            ELSE 'Value in column ''amount'' is missing' END AS message
+       CASE WHEN event_id % 7 = 3 THEN 'n/a is not a number'
+            ELSE 'amount has no value' END AS message
 FROM events WHERE event_id % 7 IN (3, 5)
 """)
 def p14_cells(spark, base):

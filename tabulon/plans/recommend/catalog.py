@@ -183,9 +183,9 @@ def validate_external_kpis(specs: DataFrame, sem: DataFrame) -> DataFrame:
     j = specs.join(sem.select("dataset_id", "column", "semantic_role"), ["dataset_id", "column"], "left")
     v = S.validate_aggregation(j.withColumn("aggregation", S.normalize_aggregation(F.col("aggregation"))),
                                rules, "semantic_role", "aggregation")
-    reason = (F.when(F.col("semantic_role").isNull(), F.lit("column not found in schema"))
+    reason = (F.when(F.col("semantic_role").isNull(), F.lit("no such column"))
               .when(F.col("semantic_role").isin(S.KPI_EXCLUDED_ROLES),
-                    F.format_string('semantic role "%s" is excluded from KPI analysis', F.col("semantic_role")))
+                    F.format_string("columns of the role %s make no KPI", F.col("semantic_role")))
               .when(~F.col("valid"), F.col("reason")))
     return v.select(*specs.columns, "semantic_role", reason.isNull().alias("accepted"),
                     reason.alias("rejected_reason"))
@@ -288,7 +288,7 @@ def kpi_mapping(profile: DataFrame, overrides: DataFrame | None = None) -> DataF
     col = F.when(good_ov, F.col("override_column")).otherwise(F.col("auto_column"))
     label = F.concat(F.upper(F.substring("kpi", 1, 1)), F.regexp_replace(F.expr("substring(kpi, 2)"), "_", " "))
     err = F.when(F.col("override_column").isNotNull() & ~F.coalesce(F.col("_known"), F.lit(False)),
-                 F.format_string('Column "%s" not found in schema. Cannot map KPI "%s".',
+                 F.format_string("the dataset has no column %s for the KPI %s",
                                  F.col("override_column"), F.col("kpi")))
     return m.select("dataset_id", "kpi", col.alias("column"),
                     F.when(good_ov, F.lit("override")).otherwise(F.lit("synonym")).alias("source"),

@@ -319,12 +319,12 @@ def validate_aggregation(specs: DataFrame, rules: DataFrame, role_col: str = "se
     allowed = F.array_contains(F.col("allowed"), F.col("_agg")) | (F.col("_agg") == "none")
     valid = F.when(F.col("_role").isNull(), F.lit(False)).when(forbidden, F.lit(False)) \
         .when(allowed, F.lit(True)).otherwise(F.lit(False))
-    reason = (F.when(F.col("_role").isNull(), F.format_string('Unknown semantic role: "%s"', F.col(role_col)))
-              .when(forbidden, F.format_string('Aggregation "%s" is FORBIDDEN for semantic role "%s".',
+    reason = (F.when(F.col("_role").isNull(), F.format_string("no rules for the role %s", F.col(role_col)))
+              .when(forbidden, F.format_string("%s makes no sense for columns of the role %s",
                                                F.col("_agg"), F.col(role_col)))
-              .when(allowed, F.format_string('Aggregation "%s" is valid for semantic role "%s"', F.col("_agg"),
+              .when(allowed, F.format_string("%s suits the role %s", F.col("_agg"),
                                              F.col(role_col)))
-              .otherwise(F.format_string('Aggregation "%s" is not supported for semantic role "%s". Allowed: [%s]',
+              .otherwise(F.format_string("%s is none of the aggregates for the role %s: %s",
                                          F.col("_agg"), F.col(role_col), F.array_join("allowed", ", "))))
     suggested = F.when(F.col("_role").isNull(), F.lit("count")).when(valid, F.lit(None)) \
         .otherwise(F.col("default_aggregation"))

@@ -89,7 +89,7 @@ SELECT k.dataset_id, k.kpi,
        upper(substr(k.kpi, 1, 1)) || replace(substr(k.kpi, 2), '_', ' ') AS label,
        CASE WHEN lower(k.kpi) IN ({cur}) THEN 'currency' ELSE 'number' END AS format,
        CASE WHEN o.override_column IS NOT NULL AND NOT COALESCE(o.known, false)
-            THEN printf('Column "%s" not found in schema. Cannot map KPI "%s".', o.override_column, k.kpi) END AS error
+            THEN printf('the dataset has no column %s for the KPI %s', o.override_column, k.kpi) END AS error
 FROM keys k LEFT JOIN auto a USING (dataset_id, kpi) LEFT JOIN ovk o USING (dataset_id, kpi)
 """
 
@@ -164,28 +164,28 @@ def r05_domains(spark, base):
     return D.classify_domains(p.select("dataset_id", "column"), CT.datasets_of(p))
 
 
-@register("r06_relationships")
+@register("r06_relationships", RO.RELATIONSHIPS_SQL)
 def r06_relationships(spark, base):
     return _run(spark, base).relationships
 
 
-@register("r07_capabilities")
+@register("r07_capabilities", RO.CAPABILITIES_SQL)
 def r07_capabilities(spark, base):
     run = _run(spark, base)
     return S.capabilities(run.relationships, run.sem)
 
 
-@register("r08_intents")
+@register("r08_intents", RO.INTENTS_SQL)
 def r08_intents(spark, base):
     return _run(spark, base).intents
 
 
-@register("r09_kpi_candidates")
+@register("r09_kpi_candidates", RO.kpi_candidates_sql(C.ROLE_FORMAT, C.ROLE_BUSINESS_VALUE))
 def r09_kpi_candidates(spark, base):
     return C.score_kpis(_run(spark, base).kpi_candidates)
 
 
-@register("r10_chart_candidates")
+@register("r10_chart_candidates", RO.chart_candidates_sql(C.ROLE_BUSINESS_VALUE, C.CHART_TYPE_FIT, C.MAX_PIE_CATEGORIES, C.MAX_CATEGORICAL_CARDINALITY))
 def r10_chart_candidates(spark, base):
     return C.score_charts(_run(spark, base).chart_candidates)
 
@@ -241,7 +241,11 @@ def r19_overrides(spark, base):
     return CT.kpi_mapping(p, ov.unionByName(bad))
 
 
-@register("r20_routing")
+_ROUTING = RO.routing_sql("SELECT 'orders' AS dataset_id, conv_id || '-' || turn AS question_id, text AS question FROM conversations WHERE role = 'user'",
+                          RO.KINDS, (CT.COMPARE_WORDS_RE, CT.TOP_WORDS_RE, CT.ASC_WORDS_RE), CT.AGG_WORDS)
+
+
+@register("r20_routing", f"WITH {_ROUTING} SELECT * FROM routed")
 def r20_routing(spark, base):
     conv = table(spark, base, "conversations").filter(F.col("role") == "user")
     qs = conv.select(F.lit("orders").alias("dataset_id"),
@@ -269,7 +273,7 @@ def r22_series_kind(spark, base):
     return CT.series_kind(specs, sem)
 
 
-@register("r23_questions")
+@register("r23_questions", RO.questions_sql(CT.SUGGESTED_QUESTIONS))
 def r23_questions(spark, base):
     return CT.suggested_questions(_profile(spark, base))
 
@@ -293,7 +297,21 @@ def g07_insights(spark, base):
     return ins.unionByName(recs)
 
 
-@register("g08_format")
+def _plain_sql(x: str, d: int) -> str:
+    """A number with up to d decimals, thousands grouped, no trailing zeros (x >= 0)."""
+    rounded = f"FLOOR({x} * {10 ** d} + 0.5) / {10 ** d}"
+    return f"regexp_replace(regexp_replace(format('{{:,.{d}f}}', {rounded}), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+
+
+def _short_sql(x: str) -> str:
+    return (f"CASE WHEN {x} >= 1e9 THEN {_plain_sql(f'({x} / 1e9)', 1)} || 'B' WHEN {x} >= 1e6 THEN {_plain_sql(f'({x} / 1e6)', 1)} || 'M' "
+            f"WHEN {x} >= 1e3 THEN {_plain_sql(f'({x} / 1e3)', 1)} || 'K' ELSE {_plain_sql(x, 1)} END")
+
+
+@register("g08_format", f"""
+SELECT l_returnflag, '₹' || {_short_sql('v')} AS total, {_short_sql('d')} AS avg_discount, {_plain_sql('d', 2)} || '%' AS pct
+FROM (SELECT l_returnflag, SUM(l_extendedprice) AS v, AVG(l_discount) AS d FROM lineitem GROUP BY 1)
+""")
 def g08_format(spark, base):
     from . import insights as IN
     li = table(spark, base, "lineitem")

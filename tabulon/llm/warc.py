@@ -33,7 +33,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import shared_folder, table, written
 from .token_files import put_file
@@ -179,8 +179,11 @@ def write_archives(pages: DataFrame, folder: str, least: int = MIN_PAYLOAD) -> D
         hit = (F.col("sha") == F.col("s3")) & (F.col("len") == F.col("l3")) & F.col("page_id").eqNullSafe(F.col("p3"))
         j = j.join(twice, hit & is_copy & wins, "left")
         lone = j.filter(F.col("same").isNull()).select("page_id", "url", "html", "revisit", "win_id")
-        many = (j.filter(F.col("same").isNotNull()).groupBy("sha", "len", "page_id").agg(F.min("url").alias("url"), F.first("html").alias("html"), F.first("win_id").alias("win_id"), F.first("same").alias("same"))
-                .withColumn("k", F.explode(F.sequence(F.lit(1), F.col("same").cast("int")))).select("page_id", "url", "html", (F.col("k") > 1).alias("revisit"), "win_id"))
+        # one row per url and repetition; the first one of the smallest url is the response
+        urls = j.filter(F.col("same").isNotNull()).groupBy("sha", "len", "page_id", "url").agg(F.first("html").alias("html"), F.first("win_id").alias("win_id"), F.count("*").alias("n"))
+        lead = F.row_number().over(Window.partitionBy("sha", "len", "page_id").orderBy(F.asc_nulls_last("url"))) == 1
+        many = (urls.withColumn("lead", lead).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+                .select("page_id", "url", "html", (~F.col("lead") | (F.col("k") > 1)).alias("revisit"), "win_id"))
         j = lone.unionByName(many)
     out = j.select("page_id", "url", "html", "revisit", F.when(F.col("revisit"), F.col("win_id")).alias("refers_to"))
 
@@ -207,14 +210,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = MIN_PAYLOAD) -> D
     return written(out.mapInArrow(write, "file string, records long"), "archives")
 
 
-_READ = pa.schema([("file", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("gap_start", pa.int64()), ("gap_end", pa.int64()), ("reason", pa.string())])
-READ_SCHEMA = "file string, kind string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, gap_start long, gap_end long, reason string"
+_READ = pa.schema([("file", pa.string()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("gap_start", pa.int64()), ("gap_end", pa.int64()), ("reason", pa.string())])
+READ_SCHEMA = "file string, kind string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, gap_start long, gap_end long, reason string"
 
 
 def describe(head: dict, block: bytes) -> dict:
     """The fields of a record; those of a response come from its payload."""
     number = lambda name: int(head[name]) if re.fullmatch(r"-?[0-9]{1,19}", head.get(name, "")) else None
-    out = {"page_id": number("x-page-id"), "record_type": head.get("warc-type"), "refers_to": None}
+    out = {"page_id": number("x-page-id"), "url": head.get("warc-target-uri"), "record_type": head.get("warc-type"), "refers_to": None}
     if out["record_type"] == "revisit":
         digest = head.get("warc-payload-digest", "")
         return out | {"payload_bytes": number("x-payload-length"), "payload_digest": digest.removeprefix("sha1:"), "refers_to": number("x-refers-to-page-id")}

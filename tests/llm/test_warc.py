@@ -34,6 +34,13 @@ def test_round_trip(spark):
         assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out.collect()), key=str) == brute(ROWS, least)
 
 
+def test_rows_that_differ_in_their_url_alone(spark):
+    rows = [(1, "http://b", "p"), (1, "http://a", "p"), (1, "http://a", "p"), (1, None, "p"), (2, "http://c", "p")]
+    out = warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()
+    assert sorted(r.url or "" for r in out) == sorted(u or "" for _, u, _ in rows)
+    assert [(r.page_id, r.url) for r in out if r.record_type == "response"] == [(1, "http://a")]
+
+
 def test_no_rows(spark):
     assert warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

@@ -149,7 +149,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
             ids = np.frombuffer(b"".join(parts), "<u4")
             name = f"tokens-{part:06d}-{k:05d}.tbp"
             put_file(folder, name, file_bytes(names, np.array([len(p) // 4 for p in parts]), ids, bits))
-            return table(_DONE, file=[name], part=[part * 100_000 + k], n_ids=[len(ids)])
+            return table(_DONE, file=[name], part=[(part << 32) + k], n_ids=[len(ids)])
 
         for b in batches:
             for doc, text, p in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
@@ -176,7 +176,7 @@ def read_files(spark: SparkSession, folder: str, catalogue: DataFrame) -> DataFr
     The files are listed and read by Spark; those that the catalogue does not
     name (left by a task that was given up) are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tbp").load(folder)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(F.broadcast(catalogue), "file")
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(catalogue, "file")  # a small catalogue is broadcast by its size, as Spark sees it
 
     def read(batches):
         for b in batches:

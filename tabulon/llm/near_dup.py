@@ -37,10 +37,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import mix64, partitions, table, written
+from .common import drop_written, mix64, partitions, table, written
 from .components import components
+from .embeddings import roots
 from .words import hashes, words
 
 #: least number of bands, samples per band, most probability to share no band
@@ -51,6 +52,8 @@ SAMPLES = BANDS * ROWS
 BITS = 512
 #: slack at 0.85
 SLACK = 0.17
+#: log2 of the bits of the bitmap of wanted rows (16 MB)
+MARKS = 27
 CHUNK = 256
 #: shingles sampled at a time, pairs tested one by one before a whole group is
 #: counted at once, and columns of that count
@@ -173,13 +176,13 @@ def _shared(items: list[np.ndarray]) -> np.ndarray:
     often = np.bincount(column)[column] > 1
     _, column = np.unique(column[often], return_inverse=True)
     of = of[often]
-    both = np.zeros((len(items), len(items)), np.float32)
+    both = np.zeros((len(items), len(items)), np.int64)
     for k in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
         lo, hi = np.searchsorted(column, [k, k + COLUMNS])
         part = np.zeros((len(items), COLUMNS), np.float32)
         part[of[lo:hi], column[lo:hi] - k] = 1
-        both += part @ part.T
-    return both.astype(np.int64)
+        both += (part @ part.T).astype(np.int64)  # whole numbers up to COLUMNS
+    return both
 
 
 def connect(comp: np.ndarray, loose: np.ndarray, n: np.ndarray, sketch: np.ndarray, items: list[np.ndarray], percent: int, cross: bool) -> list[tuple[int, int]]:
@@ -217,8 +220,18 @@ def connect(comp: np.ndarray, loose: np.ndarray, n: np.ndarray, sketch: np.ndarr
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _stars(c: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Every row that pairs connect with a smaller one, and the first of its component."""
+    x, y = np.array(pairs, np.int64).T
+    label = roots(len(c), x, y)
+    away = np.flatnonzero(label != np.arange(len(c)))
+    return list(zip(c[away].tolist(), c[label[away]].tolist()))
+
+
 def _links(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
-    """Links (a, b) from groups (g, i, j) of rows (c, comp, loose, n, sketch, items)."""
+    """Connections (a, b) found in groups (g, i, j) of rows (c, comp, loose, n, sketch,
+    items): of a group's own rows every row that is not the first of its
+    component, and that first one; with ``cross`` pairs of components."""
     parts = rows.repartition(partitions(rows.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j")
 
     def emit(t: pa.Table):
@@ -232,7 +245,9 @@ def _links(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
             if hi - lo > 1:
                 s = slice(lo, hi)
-                out += [(int(c[lo + x]), int(c[lo + y])) for x, y in connect(comp[s], loose[s], n[s], sketch[s], items[s], percent, cross)]
+                pairs = connect(comp[s], loose[s], n[s], sketch[s], items[s], percent, cross)
+                if pairs:
+                    out += [(int(comp[lo + x]), int(comp[lo + y])) for x, y in pairs] if cross else _stars(c[s], pairs)
         if out:
             a, b = zip(*out)
             yield table(_PAIR, a=a, b=b)
@@ -258,61 +273,100 @@ def _links(rows: DataFrame, percent: int, cross: bool) -> DataFrame:
     return parts.select("g", "i", "j", "c", "comp", "loose", "n", "sketch", "items").mapInArrow(work, "a long, b long")
 
 
-_SET = pa.schema([("c", pa.int64()), ("items", pa.binary())])
+_SET = pa.schema([("key", pa.binary()), ("at", pa.int64()), ("items", pa.binary())])
+
+
+def _place() -> Column:
+    """What tells the row that stands for a class: its id and its text, hashed."""
+    return F.xxhash64(F.col("doc_id"), F.col("text_hash"))
+
 
+def _bitmap(places: DataFrame) -> np.ndarray:
+    """Which values of the last MARKS bits occur: always 2^MARKS bits, whatever
+    the number of places, put together range by range."""
+    low = MARKS - 10
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """c and items (the whole sorted set) of the wanted classes (c, least,
-    key), from a second look at the texts of the ids that stand for them."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    j = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("least"))).select("c", "key", "text")
+    def mark(key, rows):
+        at = rows.column("at").to_numpy() & ((1 << low) - 1)
+        bits = np.zeros(1 << low, np.uint8)
+        bits[at] = 1
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    mine = places.select(F.col("at").bitwiseAND((1 << MARKS) - 1).alias("at")).distinct().withColumn("part", F.shiftright("at", low))
+    out = np.zeros(1 << MARKS >> 3, np.uint8)
+    for r in mine.groupBy("part").applyInArrow(mark, "part long, bits binary").collect():  # 2^10 ranges of 16 KB at most
+        out[r.part << low >> 3:(r.part + 1) << low >> 3] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """The members (at, key, ...) with items, their whole sorted sets, from a second
+    look at the texts of the rows that stand for them.  A bitmap of fixed size, made
+    of these rows, keeps nearly all other texts out of the exchange, of which only
+    sets are part; on so many classes that it is full it keeps out fewer, and the
+    join decides alone.  Sets are dealt out once, by key and place."""
+    marks = docs.sparkSession.sparkContext.broadcast(_bitmap(members))
+    text = F.col("text").cast("string")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("text").alias("text_hash")).select(_place().alias("at"), "text")
 
     def build(batches):
+        bits = marks.value
         for b in batches:
-            cs, items = [], []
-            for c, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                s = shingles(text.as_py(), width)
-                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key:
-                    cs.append(c), items.append(s.tobytes())
-            yield table(_SET, c=cs, items=items)
+            at = b.column(0).to_numpy()
+            low = at & ((1 << MARKS) - 1)
+            hit = np.flatnonzero(bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1)
+            keys, items, texts = [], [], b.column(1)
+            for i in hit.tolist():
+                s = shingles(texts[i].as_py(), width)
+                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest()), items.append(s.tobytes())
+            yield table(_SET, key=keys, at=at[hit], items=items)
 
-    return j.mapInArrow(build, "c long, items binary").dropDuplicates(["c"])
+    found = d.mapInArrow(build, "key binary, at long, items binary")
+    return found.join(members, ["key", "at"]).dropDuplicates(["key", "at"]).drop("key", "at")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members with their component under the links found so far."""
-    of = written(components(links), "components").select(F.col("node").alias("c"), "root")
-    return members.join(of, "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
+def _chunked(members: DataFrame) -> DataFrame:
+    """Members (g, c, ...) with the size of their cluster and their chunk of it;
+    only large clusters, of which there are few, are joined."""
+    size = members.groupBy("g").agg(F.count("*").alias("size")).filter(F.col("size") > CHUNK)
+    rows = members.join(size, "g", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("c"), F.greatest(F.ceil(F.col("size") / CHUNK), F.lit(1))))
 
 
 def _confirmed(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect the members (g, c, n, sketch, items) of every
-    cluster g as all links would."""
+    """(node, root) of the members (g, c, size, chunk, n, sketch, items) that are not
+    the root of their component under all links; a root has no row.
+
+    Chunks and groups of heads are disjoint, so what they find are labels at
+    once; only the last step, between components, needs rounds."""
     none = F.lit(0).cast("long")
-    size = members.groupBy("g").agg(F.count("*").alias("size"))
-    chunks = F.ceil(F.col("size") / CHUNK)
-    rows = members.join(size, "g").withColumn("chunk", F.pmod(F.xxhash64("c"), chunks))
-    links = written(_links(rows.select("*", F.col("c").alias("comp"), F.lit(False).alias("loose"), F.col("chunk").alias("i"), F.col("chunk").alias("j")), percent, False), "links")
-    large = rows.filter(F.col("size") > CHUNK)
+    sets = members.select("c", "n", "sketch", "items")
+    alone = members.select("*", F.col("c").alias("comp"), F.lit(False).alias("loose"), F.col("chunk").alias("i"), F.col("chunk").alias("j"))
+    first = written(_links(alone, percent, False), "links").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    large = members.filter(F.col("size") > CHUNK).select("g", "c", "chunk", "size")
     if large.isEmpty():
-        return links
-    # one class of every component of a large cluster
-    heads = _labelled(large, links).filter("c = comp")
+        return first
+    large = large.join(first, F.col("c") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "c")).drop("node", "root")
+    # one class of every component of a chunk
+    heads = large.filter("c = comp")
     n = heads.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     heads = heads.join(n, "g").withColumn("i", F.pmod(F.xxhash64(F.lit(1), "c"), F.col("parts"))).withColumn("j", F.col("i"))
-    links = links.unionByName(written(_links(heads.withColumn("loose", F.lit(False)), percent, False), "links"))
+    second = written(_links(heads.withColumn("loose", F.lit(False)).join(sets, "c"), percent, False), "links")
+    now = large.join(second, F.col("comp") == F.col("a"), "left").withColumn("comp", F.coalesce("b", "comp")).drop("a", "b")
+    now = written(now.select("g", "c", "chunk", "size", "comp"), "labels")
     # what is outside the largest component, against everything
-    now = written(_labelled(large.select("g", "c", "chunk", "size"), links), "labels")
     per = now.groupBy("g", "comp").agg(F.count("*").alias("n"))
     top = per.groupBy("g").agg(F.max(F.struct("n", "comp")).alias("t"), F.sum("n").alias("all")).select("g", F.col("t.comp").alias("top"), (F.col("all") - F.col("t.n")).alias("outside"))
-    now = now.join(top.filter("outside > 0"), "g")
-    if now.isEmpty():
-        return links
+    rest = now.join(top.filter("outside > 0"), "g")
     parts = F.ceil(F.col("outside") / CHUNK)
-    loose = now.filter("comp <> top").withColumn("i", F.pmod(F.xxhash64(F.lit(2), "c"), parts)).withColumn("j", F.explode(F.sequence(none, F.ceil(F.col("size") / CHUNK) - 1)))
-    others = now.withColumn("i", F.explode(F.sequence(none, parts - 1))).withColumn("j", F.col("chunk"))
+    loose = rest.filter("comp <> top").withColumn("i", F.pmod(F.xxhash64(F.lit(2), "c"), parts)).withColumn("j", F.explode(F.sequence(none, F.ceil(F.col("size") / CHUNK) - 1)))
+    others = rest.withColumn("i", F.explode(F.sequence(none, parts - 1))).withColumn("j", F.col("chunk"))
     both = loose.withColumn("loose", F.lit(True)).unionByName(others.withColumn("loose", F.lit(False))).select("g", "i", "j", "c", "comp", "loose")
-    return links.unionByName(written(_links(both.join(members.drop("g"), "c"), percent, True), "links"))
+    third = written(_links(both.join(sets, "c"), percent, True), "links")
+    if not third.isEmpty():
+        now = now.join(written(components(third), "components"), F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "comp"))
+    small = members.filter(F.col("size") <= CHUNK).select(F.col("c").alias("node")).join(first, "node")
+    return small.unionByName(now.filter("c <> comp").select(F.col("c").alias("node"), F.col("comp").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -320,17 +374,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component (a number of its own), component_id (its smallest doc_id), kept."""
     spark = docs.sparkSession
     rows = written(signatures(docs, width, percent).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    classes = (rows.filter("n > 0").groupBy("key").agg(F.min("row").alias("c"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    classes = written(classes, "classes")
+    classes = (rows.filter("n > 0").groupBy("key").agg(F.min("row").alias("c"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    classes = classes.select("key", "c", F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("text_hash"), "n", "sketch", "bands")
+    classes = written(classes.select("key", "c", F.col("doc_id").alias("least"), _place().alias("at"), "n", "sketch", "bands"), "classes")
     bands = classes.select("c", F.posexplode("bands").alias("k", "v")).select("c", F.xxhash64("k", "v").alias("band"))
     many = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("c").alias("first")).filter("size > 1")
     stars = bands.join(many, "band").select(F.col("c").alias("a"), F.col("first").alias("b"))
     cluster = components(stars)
     g = cluster.unionByName(cluster.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("c"), F.col("root").alias("g"))
-    members = written(classes.select("c", "least", "key", "n", "sketch").join(g, "c"), "clusters")
-    sets = _sets(docs, members.select("c", "least", "key"), width)
-    members = written(members.select("g", "c", "n", "sketch").join(sets, "c"), "members")
-    of = written(components(_confirmed(members, percent)), "components")
+    members = written(_chunked(classes.select("c", "at", "key", "n", "sketch").join(g, "c")), "clusters")
+    whole = written(_with_sets(docs, members, width), "members")
+    drop_written(members)
+    of = written(_confirmed(whole, percent), "components")
+    drop_written(whole)
     c = classes.select("key", "c", "least").join(of.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = c.groupBy("root").agg(F.min("least").alias("component_id"))
     c = c.join(least, "root").select("key", "root", "component_id")

@@ -260,7 +260,7 @@ def cards_of(groups: DataFrame, kpis: list[Kpi], has_period: Column) -> DataFram
 
 # ------------------------------------------------------------------ charts
 
-def _added(*by: str):
+def _added() -> list[Column]:
     """Aggregates that join groups into one."""
     return [F.sum("n").alias("n"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
 

@@ -234,14 +234,14 @@ def r11_composite(spark, base):
 def _top_series_sql(agg: str, cap: int) -> str:
     total = "COUNT(*)" if agg == "COUNT" else "SUM(v)"
     value = {"SUM": "SUM(v)", "AVG": "AVG(v)", "COUNT": "CAST(COUNT(*) AS DOUBLE)"}[agg]
-    cols = "".join(f", (SELECT s FROM head WHERE rk = {k}) AS label_{k}, {sql_r(f'MAX(y) FILTER (WHERE rk = {k})')} AS y_{k}, MAX(n) FILTER (WHERE rk = {k}) AS n_{k}" for k in range(1, cap + 1))
+    at = lambda k, name: f"{sql_r(f'MAX(g.y) FILTER (WHERE rk = {k})')} AS y_{name}, MAX(g.n) FILTER (WHERE rk = {k}) AS n_{name}"
+    cols = "".join(f", (SELECT s FROM head WHERE rk = {k}) AS label_{k}, {at(k, k)}" for k in range(1, cap + 1))
     return f"""
 WITH r AS (SELECT l_returnflag AS x, COALESCE(CAST(l_suppkey AS VARCHAR), 'Other') AS s, COALESCE(l_extendedprice, 0) AS v FROM lineitem),
 head AS (SELECT s, ROW_NUMBER() OVER (ORDER BY total DESC, s) AS rk FROM (SELECT s, {total} AS total FROM r WHERE s <> 'Other' GROUP BY s) QUALIFY rk <= {cap}),
 g AS (SELECT x, COALESCE(rk, {cap + 1}) AS rk, {value} AS y, COUNT(*) AS n FROM r LEFT JOIN head USING (s) GROUP BY ALL),
 w AS (SELECT x, {value} AS y, COUNT(*) AS n FROM r GROUP BY x)
-SELECT w.x, {sql_r('w.y')} AS y, w.n{cols}, {sql_r(f'MAX(g.y) FILTER (WHERE rk = {cap + 1})').replace('MAX(g.y)', 'MAX(g.y)')} AS y_other, MAX(g.n) FILTER (WHERE rk = {cap + 1}) AS n_other
-FROM w JOIN g ON w.x = g.x GROUP BY w.x, w.y, w.n""".replace("MAX(y)", "MAX(g.y)").replace("MAX(n)", "MAX(g.n)")
+SELECT w.x, {sql_r('w.y')} AS y, w.n{cols}, {at(cap + 1, 'other')} FROM w JOIN g ON w.x = g.x GROUP BY w.x, w.y, w.n"""
 
 
 def _rounded(df):

@@ -55,4 +55,4 @@ def test_stages(steps, spark):
 
 def test_registered_query():
     import __spark_entry__ as E
-    assert "pipeline" in E.queries() and [n for n, _ in P.STAGES] and {f"op{i}" for i in range(1, 11)} == {k.split("_")[0] for k in E.queries() if k.startswith("op")}
+    assert "pipeline" in E.queries() and [n for n, _ in P.STAGES] and {f"op{i}" for i in range(1, 14)} == {k.split("_")[0] for k in E.queries() if k.startswith("op")}

@@ -1,12 +1,13 @@
 """Column profiling and data quality.
 
-Shape of the job: two scans at every size.  In the first every profiled
-column is unpivoted to rows of (ordinal, column, raw value) inside the scan
-stage (a pipelined ``explode``), and ONE ``groupBy(ordinal, column)`` computes
-all predicate counts; partial aggregation leaves one row per column per input
-partition before the shuffle, so the width of the table, not its length, sets
-the shuffle size.  In the second, distinct counts go through one deduplicating
-shuffle of (column, digest) rows (exact) or an HLL sketch (``approx=True``),
+Shape of the job: a few scans, the same number at every size.  Text columns are
+unpivoted to rows of (ordinal, column, raw value) inside the scan stage (a
+pipelined ``explode``); equal short values are grouped first, and ONE
+``groupBy(ordinal, column)`` over the values computes all predicate counts.  Typed
+columns (without samples) are counted as they are, some columns an aggregate.
+With samples, all columns go unpivoted through one such ``groupBy``.  Distinct counts
+go through one deduplicating shuffle of (column, digest) rows of the texts and one of
+(column, 64-bit word) rows of the others (exact) or an HLL sketch (``approx=True``),
 never one ``count(distinct)`` per column (which Catalyst would expand per row).
 Nested columns (arrays, maps, structs, binary) are skipped.
 """
@@ -84,7 +85,8 @@ _COUNTED = ["n_email", "n_url", "n_phone", "n_currency", "n_percentage", "n_nume
             "ui_float", "ui_integer", "ui_num_plain", "st_boolean", "st_number", "st_date"]
 
 
-def _stats_exprs(with_samples: bool):
+def _stats_exprs(with_samples: bool, weighted: bool = False):
+    """Two projections and the aggregates; ``weighted``: a row stands for ``n`` equal values."""
     raw, kind = F.col("raw"), F.col("kind")
     v = F.trim(raw)
     f, t_ = F.lit(False), F.lit(True)
@@ -144,17 +146,21 @@ def _stats_exprs(with_samples: bool):
                "ui_percentage", "ui_currency", "ui_float", "ui_integer", "ui_num_plain", "st_number"}
     gates = dict.fromkeys(["n_phone", "n_date", "md_date", "ui_date", "ui_time", "st_date"], (F.col("kind") != "string") | dg)
     gates |= dict.fromkeys(numbers, (F.col("kind") != "string") | F.col("numeral"))
-    step2 = ["ordinal", "column", "kind", "raw", "v", "p", "num", "ts", F.when(F.col("p"), F.substring(F.md5("v"), 1, 1)).alias("digit")] + \
+    if weighted:
+        step1.append("n")
+    step2 = ["ordinal", "column", "kind", "raw", "v", "p", "num", "ts", *(["n"] if weighted else []), F.when(F.col("p"), F.substring(F.md5("v"), 1, 1)).alias("digit")] + \
         [(F.col("p") & F.coalesce(F.when(gates[k], preds[k]) if k in gates else preds[k], F.lit(False)))
          .alias(k) for k in _COUNTED]
-    aggs = [F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("p")).alias("missing"),
-            F.count_if("p").alias("non_empty")]
-    aggs += [F.count_if(k).alias(k) for k in _COUNTED if k != "ui_num_plain"]
-    aggs.append((F.count_if("ui_percentage") + F.count_if("ui_currency") + F.count_if("ui_num_plain"))
+    def count_if(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long") if weighted else F.count_if(cond)
+    aggs = [count_if(F.lit(True)).alias("rows"), count_if(~F.col("p")).alias("missing"),
+            count_if(F.col("p")).alias("non_empty")]
+    aggs += [count_if(F.col(k)).alias(k) for k in _COUNTED if k != "ui_num_plain"]
+    aggs.append((count_if(F.col("ui_percentage")) + count_if(F.col("ui_currency")) + count_if(F.col("ui_num_plain")))
                 .alias("ui_numeric"))
     pn = F.when(F.col("p"), F.col("num"))
-    aggs.append(F.sum(F.when(F.col("p"), F.length("v"))).alias("len_sum"))
-    aggs += [F.min(pn).alias("num_min"), F.max(pn).alias("num_max"), F.count(pn).alias("num_count")]
+    aggs.append(F.sum(F.when(F.col("p"), F.length("v") * F.col("n") if weighted else F.length("v"))).alias("len_sum"))
+    aggs += [F.min(pn).alias("num_min"), F.max(pn).alias("num_max"), count_if(pn.isNotNull()).alias("num_count")]
     day = F.when(F.col("p"), F.col("ts"))
     aggs += [F.min(day).alias("date_min"), F.max(day).alias("date_max")]
     if with_samples:
@@ -165,8 +171,24 @@ def _stats_exprs(with_samples: bool):
     return (step1, step2), aggs
 
 
+#: characters of a text that is grouped before the rules look at it
+SHORT_TEXT = 256
+
+
+def text_stats(long: DataFrame) -> DataFrame:
+    """The counts of ``column_stats`` (without samples) for text columns.  The rules
+    are far dearer than a group, so equal short values meet first and a value is
+    looked at once, with its number of rows; longer ones are not shuffled."""
+    short = F.coalesce(F.length("raw") <= SHORT_TEXT, F.lit(True))
+    names = ["ordinal", "column", "kind", "raw"]
+    values = long.filter(short).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    values = values.unionByName(long.filter(~short).select(*names, F.lit(1).cast("long").alias("n")))
+    (step1, step2), aggs = _stats_exprs(False, True)
+    return values.select(*step1).select(*step2).groupBy("ordinal", "column", "kind").agg(*aggs)
+
+
 #: typed columns counted in one aggregate
-TYPED_COLUMNS = 16
+TYPED_COLUMNS = 4
 
 
 def typed_stats(df: DataFrame, columns: list[str], ordinals: dict[str, int]) -> DataFrame:
@@ -219,7 +241,7 @@ def all_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     typed = [c for c in columns if c not in text]
     parts = [typed_stats(df, typed, ordinals)] if typed else []
     if text:
-        parts.append(column_stats(long_values(df, text, ordinals), False))
+        parts.append(text_stats(long_values(df, text, ordinals)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p.select(*out.columns))
@@ -247,6 +269,39 @@ def distinct_counts(long: DataFrame, approx: bool = False) -> DataFrame:
     return per.groupBy("ordinal", "column").agg(F.sum("spellings").alias("distinct_raw"), F.count(F.lit(1)).alias("distinct_ci"))
 
 
+#: types of at most 64 bits, whose 64-bit hash is one-to-one
+_WORDS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _word(df: DataFrame, column: str) -> Column:
+    """64 bits that differ where the string forms of a column's values do."""
+    c, dtype = F.col(column), df.schema[column].dataType
+    if isinstance(dtype, T.TimestampType):  # its string form is the local time
+        c = c.cast("timestamp_ntz")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):  # the hash holds zeros equal, their string forms differ
+        return F.when((c == 0) & c.cast("string").startswith("-"), F.xxhash64(F.lit("-0.0"))).when(c.isNotNull(), F.xxhash64(c.cast("double")))
+    return F.when(c.isNotNull(), F.xxhash64(c))
+
+
+def all_distinct(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
+    """``distinct_counts`` of every column; typed values of at most 64 bits are
+    shuffled as one word each and never become strings."""
+    ordinals = {c: i for i, c in enumerate(columns)}
+    words = [] if approx else [c for c in columns if isinstance(df.schema[c].dataType, _WORDS)]
+    rest = [c for c in columns if c not in words]
+    parts = [distinct_counts(long_values(df, rest, ordinals), approx)] if rest else []
+    if words:
+        pairs = F.array(*[F.struct(F.lit(ordinals[c]).alias("ordinal"), _word(df, c).alias("word")) for c in words])
+        d = df.select(F.explode(pairs).alias("e")).select("e.*").filter(F.col("word").isNotNull()).distinct()
+        per = d.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_raw"))
+        name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("ordinal"))
+        parts.append(per.select("ordinal", name.alias("column"), "distinct_raw", F.col("distinct_raw").alias("distinct_ci")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def digest(v: Column) -> Column:
     """128 bits that stand for a value in a shuffle."""
     return F.struct(F.xxhash64(v).alias("a"), F.xxhash64(F.lit("tabulon"), v).alias("b"))
@@ -371,9 +426,12 @@ def profile(df: DataFrame, approx: bool = False, compat_order: bool = False,
     metadata_type, strict_type, fine_type, basic_type, num_min, num_max,
     num_count, high_cardinality, samples."""
     cols = columns or profiled_columns(df)
-    long = long_values(df, cols)
-    stats = with_whole_samples(long, column_stats(long, True)) if with_samples else all_stats(df, cols)
-    st = stats.join(distinct_counts(long, approx), ["ordinal", "column"], "left")
+    if with_samples:
+        long = long_values(df, cols)
+        stats = with_whole_samples(long, column_stats(long, True))
+    else:
+        stats = all_stats(df, cols)
+    st = stats.join(all_distinct(df, cols, approx), ["ordinal", "column"], "left")
     return with_types(st.fillna(0, ["distinct_ci", "distinct_raw"]), compat_order)
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tabulon.operators import dashboard as DB
 from tabulon.operators import profile as PF
 
 
@@ -32,3 +33,14 @@ def test_typed_values_are_counted_as_words(spark):
     assert {(r.ordinal, r.column): (r.distinct_ci, r.distinct_raw) for r in PF.all_distinct(df, cols).collect()} == want
     assert want[1, "d"] == (5, 5)  # both zeros, NaN, 1.5, 2.5
     assert "cast(i" not in PF.all_distinct(df, ["i", "t"])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_are_not_compiled_into_one_method(spark):
+    df = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1), 2.0), (2, None, None, None), (2, "a", dt.datetime(2024, 1, 3), 5.0)], "id long, k string, t timestamp_ntz, v double")
+    kpis = [DB.Kpi("n", "", DB.Measure()), DB.Kpi("ids", "", DB.Measure("id", "distinct")), DB.Kpi("a", "", DB.Measure("v", "sum", DB.Condition("k", "in", ("a",))))]
+    g = DB.grouped_cells(df, kpis, [DB.Chart("t", "", "line", "t", "v", "sum"), DB.Chart("k", "", "bar", "k")], "t", "7days")
+    steps = [s for s in g._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate explode" in s]
+    assert steps and all("*(" not in s for s in steps)
+    got = {(r.item, r.part, r.key): (r.n, r.s, r.k) for r in g.collect()}
+    assert got == {(0, 0, None): (1, 1.0, 1), (0, 2, None): (2, 2.0, 1), (2, 0, None): (3, None, 2), (4, 2, None): (2, 7.0, 1), (6, 0, "2024-01-01"): (1, 2.0, 1),
+                   (6, 0, "2024-01-03"): (1, 5.0, 1), (7, 0, "a"): (2, 2.0, 1), (7, 0, None): (1, 1.0, 1)}

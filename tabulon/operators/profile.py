@@ -326,8 +326,9 @@ def with_whole_samples(long: DataFrame, stats: DataFrame, k: int = SAMPLE_VALUES
     smallest of the column's other distinct values are added, up to k."""
     # the median of lengths (null without values) keeps this an object-hash aggregate, see _stats_exprs
     few = stats.filter((F.size("samples") < k) & (F.col("len_median") > 0)).select("ordinal", "samples")
+    # at most a row per column: broadcast, or a column's values would all meet in one task
     rest = (long.select("ordinal", F.trim("raw").alias("v")).filter(F.col("v") != "")
-            .join(few, "ordinal").filter(~F.array_contains("samples", F.col("v"))).select("ordinal", "v").distinct())
+            .join(F.broadcast(few), "ordinal").filter(~F.array_contains("samples", F.col("v"))).select("ordinal", "v").distinct())
     rank = F.row_number().over(Window.partitionBy("ordinal").orderBy("v"))
     more = rest.withColumn("k", rank).filter(F.col("k") <= k).groupBy("ordinal").agg(F.array_sort(F.collect_list("v")).alias("more"))
     whole = F.array_sort(F.concat("samples", F.slice("more", 1, F.greatest(F.lit(0), F.lit(k) - F.size("samples")))))

@@ -35,6 +35,18 @@ def test_typed_values_are_counted_as_words(spark):
     assert "cast(i" not in PF.all_distinct(df, ["i", "t"])._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_samples_are_filled_up_without_a_task_per_column(spark):
+    df = spark.range(100).select(F.concat(F.lit("v"), F.col("id") % 3).alias("few"), F.col("id").cast("string").alias("many"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the statistics are unknown
+    try:
+        plan = PF.profile(df).select("samples")
+        assert "rightHint=(strategy=broadcast)" in plan._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.collect()[0].samples == ["v0", "v1", "v2"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_cells_are_not_compiled_into_one_method(spark):
     df = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1), 2.0), (2, None, None, None), (2, "a", dt.datetime(2024, 1, 3), 5.0)], "id long, k string, t timestamp_ntz, v double")
     kpis = [DB.Kpi("n", "", DB.Measure()), DB.Kpi("ids", "", DB.Measure("id", "distinct")), DB.Kpi("a", "", DB.Measure("v", "sum", DB.Condition("k", "in", ("a",))))]

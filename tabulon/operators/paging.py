@@ -1,9 +1,11 @@
 """Pages of a large ordered result (T4) without sorting all rows before them.
 
 ``next_page`` goes on from the last row seen: a filter on the order's columns and
-an ordered limit.  ``PageIndex`` is for jumps: the rows are sorted once into
-ranges and written, with the number of rows before each range; a page is then
-read from the one or two ranges that hold it."""
+an ordered limit.  ``PageIndex`` is for jumps: the rows are sorted once and
+written, with the number of rows before each range of them; a page is then read from
+the one or two ranges that hold it.  The sort works in parts of up to SORT_ROWS rows, so
+its number of tasks and the sample that sets their bounds do not grow with the number
+of ranges."""
 
 from __future__ import annotations
 
@@ -18,7 +20,11 @@ from ..session import ensure_checkpoint_dir
 
 #: rows a range
 RANGE_ROWS = 1_000_000
-_ROW, _RANGE = "_row", "_range"
+#: rows that a task of the sort gets, at least a range
+SORT_ROWS = 1_000_000
+_ROW, _RANGE, _BLOCK = "_row", "_range", "_block"
+#: monotonically_increasing_id counts a partition's rows in its lower 33 bits
+_ROW_BITS = (1 << 33) - 1
 
 
 def _order(keys: list[str]) -> list[tuple[str, bool]]:
@@ -68,18 +74,22 @@ class PageIndex:
         root = root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
         out = cls(spark, root, keys, df.schema)
         numbered = df.withColumn(_ROW, F.monotonically_increasing_id())
-        ranges = max(1, math.ceil(df.count() / range_rows))
+        parts = max(1, math.ceil(df.count() / max(range_rows, SORT_ROWS)))
         order = [*sort_columns(keys), F.col(_ROW).asc()]
-        (numbered.repartitionByRange(ranges, *order).withColumn(_RANGE, F.spark_partition_id())
+        at = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
+        (numbered.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+         .withColumn(_RANGE, F.spark_partition_id()).withColumn(_BLOCK, F.floor(at / F.lit(range_rows)).cast("long"))
          .write.partitionBy(_RANGE).parquet(f"{root}/rows"))
-        size = out._rows().groupBy(_RANGE).agg(F.count(F.lit(1)).alias("n"))
-        # one row per range
-        before = F.coalesce(F.sum("n").over(Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        size.select(_RANGE, "n", before.cast("long").alias("start")).coalesce(1).write.parquet(f"{root}/index")
+        size = out._rows().groupBy(_RANGE, _BLOCK).agg(F.count(F.lit(1)).alias("n"))
+        # one row per task of the sort
+        before = F.coalesce(F.sum("m").over(Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = size.groupBy(_RANGE).agg(F.sum("n").alias("m")).select(_RANGE, before.alias("before"))
+        start = (F.col("before") + F.col(_BLOCK) * F.lit(range_rows)).cast("long").alias("start")
+        size.join(F.broadcast(starts), _RANGE).select(_RANGE, _BLOCK, "n", start).write.parquet(f"{root}/index")
         return out
 
     def _rows(self) -> DataFrame:
-        schema = T.StructType([*self.schema.fields, T.StructField(_ROW, T.LongType()), T.StructField(_RANGE, T.IntegerType())])
+        schema = T.StructType([*self.schema.fields, T.StructField(_ROW, T.LongType()), T.StructField(_BLOCK, T.LongType()), T.StructField(_RANGE, T.IntegerType())])
         return self.spark.read.schema(schema).parquet(f"{self.root}/rows")
 
     def pages(self, size: int = 10) -> int:
@@ -93,6 +103,12 @@ class PageIndex:
         index = self.spark.read.parquet(f"{self.root}/index")
         held = index.filter((F.col("start") < begin + size) & (F.col("start") + F.col("n") > begin)).orderBy("start").collect()  # a page's ranges
         rows = self._rows()
-        rows = rows.filter(F.col(_RANGE).isin([r[_RANGE] for r in held]) if held else F.lit(False))
+        blocks = {}
+        for r in held:
+            blocks.setdefault(r[_RANGE], []).append(r[_BLOCK])
+        here = F.lit(False)
+        for part, some in blocks.items():
+            here = here | ((F.col(_RANGE) == part) & F.col(_BLOCK).between(min(some), max(some)))
+        rows = rows.filter(F.col(_RANGE).isin(list(blocks)) & here if held else F.lit(False))
         skip = begin - held[0]["start"] if held else 0
-        return rows.orderBy(*sort_columns(self.keys), _ROW).offset(skip).limit(size).drop(_ROW, _RANGE)
+        return rows.orderBy(*sort_columns(self.keys), _ROW).offset(skip).limit(size).drop(_ROW, _RANGE, _BLOCK)

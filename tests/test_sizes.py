@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tabulon.operators import dashboard as DB
+from tabulon.operators import paging as PG
 from tabulon.operators import profile as PF
 
 
@@ -47,6 +48,25 @@ def test_samples_are_filled_up_without_a_task_per_column(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_sort_tasks_do_not_follow_the_ranges(spark, tmp_path):
+    df = spark.range(0, 3000, 1, 5).select((F.col("id") * 7919 % 3000).alias("v"))
+    index = PG.PageIndex.build(df, ["-v"], str(tmp_path / "i"), range_rows=10)
+    held = spark.read.parquet(f"{index.root}/index")
+    assert held.count() == 300 and held.select("_range").distinct().count() == 1
+    for n in (1, 7, 100, 429):
+        assert [r.v for r in index.page(n, 7).collect()] == list(range(2999, -1, -1))[(n - 1) * 7:n * 7]
+
+
+def test_pages_over_several_sort_tasks(spark, monkeypatch):
+    monkeypatch.setattr(PG, "SORT_ROWS", 70)
+    df = spark.range(0, 500, 1, 5).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    want = [tuple(r) for r in df.orderBy("k", "v").collect()]
+    index = PG.PageIndex.build(df, ["k", "v"], range_rows=9)
+    assert spark.read.parquet(f"{index.root}/index").select("_range").distinct().count() > 3
+    for n in range(1, 23):
+        assert [tuple(r) for r in index.page(n, 23).collect()] == want[(n - 1) * 23:n * 23]
+
+
 def test_cells_are_not_compiled_into_one_method(spark):
     df = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1), 2.0), (2, None, None, None), (2, "a", dt.datetime(2024, 1, 3), 5.0)], "id long, k string, t timestamp_ntz, v double")
     kpis = [DB.Kpi("n", "", DB.Measure()), DB.Kpi("ids", "", DB.Measure("id", "distinct")), DB.Kpi("a", "", DB.Measure("v", "sum", DB.Condition("k", "in", ("a",))))]

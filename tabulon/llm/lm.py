@@ -31,7 +31,9 @@ frequent word is one entry per batch: first with training counts, to build the
 model, and in the end with the documents they occur in, to be scored.  A bucket
 that is asked for more than ``ASK`` tokens, as that of a very frequent word, is
 scored in several groups of batches, each with a copy of its model; a group
-returns sums of the documents that asked it.
+returns sums of the documents that asked it.  Documents are scored in ``SLICES``
+parts, told apart by a hash of the row, and each part's scores written, so that
+the exchange of one part only is on disk beside the model.
 
 Words are told apart by 64-bit hashes.  Results for odd input: a null or empty
 text is the end token alone; a null id counts as an empty one for the choice of
@@ -44,6 +46,7 @@ from __future__ import annotations
 
 import gc
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +54,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .blocks import BUCKET_DOCS, batched, joined, packed, unpacked
 from .common import drop_written, pieces, table, written
-from .words import hashes, words
+from .words import distinct, hashes, words
 
 #: discount and strength of the root and of the contexts
 D0, S0, D1, S1 = 0.7, 50.0, 0.8, 10.0
@@ -59,6 +62,8 @@ BURN, KEEP, EXACT = 2, 2, 32
 SEED = 2006
 #: tokens that a group of cells asks for, on average at most
 ASK = 4_000_000
+#: parts of the documents, scored one after the other: the cells of one part are on disk at a time
+SLICES = 4
 END, START = np.uint64(0xE0D0FD0C), np.uint64(0x57A27)
 
 
@@ -188,11 +193,12 @@ def _cells(buckets: int, score: bool):
     def cells(record_batches):
         for number, ids, texts in batched(record_batches):
             found, starts = joined([[*words(t, lower=True), b""] for t in texts])  # the empty word is the end
-            h = hashes(found)
-            h[starts[1:] - 1] = END
+            h, at = distinct(found)
+            h[at[starts[1:] - 1]] = END
             counts = np.diff(starts)
             doc = np.repeat(np.arange(len(ids), dtype=np.uint16), counts)
             vocabulary, word = np.unique(h, return_inverse=True)
+            word = word[at]
             contexts = np.union1d(vocabulary, [START])
             place = np.searchsorted(contexts, vocabulary)  # the word before, by its place among the contexts
             context = np.concatenate([[0], place[word[:-1]]])
@@ -347,6 +353,7 @@ def _scored(samples: list[list[int]], n: int, v: int):
         else:
             return _SUM.empty_table()
         known_pairs = b.word * (len(b.contexts) + 1) + b.context
+        kept = [(_of(totals, customers, of_contexts), b.root_customers(t), t, t0) for (t, t0, of_contexts), totals in zip(kept, samples)]
         out = []
         for k in np.flatnonzero(part == ASKED):
             cell = unpacked(data[int(k)].as_py())
@@ -362,10 +369,8 @@ def _scored(samples: list[list[int]], n: int, v: int):
             else:
                 count, seen = np.zeros(len(cell["words"]), np.int64), np.zeros(len(u), bool)
             p = np.zeros(len(u))
-            for (t, t0, of_contexts), totals in zip(kept, samples):
-                g = _of(totals, customers, of_contexts)
+            for g, t_w, t, t0 in kept:
                 if len(b.words):
-                    t_w = b.root_customers(t)
                     root = g.root(np.where(known, t_w[at], 0), np.where(known, t0[at], 0))
                     c, tables = np.where(seen, b.c[where], 0), np.where(seen, t[where], 0)
                 else:
@@ -402,6 +407,12 @@ def _summed(n_train: int):
     return add
 
 
+def _forget_shuffles(spark) -> None:
+    """Spark deletes shuffle files that no plan refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def score_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score (log10 probability), perplexity."""
@@ -417,11 +428,19 @@ def score_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
         new = written(_with_totals(model).groupBy("bucket").applyInArrow(_sweep(g, number, keep, buckets, seed), _STATE_SQL), "seating")
         drop_written(old)
         model = old = new
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files that no plan refers to any more
+        _forget_shuffles(spark)
         g = _totals(model)
         if keep:
             samples.append(g)
-    both = _dealt(d.mapInArrow(_cells(buckets, True), _STATE_SQL), _with_totals(model), groups)
-    score = _scored(samples, g[0], g[3])
-    return both.groupBy("bucket", "group").applyInArrow(score, "batch long, data binary").groupBy("batch").applyInArrow(_summed(g[0]), _DONE_SQL)
+    model = written(_with_totals(model), "answered")
+    drop_written(old)
+    slices, done = min(SLICES, buckets), []
+    for k in range(slices):
+        _forget_shuffles(spark)
+        part = d.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)) == k)
+        both = _dealt(part.mapInArrow(_cells(buckets, True), _STATE_SQL), model, groups)
+        sums = both.groupBy("bucket", "group").applyInArrow(_scored(samples, g[0], g[3]), "batch long, data binary")
+        done.append(written(sums.groupBy("batch").applyInArrow(_summed(g[0]), _DONE_SQL), "scored"))
+        del both, sums
+    _forget_shuffles(spark)
+    return reduce(DataFrame.unionByName, done)

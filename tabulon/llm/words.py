@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: words a worker remembers; then it starts anew
@@ -35,3 +36,10 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
 
 def hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+
+
+def distinct(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, and the place of every word among them."""
+    at = pa.array(found, pa.large_binary()).dictionary_encode().indices.to_numpy()  # numbered as they first come
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1)).tolist()
+    return np.fromiter((xxhash.xxh3_64_intdigest(found[i]) for i in first), np.uint64, len(first)), at

@@ -131,3 +131,50 @@ def test_a_hot_word_is_scored_in_several_groups(spark, monkeypatch):
         models[r.bucket, r.group] += r.part == lm.MODEL
     assert sum(tokens.values()) == 120 * 202 and len(tokens) > 2 and max(tokens.values()) < sum(tokens.values()) / 2
     assert all(models[k] == 1 for k in tokens)
+
+
+def test_documents_are_scored_part_by_part(spark, monkeypatch):
+    """The cells of one part only are exchanged at a time, and the scores stay the same."""
+    rows = [(None if i % 50 == 0 else i // 2, None if i % 45 == 0 else " ".join(f"w{(i * k) % 97}" for k in range(i % 60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).cache()
+    monkeypatch.setattr(lm, "BUCKET_DOCS", 50)
+    dealt, seen = lm._dealt, []
+    monkeypatch.setattr(lm, "_dealt", lambda *a: seen.append(dealt(*a)) or seen[-1])
+    key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens, r.base_score, r.score)
+    out = sorted(lm.score_documents(docs).collect(), key=key)
+    bytes_ = [sum(len(r.data) for r in d.filter(f"part = {lm.ASKED}").select("data").collect()) for d in seen]
+    assert len(bytes_) == 4 and max(bytes_) < 0.4 * sum(bytes_)
+    monkeypatch.setattr(lm, "SLICES", 1)
+    whole = sorted(lm.score_documents(docs).collect(), key=key)
+    assert len(seen) == 5 and len(out) == len(rows)
+    assert [r[:5] for r in out] == [r[:5] for r in whole]
+    assert [r.score for r in out] == pytest.approx([r.score for r in whole], abs=1e-9)
+
+
+def test_a_model_is_read_once_for_all_cells(monkeypatch):
+    """Scoring many batches against a bucket goes over its pairs as often as for one batch."""
+    calls = collections.Counter()
+    old = lm.Bucket.root_customers
+    monkeypatch.setattr(lm.Bucket, "root_customers", lambda self, t: calls.update(n=1) or old(self, t))
+    words_ = np.sort(lm.hashes([b"a", b"b", b"c"]))
+    b = lm.Bucket(words_, np.arange(3), np.zeros(3, np.int64), np.array([3, 4, 5]), np.array([lm.START], np.uint64))
+    one = np.ones(3, np.int64)
+    state = lm._state(0, 1, b, [(one, one, np.array([3, 0]))] * lm.KEEP)
+    model = [r for r in state.to_pylist() if r["part"] in (lm.MODEL, lm.CONTEXT)]
+    cell = lm.packed(batch=np.array([7]), words=lm._planes(words_), pairs=np.ones(3, np.uint32), contexts=lm._planes(np.array([lm.START], np.uint64)),
+                     context=np.zeros(3, np.uint16), tokens=np.ones(3, np.uint32), doc=np.zeros(3, np.uint16))
+    score, counts = lm._scored([[12, 3, 3, 3]] * lm.KEEP, 12, 3), []
+    for n in (1, 20):
+        calls.clear()
+        asked = [{"bucket": 0, "part": lm.ASKED, "home": k, "data": cell} for k in range(n)]
+        out = score(None, lm.pa.Table.from_pylist(model + asked, schema=lm._STATE))
+        counts.append(calls["n"])
+        assert out.num_rows == n and len({d for d in out.column("data").to_pylist()}) == 1
+    assert counts[0] == counts[1]
+
+
+def test_words_are_hashed_once_each():
+    found = [b"b", b"a", b"", b"b", b"c", b"", b"a", b"x" * 100]
+    h, at = lm.distinct(found)
+    assert h[at].tolist() == lm.hashes(found).tolist() and len(h) == 5
+    assert [len(x) for x in lm.distinct([])] == [0, 0]

@@ -187,6 +187,28 @@ def _edges(keys: np.ndarray, n: int) -> list[tuple[int, int]]:
     return list(zip([0, *e], [*e, len(keys)]))
 
 
+def _order(key: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of keys below ``most``; plain numbers sort faster than places by key."""
+    n = len(key)
+    if n and most * n < 1 << 63:
+        return np.sort(key * n + np.arange(n)) % n
+    return np.argsort(key, kind="stable")
+
+
+def _ranked(x: np.ndarray, most: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every stretch of ``x`` between two ``ends`` its sorted distinct values
+    (below ``most``), one list after the other; the place of every entry in the
+    list of its stretch; where the lists begin and end."""
+    key = np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * most + x
+    order = _order(key, (len(ends) - 1) * most)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])[:len(key)]
+    lists = np.append(0, np.cumsum(new))[ends]
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1 - np.repeat(lists[:-1], np.diff(ends))
+    return key[new] % most, place, lists
+
+
 def _cells(buckets: int, score: bool):
     """Cells of every batch: all pairs with their documents (``score``), or
     with their counts in training documents, which may be 0."""
@@ -199,12 +221,14 @@ def _cells(buckets: int, score: bool):
             doc = np.repeat(np.arange(len(ids), dtype=np.uint16), counts)
             vocabulary, word = np.unique(h, return_inverse=True)
             word = word[at]
-            contexts = np.union1d(vocabulary, [START])
-            place = np.searchsorted(contexts, vocabulary)  # the word before, by its place among the contexts
-            context = np.concatenate([[0], place[word[:-1]]])
-            context[starts[:-1]] = np.searchsorted(contexts, START)
+            begin = int(np.searchsorted(vocabulary, START))
+            new = begin == len(vocabulary) or vocabulary[begin] != START
+            contexts = np.insert(vocabulary, begin, START) if new else vocabulary
+            context = np.concatenate([[0], word[:-1]])  # the word before, by its place among the contexts
+            context += new & (context >= begin)
+            context[starts[:-1]] = begin
             pair = word * len(contexts) + context
-            order = np.argsort(pair, kind="stable")
+            order = _order(pair, len(vocabulary) * len(contexts))
             pair, doc = pair[order], doc[order]
             at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
             token = np.append(at, len(pair))
@@ -212,10 +236,13 @@ def _cells(buckets: int, score: bool):
             first = np.searchsorted(pair // len(contexts), np.arange(len(vocabulary) + 1))  # pairs of each word
             train = np.concatenate([[0], np.cumsum(np.array([is_training(i) for i in ids])[doc])])
             home = number % buckets
-            for b, (lo, hi) in enumerate(_edges(vocabulary, buckets)):
-                p, q = int(first[lo]), int(first[hi])
-                own, at_context = np.unique(pair[p:q] % len(contexts), return_inverse=True)
-                cell = {"batch": np.array([number]), "words": _planes(vocabulary[lo:hi]), "pairs": np.diff(first[lo:hi + 1]).astype(np.uint32), "contexts": _planes(contexts[own]), "context": _small(at_context)}
+            edges = _edges(vocabulary, buckets)
+            ends = first[[0, *(hi for _, hi in edges)]]
+            own, at_context, own_ends = _ranked(pair % len(contexts), len(contexts), ends)
+            own = contexts[own]
+            for b, (lo, hi) in enumerate(edges):
+                p, q = int(ends[b]), int(ends[b + 1])
+                cell = {"batch": np.array([number]), "words": _planes(vocabulary[lo:hi]), "pairs": np.diff(first[lo:hi + 1]).astype(np.uint32), "contexts": _planes(own[own_ends[b]:own_ends[b + 1]]), "context": _small(at_context[p:q])}
                 if score:
                     cell |= {"tokens": np.diff(token[p:q + 1]).astype(np.uint32), "doc": doc[token[p]:token[q]]}
                 else:

@@ -42,4 +42,4 @@ def distinct(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct words, and the place of every word among them."""
     at = pa.array(found, pa.large_binary()).dictionary_encode().indices.to_numpy()  # numbered as they first come
     first = np.flatnonzero(np.diff(np.maximum.accumulate(at), prepend=-1)).tolist()
-    return np.fromiter((xxhash.xxh3_64_intdigest(found[i]) for i in first), np.uint64, len(first)), at
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, map(found.__getitem__, first)), np.uint64, len(first)), at

@@ -178,3 +178,15 @@ def test_words_are_hashed_once_each():
     h, at = lm.distinct(found)
     assert h[at].tolist() == lm.hashes(found).tolist() and len(h) == 5
     assert [len(x) for x in lm.distinct([])] == [0, 0]
+
+
+def test_distinct_values_of_stretches():
+    rng = np.random.default_rng(5)
+    x, ends = rng.integers(0, 40, 300), np.array([0, 0, 7, 120, 120, 300, 300])
+    for most in (40, 1 << 58):
+        own, place, lists = lm._ranked(x, most, ends)
+        for lo, hi, a, b in zip(ends, ends[1:], lists, lists[1:]):
+            want, where = np.unique(x[lo:hi], return_inverse=True)
+            assert own[a:b].tolist() == want.tolist() and place[lo:hi].tolist() == where.tolist()
+        assert lm._order(x, most).tolist() == np.argsort(x, kind="stable").tolist()
+    assert [len(a) for a in lm._ranked(x[:0], 5, np.zeros(3, np.int64))] == [0, 0, 3]

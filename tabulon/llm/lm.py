@@ -91,8 +91,10 @@ def seat(c: np.ndarray, a: np.ndarray, d: float, rng) -> np.ndarray:
     stirling = _STIRLING.get(d)
     if stirling is None:
         stirling = log_stirling(d)
-    for n in np.unique(first[first > 1]).tolist():
-        at = np.flatnonzero(first == n)
+    several = np.flatnonzero(first > 1)
+    of_several = first[several]
+    for n in np.unique(of_several).tolist():
+        at = several[of_several == n]
         for k in range(0, len(at), 65536):
             part = at[k:k + 65536]
             w = log_a[part, None] * np.arange(1, n + 1) + stirling[n, 1:n + 1]
@@ -302,8 +304,12 @@ def _counted(buckets: int, most: int):
         vocabulary, word = np.unique(h, return_inverse=True)
         pair = word * len(contexts) + u
         del h, word, u
-        pair, where = np.unique(pair, return_inverse=True)
-        b = Bucket(vocabulary, pair // len(contexts), pair % len(contexts), np.bincount(where, weights=c, minlength=len(pair)).astype(np.int64), contexts)
+        order = _order(pair, len(vocabulary) * len(contexts))
+        pair, c = pair[order], c[order]
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])[:len(pair)]
+        c = np.bincount(np.cumsum(new) - 1, weights=c, minlength=new.sum()).astype(np.int64)
+        pair = pair[new]
+        b = Bucket(vocabulary, pair // len(contexts), pair % len(contexts), c, contexts)
         groups = table(_STATE, bucket=[key[0].as_py()], part=[GROUPS], home=[pieces(asked, most)], data=[b""])
         return pa.concat_tables([_state(key[0].as_py(), buckets, b, []), pa.Table.from_batches([groups])])
     return count

@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .blocks import packed, unpacked
 from .common import drop_written, mix64, partitions, table, written
 from .components import components
 from .embeddings import roots
@@ -283,19 +284,19 @@ def _place() -> Column:
 
 def _bitmap(places: DataFrame) -> np.ndarray:
     """Which values of the last MARKS bits occur: always 2^MARKS bits, whatever
-    the number of places, put together range by range."""
+    the number of places, put together range by range; a range travels compressed."""
     low = MARKS - 10
 
     def mark(key, rows):
         at = rows.column("at").to_numpy() & ((1 << low) - 1)
         bits = np.zeros(1 << low, np.uint8)
         bits[at] = 1
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([packed(bits=np.packbits(bits))], pa.binary())})
 
     mine = places.select(F.col("at").bitwiseAND((1 << MARKS) - 1).alias("at")).distinct().withColumn("part", F.shiftright("at", low))
     out = np.zeros(1 << MARKS >> 3, np.uint8)
-    for r in mine.groupBy("part").applyInArrow(mark, "part long, bits binary").collect():  # 2^10 ranges of 16 KB at most
-        out[r.part << low >> 3:(r.part + 1) << low >> 3] = np.frombuffer(r.bits, np.uint8)
+    for r in mine.groupBy("part").applyInArrow(mark, "part long, bits binary").collect():  # 2^10 ranges, at most about 16 KB each
+        out[r.part << low >> 3:(r.part + 1) << low >> 3] = unpacked(r.bits)["bits"]
     return out
 
 

@@ -34,6 +34,8 @@ from .common import mix64, table
 SIZES = (3, 4, 5)
 BUCKETS, DIM = 1 << 18, 8
 PER_CLASS, STEPS, BATCH, RATE, SEED = 2500, 800, 32, 0.02, 5
+#: training texts whose bags share their arrays
+SHARED = 256
 #: code points handled at a time while a text is hashed
 WINDOW = 1 << 20
 
@@ -88,17 +90,34 @@ def _grams(cp: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def _bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    f = features(text)
-    ids, n = np.unique(f, return_counts=True)
-    return ids, (n / max(1, len(f))).astype(np.float32)
+def _bags(texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets and their shares of every text.  The texts of a few batches
+    share two long arrays: many short ones would leave the process's memory in holes
+    that it keeps when the training has ended."""
+    out = []
+    for k in range(0, len(texts), SHARED):
+        ids, shares = [], []
+        for text in texts[k:k + SHARED]:
+            f = features(text)
+            found, n = np.unique(f, return_counts=True)
+            ids.append(found.astype(np.int32)), shares.append((n / max(1, len(f))).astype(np.float32))
+        ends = np.cumsum([len(x) for x in ids])[:-1]
+        out += zip(np.split(np.concatenate(ids), ends), np.split(np.concatenate(shares), ends))
+    return out
+
+
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct buckets, and the place of every entry among them."""
+    seen = np.zeros(BUCKETS, bool)
+    seen[ids] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[ids]
 
 
 def train(texts: list, labels: list[int], share: float, seed: int = SEED) -> tuple[np.ndarray, float]:
     """Fit table and softmax; returns the score vector of the buckets and the
     intercept: logit = intercept + mean of the text's bucket scores."""
     rng = np.random.default_rng(seed)
-    bags = [_bag(t) for t in texts]
+    bags = _bags(texts)
     y = np.asarray(labels)
     table_ = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
@@ -118,7 +137,7 @@ def train(texts: list, labels: list[int], share: float, seed: int = SEED) -> tup
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for k in range(0, len(order), BATCH):
-            part = [i for i in order[k:k + BATCH] if len(bags[i][0])]
+            part = [i for i in order[k:k + BATCH].tolist() if len(bags[i][0])]
             step += 1
             if not part:
                 continue
@@ -135,7 +154,7 @@ def train(texts: list, labels: list[int], share: float, seed: int = SEED) -> tup
             p[np.arange(len(part)), y[part]] -= 1
             g = p * SCALE / len(part)
             back = g @ soft.T
-            rows, where = np.unique(ids, return_inverse=True)
+            rows, where = _distinct(ids)
             grad = np.zeros((len(rows), DIM), np.float32)
             flow = np.repeat(back, sizes, axis=0) * w[:, None]
             for d in range(DIM):

@@ -144,3 +144,13 @@ def test_bands_and_slack_follow_the_threshold():
 def test_signatures_have_the_bands_of_the_threshold(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
     assert [len(N.signatures(docs, 5, percent).first().bands) for percent in (80, 85)] == [36, 24]
+
+
+def test_the_bitmap_of_few_rows_reaches_the_driver_small(spark, monkeypatch):
+    """Its ranges are compressed: a row here and there is not 16 KB each."""
+    at = [int(x) for x in np.random.default_rng(13).integers(-2**63, 2**63, 400)]
+    sent, unpacked = [], N.unpacked
+    monkeypatch.setattr(N, "unpacked", lambda data: sent.append(len(data)) or unpacked(data))
+    bits = np.unpackbits(N._bitmap(spark.createDataFrame([(x,) for x in at], "at long")))
+    assert np.flatnonzero(bits).tolist() == sorted({x & ((1 << N.MARKS) - 1) for x in at})
+    assert len(sent) > 200 and sum(sent) < 400 * 200

@@ -63,3 +63,18 @@ def test_odd_rows(odd, none, spark):
         assert {r.predicted for r in X.toxicity(odd, few, F.lit(True)).collect()} == {want}
     kept = X.drop_toxic(odd, labels.filter("toxic = 0"), F.lit(True))
     assert kept.columns == odd.columns and kept.count() == len(odd_rows())
+
+
+def test_bags_share_few_arrays():
+    """Short arrays, one per text, would stay in the driver's memory after the training."""
+    texts = [f"some words w{i} w{i * 7} idiot idiot" if i % 9 else None for i in range(X.SHARED * 2 + 5)]
+    bags = X._bags(texts)
+    for t, (ids, w) in zip(texts, bags, strict=True):
+        f = X.features(t)
+        want, n = np.unique(f, return_counts=True)
+        assert ids.tolist() == want.tolist() and w.tolist() == (n / max(1, len(f))).astype(np.float32).tolist()
+    assert X._bags([]) == [] and len({id(x.base) for bag in bags for x in bag}) <= 6
+    ids = np.concatenate([b[0] for b in bags])
+    rows, where = X._distinct(ids)
+    want, place = np.unique(ids, return_inverse=True)
+    assert rows.tolist() == want.tolist() and where.tolist() == place.tolist()

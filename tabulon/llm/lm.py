@@ -52,9 +52,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import BUCKET_DOCS, batched, joined, packed, unpacked
+from .blocks import BUCKET_DOCS, batched, packed, unpacked
 from .common import drop_written, pieces, table, written
-from .words import distinct, hashes, words
+from .words import distinct, hashes, tokens  # noqa: F401 (the first two: for the tests)
 
 #: discount and strength of the root and of the contexts
 D0, S0, D1, S1 = 0.7, 50.0, 0.8, 10.0
@@ -216,10 +216,10 @@ def _cells(buckets: int, score: bool):
     with their counts in training documents, which may be 0."""
     def cells(record_batches):
         for number, ids, texts in batched(record_batches):
-            found, starts = joined([[*words(t, lower=True), b""] for t in texts])  # the empty word is the end
-            h, at = distinct(found)
-            h[at[starts[1:] - 1]] = END
-            counts = np.diff(starts)
+            h, at, counts = tokens(texts)
+            h, at = np.append(h, END), np.insert(at, np.cumsum(counts), len(h))  # an end after every text
+            counts = counts + 1
+            starts = np.concatenate([[0], np.cumsum(counts)])
             doc = np.repeat(np.arange(len(ids), dtype=np.uint16), counts)
             vocabulary, word = np.unique(h, return_inverse=True)
             word = word[at]
@@ -292,18 +292,22 @@ def _loaded(rows) -> tuple[Bucket, list[tuple[np.ndarray, ...]], np.ndarray, np.
 def _counted(buckets: int, most: int):
     """The cells of a bucket merged into its counts."""
     def count(key, rows):
-        hs, us, cs, asked = [], [], [], 0
+        ws, ns, us, at, cs, asked, listed = [], [], [], [], [], 0, 0
         for x in rows.column("data"):
             cell = unpacked(x.as_py())
-            hs.append(np.repeat(_hashes(cell["words"]), cell["pairs"])), us.append(_hashes(cell["contexts"])[cell["context"]]), cs.append(cell["tokens"])
-            asked += int(cell["asked"][0])
-        h, c = np.concatenate(hs), np.concatenate(cs)
+            ws.append(_hashes(cell["words"])), ns.append(cell["pairs"]), us.append(_hashes(cell["contexts"])), at.append(cell["context"].astype(np.int64) + listed), cs.append(cell["tokens"])
+            asked, listed = asked + int(cell["asked"][0]), listed + len(us[-1])
+        # words and contexts are told apart by cell, where each is listed once, not by pair
         contexts, u = np.unique(np.concatenate(us), return_inverse=True)
-        del hs, us, cs
-        h, u, c = h[c > 0], u[c > 0], c[c > 0]
-        vocabulary, word = np.unique(h, return_inverse=True)
+        vocabulary, word = np.unique(np.concatenate(ws), return_inverse=True)
+        u, word, c = u[np.concatenate(at)], np.repeat(word, np.concatenate(ns)), np.concatenate(cs)
+        del ws, ns, us, at, cs
+        u, word, c = u[c > 0], word[c > 0], c[c > 0]
+        trained = np.zeros(len(vocabulary), bool)
+        trained[word] = True
+        vocabulary, word = vocabulary[trained], (np.cumsum(trained) - 1)[word]
         pair = word * len(contexts) + u
-        del h, word, u
+        del word, u
         order = _order(pair, len(vocabulary) * len(contexts))
         pair, c = pair[order], c[order]
         new = np.concatenate([[True], pair[1:] != pair[:-1]])[:len(pair)]

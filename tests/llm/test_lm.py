@@ -190,3 +190,32 @@ def test_distinct_values_of_stretches():
             assert own[a:b].tolist() == want.tolist() and place[lo:hi].tolist() == where.tolist()
         assert lm._order(x, most).tolist() == np.argsort(x, kind="stable").tolist()
     assert [len(a) for a in lm._ranked(x[:0], 5, np.zeros(3, np.int64))] == [0, 0, 3]
+
+
+def test_words_of_many_texts_at_once():
+    texts = [None, "", " \n\t ", "One two\x0bone", "a\x1cb c\xa0d", "  É ÉTÉ 𝄞 ſ İ\x00 x", "x " * 40, "end"]
+    for some in (texts, texts[::-1], [None], [], ["a"], [" "]):
+        h, at, counts = lm.tokens(some)
+        assert h[at].tolist() == [x for t in some for x in lm.hashes(words(t, lower=True)).tolist()]
+        assert counts.tolist() == [len(words(t)) for t in some] and len(set(h.tolist())) == len(h)
+
+
+def test_counts_tell_words_apart_by_cell_not_by_pair(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 23}" for k in range(200))) for i in range(60)], "doc_id long, text string").repartition(2)
+    cells = docs.mapInArrow(lm._cells(1, False), lm._STATE_SQL).toArrow()
+    found = [lm.unpacked(x) for x in cells.column("data").to_pylist()]
+    unique, seen = np.unique, []
+    monkeypatch.setattr(np, "unique", lambda x, **k: seen.append(len(x)) or unique(x, **k))
+    out = lm._counted(1, lm.ASK)((lm.pa.scalar(0),), cells).to_pylist()
+    monkeypatch.undo()
+    listed, pairs = sum(len(lm._hashes(c["contexts"])) for c in found), sum(int(c["pairs"].sum()) for c in found)
+    assert max(seen) <= listed + 1 < pairs / 4
+    want = collections.Counter()
+    for r in docs.collect():
+        h = [int(lm.START), *lm.hashes(words(r.text, lower=True)).tolist()]
+        for u, w in zip(h, [*h[1:], int(lm.END)]):
+            want[w, u] += lm.is_training(r.doc_id)
+    model = lm.unpacked(next(r["data"] for r in out if r["part"] == lm.MODEL))
+    contexts = np.concatenate([lm._hashes(lm.unpacked(r["data"])["contexts"]) for r in out if r["part"] == lm.CONTEXT])
+    w = np.repeat(lm._hashes(model["words"]), model["pairs"])
+    assert dict(zip(zip(w.tolist(), contexts[model["context"]].tolist()), model["c"].tolist())) == {k: n for k, n in want.items() if n}

@@ -39,6 +39,14 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that deals out both sides by key and merges them.
+    Left to itself Spark sends a side that it takes for small through the driver's
+    memory.  It goes by the bytes of compressed files and counts an array as one
+    element, so a table read back or exploded may be many times what it expects."""
+    return df.hint("merge")
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix64, pieces, written
+from .common import by_key, mix64, pieces, written
 
 #: distinct digests per bucket; a bucket is built and searched by one task
 BUCKET = 2048
@@ -147,9 +147,9 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     found = classes(rows, older_half(rows))
     mine = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     # a winner is found by (digest, doc_id); where that pair repeats, one row of it stays
-    pairs = rows.join(found.select(F.col("digest").alias("d2"), "win_doc"), (F.col("digest") == F.col("d2")) & F.col("doc_id").eqNullSafe(F.col("win_doc")))
+    pairs = rows.join(by_key(found.select(F.col("digest").alias("d2"), "win_doc")), (F.col("digest") == F.col("d2")) & F.col("doc_id").eqNullSafe(F.col("win_doc")))
     win = written(pairs.groupBy("digest", "win_doc").agg(F.count("*").alias("same")).select(F.col("digest").alias("__tb_digest"), F.col("win_doc").alias("__tb_doc"), F.col("same").alias("__tb_same")), "winners")
-    hit = docs.withColumn("__tb_mine", mine).join(win, (F.col("__tb_mine") == F.col("__tb_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__tb_doc")))
+    hit = docs.withColumn("__tb_mine", mine).join(by_key(win), (F.col("__tb_mine") == F.col("__tb_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__tb_doc")))
     once = hit.filter("__tb_same = 1")
     again = hit.filter("__tb_same > 1").dropDuplicates(["__tb_mine"])
     return once.unionByName(again).select(*docs.columns)

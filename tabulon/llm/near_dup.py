@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .blocks import packed, unpacked
-from .common import drop_written, mix64, partitions, table, written
+from .common import by_key, drop_written, mix64, partitions, table, written
 from .components import components
 from .embeddings import roots
 from .words import hashes, words
@@ -323,7 +323,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
             yield table(_SET, key=keys, at=at[hit], items=items)
 
     found = d.mapInArrow(build, "key binary, at long, items binary")
-    return found.join(members, ["key", "at"]).dropDuplicates(["key", "at"]).drop("key", "at")
+    return found.join(by_key(members), ["key", "at"]).dropDuplicates(["key", "at"]).drop("key", "at")
 
 
 def _chunked(members: DataFrame) -> DataFrame:
@@ -380,10 +380,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = written(classes.select("key", "c", F.col("doc_id").alias("least"), _place().alias("at"), "n", "sketch", "bands"), "classes")
     bands = classes.select("c", F.posexplode("bands").alias("k", "v")).select("c", F.xxhash64("k", "v").alias("band"))
     many = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("c").alias("first")).filter("size > 1")
-    stars = bands.join(many, "band").select(F.col("c").alias("a"), F.col("first").alias("b"))
+    stars = bands.join(by_key(many), "band").select(F.col("c").alias("a"), F.col("first").alias("b"))
     cluster = components(stars)
     g = cluster.unionByName(cluster.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("c"), F.col("root").alias("g"))
-    members = written(_chunked(classes.select("c", "at", "key", "n", "sketch").join(g, "c")), "clusters")
+    members = written(_chunked(classes.select("c", "at", "key", "n", "sketch").join(by_key(g), "c")), "clusters")
     whole = written(_with_sets(docs, members, width), "members")
     drop_written(members)
     of = written(_confirmed(whole, percent), "components")
@@ -391,7 +391,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     c = classes.select("key", "c", "least").join(of.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = c.groupBy("root").agg(F.min("least").alias("component_id"))
     c = c.join(least, "root").select("key", "root", "component_id")
-    out = rows.select("doc_id", "row", "text_hash", "key", F.col("n").alias("n_shingles")).join(c, "key", "left")
+    out = rows.select("doc_id", "row", "text_hash", "key", F.col("n").alias("n_shingles")).join(by_key(c), "key", "left")
     own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "row", "text_hash", "n_shingles", F.coalesce("root", "row").alias("component"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
@@ -404,7 +404,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash")).alias("w")
     win = found.groupBy("component").agg(first).groupBy(F.col("w.doc_id").alias("__tb_doc"), F.col("w.text_hash").alias("__tb_hash")).agg(F.lit(1).alias("__tb_one"))
     same = found.groupBy(F.col("doc_id").alias("d2"), F.col("text_hash").alias("h2")).agg(F.count("*").alias("__tb_same"))
-    win = written(win.join(same, F.col("__tb_doc").eqNullSafe(F.col("d2")) & (F.col("__tb_hash") == F.col("h2"))).select("__tb_doc", "__tb_hash", "__tb_same"), "winners")
-    hit = docs.withColumn("__tb_mine", F.xxhash64("text")).join(win, F.col("doc_id").cast("long").eqNullSafe(F.col("__tb_doc")) & (F.col("__tb_mine") == F.col("__tb_hash")))
+    win = written(win.join(by_key(same), F.col("__tb_doc").eqNullSafe(F.col("d2")) & (F.col("__tb_hash") == F.col("h2"))).select("__tb_doc", "__tb_hash", "__tb_same"), "winners")
+    hit = docs.withColumn("__tb_mine", F.xxhash64("text")).join(by_key(win), F.col("doc_id").cast("long").eqNullSafe(F.col("__tb_doc")) & (F.col("__tb_mine") == F.col("__tb_hash")))
     once, again = hit.filter("__tb_same = 1"), hit.filter("__tb_same > 1").dropDuplicates(["__tb_doc", "__tb_hash"])
     return once.unionByName(again).select(*docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bpe
-from .common import pieces as groups_of, table, written
+from .common import by_key, pieces as groups_of, table, written
 
 CAPACITY, END_ID = 2048, 0
 SHARD, MERGE, LOOSE = 4096, 16, 64
@@ -109,8 +109,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
     moved = joint.withColumn("piece", F.col("piece").cast("int")).groupBy("joint").applyInArrow(second, _PLACED + ", joint long")
     moved = moved.select(F.col("row").alias("shard"), F.col("piece").cast("long").alias("bin"), F.col("joint"), F.col("bin").alias("to_bin"), F.col("offset").alias("shift"))
-    placed = done.join(moved, ["shard", "bin"], "left")
+    placed = done.join(by_key(moved), ["shard", "bin"], "left")
     # two kinds of sequence: a bin of a shard, and a joint bin of several
     seq = F.when(F.col("joint").isNotNull(), F.col("joint") * 4_294_967_296 + F.col("to_bin") * 2 + 1).otherwise(F.col("shard") * 4_294_967_296 + F.col("bin") * 2)
     at = placed.select("row", "piece", seq.alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
-    return cut.join(at, ["row", "piece"])
+    return cut.join(by_key(at), ["row", "piece"])

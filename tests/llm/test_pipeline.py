@@ -3,6 +3,7 @@ import collections
 import corpus_pipeline as P
 import pytest
 from helpers import words
+from tabulon.llm import components as C, exact_dedup as E, near_dup as N, packing as K
 from tabulon.llm.common import written
 from tabulon.sources.tables import table
 from test_near_dup import sets
@@ -53,6 +54,23 @@ def test_stages(steps, spark):
         assert set(docs[0].asDict()) == set(raw[0].asDict())
 
 
+def test_no_stage_sends_exploded_bands_or_documents_through_the_driver(spark, monkeypatch):
+    """A class has 36 bands, which Spark counts as one: at 0.6 GB it took all of them
+    for small enough to broadcast."""
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (C, E, N, K):
+        monkeypatch.setattr(module, "written", lambda df, name: plan(df) or written(df, name))
+    text = " ".join(f"t{i}" for i in range(100))
+    docs = spark.createDataFrame([(i, f"{text} {i % 7}", "s") for i in range(20)], "doc_id long, text string, source string")
+    stages = dict(P.STAGES)
+    for name in ("exact dedup", "MinHash near-dedup", "best-fit packing"):
+        plan(stages[name](spark, docs, BASE))
+    assert any("__tb_digest" in p for p in plans) and any("band" in p for p in plans) and any("joint" in p for p in plans)
+    for key in ("band", "__tb", "shard", "row", "digest"):
+        assert not any(f"BroadcastHashJoin [{key}" in p for p in plans), key
+
+
 def test_registered_query():
     import __spark_entry__ as E
     assert "pipeline" in E.queries() and [n for n, _ in P.STAGES] and {f"op{i}" for i in range(1, 14)} == {k.split("_")[0] for k in E.queries() if k.startswith("op")}

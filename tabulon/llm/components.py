@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drop_written, written
+from .common import by_key, drop_written, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,9 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = both.filter("v > u").join(by_key(least), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        small = large.join(by_key(low), "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         new = written(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
         drop_written(e)
         before, state, e = state, _state(new), new

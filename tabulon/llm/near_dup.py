@@ -24,6 +24,9 @@ found, and last every class outside the cluster's largest component against all
 chunks, which leaves no pair of different components untested.  Thousands of
 near copies of a text thus cost rows in proportion to their number.
 
+Tables of rows, classes and edges are joined by key at every size; only tables with
+a row per large cluster may be sent to all tasks.
+
 Results for odd input: a null or empty text, or one of white space alone, has
 no shingles, links with nothing and is its own component; equal sets link;
 repeated rows and repeated ids are documents each; a null doc_id is no smallest
@@ -341,32 +344,32 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
     Chunks and groups of heads are disjoint, so what they find are labels at
     once; only the last step, between components, needs rounds."""
     none = F.lit(0).cast("long")
-    sets = members.select("c", "n", "sketch", "items")
+    sets = by_key(members.select("c", "n", "sketch", "items"))
     alone = members.select("*", F.col("c").alias("comp"), F.lit(False).alias("loose"), F.col("chunk").alias("i"), F.col("chunk").alias("j"))
     first = written(_links(alone, percent, False), "links").select(F.col("a").alias("node"), F.col("b").alias("root"))
     large = members.filter(F.col("size") > CHUNK).select("g", "c", "chunk", "size")
     if large.isEmpty():
         return first
-    large = large.join(first, F.col("c") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "c")).drop("node", "root")
+    large = large.join(by_key(first), F.col("c") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "c")).drop("node", "root")
     # one class of every component of a chunk
     heads = large.filter("c = comp")
     n = heads.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     heads = heads.join(n, "g").withColumn("i", F.pmod(F.xxhash64(F.lit(1), "c"), F.col("parts"))).withColumn("j", F.col("i"))
     second = written(_links(heads.withColumn("loose", F.lit(False)).join(sets, "c"), percent, False), "links")
-    now = large.join(second, F.col("comp") == F.col("a"), "left").withColumn("comp", F.coalesce("b", "comp")).drop("a", "b")
+    now = large.join(by_key(second), F.col("comp") == F.col("a"), "left").withColumn("comp", F.coalesce("b", "comp")).drop("a", "b")
     now = written(now.select("g", "c", "chunk", "size", "comp"), "labels")
     # what is outside the largest component, against everything
     per = now.groupBy("g", "comp").agg(F.count("*").alias("n"))
     top = per.groupBy("g").agg(F.max(F.struct("n", "comp")).alias("t"), F.sum("n").alias("all")).select("g", F.col("t.comp").alias("top"), (F.col("all") - F.col("t.n")).alias("outside"))
-    rest = now.join(top.filter("outside > 0"), "g")
+    rest = now.join(by_key(written(top.filter("outside > 0"), "tops")), "g")
     parts = F.ceil(F.col("outside") / CHUNK)
     loose = rest.filter("comp <> top").withColumn("i", F.pmod(F.xxhash64(F.lit(2), "c"), parts)).withColumn("j", F.explode(F.sequence(none, F.ceil(F.col("size") / CHUNK) - 1)))
     others = rest.withColumn("i", F.explode(F.sequence(none, parts - 1))).withColumn("j", F.col("chunk"))
     both = loose.withColumn("loose", F.lit(True)).unionByName(others.withColumn("loose", F.lit(False))).select("g", "i", "j", "c", "comp", "loose")
     third = written(_links(both.join(sets, "c"), percent, True), "links")
     if not third.isEmpty():
-        now = now.join(written(components(third), "components"), F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "comp"))
-    small = members.filter(F.col("size") <= CHUNK).select(F.col("c").alias("node")).join(first, "node")
+        now = now.join(by_key(written(components(third), "components")), F.col("comp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "comp"))
+    small = members.filter(F.col("size") <= CHUNK).select(F.col("c").alias("node")).join(by_key(first), "node")
     return small.unionByName(now.filter("c <> comp").select(F.col("c").alias("node"), F.col("comp").alias("root")))
 
 
@@ -388,9 +391,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     drop_written(members)
     of = written(_confirmed(whole, percent), "components")
     drop_written(whole)
-    c = classes.select("key", "c", "least").join(of.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    c = classes.select("key", "c", "least").join(by_key(of.withColumnRenamed("node", "c")), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = c.groupBy("root").agg(F.min("least").alias("component_id"))
-    c = c.join(least, "root").select("key", "root", "component_id")
+    c = c.join(by_key(least), "root").select("key", "root", "component_id")
     out = rows.select("doc_id", "row", "text_hash", "key", F.col("n").alias("n_shingles")).join(by_key(c), "key", "left")
     own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "row", "text_hash", "n_shingles", F.coalesce("root", "row").alias("component"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))

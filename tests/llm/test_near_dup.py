@@ -1,7 +1,9 @@
+import re
+
 import numpy as np
 import pytest
 from helpers import odd_rows, words
-from tabulon.llm import near_dup as N
+from tabulon.llm import components as C, near_dup as N
 from tabulon.llm.components import components
 
 
@@ -154,3 +156,17 @@ def test_the_bitmap_of_few_rows_reaches_the_driver_small(spark, monkeypatch):
     bits = np.unpackbits(N._bitmap(spark.createDataFrame([(x,) for x in at], "at long")))
     assert np.flatnonzero(bits).tolist() == sorted({x & ((1 << N.MARKS) - 1) for x in at})
     assert len(sent) > 200 and sum(sent) < 400 * 200
+
+
+def test_tables_of_classes_are_joined_by_key(spark, monkeypatch):
+    """Their files are far smaller than their rows: taken for small, they were sent
+    through the driver.  Only tables with a row per large cluster may be."""
+    plans, write = [], N.written
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (N, C):
+        monkeypatch.setattr(module, "written", lambda df, name: plan(df) or write(df, name))
+    monkeypatch.setattr(N, "CHUNK", 16)
+    df = spark.createDataFrame(near_group(), "doc_id long, text string").repartition(4)
+    plan(N.drop_near_duplicates(df, 3, 85))
+    keys = {k for p in plans for k in re.findall(r"Broadcast\w*Join \[([^#\]]*)", p)}
+    assert len(plans) > 15 and keys <= {"g"}, keys
